@@ -73,7 +73,7 @@ def columns_to_rows(batch: DataFrame, list_cols: list[str], keep: list[str] | No
 
 def rows_to_columns(df: DataFrame, group_cols: list[str], order_col: str, list_cols: list[str]) -> DataFrame:
     """Inverse of K4 for bounded groups (an insert batch): ordered lists."""
-    s = F.array_sort(F.collect_list(F.struct(F.col(order_col), *[F.col(c) for c in list_cols])))
+    s = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("_o"), *[F.col(c) for c in list_cols])))
     out = df.groupBy(*group_cols).agg(s.alias("_s"))
     def field(name):
         return F.transform("_s", lambda x: x[name]).alias(name)
