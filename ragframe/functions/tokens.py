@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,7 +35,6 @@ def get_counter(counter: str | TokenCounter) -> TokenCounter:
 def bpe_counter(encoding_name: str = "cl100k_base"):
     """Arrow-batched BPE token counts (needs the tokenizer files locally).
     Not usable inside lambdas; apply it to a column of chunk texts."""
-    import pandas as pd
 
     @F.pandas_udf("long")
     def _count(s: pd.Series) -> pd.Series:

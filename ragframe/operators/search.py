@@ -15,6 +15,7 @@ fetched afterwards with a second, broadcast join on the k-row result.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,7 +117,6 @@ def nearest_cells(spark, centroids: list[list[float]], nprobe: int):
     """Arrow-batched UDF: vector -> ids of the ``nprobe`` nearest cells.
     The centroid matrix (n_cells x dim, a parameter) is a broadcast value."""
     import numpy as np
-    import pandas as pd
 
     bc = spark.sparkContext.broadcast(np.asarray(centroids, dtype=np.float64))
     n = int(nprobe)
