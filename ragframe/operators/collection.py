@@ -46,23 +46,40 @@ def create_if_missing(spark: SparkSession, path: str) -> None:
         spark.createDataFrame([], COLLECTION_SCHEMA).write.mode("ignore").parquet(path)
 
 
-def append(df: DataFrame, path: str, *, replace_files: bool = False) -> None:
-    """K2: append rows. ``replace_files=True`` makes a re-ingest of a file
-    replace its rows (dynamic partition overwrite on ``file_id``), so a
-    replayed batch never duplicates."""
+def file_bucket(file_id, n_buckets: int):
+    return F.pmod(F.xxhash64(file_id), F.lit(n_buckets)).cast("int")
+
+
+def append(df: DataFrame, path: str, *, replace_files: bool = False, n_buckets: int = 64) -> None:
+    """K2: append rows, partitioned by a bounded ``file_bucket`` (never one
+    folder per file). ``replace_files=True`` makes a re-ingest of a file
+    replace its earlier rows: only the buckets it touches are rewritten,
+    merged with the rows of other files in them; lineage is cut with a
+    reliable checkpoint before those partitions are overwritten."""
     spark = df.sparkSession
-    rows = to_collection_rows(df)
-    w = rows.write.partitionBy("file_id")
-    if replace_files:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        w.mode("overwrite").parquet(path)
-    else:
-        w.mode("append").parquet(path)
+    rows = to_collection_rows(df).withColumn("file_bucket", file_bucket(F.col("file_id"), n_buckets))
+    if not replace_files:
+        # REBALANCE: AQE coalesces small and splits skewed write partitions,
+        # so each bucket folder gets few, right-sized files.
+        rows.hint("rebalance", "file_bucket").write.mode("append") \
+            .partitionBy("file_bucket").parquet(path)
+        return
+    existing = load_collection(spark, path)
+    touched = rows.select("file_bucket").distinct()
+    files = rows.select("file_id").distinct()
+    keep = (existing.join(touched, "file_bucket", "left_semi")
+            .join(files, "file_id", "left_anti"))
+    merged = keep.unionByName(rows).checkpoint(eager=True)
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    merged.hint("rebalance", "file_bucket").write.mode("overwrite") \
+        .partitionBy("file_bucket").parquet(path)
 
 
 def load_collection(spark: SparkSession, path: str) -> DataFrame:
-    """V7: the collection as a DataFrame (file_id pruning by partition)."""
-    return spark.read.schema(COLLECTION_SCHEMA).parquet(path)
+    """V7: the collection as a DataFrame. A filter on ``file_bucket``
+    (``file_bucket(lit(id), n)``) prunes partitions for one file."""
+    return spark.read.schema(T.StructType(COLLECTION_SCHEMA.fields + [
+        T.StructField("file_bucket", T.IntegerType())])).parquet(path)
 
 
 def columns_to_rows(batch: DataFrame, list_cols: list[str], keep: list[str] | None = None) -> DataFrame:

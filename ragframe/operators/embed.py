@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from typing import Callable
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +25,17 @@ def token_bucket(tok: Column, dim: int) -> Column:
 
 def hash_buckets(df: DataFrame, keys: list[str], text_col: str, dim: int) -> DataFrame:
     """Rows ``(keys, bucket, cnt)`` for the non-zero buckets of each text."""
-    toks = df.select(*keys, F.explode(F.regexp_extract_all(newline_to_space(F.col(text_col)),
-                                                           F.lit(WORD_PATTERN), 0)).alias("_tok"))
+    toks = (df.select(*keys, F.explode_outer(F.regexp_extract_all(
+        newline_to_space(F.col(text_col)), F.lit(WORD_PATTERN), 0)).alias("_tok"))
+        .filter(F.col("_tok").isNotNull()))
     return (toks.groupBy(*keys, token_bucket(F.col("_tok"), dim).alias("bucket"))
             .agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def hash_embed(df: DataFrame, keys: list[str], text_col: str = "content", dim: int = 64,
-               out_col: str = "embedding") -> DataFrame:
-    """Dense L2-normalised float vector per text (texts without tokens get a
-    zero vector). Adds ``out_col`` to ``df``."""
+def hash_embed_joined(df: DataFrame, keys: list[str], text_col: str = "content", dim: int = 64,
+                      out_col: str = "embedding") -> DataFrame:
+    """JVM-only variant: bucket counts by aggregation, joined back on
+    ``keys``. Reads ``df`` twice, so use it on a stored table."""
     b = hash_buckets(df, keys, text_col, dim)
     vec = (b.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "cnt"))).alias("_m"),
                                 F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("_norm"))
@@ -44,6 +47,46 @@ def hash_embed(df: DataFrame, keys: list[str], text_col: str = "content", dim: i
             .withColumn(out_col, F.coalesce(F.col(out_col), zero)))
 
 
+def hash_embedder(dim: int = 64):
+    """Arrow-batched hashed bag-of-words embedder (the shape of a real
+    embedding-model call: one batch of texts in, one batch of vectors out).
+    Same buckets and normalisation as ``hash_buckets``."""
+    import hashlib
+
+    import numpy as np
+    import regex
+
+    pat = regex.compile(WORD_PATTERN)
+
+    @F.pandas_udf("array<float>")
+    def _embed(texts: pd.Series) -> pd.Series:
+        cache: dict[str, int] = {}
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            counts = np.zeros(dim, dtype=np.float64)
+            for tok in pat.findall(t.replace("\n", " ")):
+                b = cache.get(tok)
+                if b is None:
+                    b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
+                    cache[tok] = b
+                counts[b] += 1.0
+            norm = float(np.sqrt((counts * counts).sum()))
+            out.append((counts / norm if norm > 0 else counts).astype(np.float32))
+        return pd.Series(out)
+
+    return _embed
+
+
+def hash_embed(df: DataFrame, keys: list[str], text_col: str = "content", dim: int = 64,
+               out_col: str = "embedding") -> DataFrame:
+    """Dense L2-normalised float vector per text (texts without tokens get a
+    zero vector), computed in-row: no shuffle, no second read of ``df``."""
+    return df.withColumn(out_col, hash_embedder(dim)(F.col(text_col)))
+
+
 Embedder = Callable[[DataFrame, list[str], str], DataFrame]
 
 

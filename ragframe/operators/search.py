@@ -146,7 +146,8 @@ def topk_ivf(assigned: DataFrame, centroids: list[list[float]], questions: DataF
     probe = nearest_cells(spark, centroids, min(nprobe, len(centroids)))
     q = (questions.select(F.col(qid_col).alias("qid"), *([F.col(key)] if key else []),
                           F.col(qvec_col).alias("qvec"))
-         .withColumn("cell", F.explode(probe(F.col("qvec")))))
+         .withColumn("cell", F.explode_outer(probe(F.col("qvec"))))
+         .filter(F.col("cell").isNotNull()))
     c = assigned.select(F.col(id_col).alias("id"), *([F.col(key)] if key else []),
                         "cell", F.col(vec_col).alias("vec"))
     pairs = _pairs(c, q, keys, salt, broadcast_max_bytes)

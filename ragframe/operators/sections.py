@@ -54,7 +54,8 @@ def paragraphs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     paragraphs, numbered from 0 in document order."""
     d = spread(df).select(id_col, kept_paragraphs(F.col(text_col), drop_images, lines_per_page)
                           .alias("_p"))
-    out = d.select(id_col, F.posexplode("_p").alias("marker_no", "_x"))
+    out = (d.select(id_col, F.posexplode_outer("_p").alias("marker_no", "_x"))
+           .filter(F.col("marker_no").isNotNull()))
     cols = [id_col, F.col("_x.para_idx").cast("long").alias("para_idx"),
             F.col("marker_no").cast("long").alias("marker_no"),
             marker(F.col("marker_no")).alias("marker"), F.col("_x.text").alias("text")]
@@ -84,7 +85,8 @@ def excerpt_groups(df: DataFrame, group_size: int = PDF_GROUP, *, id_col: str =
                          lambda s: F.when(s["n"] > 0, F.array_append(s["out"], s["cur"]))
                          .otherwise(s["out"]))
     d = spread(df).select(id_col, groups.alias("_g"))
-    return d.select(id_col, F.posexplode("_g").alias("group_no", "excerpt")) \
+    return d.select(id_col, F.posexplode_outer("_g").alias("group_no", "excerpt")) \
+            .filter(F.col("group_no").isNotNull()) \
             .withColumn("group_no", F.col("group_no").cast("long"))
 
 
@@ -138,7 +140,8 @@ def assemble_sections(df: DataFrame, rule: BoundaryRule = heading_rule, *, id_co
         i.alias("m"), x["text"].alias("text"), rule(i, x["text"]).alias("start"),
         x["page"].alias("page")))
     d = spread(df).select(id_col, _assemble(paras, min_chars, pdf).alias("_s"))
-    out = d.select(id_col, F.posexplode("_s").alias("section_no", "_x"))
+    out = (d.select(id_col, F.posexplode_outer("_s").alias("section_no", "_x"))
+           .filter(F.col("section_no").isNotNull()))
     cols = [id_col, F.col("section_no").cast("long").alias("section_no"),
             F.col("_x.content").alias("content"),
             F.col("_x.first_marker").cast("long").alias("first_marker"),

@@ -75,8 +75,9 @@ FROM c0
 def q_char_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C3 over whole documents."""
     d = spread(_docs(spark, sf_dir))
-    return (d.select("doc_id", F.posexplode(char_pieces(F.col("text"), CHARS))
+    return (d.select("doc_id", F.posexplode_outer(char_pieces(F.col("text"), CHARS))
                      .alias("piece_no", "piece"))
+            .filter(F.col("piece_no").isNotNull())
             .withColumn("piece_no", F.col("piece_no").cast("long")))
 
 
