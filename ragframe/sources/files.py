@@ -40,7 +40,7 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
 
 def read_text_files(spark: SparkSession, root: str) -> DataFrame:
     """One file = one document, universal newlines."""
-    df = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root)
+    df = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
     return df.select(F.input_file_name().alias("path"),
                      F.regexp_replace(F.col("value"), "\r\n?", "\n").alias("text"))
 
