@@ -26,4 +26,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so that its queries register."""
-    from ragframe.plans import chat, chunk_queries, section_queries, scalar_queries, search_queries, ingest_queries, profile_queries, stream_queries  # noqa: F401
+    from ragframe.plans import chat, chunk_queries, section_queries, scalar_queries, search_queries, ingest_queries, profile_queries, stream_queries, source_queries  # noqa: F401
