@@ -20,19 +20,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragframe.functions.vectors import l2_squared
-from ragframe.operators.sizing import DEFAULT_BROADCAST_MAX_BYTES, fits_broadcast
+from ragframe.operators.partitioning import spread
+from ragframe.operators.sizing import DEFAULT_BROADCAST_MAX_BYTES, measured_rows
 
 
 def _pairs(corpus: DataFrame, questions: DataFrame, keys: list[str], salt: int,
-           broadcast_max_bytes: int) -> DataFrame:
-    if fits_broadcast(questions, 64, "qvec", broadcast_max_bytes):
-        return corpus.join(F.broadcast(questions), keys)
+           broadcast_max_bytes: int) -> tuple[DataFrame, int]:
+    """Join candidates with questions on ``keys``; returns the pairs and the
+    measured number of question rows (which bounds every later result)."""
+    n_q, dim = measured_rows(questions, "qvec")
+    if n_q * (64 + 4 * dim) <= broadcast_max_bytes:
+        return spread(corpus).join(F.broadcast(questions), keys), n_q
     # Large question side: salt the join so that one hot key (a file holding a
     # third of the corpus) spreads over ``salt`` tasks. Questions are copied
     # ``salt`` times, corpus rows are not copied.
     q = questions.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     c = corpus.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
-    return c.join(q, keys + ["_salt"]).drop("_salt")
+    return c.join(q, keys + ["_salt"]).drop("_salt"), n_q
+
+
+def _fetch(ranked: DataFrame, fields: DataFrame, n_ranked_max: int, broadcast_max_bytes: int) -> DataFrame:
+    """Attach wide output fields to the (at most ``n_ranked_max``) ranked rows
+    by id, broadcasting the ranked rows when that bound is small enough."""
+    if n_ranked_max * 40 <= broadcast_max_bytes:
+        return fields.join(F.broadcast(ranked), "id")
+    return ranked.join(fields, "id")
 
 
 def topk(corpus: DataFrame, questions: DataFrame, k: int = 10, *, key: str = "file_id",
@@ -57,7 +69,7 @@ def topk(corpus: DataFrame, questions: DataFrame, k: int = 10, *, key: str = "fi
                       F.col(vec_col).alias("vec"))
     q = questions.select(F.col(qid_col).alias("qid"), F.col(key).alias(key),
                          F.col(qvec_col).alias("qvec"))
-    pairs = _pairs(c, q, [key], salt, broadcast_max_bytes)
+    pairs, n_q = _pairs(c, q, [key], salt, broadcast_max_bytes)
     scored = pairs.select("qid", "id", l2_squared(F.col("vec"), F.col("qvec")).alias("distance"))
     w = Window.partitionBy("qid").orderBy("distance", "id")
     ranked = (scored.withColumn("rank", F.row_number().over(w))
@@ -68,11 +80,8 @@ def topk(corpus: DataFrame, questions: DataFrame, k: int = 10, *, key: str = "fi
     if not output_fields:
         return ranked
     fields = corpus.select(F.col(id_col).alias("id"), *output_fields)
-    # The ranked side has at most |questions| * k rows: measure it before
-    # deciding to broadcast it; otherwise fall back to a shuffle join.
-    if fits_broadcast(ranked, 40, None, broadcast_max_bytes):
-        return fields.join(F.broadcast(ranked), "id")
-    return ranked.join(fields, "id")
+    # at most |questions| * k ranked rows
+    return _fetch(ranked, fields, n_q * k, broadcast_max_bytes)
 
 
 def topk_single(corpus: DataFrame, vector: list[float], k: int = 10, *,
@@ -150,7 +159,7 @@ def topk_ivf(assigned: DataFrame, centroids: list[list[float]], questions: DataF
          .filter(F.col("cell").isNotNull()))
     c = assigned.select(F.col(id_col).alias("id"), *([F.col(key)] if key else []),
                         "cell", F.col(vec_col).alias("vec"))
-    pairs = _pairs(c, q, keys, salt, broadcast_max_bytes)
+    pairs, n_q = _pairs(c, q, keys, salt, broadcast_max_bytes)
     scored = pairs.select("qid", "id", l2_squared(F.col("vec"), F.col("qvec")).alias("distance"))
     wr = Window.partitionBy("qid").orderBy("distance", "id")
     ranked = (scored.withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= k)
@@ -158,9 +167,7 @@ def topk_ivf(assigned: DataFrame, centroids: list[list[float]], questions: DataF
     if not output_fields:
         return ranked
     fields = assigned.select(F.col(id_col).alias("id"), *output_fields)
-    if fits_broadcast(ranked, 40, None, broadcast_max_bytes):
-        return fields.join(F.broadcast(ranked), "id")
-    return ranked.join(fields, "id")
+    return _fetch(ranked, fields, n_q * k, broadcast_max_bytes)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
