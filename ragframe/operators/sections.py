@@ -277,6 +277,33 @@ def semantic_chunks(df: DataFrame, boundary_fn: Callable[[str], str], *, id_col:
     return spread(df.select(id_col, text_col)).mapInPandas(run, schema)
 
 
+# Our own wording of the boundary instruction.
+SECTION_INSTRUCTION = ("Each line above starts with a paragraph marker. Decide which paragraphs open "
+                       "a new section (a change of topic, not just a new paragraph). Reply with a "
+                       "Python code block that assigns the list of those markers, as strings, to "
+                       "a variable named sections.")
+
+
+def section_prompt(excerpt: Column) -> Column:
+    """Boundary prompt for one marked excerpt."""
+    return F.concat(excerpt, F.lit("\n\n" + SECTION_INSTRUCTION))
+
+
+def per_file_lines(sections: DataFrame, *, file_col: str = "doc_id",
+                   section_col: str = "section_no", content_col: str = "content") -> DataFrame:
+    """K6 rows: one line per section, ``【k†source】 content`` with the
+    per-file number k."""
+    return sections.select(file_col, section_col,
+                           F.concat(marker(F.col(section_col)), F.lit(" "), F.col(content_col)).alias("line"))
+
+
+def write_per_file(lines: DataFrame, path: str, file_col: str = "doc_id") -> None:
+    """K6 sink: one CSV folder per file (mirrors the input tree by key)."""
+    from ragframe.sources.files import CSV_OPTIONS
+    lines.select(file_col, "line").write.mode("overwrite").options(**CSV_OPTIONS) \
+        .partitionBy(file_col).csv(path)
+
+
 def rule_model(min_len: int = 60):
     """Stand-in boundary model: answers with a fenced python block listing
     the markers of first or short (heading-like) paragraphs of the excerpt."""

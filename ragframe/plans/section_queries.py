@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ragframe.functions.text import PY_SPACE_CLASS
 from ragframe.operators.sections import (MIN_SECTION_CHARS, PDF_GROUP, assemble_sections,
                                          excerpt_groups, global_markers, heading_rule,
-                                         paragraphs, rule_model, semantic_chunks)
+                                         paragraphs, per_file_lines, rule_model, semantic_chunks)
 from ragframe.plans.registry import register
 from ragframe.sources.tables import load_table
 
@@ -134,3 +134,13 @@ def q_semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided). The stand-in model applies the same rule per paragraph, so the
     result must equal the single-pass assembly."""
     return semantic_chunks(_docs(spark, sf_dir), rule_model(RULE_LEN))
+
+
+@register("per_file_sections", _sections_sql(True) + """
+SELECT doc_id, section_no, '【' || section_no || '†source】 ' || content AS line FROM sections
+""")
+def q_per_file_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: PDF-mode sections as per-file lines with per-file markers (the
+    rows a per-file CSV sink writes)."""
+    s = assemble_sections(_docs(spark, sf_dir), _rule, mode="pdf", lines_per_page=LINES_PER_PAGE)
+    return per_file_lines(s)
