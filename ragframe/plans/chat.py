@@ -100,6 +100,8 @@ def _chat_sql() -> str:
 
 @register("pipeline_chat", _chat_sql())
 def pipeline_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z2 (flagship): every vector is a question on its own file; top 10 by
+    L2, context under 10,000 tokens, grounded prompt, model answer."""
     out = chat(vector_collection(spark, sf_dir), vector_questions(spark, sf_dir))
     return out.select("qid", "file_id", "n_chunks", "ctx_tokens",
                       F.md5("system").alias("system_md5"), F.md5("user").alias("user_md5"),
