@@ -9,3 +9,18 @@ Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_with_tasks() -> None:
+    """Serialise this package's functions by value inside UDF closures, so
+    executors run them without having the package installed."""
+    try:
+        import sys
+
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # noqa: BLE001 - older cloudpickle: rely on the installed package
+        pass
+
+
+_ship_with_tasks()

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ragframe.functions.text import newline_to_space
 from ragframe.functions.tokens import WORD_PATTERN, TokenCounter, chars4, get_counter
+from ragframe.operators.partitioning import spread
 
 
 def token_bucket(tok: Column, dim: int) -> Column:
@@ -25,7 +26,7 @@ def token_bucket(tok: Column, dim: int) -> Column:
 
 def hash_buckets(df: DataFrame, keys: list[str], text_col: str, dim: int) -> DataFrame:
     """Rows ``(keys, bucket, cnt)`` for the non-zero buckets of each text."""
-    toks = (df.select(*keys, F.explode_outer(F.regexp_extract_all(
+    toks = (spread(df).select(*keys, F.explode_outer(F.regexp_extract_all(
         newline_to_space(F.col(text_col)), F.lit(WORD_PATTERN), 0)).alias("_tok"))
         .filter(F.col("_tok").isNotNull()))
     return (toks.groupBy(*keys, token_bucket(F.col("_tok"), dim).alias("bucket"))
