@@ -38,12 +38,17 @@ def to_collection_rows(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def create_if_missing(spark: SparkSession, path: str) -> None:
     """K1: an empty collection with the declared schema (idempotent)."""
-    try:
-        spark.read.parquet(path).limit(0).collect()
-    except Exception:  # noqa: BLE001 - missing collection
-        spark.createDataFrame([], COLLECTION_SCHEMA).write.mode("ignore").parquet(path)
+    if not path_exists(spark, path):
+        schema = T.StructType(COLLECTION_SCHEMA.fields + [T.StructField("file_bucket", T.IntegerType())])
+        spark.createDataFrame([], schema).write.mode("ignore").partitionBy("file_bucket").parquet(path)
 
 
 def file_bucket(file_id, n_buckets: int):
@@ -69,7 +74,12 @@ def append(df: DataFrame, path: str, *, replace_files: bool = False, n_buckets:
     files = rows.select("file_id").distinct()
     keep = (existing.join(touched, "file_bucket", "left_semi")
             .join(files, "file_id", "left_anti"))
-    merged = keep.unionByName(rows).checkpoint(eager=True)
+    # cut the lineage from the target with a staging table in the shared
+    # checkpoint folder, then overwrite only the touched bucket partitions
+    from ragframe.session import scratch_path
+    staging = scratch_path(spark, "collection-staging")
+    keep.unionByName(rows).write.partitionBy("file_bucket").parquet(staging)
+    merged = load_collection(spark, staging)
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     merged.hint("rebalance", "file_bucket").write.mode("overwrite") \
         .partitionBy("file_bucket").parquet(path)

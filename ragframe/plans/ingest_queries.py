@@ -94,7 +94,7 @@ def q_pipeline_split_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok, _rejected = conform_collection(enriched, DIM)
     path = scratch_path(spark, "collection")
     create_if_missing(spark, path)
-    append(ok.drop("status"), path, replace_files=True)
+    append(ok.drop("status"), path)
     col = load_collection(spark, path)
     return _embed_stats(col, ["file_id", "chunk_no"]).withColumn(
         "top_bucket", F.when(F.col("n_buckets") > 0, F.col("top_bucket")))
