@@ -25,10 +25,10 @@ from ragframe.operators.sizing import DEFAULT_BROADCAST_MAX_BYTES, measured_rows
 
 
 def _pairs(corpus: DataFrame, questions: DataFrame, keys: list[str], salt: int,
-           broadcast_max_bytes: int) -> tuple[DataFrame, int]:
+           broadcast_max_bytes: int, measured: tuple[int, int] | None = None) -> tuple[DataFrame, int]:
     """Join candidates with questions on ``keys``; returns the pairs and the
     measured number of question rows (which bounds every later result)."""
-    n_q, dim = measured_rows(questions, "qvec")
+    n_q, dim = measured or measured_rows(questions, "qvec")
     if n_q * (64 + 4 * dim) <= broadcast_max_bytes:
         return spread(corpus).join(F.broadcast(questions), keys), n_q
     # Large question side: salt the join so that one hot key (a file holding a
@@ -47,15 +47,65 @@ def _fetch(ranked: DataFrame, fields: DataFrame, n_ranked_max: int, broadcast_ma
     return ranked.join(fields, "id")
 
 
+def _arrow_candidates(spark, corpus: DataFrame, questions_pdf: pd.DataFrame, key: str, k: int,
+                      margin: int = 8) -> DataFrame:
+    """NumPy kernel: each task ranks its corpus rows against the broadcast
+    questions of the same key and emits at most ``k + margin`` candidates per
+    question with exact distances (summed left to right in float64, like
+    ``l2_squared``). Candidate choice uses the dot-product expansion; the
+    margin absorbs its rounding."""
+    import numpy as np
+
+    groups = {}
+    for kv, g in questions_pdf.groupby(key, sort=False):
+        qm = np.stack([np.asarray(v, dtype=np.float64) for v in g["qvec"]])
+        groups[kv] = (g["qid"].to_numpy(dtype=np.int64), qm, (qm * qm).sum(1))
+    bc = spark.sparkContext.broadcast(groups)
+    keep = k + margin
+
+    def run(batches):
+        gs = bc.value
+        for pdf in batches:
+            out_q, out_i, out_d = [], [], []
+            for kv, part in pdf.groupby(key, sort=False):
+                if kv not in gs or len(part) == 0:
+                    continue
+                qids, qm, qn = gs[kv]
+                cm = np.stack([np.asarray(v, dtype=np.float64) for v in part["vec"]])
+                ids = part["id"].to_numpy(dtype=np.int64)
+                approx = (cm * cm).sum(1)[:, None] - 2.0 * cm @ qm.T + qn[None, :]
+                n = len(ids)
+                kk = min(keep, n)
+                sel = np.argpartition(approx, kk - 1, axis=0)[:kk] if kk < n else \
+                    np.tile(np.arange(n)[:, None], (1, len(qids)))
+                for j in range(len(qids)):
+                    cand = sel[:, j]
+                    diff = cm[cand] - qm[j]
+                    exact = np.add.accumulate(diff * diff, axis=1)[:, -1]
+                    out_q.append(np.full(len(cand), qids[j], dtype=np.int64))
+                    out_i.append(ids[cand])
+                    out_d.append(exact)
+            if out_q:
+                yield pd.DataFrame({"qid": np.concatenate(out_q), "id": np.concatenate(out_i),
+                                    "distance": np.concatenate(out_d)})
+
+    return spread(corpus).mapInPandas(run, "qid long, id long, distance double")
+
+
 def topk(corpus: DataFrame, questions: DataFrame, k: int = 10, *, key: str = "file_id",
          offset: int = 0, where: Column | None = None,
          output_fields: list[str] | None = None,
          id_col: str = "id", vec_col: str = "embedding",
          qid_col: str = "qid", qvec_col: str = "embedding",
          broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
-         salt: int = 16) -> DataFrame:
+         salt: int = 16, engine: str = "auto", arrow_min_dim: int = 64) -> DataFrame:
     """Filtered exact top-k by L2 for every question.
 
+    engine: "jvm" (join + higher-order-function distance), "arrow" (NumPy
+    kernel per task against broadcast questions), or "auto" (arrow from
+    ``arrow_min_dim`` dimensions on). Both give the same distances; the
+    arrow engine never materialises question x candidate rows.
+
     corpus: rows with ``id_col``, ``key``, ``vec_col`` and output fields.
     questions: rows with ``qid_col``, ``key``, ``qvec_col``.
     where: optional predicate on the corpus, applied before ranking (pushed
@@ -69,8 +119,19 @@ def topk(corpus: DataFrame, questions: DataFrame, k: int = 10, *, key: str = "fi
                       F.col(vec_col).alias("vec"))
     q = questions.select(F.col(qid_col).alias("qid"), F.col(key).alias(key),
                          F.col(qvec_col).alias("qvec"))
-    pairs, n_q = _pairs(c, q, [key], salt, broadcast_max_bytes)
-    scored = pairs.select("qid", "id", l2_squared(F.col("vec"), F.col("qvec")).alias("distance"))
+    n_q, dim = measured_rows(q, "qvec")
+    small = n_q * (64 + 4 * dim) <= broadcast_max_bytes
+    if engine == "arrow" or (engine == "auto" and dim >= arrow_min_dim):
+        if not small:
+            engine = "jvm"
+    else:
+        engine = "jvm"
+    if engine == "arrow":
+        # the question side passed the same size gate as a broadcast join
+        scored = _arrow_candidates(corpus.sparkSession, c, q.toPandas(), key, offset + k)
+    else:
+        pairs, n_q = _pairs(c, q, [key], salt, broadcast_max_bytes, (n_q, dim))
+        scored = pairs.select("qid", "id", l2_squared(F.col("vec"), F.col("qvec")).alias("distance"))
     w = Window.partitionBy("qid").orderBy("distance", "id")
     ranked = (scored.withColumn("rank", F.row_number().over(w))
               .filter(F.col("rank") <= offset + k))

@@ -81,3 +81,13 @@ def test_null_tokens_are_quarantined(spark):
                                    "qid long, rank long, content string, num_tokens long")
     r = context_pack(ranked, spark.createDataFrame([(1,)], "qid long")).first()
     assert r.context == "b\n"
+
+
+def test_arrow_engine_equals_jvm_engine(spark):
+    e, c, q = _vecs(spark)
+    a = sorted(tuple(r) for r in topk(c, q, 10, engine="jvm").collect())
+    b = sorted(tuple(r) for r in topk(c, q, 10, engine="arrow").collect())
+    assert a == b
+    pa = sorted(tuple(r) for r in topk(c, q, 10, offset=10, engine="jvm").collect())
+    pb = sorted(tuple(r) for r in topk(c, q, 10, offset=10, engine="arrow").collect())
+    assert pa == pb
