@@ -1,20 +1,33 @@
 """Vector search: L2 distance, filtered exact top-k for a whole table of
 questions, offset pages, and an IVF approximate search.
 
-Plan shape of the exact search (per question, nearest ``k`` corpus rows with
-the same filter key):
-
-    corpus(id, key, vec)  ⋈  questions(qid, key, qvec)     broadcast when the
-        -> distance                                        measured size fits,
-        -> WindowGroupLimit(partial)                       else salted shuffle
-        -> Exchange(qid) -> WindowGroupLimit(final) -> row_number <= k
-
-Only (id, key, vector) travel through the join; wide output fields are
-fetched afterwards with a second, broadcast join on the k-row result.
+Per question, the nearest ``k`` corpus rows with the same filter key. The
+distance work runs in a NumPy kernel inside tasks, which emits at most
+``k + margin`` candidates per question and task (never question x candidate
+rows); Spark then ranks the candidates:
+
+    small question side (measured):   corpus --mapInPandas(kernel, broadcast questions)-->
+    large question side:              corpus(key, s, r) cogroup questions(key, s, r)
+                                          --applyInPandas(kernel)-->
+                                      -> WindowGroupLimit(partial) -> Exchange(qid)
+                                      -> WindowGroupLimit(final) -> row_number <= k
+
+In the large case the corpus of a key is split into ``salt`` slices and the
+questions of a key into ``r`` blocks sized to fit a task, so one key holding a
+third of the corpus spreads over ``salt x r`` groups. The kernel picks
+candidates with the dot-product expansion and re-ranks them with an exact
+left-to-right float64 sum, so distances equal ``l2_squared``'s.
+
+``engine="jvm"`` keeps the plain Spark form (equi-join + higher-order
+function distance) for comparison. Wide output fields are fetched after
+ranking by id.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,20 +36,128 @@ from ragframe.functions.vectors import l2_squared
 from ragframe.operators.partitioning import spread
 from ragframe.operators.sizing import DEFAULT_BROADCAST_MAX_BYTES, measured_rows
 
+CANDIDATE_MARGIN = 8
+_CAND_SCHEMA = "qid long, id long, distance double"
+
+
+def kernel_candidates(cm: np.ndarray, ids: np.ndarray, qm: np.ndarray, qids: np.ndarray,
+                      keep: int, q_chunk: int = 256) -> pd.DataFrame:
+    """Top ``keep`` corpus rows per question with exact distances.
+    cm: corpus vectors (n x d), qm: question vectors (m x d), float64.
+    Questions are handled ``q_chunk`` at a time, so memory stays at
+    O(n x q_chunk + keep x q_chunk x d) whatever the number of questions."""
+    n, m = len(ids), len(qids)
+    if n == 0 or m == 0:
+        return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
+                             "distance": pd.Series([], dtype="float64")})
+    kk = min(keep, n)
+    cn = (cm * cm).sum(1)[:, None]
+    out_q, out_i, out_d = [], [], []
+    for j0 in range(0, m, q_chunk):
+        qb, qi = qm[j0:j0 + q_chunk], qids[j0:j0 + q_chunk]
+        approx = cn - 2.0 * cm @ qb.T + (qb * qb).sum(1)[None, :]
+        sel = (np.argpartition(approx, kk - 1, axis=0)[:kk] if kk < n
+               else np.tile(np.arange(n)[:, None], (1, len(qi))))
+        # exact re-rank: differences summed strictly left to right in float64
+        diff = cm[sel] - qb[None, :, :]
+        exact = np.add.accumulate(diff * diff, axis=2)[:, :, -1]
+        out_q.append(np.repeat(qi[None, :], kk, axis=0).ravel(order="F"))
+        out_i.append(ids[sel].ravel(order="F"))
+        out_d.append(exact.ravel(order="F"))
+    return pd.DataFrame({"qid": np.concatenate(out_q), "id": np.concatenate(out_i),
+                         "distance": np.concatenate(out_d)})
+
+
+def _matrix(vs) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in vs])
+
+
+def _broadcast_candidates(corpus: DataFrame, questions: DataFrame, key: str, keep: int) -> DataFrame:
+    """Questions (already measured below the broadcast limit) go to every
+    task as one broadcast value; each corpus batch is ranked against the
+    questions of its keys."""
+    spark = corpus.sparkSession
+    qpdf = questions.toPandas()
+    groups = {kv: (g["qid"].to_numpy(dtype=np.int64), _matrix(g["qvec"]))
+              for kv, g in qpdf.groupby(key, sort=False)}
+    bc = spark.sparkContext.broadcast(groups)
+
+    def run(batches):
+        gs = bc.value
+        for pdf in batches:
+            outs = []
+            for kv, part in pdf.groupby(key, sort=False):
+                if kv in gs:
+                    qids, qm = gs[kv]
+                    outs.append(kernel_candidates(_matrix(part["vec"]), part["id"].to_numpy(dtype=np.int64),
+                                                  qm, qids, keep))
+            if outs:
+                yield pd.concat(outs, ignore_index=True)
+
+    return spread(corpus).mapInPandas(run, _CAND_SCHEMA)
+
+
+def _blocked_candidates(corpus: DataFrame, questions: DataFrame, key: str, keep: int,
+                        salt: int, q_blocks: int) -> DataFrame:
+    """Shuffle form for a large question side: group (key, s, r) holds corpus
+    slice s of the key and question block r of the key. The corpus is copied
+    ``q_blocks`` times and the questions ``salt`` times (a 2-D block
+    partitioning), so no group holds a whole hot key."""
+    c = (corpus.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
+         .withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
+    q = (questions.withColumn("_r", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int"))
+         .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))))
+
+    def run(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(cpdf) == 0 or len(qpdf) == 0:
+            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
+                                 "distance": pd.Series([], dtype="float64")})
+        return kernel_candidates(_matrix(cpdf["vec"]), cpdf["id"].to_numpy(dtype=np.int64),
+                                 _matrix(qpdf["qvec"]), qpdf["qid"].to_numpy(dtype=np.int64), keep)
+
+    return (c.groupBy(key, "_s", "_r").cogroup(q.groupBy(key, "_s", "_r"))
+            .applyInPandas(run, _CAND_SCHEMA))
+
+
+def _jvm_candidates(corpus: DataFrame, questions: DataFrame, key: str, small: bool,
+                    salt: int) -> DataFrame:
+    """Plain Spark form: equi-join on the key, distance by higher-order
+    functions (materialises question x candidate rows)."""
+    if small:
+        pairs = spread(corpus).join(F.broadcast(questions), key)
+    else:
+        q = questions.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        c = corpus.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
+        pairs = c.join(q, [key, "_salt"])
+    return pairs.select("qid", "id", l2_squared(F.col("vec"), F.col("qvec")).alias("distance"))
+
+
+# Largest question block one cogroup group holds in memory.
+DEFAULT_QUESTION_BLOCK_BYTES = 256 * 1024 * 1024
 
-def _pairs(corpus: DataFrame, questions: DataFrame, keys: list[str], salt: int,
-           broadcast_max_bytes: int, measured: tuple[int, int] | None = None) -> tuple[DataFrame, int]:
-    """Join candidates with questions on ``keys``; returns the pairs and the
-    measured number of question rows (which bounds every later result)."""
-    n_q, dim = measured or measured_rows(questions, "qvec")
-    if n_q * (64 + 4 * dim) <= broadcast_max_bytes:
-        return spread(corpus).join(F.broadcast(questions), keys), n_q
-    # Large question side: salt the join so that one hot key (a file holding a
-    # third of the corpus) spreads over ``salt`` tasks. Questions are copied
-    # ``salt`` times, corpus rows are not copied.
-    q = questions.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    c = corpus.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
-    return c.join(q, keys + ["_salt"]).drop("_salt"), n_q
+
+def _candidates(c: DataFrame, q: DataFrame, key: str, keep: int, engine: str, salt: int,
+                broadcast_max_bytes: int,
+                question_block_bytes: int = DEFAULT_QUESTION_BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """Candidates (qid, id, distance) from one of the engines, and the
+    measured number of questions (which bounds every later result)."""
+    n_q, dim = measured_rows(q, "qvec")
+    q_bytes = n_q * (64 + 8 * max(dim, 1))
+    small = q_bytes <= broadcast_max_bytes
+    if engine == "jvm":
+        return _jvm_candidates(c, q, key, small, salt), n_q
+    if small:
+        return _broadcast_candidates(c, q, key, keep), n_q
+    blocks = max(1, math.ceil(q_bytes / max(question_block_bytes, 1)))
+    return _blocked_candidates(c, q, key, keep, salt, blocks), n_q
+
+
+def _rank(scored: DataFrame, k: int, offset: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy("distance", "id")
+    ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= offset + k)
+    if offset:
+        ranked = ranked.filter(F.col("rank") > offset)
+    return ranked.withColumn("rank", (F.col("rank") - offset).cast("long"))
 
 
 def _fetch(ranked: DataFrame, fields: DataFrame, n_ranked_max: int, broadcast_max_bytes: int) -> DataFrame:
@@ -47,101 +168,36 @@ def _fetch(ranked: DataFrame, fields: DataFrame, n_ranked_max: int, broadcast_ma
     return ranked.join(fields, "id")
 
 
-def _arrow_candidates(spark, corpus: DataFrame, questions_pdf: pd.DataFrame, key: str, k: int,
-                      margin: int = 8) -> DataFrame:
-    """NumPy kernel: each task ranks its corpus rows against the broadcast
-    questions of the same key and emits at most ``k + margin`` candidates per
-    question with exact distances (summed left to right in float64, like
-    ``l2_squared``). Candidate choice uses the dot-product expansion; the
-    margin absorbs its rounding."""
-    import numpy as np
-
-    groups = {}
-    for kv, g in questions_pdf.groupby(key, sort=False):
-        qm = np.stack([np.asarray(v, dtype=np.float64) for v in g["qvec"]])
-        groups[kv] = (g["qid"].to_numpy(dtype=np.int64), qm, (qm * qm).sum(1))
-    bc = spark.sparkContext.broadcast(groups)
-    keep = k + margin
-
-    def run(batches):
-        gs = bc.value
-        for pdf in batches:
-            out_q, out_i, out_d = [], [], []
-            for kv, part in pdf.groupby(key, sort=False):
-                if kv not in gs or len(part) == 0:
-                    continue
-                qids, qm, qn = gs[kv]
-                cm = np.stack([np.asarray(v, dtype=np.float64) for v in part["vec"]])
-                ids = part["id"].to_numpy(dtype=np.int64)
-                approx = (cm * cm).sum(1)[:, None] - 2.0 * cm @ qm.T + qn[None, :]
-                n = len(ids)
-                kk = min(keep, n)
-                sel = np.argpartition(approx, kk - 1, axis=0)[:kk] if kk < n else \
-                    np.tile(np.arange(n)[:, None], (1, len(qids)))
-                for j in range(len(qids)):
-                    cand = sel[:, j]
-                    diff = cm[cand] - qm[j]
-                    exact = np.add.accumulate(diff * diff, axis=1)[:, -1]
-                    out_q.append(np.full(len(cand), qids[j], dtype=np.int64))
-                    out_i.append(ids[cand])
-                    out_d.append(exact)
-            if out_q:
-                yield pd.DataFrame({"qid": np.concatenate(out_q), "id": np.concatenate(out_i),
-                                    "distance": np.concatenate(out_d)})
-
-    return spread(corpus).mapInPandas(run, "qid long, id long, distance double")
-
-
 def topk(corpus: DataFrame, questions: DataFrame, k: int = 10, *, key: str = "file_id",
          offset: int = 0, where: Column | None = None,
          output_fields: list[str] | None = None,
          id_col: str = "id", vec_col: str = "embedding",
          qid_col: str = "qid", qvec_col: str = "embedding",
          broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
-         salt: int = 16, engine: str = "auto", arrow_min_dim: int = 64) -> DataFrame:
+         salt: int = 16, engine: str = "auto",
+         question_block_bytes: int = DEFAULT_QUESTION_BLOCK_BYTES) -> DataFrame:
     """Filtered exact top-k by L2 for every question.
 
-    engine: "jvm" (join + higher-order-function distance), "arrow" (NumPy
-    kernel per task against broadcast questions), or "auto" (arrow from
-    ``arrow_min_dim`` dimensions on). Both give the same distances; the
-    arrow engine never materialises question x candidate rows.
-
     corpus: rows with ``id_col``, ``key``, ``vec_col`` and output fields.
     questions: rows with ``qid_col``, ``key``, ``qvec_col``.
     where: optional predicate on the corpus, applied before ranking (pushed
     into the scan by Catalyst when it is a plain comparison).
+    engine: "auto" (NumPy kernel, broadcast or blocked by measured size) or
+    "jvm" (join + higher-order functions).
     Returns ``qid, rank (1-based), id, distance`` plus ``output_fields``.
     Ties are broken by id so the result is deterministic.
     """
     if where is not None:
         corpus = corpus.filter(where)
-    c = corpus.select(F.col(id_col).alias("id"), F.col(key).alias(key),
-                      F.col(vec_col).alias("vec"))
+    c = corpus.select(F.col(id_col).alias("id"), F.col(key).alias(key), F.col(vec_col).alias("vec"))
     q = questions.select(F.col(qid_col).alias("qid"), F.col(key).alias(key),
                          F.col(qvec_col).alias("qvec"))
-    n_q, dim = measured_rows(q, "qvec")
-    small = n_q * (64 + 4 * dim) <= broadcast_max_bytes
-    if engine == "arrow" or (engine == "auto" and dim >= arrow_min_dim):
-        if not small:
-            engine = "jvm"
-    else:
-        engine = "jvm"
-    if engine == "arrow":
-        # the question side passed the same size gate as a broadcast join
-        scored = _arrow_candidates(corpus.sparkSession, c, q.toPandas(), key, offset + k)
-    else:
-        pairs, n_q = _pairs(c, q, [key], salt, broadcast_max_bytes, (n_q, dim))
-        scored = pairs.select("qid", "id", l2_squared(F.col("vec"), F.col("qvec")).alias("distance"))
-    w = Window.partitionBy("qid").orderBy("distance", "id")
-    ranked = (scored.withColumn("rank", F.row_number().over(w))
-              .filter(F.col("rank") <= offset + k))
-    if offset:
-        ranked = ranked.filter(F.col("rank") > offset)
-    ranked = ranked.withColumn("rank", (F.col("rank") - offset).cast("long"))
+    scored, n_q = _candidates(c, q, key, offset + k + CANDIDATE_MARGIN, engine, salt,
+                              broadcast_max_bytes, question_block_bytes)
+    ranked = _rank(scored, k, offset)
     if not output_fields:
         return ranked
     fields = corpus.select(F.col(id_col).alias("id"), *output_fields)
-    # at most |questions| * k ranked rows
     return _fetch(ranked, fields, n_q * k, broadcast_max_bytes)
 
 
@@ -174,7 +230,7 @@ def build_ivf(corpus: DataFrame, n_cells: int, *, vec_col: str = "embedding",
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    feats = corpus.withColumn("_features", array_to_vector(F.col(vec_col)))
+    feats = spread(corpus).withColumn("_features", array_to_vector(F.col(vec_col)))
     train = feats if train_fraction >= 1.0 else feats.sample(fraction=train_fraction, seed=seed)
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_features",
                    predictionCol="cell").fit(train)
@@ -186,8 +242,6 @@ def build_ivf(corpus: DataFrame, n_cells: int, *, vec_col: str = "embedding",
 def nearest_cells(spark, centroids: list[list[float]], nprobe: int):
     """Arrow-batched UDF: vector -> ids of the ``nprobe`` nearest cells.
     The centroid matrix (n_cells x dim, a parameter) is a broadcast value."""
-    import numpy as np
-
     bc = spark.sparkContext.broadcast(np.asarray(centroids, dtype=np.float64))
     n = int(nprobe)
 
@@ -207,24 +261,25 @@ def topk_ivf(assigned: DataFrame, centroids: list[list[float]], questions: DataF
              k: int = 10, nprobe: int = 10, *, key: str | None = "file_id",
              output_fields=None, id_col: str = "id", vec_col: str = "embedding",
              qid_col: str = "qid", qvec_col: str = "embedding",
-             broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES, salt: int = 16) -> DataFrame:
+             broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES, salt: int = 16,
+             engine: str = "auto",
+             question_block_bytes: int = DEFAULT_QUESTION_BLOCK_BYTES) -> DataFrame:
     """Probe the ``nprobe`` nearest cells of each question and rank exactly
     inside them (candidates are the probed cells only). With ``nprobe`` equal
     to the number of cells the result equals the exact search."""
     spark = questions.sparkSession
-    keys = ["cell"] + ([key] if key else [])
     probe = nearest_cells(spark, centroids, min(nprobe, len(centroids)))
+    ckey = (F.concat_ws("|", F.col("cell").cast("string"), F.col(key)) if key
+            else F.col("cell").cast("string"))
     q = (questions.select(F.col(qid_col).alias("qid"), *([F.col(key)] if key else []),
                           F.col(qvec_col).alias("qvec"))
          .withColumn("cell", F.explode_outer(probe(F.col("qvec"))))
-         .filter(F.col("cell").isNotNull()))
-    c = assigned.select(F.col(id_col).alias("id"), *([F.col(key)] if key else []),
-                        "cell", F.col(vec_col).alias("vec"))
-    pairs, n_q = _pairs(c, q, keys, salt, broadcast_max_bytes)
-    scored = pairs.select("qid", "id", l2_squared(F.col("vec"), F.col("qvec")).alias("distance"))
-    wr = Window.partitionBy("qid").orderBy("distance", "id")
-    ranked = (scored.withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= k)
-              .withColumn("rank", F.col("rank").cast("long")))
+         .filter(F.col("cell").isNotNull())
+         .select("qid", ckey.alias("_ck"), "qvec"))
+    c = assigned.select(F.col(id_col).alias("id"), ckey.alias("_ck"), F.col(vec_col).alias("vec"))
+    scored, n_q = _candidates(c, q, "_ck", k + CANDIDATE_MARGIN, engine, salt, broadcast_max_bytes,
+                              question_block_bytes)
+    ranked = _rank(scored, k, 0)
     if not output_fields:
         return ranked
     fields = assigned.select(F.col(id_col).alias("id"), *output_fields)

@@ -34,7 +34,8 @@ def test_topk_matches_brute_force_and_salted_path(spark):
     e, c, q = _vecs(spark)
     rows = e.collect()
     exp = _brute(rows, 10)
-    for kw in ({}, {"broadcast_max_bytes": 0, "salt": 5}):
+    for kw in ({}, {"broadcast_max_bytes": 0, "salt": 5}, {"broadcast_max_bytes": 0, "salt": 3, "question_block_bytes": 200000},
+               {"engine": "jvm"}, {"engine": "jvm", "broadcast_max_bytes": 0, "salt": 5}):
         got = {}
         for r in topk(c, q, 10, **kw).collect():
             got.setdefault(r.qid, []).append((r.rank, r.id))
@@ -61,6 +62,8 @@ def test_ivf_full_probe_is_exact_and_recall_reported(spark):
     exact = topk(c, q, 10)
     full = topk_ivf(assigned, cents, q, 10, nprobe=8)
     assert sorted(exact.select("qid", "id").collect()) == sorted(full.select("qid", "id").collect())
+    blocked = topk_ivf(assigned, cents, q, 10, nprobe=8, broadcast_max_bytes=50000, salt=3)
+    assert sorted(exact.collect()) == sorted(blocked.collect())
     r = recall_at_k(topk_ivf(assigned, cents, q, 10, nprobe=2), exact).first().recall
     assert 0.2 < r <= 1.0
 
@@ -91,3 +94,16 @@ def test_arrow_engine_equals_jvm_engine(spark):
     pa = sorted(tuple(r) for r in topk(c, q, 10, offset=10, engine="jvm").collect())
     pb = sorted(tuple(r) for r in topk(c, q, 10, offset=10, engine="arrow").collect())
     assert pa == pb
+
+
+def test_kernel_chunks_questions_consistently():
+    from ragframe.operators.search import kernel_candidates
+    rng = np.random.default_rng(1)
+    cm, qm = rng.normal(size=(50, 16)), rng.normal(size=(37, 16))
+    ids, qids = np.arange(50), np.arange(100, 137)
+    a = kernel_candidates(cm, ids, qm, qids, 5, q_chunk=256).sort_values(["qid", "distance"]).to_numpy()
+    b = kernel_candidates(cm, ids, qm, qids, 5, q_chunk=4).sort_values(["qid", "distance"]).to_numpy()
+    assert (a == b).all()
+    d = ((cm[:, None, :] - qm[None, :, :]) ** 2).sum(-1)
+    best = np.sort(d, axis=0)[:5].T.ravel()
+    assert np.allclose(np.sort(a.reshape(37, 5, 3)[:, :, 2], axis=1).ravel(), best)
