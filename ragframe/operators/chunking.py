@@ -8,6 +8,8 @@ in one task, which bounds the size of a single document, not of the table.
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,38 +42,64 @@ def char_pieces(w: Column, char_limit: int) -> Column:
             .otherwise(F.array().cast("array<string>"))
 
 
-def leaves(units: Column, limit: int, word_limit: int, char_limit: int,
-           counter: TokenCounter) -> Column:
-    """Expand units into the leaves that get packed: a unit within the limit
-    is one leaf; an oversize unit becomes word pieces; an oversize word piece
-    becomes character pieces (which are never split further)."""
-    def leaf(t, n, ui, uo, wi, wo):
-        return F.struct(t.alias("t"), n.alias("n"), ui.alias("ui"), uo.alias("uo"),
-                        wi.cast("int").alias("wi"), wo.alias("wo"))
+Splitter = Callable[[Column], Column]
+
+
+def words_splitter(word_limit: int) -> Splitter:
+    return lambda t: word_pieces(t, word_limit)
+
+
+def chars_splitter(char_limit: int) -> Splitter:
+    return lambda t: char_pieces(t, char_limit)
+
+
+def default_chain(word_limit: int, char_limit: int) -> list[Splitter]:
+    """The reference's fallback chain: words, then characters."""
+    return [words_splitter(word_limit), chars_splitter(char_limit)]
+
+
+def leaves(units: Column, limit: int, counter: TokenCounter, chain: list[Splitter]) -> Column:
+    """Expand units into the leaves that get packed. A piece within the
+    limit is one leaf; an oversize piece is split by the next splitter of
+    ``chain`` (an ordered list of ``Column -> array<string>`` functions whose
+    pieces after the first carry their separator); after the last splitter a
+    piece stays whole.
+
+    Each leaf carries ``b`` / ``a``: a chunk must start before / after it.
+    That is the case for the first / last piece of a split (oversize)
+    element, and around an oversize piece the chain cannot split further:
+    every ancestor of a split piece is itself oversize, so these two local
+    flags reproduce the recursive flush-before / flush-after rule."""
+    depth = len(chain)
 
-    def for_word(w, j, i):
-        nw = counter(w)
-        return F.when(nw > limit, F.transform(
-            char_pieces(w, char_limit),
-            lambda c: leaf(c, counter(c), i, F.lit(True), j, F.lit(True)))) \
-            .otherwise(F.array(leaf(w, nw, i, F.lit(True), j, F.lit(False))))
+    def leaf(t, n, b, a):
+        return F.array(F.struct(t.alias("t"), n.alias("n"), b.alias("b"), a.alias("a")))
 
-    def for_unit(u, i):
-        nu = counter(u)
-        return F.when(nu > limit, F.flatten(F.transform(
-            word_pieces(u, word_limit), lambda w, j: for_word(w, j, i)))) \
-            .otherwise(F.array(leaf(u, nu, i, F.lit(False), F.lit(0), F.lit(False))))
+    def expand(t, level, first, last):
+        n = counter(t)
+        if level == depth:
+            over = n > limit
+            return leaf(t, n, first | over, last | over)
+        pieces = chain[level](t)
+        size = F.size(pieces)
+        # index from the front and from the back, so lambdas stay local
+        zipped = F.arrays_zip(pieces.alias("x"), F.sequence(F.lit(1), size).alias("i"),
+                              F.sequence(size, F.lit(1), F.lit(-1)).alias("r"))
+        split = F.flatten(F.transform(zipped, lambda z: expand(z["x"], level + 1, z["i"] == 1, z["r"] == 1)))
+        return F.when(n > limit, split).otherwise(leaf(t, n, first, last))
 
-    return F.flatten(F.transform(units, for_unit))
+    return F.flatten(F.transform(units, lambda u: expand(u, 0, F.lit(False), F.lit(False))))
 
 
 def pack_units(units: Column, limit: int = TOKEN_LIMIT, *, word_limit: int | None = None,
-               char_limit: int | None = None, counter: TokenCounter | str = chars4) -> Column:
-    """units -> array of chunk texts (C4 + C5)."""
+               char_limit: int | None = None, counter: TokenCounter | str = chars4,
+               chain: list[Splitter] | None = None) -> Column:
+    """units -> array of chunk texts (C4 + C5, splitter chain M2)."""
     counter = get_counter(counter)
     word_limit = limit if word_limit is None else word_limit
     char_limit = 4 * word_limit if char_limit is None else char_limit
-    return greedy_pack(leaves(units, limit, word_limit, char_limit, counter), limit)
+    chain = default_chain(word_limit, char_limit) if chain is None else chain
+    return greedy_pack(leaves(units, limit, counter, chain), limit)
 
 
 def chunk_text(text: Column, limit: int = TOKEN_LIMIT, *, pattern: str = SENTENCE_PATTERN,

@@ -13,40 +13,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Leaf struct produced by the chunker (see chunking.leaves):
-#   t  text (separator included)       n  tokens
-#   ui unit index   uo unit is oversize
-#   wi word-piece index   wo word piece is oversize
-LEAF_FIELDS = ("t", "n", "ui", "uo", "wi", "wo")
+#   t  text (separator included)   n  tokens
+#   b  a chunk must start before this leaf   a  ... after this leaf
+LEAF_FIELDS = ("t", "n", "b", "a")
 
 
 def greedy_pack(leaves: Column, limit: int) -> Column:
     """GreedyFold over leaves -> array of chunk texts.
 
     A new chunk starts when the running token count would exceed ``limit``,
-    and always around an oversize unit / word piece (its pieces are packed
-    from an empty chunk and what is left of them is flushed), which is the
-    recursive fallback of the sentence -> word -> character splitter written
-    as one left-to-right pass. The first leaf never flushes, so an empty
+    and wherever the leaves demand it (around the pieces of an oversize
+    element, which are packed from an empty chunk and whose remainder is
+    flushed). This is the recursive fallback of the splitter chain written as
+    one left-to-right pass. The first leaf never flushes, so an empty
     document gives one empty chunk."""
     init = F.struct(
         F.lit(False).alias("started"),
         F.lit(0).cast("long").alias("cur"),
-        F.lit(-1).cast("int").alias("ui"), F.lit(False).alias("uo"),
-        F.lit(-1).cast("int").alias("wi"), F.lit(False).alias("wo"),
+        F.lit(False).alias("a"),
         F.lit("").alias("acc"),
         F.array().cast("array<string>").alias("out"))
 
     def step(s, x):
-        new_unit = x["ui"] != s["ui"]
-        brk = ((s["cur"] + x["n"]) > F.lit(limit)) \
-            | (new_unit & (x["uo"] | s["uo"])) \
-            | (~new_unit & (x["wi"] != s["wi"]) & (x["wo"] | s["wo"]))
-        new = s["started"] & brk
+        new = s["started"] & (((s["cur"] + x["n"]) > F.lit(limit)) | x["b"] | s["a"])
         return F.struct(
             F.lit(True).alias("started"),
             F.when(new, x["n"]).otherwise(s["cur"] + x["n"]).alias("cur"),
-            x["ui"].alias("ui"), x["uo"].alias("uo"),
-            x["wi"].alias("wi"), x["wo"].alias("wo"),
+            x["a"].alias("a"),
             F.when(new, x["t"]).otherwise(F.concat(s["acc"], x["t"])).alias("acc"),
             F.when(new, F.array_append(s["out"], s["acc"])).otherwise(s["out"]).alias("out"))
 

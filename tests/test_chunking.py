@@ -42,24 +42,44 @@ def test_sentence_edge_rules(spark):
     assert got["\nlead"] == ["", "\nlead"]
 
 
+def _leaf(t, n, before=False, after=False):
+    return {"t": t, "n": n, "b": before, "a": after}
+
+
+LEAF_SCHEMA = "l array<struct<t:string,n:long,b:boolean,a:boolean>>"
+
+
 def test_pack_worked_example(spark):
-    # sizes [4,6,1,12,3,8] with limit 10 (chars4 of 16,24,4,48,12,32 chars), no fallback
+    # sizes [4,6,1,12,3,8] with limit 10, no fallback: ids [0,0,1,2,3,4]
     sizes = [4, 6, 1, 12, 3, 8]
-    leaves = [{"t": str(i), "n": n, "ui": i, "uo": False, "wi": 0, "wo": False}
-              for i, n in enumerate(sizes)]
-    df = spark.createDataFrame([(leaves,)],
-                               "l array<struct<t:string,n:long,ui:int,uo:boolean,wi:int,wo:boolean>>")
+    leaves = [_leaf(str(i), n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame([(leaves,)], LEAF_SCHEMA)
     got = df.select(greedy_pack(F.col("l"), 10).alias("c")).first().c
     assert got == ["01", "2", "3", "4", "5"]
     # the 12 as an oversize unit split into pieces of 10 and 2 -> the 2 is flushed alone
-    leaves2 = leaves[:3] + [{"t": "3a", "n": 10, "ui": 3, "uo": True, "wi": 0, "wo": False},
-                            {"t": "3b", "n": 2, "ui": 3, "uo": True, "wi": 1, "wo": False}] \
-        + [dict(x, ui=x["ui"] + 1) for x in leaves[4:]]
-    df2 = spark.createDataFrame([(leaves2,)], df.schema)
+    leaves2 = leaves[:3] + [_leaf("3a", 10, before=True), _leaf("3b", 2, after=True)] \
+        + [_leaf(str(i), n) for i, n in [(4, 3), (5, 8)]]
+    df2 = spark.createDataFrame([(leaves2,)], LEAF_SCHEMA)
     got2 = df2.select(greedy_pack(F.col("l"), 10).alias("c")).first().c
     assert got2 == ["01", "2", "3a", "3b", "4", "5"]
 
 
+def test_custom_splitter_chain(spark):
+    from brute import Packer, units_of
+    from ragframe.operators.chunking import chars_splitter, pack_units, words_splitter
+    from ragframe.functions.text import newline_units
+    text = "alpha beta gamma delta\n" + "w " * 30 + "\n" + "z" * 50
+    df = spark.createDataFrame([(text,)], "t string")
+    # a three-level chain: words by 4, then words by 2, then characters by 8
+    chain = [words_splitter(4), words_splitter(2), chars_splitter(8)]
+    got = df.select(pack_units(newline_units(F.col("t")), 5, chain=chain).alias("c")).first().c
+    p = Packer(5, 4, 8)
+    p.chain = [lambda t: __import__("brute").by_words(t, 4), lambda t: __import__("brute").by_words(t, 2),
+               lambda t: __import__("brute").by_chars(t, 8)]
+    import regex
+    assert got == p.chunks(units_of(text, regex.compile("\n")))
+
+
 OVERSIZE = [
     "word " * 300 + "end.",                      # oversize sentence -> word pieces
     "x" * 9000 + " tail. More text here.",       # giant word -> char pieces
