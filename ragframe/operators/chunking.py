@@ -104,16 +104,17 @@ def pack_units(units: Column, limit: int = TOKEN_LIMIT, *, word_limit: int | Non
 
 def chunk_text(text: Column, limit: int = TOKEN_LIMIT, *, pattern: str = SENTENCE_PATTERN,
                word_limit: int | None = None, char_limit: int | None = None,
-               counter: TokenCounter | str = chars4) -> Column:
+               counter: TokenCounter | str = chars4, chain: list[Splitter] | None = None) -> Column:
     """Document text -> array of chunk texts. Concatenating the chunks gives
     the text back."""
     return pack_units(split_keep(text, pattern), limit, word_limit=word_limit,
-                      char_limit=char_limit, counter=counter)
+                      char_limit=char_limit, counter=counter, chain=chain)
 
 
 def overlap_heads(chunks: Column, limit: int = TOKEN_LIMIT, *, pattern: str = SENTENCE_PATTERN,
                   overlap: float = OVERLAP_PERCENTAGE, word_limit: int | None = None,
-                  char_limit: int | None = None, counter: TokenCounter | str = chars4) -> Column:
+                  char_limit: int | None = None, counter: TokenCounter | str = chars4,
+                  chain: list[Splitter] | None = None) -> Column:
     """For each chunk, the first piece of re-splitting and re-packing it with
     limit ``int(limit * overlap)``. The word/char limits of the splitters stay
     those of the main pass (the reference binds them at definition time)."""
@@ -122,7 +123,7 @@ def overlap_heads(chunks: Column, limit: int = TOKEN_LIMIT, *, pattern: str = SE
     char_limit = 4 * word_limit if char_limit is None else char_limit
     return F.transform(chunks, lambda c: F.get(
         chunk_text(c, ov, pattern=pattern, word_limit=word_limit, char_limit=char_limit,
-                   counter=counter), 0))
+                   counter=counter, chain=chain), 0))
 
 
 def with_overlap(chunks: Column, heads: Column) -> Column:
@@ -136,7 +137,8 @@ def with_overlap(chunks: Column, heads: Column) -> Column:
 def chunk_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     limit: int = TOKEN_LIMIT, pattern: str = SENTENCE_PATTERN,
                     overlap: float | None = None, counter: TokenCounter | str = chars4,
-                    word_limit: int | None = None, char_limit: int | None = None) -> DataFrame:
+                    word_limit: int | None = None, char_limit: int | None = None,
+                    chain: list[Splitter] | None = None) -> DataFrame:
     """documents -> rows ``(id, chunk_no, chunk, n_tokens)``.
 
     With ``overlap`` set, chunk i is extended by the head of chunk i+1.
@@ -144,10 +146,11 @@ def chunk_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     counter_fn = get_counter(counter)
     base = spread(df).select(F.col(id_col), chunk_text(F.col(text_col), limit, pattern=pattern,
                                                word_limit=word_limit, char_limit=char_limit,
-                                               counter=counter_fn).alias("_chunks"))
+                                               counter=counter_fn, chain=chain).alias("_chunks"))
     if overlap:
         heads = overlap_heads(F.col("_chunks"), limit, pattern=pattern, overlap=overlap,
-                              word_limit=word_limit, char_limit=char_limit, counter=counter_fn)
+                              word_limit=word_limit, char_limit=char_limit, counter=counter_fn,
+                              chain=chain)
         base = base.select(id_col, "_chunks", heads.alias("_heads")) \
                    .select(id_col, with_overlap(F.col("_chunks"), F.col("_heads")).alias("_chunks"))
     out = base.select(id_col, F.posexplode_outer("_chunks").alias("chunk_no", "chunk"))
