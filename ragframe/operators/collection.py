@@ -38,6 +38,11 @@ def to_collection_rows(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+PARTITION_COLS = ["ingest_batch", "file_bucket"]
+STORED_SCHEMA = T.StructType(COLLECTION_SCHEMA.fields + [
+    T.StructField("ingest_batch", T.LongType()), T.StructField("file_bucket", T.IntegerType())])
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -47,49 +52,74 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def create_if_missing(spark: SparkSession, path: str) -> None:
     """K1: an empty collection with the declared schema (idempotent)."""
     if not path_exists(spark, path):
-        schema = T.StructType(COLLECTION_SCHEMA.fields + [T.StructField("file_bucket", T.IntegerType())])
-        spark.createDataFrame([], schema).write.mode("ignore").partitionBy("file_bucket").parquet(path)
+        spark.createDataFrame([], STORED_SCHEMA).write.mode("ignore") \
+            .partitionBy(*PARTITION_COLS).parquet(path)
 
 
 def file_bucket(file_id, n_buckets: int):
     return F.pmod(F.xxhash64(file_id), F.lit(n_buckets)).cast("int")
 
 
-def append(df: DataFrame, path: str, *, replace_files: bool = False, n_buckets: int = 64) -> None:
-    """K2: append rows, partitioned by a bounded ``file_bucket`` (never one
-    folder per file). ``replace_files=True`` makes a re-ingest of a file
-    replace its earlier rows: only the buckets it touches are rewritten,
-    merged with the rows of other files in them; lineage is cut with a
-    reliable checkpoint before those partitions are overwritten."""
+def new_batch_id() -> int:
+    import uuid
+    return uuid.uuid4().int >> 65          # positive 63-bit
+
+
+def _write_partitions(rows: DataFrame, path: str) -> None:
+    """Dynamic partition overwrite: only the (ingest_batch, file_bucket)
+    partitions present in ``rows`` are replaced. REBALANCE lets AQE coalesce
+    small and split skewed write partitions (few right-sized files)."""
+    rows.hint("rebalance", *PARTITION_COLS).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic") \
+        .partitionBy(*PARTITION_COLS).parquet(path)
+
+
+def append(df: DataFrame, path: str, *, batch_id: int | None = None, replace_files: bool = False,
+           n_buckets: int = 64) -> int:
+    """K2: append a batch; returns its ``ingest_batch`` id.
+
+    Storage is partitioned by (ingest_batch, file_bucket = xxhash64(file_id) %
+    n_buckets): bounded folders per batch, never one per file. Writing a batch
+    replaces exactly that batch's partitions, so retrying or replaying the same
+    ``batch_id`` (e.g. a stream epoch) never duplicates rows; a new id is an
+    append. ``replace_files=True`` also removes earlier rows of the incoming
+    files from other batches (re-ingest replaces): only partitions holding
+    those files are rewritten, through a staging table in the shared
+    checkpoint folder that cuts the lineage from the target."""
     spark = df.sparkSession
-    rows = to_collection_rows(df).withColumn("file_bucket", file_bucket(F.col("file_id"), n_buckets))
+    bid = new_batch_id() if batch_id is None else int(batch_id)
+    rows = (to_collection_rows(df).withColumn("ingest_batch", F.lit(bid).cast("long"))
+            .withColumn("file_bucket", file_bucket(F.col("file_id"), n_buckets)))
     if not replace_files:
-        # REBALANCE: AQE coalesces small and splits skewed write partitions,
-        # so each bucket folder gets few, right-sized files.
-        rows.hint("rebalance", "file_bucket").write.mode("append") \
-            .partitionBy("file_bucket").parquet(path)
-        return
+        _write_partitions(rows, path)
+        return bid
     existing = load_collection(spark, path)
-    touched = rows.select("file_bucket").distinct()
     files = rows.select("file_id").distinct()
-    keep = (existing.join(touched, "file_bucket", "left_semi")
-            .join(files, "file_id", "left_anti"))
-    # cut the lineage from the target with a staging table in the shared
-    # checkpoint folder, then overwrite only the touched bucket partitions
+    touched = (existing.join(files, "file_id", "left_semi").select(*PARTITION_COLS).distinct()
+               .filter(F.col("ingest_batch") != bid))
+    keep = existing.join(touched, PARTITION_COLS, "left_semi").join(files, "file_id", "left_anti")
     from ragframe.session import scratch_path
     staging = scratch_path(spark, "collection-staging")
-    keep.unionByName(rows).write.partitionBy("file_bucket").parquet(staging)
+    keep.unionByName(rows).write.partitionBy(*PARTITION_COLS).parquet(staging)
     merged = load_collection(spark, staging)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    merged.hint("rebalance", "file_bucket").write.mode("overwrite") \
-        .partitionBy("file_bucket").parquet(path)
+    # partitions that lost all their rows must be emptied explicitly
+    emptied = touched.join(merged.select(*PARTITION_COLS).distinct(), PARTITION_COLS, "left_anti")
+    _write_partitions(merged, path)
+    for r in emptied.collect():               # bounded: partitions, not rows
+        _drop_partition(spark, path, r["ingest_batch"], r["file_bucket"])
+    return bid
+
+
+def _drop_partition(spark: SparkSession, path: str, batch: int, bucket: int) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/ingest_batch={batch}/file_bucket={bucket}")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def load_collection(spark: SparkSession, path: str) -> DataFrame:
     """V7: the collection as a DataFrame. A filter on ``file_bucket``
     (``file_bucket(lit(id), n)``) prunes partitions for one file."""
-    return spark.read.schema(T.StructType(COLLECTION_SCHEMA.fields + [
-        T.StructField("file_bucket", T.IntegerType())])).parquet(path)
+    return spark.read.schema(STORED_SCHEMA).parquet(path)
 
 
 def columns_to_rows(batch: DataFrame, list_cols: list[str], keep: list[str] | None = None) -> DataFrame:

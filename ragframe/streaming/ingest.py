@@ -1,7 +1,7 @@
 """Incremental ingest. New document files are chunked, enriched and
 appended to a collection by a Structured Streaming query; each micro-batch
-replaces the rows of the files it carries, so a replayed batch (after a
-failure) does not duplicate anything."""
+writes its own collection partitions, so a replayed batch (after a failure)
+overwrites them instead of duplicating rows."""
 
 from __future__ import annotations
 
@@ -14,23 +14,36 @@ from ragframe.operators.embed import enrich_chunks
 from ragframe.operators.validation import conform_collection
 
 
-def ingest_batch(batch: DataFrame, collection: str, *, limit: int, pattern: str, dim: int) -> None:
+def ingest_batch(batch: DataFrame, collection: str, *, limit: int, pattern: str, dim: int,
+                 batch_id: int | None = None, replace_files: bool = False) -> None:
     ch = chunk_documents(batch, limit=limit, pattern=pattern).select(
         F.col("doc_id").cast("string").alias("file_id"), "chunk_no", F.col("chunk").alias("content"))
     enriched = enrich_chunks(ch, ["file_id", "chunk_no"], dim=dim)
     ok, _rejected = conform_collection(enriched, dim)
-    append(ok.drop("status"), collection, replace_files=True)
+    append(ok.drop("status"), collection, batch_id=batch_id, replace_files=replace_files)
+
+
+def stream_batch_base(checkpoint: str) -> int:
+    """Stable per-stream base for batch ids (same after a restart from the
+    same checkpoint), so epoch n of this stream always writes batch base + n."""
+    import zlib
+    return zlib.crc32(checkpoint.rstrip("/").encode("utf-8")) << 24
 
 
 def stream_ingest(spark: SparkSession, source: str, schema: str, collection: str, checkpoint: str, *,
-                  limit: int, pattern: str, dim: int, max_files_per_trigger: int = 1):
+                  limit: int, pattern: str, dim: int, max_files_per_trigger: int = 1,
+                  replace_files: bool = False):
     """File source -> foreachBatch(chunk -> enrich -> conform -> append),
-    processed until the input is exhausted (``availableNow``)."""
+    processed until the input is exhausted (``availableNow``). Micro-batch n
+    writes collection batch ``base + n``: a replayed epoch overwrites its own
+    partitions only (exactly-once output without rewriting the collection)."""
     create_if_missing(spark, collection)
+    base = stream_batch_base(checkpoint)
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(source))
     q = (src.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, _epoch: ingest_batch(df, collection, limit=limit, pattern=pattern, dim=dim))
+         .foreachBatch(lambda df, epoch: ingest_batch(df, collection, limit=limit, pattern=pattern, dim=dim,
+                                                      batch_id=base + epoch, replace_files=replace_files))
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q

@@ -26,15 +26,31 @@ def test_request_edges(spark):
     assert got == ["missing_question", "missing_question", "missing_user", "missing_file", "ok"]
 
 
-def test_append_is_replay_safe(spark):
+def _rows(spark):
+    return spark.createDataFrame([("a", i, f"t{i}", [0.1, 0.2]) for i in range(3)] + [("b", 0, "u", [0.3, 0.4])],
+                                 "file_id string, chunk_no long, content string, embedding array<float>")
+
+
+def test_append_same_batch_is_idempotent(spark):
+    path = scratch_path(spark, "t-coll")
+    create_if_missing(spark, path)
+    df = _rows(spark)
+    append(df, path, batch_id=7)
+    append(df, path, batch_id=7)                       # retry / replay of batch 7
+    assert load_collection(spark, path).count() == 4
+    append(df, path)                                   # a new batch is an append
+    assert load_collection(spark, path).count() == 8
+
+
+def test_replace_files_removes_earlier_rows(spark):
     path = scratch_path(spark, "t-coll")
     create_if_missing(spark, path)
-    df = spark.createDataFrame([("a", i, f"t{i}", [0.1, 0.2]) for i in range(3)] + [("b", 0, "u", [0.3, 0.4])],
-                               "file_id string, chunk_no long, content string, embedding array<float>")
-    append(df, path, replace_files=True)
-    append(df.filter(F.col("file_id") == "a"), path, replace_files=True)   # replay of file a
+    df = _rows(spark)
+    append(df, path)
+    append(df.filter(F.col("file_id") == "a").filter(F.col("chunk_no") < 2), path, replace_files=True)
     col = load_collection(spark, path)
-    assert col.count() == 4 and col.select("id").distinct().count() == 4
+    assert sorted((r.file_id, r.chunk_no) for r in col.collect()) == [("a", 0), ("a", 1), ("b", 0)]
+    assert col.select("id").distinct().count() == 3
 
 
 def test_columns_rows_round_trip(spark):
