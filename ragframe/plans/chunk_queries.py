@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragframe.functions.text import NEWLINE_PATTERN, sentence_units
-from ragframe.functions.tokens import chars4
 from ragframe.operators.chunking import (OVERLAP_PERCENTAGE, char_pieces, chunk_counts,
                                          chunk_documents, word_pieces)
 from ragframe.operators.partitioning import spread

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragframe.functions.text import (code_blocks, file_id_from_path, marker, py_strip,
+from ragframe.functions.text import (code_blocks, file_id_from_path, marker,
                                      sanitise_ascii, sanitise_unicode, section_markers,
                                      description_lines, basename)
 from ragframe.functions.tokens import WORD_PATTERN, chars4, words

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ragframe.functions.text import PY_SPACE_CLASS
 from ragframe.operators.sections import (MIN_SECTION_CHARS, PDF_GROUP, assemble_sections,
-                                         excerpt_groups, global_markers, heading_rule,
+                                         excerpt_groups, global_markers,
                                          paragraphs, per_file_lines, rule_model, semantic_chunks)
 from ragframe.plans.registry import register
 from ragframe.sources.tables import load_table
