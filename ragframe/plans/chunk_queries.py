@@ -10,7 +10,7 @@ from ragframe.operators.chunking import (OVERLAP_PERCENTAGE, char_pieces, chunk_
                                          chunk_documents, word_pieces)
 from ragframe.operators.partitioning import spread
 from ragframe.plans.registry import register
-from ragframe.plans.sqlgen import chunks_sql, fold_sql, heads_sql, leaves_sql, tok
+from ragframe.plans.sqlgen import chunks_sql, fold_sql, heads_sql, leaves_sql, sentence_units_sql, tok
 from ragframe.sources.tables import load_table
 
 # Query parameters (fixed for every run): token limit 100 with the
@@ -25,30 +25,47 @@ def _docs(spark, sf_dir):
     return load_table(spark, "documents", sf_dir).select("doc_id", "text")
 
 
-@register("chunk_documents")
+_SENT_SQL = ("WITH RECURSIVE" + leaves_sql("documents", ["doc_id"], "text", LIMIT, WORDS, CHARS, "",
+                                          units="sentence")
+             + "," + fold_sql(["doc_id"], LIMIT, "") + "," + chunks_sql(["doc_id"], ""))
+
+
+@register("chunk_documents", _SENT_SQL + f"""
+SELECT doc_id, chunk_no, chunk, {tok('chunk')} AS n_tokens FROM chunks
+""")
 def q_chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentence units -> greedy packing with fallback (Z4 without overlap).
-    The sentence splitter uses look-behind, which the SQL oracle's regex
-    engine lacks: checked against a brute-force implementation in tests."""
+    """Sentence units -> greedy packing with word/char fallback (Z4 without
+    overlap). The oracle rebuilds the look-behind splitter from per-character
+    facts (SQL engines without look-behind)."""
     return chunk_documents(_docs(spark, sf_dir), limit=LIMIT)
 
 
-@register("chunk_overlap")
+@register("chunk_overlap", _SENT_SQL + ","
+          + leaves_sql("chunks", ["doc_id", "chunk_no"], "chunk", OV_LIMIT, WORDS, CHARS, "h_",
+                       units="sentence")
+          + "," + heads_sql(["doc_id", "chunk_no"], OV_LIMIT, "h_") + f"""
+SELECT c.doc_id, c.chunk_no, c.chunk || coalesce(h.head, '') AS chunk,
+       {tok("c.chunk || coalesce(h.head, '')")} AS n_tokens
+FROM chunks c LEFT JOIN h_head h ON h.doc_id = c.doc_id AND h.chunk_no = c.chunk_no + 1
+""")
 def q_chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence chunks with 34 % forward overlap."""
     return chunk_documents(_docs(spark, sf_dir), limit=LIMIT, overlap=OVERLAP_PERCENTAGE)
 
 
-@register("sentence_units", f"""
-SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM documents
+@register("sentence_units", "WITH " + sentence_units_sql("documents", ["doc_id"], "text", "") + """
+SELECT doc_id, count(*) AS n_units, md5(string_agg(t, chr(57345) ORDER BY ui)) AS units_md5,
+       md5(string_agg(t, '' ORDER BY ui)) AS text_md5
+FROM u GROUP BY doc_id
 """)
 def q_sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C1 is lossless: the units of every document concatenate to its text."""
+    """Unit boundaries (units joined by U+E001) and lossless
+    reassembly (units concatenate to the text)."""
     d = spread(_docs(spark, sf_dir))
     u = d.select("doc_id", sentence_units(F.col("text")).alias("u"))
-    joined = F.array_join(F.col("u"), "")
-    return u.select("doc_id", F.md5(joined).alias("text_md5"),
-                    F.length(joined).cast("long").alias("n_chars"))
+    return u.select("doc_id", F.size("u").cast("long").alias("n_units"),
+                    F.md5(F.array_join(F.col("u"), "\ue001")).alias("units_md5"),
+                    F.md5(F.array_join(F.col("u"), "")).alias("text_md5"))
 
 
 @register("word_pieces", f"""
