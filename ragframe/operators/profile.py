@@ -59,17 +59,26 @@ def column_samples(df: DataFrame, table_name: str, order_by: list[str], n: int =
 
 def table_descriptions(spark: SparkSession, tables: dict[str, DataFrame],
                        catalog: DataFrame, requested: list[str] | None = None) -> DataFrame:
-    """P2 + F7 + X13 for a batch of table names: unknown table first, then
-    missing catalogue entry; a catalogue entry without a description gets the
-    default text. The catalogue is small and broadcast."""
+    """P2 + F7 + X13 for a batch of table names, with each table's column
+    and row count: unknown table first, then missing catalogue entry; a
+    catalogue entry without a description gets the default text. Row counts
+    are one aggregate per table (partial counts per task)."""
     names = requested or list(tables)
-    req = spark.createDataFrame([(t, len(tables[t].columns) if t in tables else None) for t in names],
-                                "table_name string, n_columns int")
-    j = req.join(F.broadcast(catalog.withColumn("_in", F.lit(True))), "table_name", "left")
+    known = [t for t in names if t in tables]
+    counts = union_all([tables[t].agg(F.count(F.lit(1)).alias("n_rows"))
+                        .select(F.lit(t).alias("table_name"), F.lit(len(tables[t].columns)).alias("n_columns"),
+                                "n_rows") for t in known]) if known else None
+    req = spark.createDataFrame([(t,) for t in names], "table_name string")
+    if counts is not None:
+        req = req.join(counts, "table_name", "left")
+    else:
+        req = req.withColumn("n_columns", F.lit(None).cast("int")).withColumn("n_rows", F.lit(None).cast("long"))
+    j = req.join(catalog.withColumn("_in", F.lit(True)), "table_name", "left")
     status = (F.when(F.col("n_columns").isNull(), F.lit("unknown_table"))
               .when(F.col("_in").isNull(), F.lit("not_in_catalog"))
               .otherwise(F.lit("ok")))
     return j.select("table_name", F.col("n_columns").cast("long").alias("n_columns"),
+                    F.col("n_rows").cast("long").alias("n_rows"),
                     F.when(F.col("_in").isNotNull(), F.coalesce("description", F.lit(NO_DESCRIPTION)))
                     .alias("description"), status.alias("status"))
 

@@ -175,7 +175,8 @@ def topk(corpus: DataFrame, questions: DataFrame, k: int = 10, *, key: str = "fi
          qid_col: str = "qid", qvec_col: str = "embedding",
          broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
          salt: int = 16, engine: str = "auto",
-         question_block_bytes: int = DEFAULT_QUESTION_BLOCK_BYTES) -> DataFrame:
+         question_block_bytes: int = DEFAULT_QUESTION_BLOCK_BYTES,
+         fields: DataFrame | None = None) -> DataFrame:
     """Filtered exact top-k by L2 for every question.
 
     corpus: rows with ``id_col``, ``key``, ``vec_col`` and output fields.
@@ -184,6 +185,8 @@ def topk(corpus: DataFrame, questions: DataFrame, k: int = 10, *, key: str = "fi
     into the scan by Catalyst when it is a plain comparison).
     engine: "auto" (NumPy kernel, broadcast or blocked by measured size) or
     "jvm" (join + higher-order functions).
+    fields: optional table (``id`` + ``output_fields``) to fetch output
+    fields from, when they live outside the vector table.
     Returns ``qid, rank (1-based), id, distance`` plus ``output_fields``.
     Ties are broken by id so the result is deterministic.
     """
@@ -197,8 +200,9 @@ def topk(corpus: DataFrame, questions: DataFrame, k: int = 10, *, key: str = "fi
     ranked = _rank(scored, k, offset)
     if not output_fields:
         return ranked
-    fields = corpus.select(F.col(id_col).alias("id"), *output_fields)
-    return _fetch(ranked, fields, n_q * k, broadcast_max_bytes)
+    src = fields.select("id", *output_fields) if fields is not None else \
+        corpus.select(F.col(id_col).alias("id"), *output_fields)
+    return _fetch(ranked, src, n_q * k, broadcast_max_bytes)
 
 
 def topk_single(corpus: DataFrame, vector: list[float], k: int = 10, *,

@@ -40,10 +40,13 @@ def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat(corpus: DataFrame, questions: DataFrame, *, k: int = 10, budget: int = DEFAULT_BUDGET,
-         model=echo_user) -> DataFrame:
+         model=echo_user, fields: DataFrame | None = None) -> DataFrame:
     """questions(qid, file_id, embedding, question) -> per question: chunk
-    count, context tokens, prompt and model answer."""
-    ranked = topk(corpus, questions, k, key="file_id", output_fields=["content", "num_tokens"])
+    count, context tokens, prompt and model answer. ``fields`` (id, content,
+    num_tokens) is where content is fetched from when the vector table does
+    not carry it."""
+    ranked = topk(corpus, questions, k, key="file_id", output_fields=["content", "num_tokens"],
+                  fields=fields)
     packed = context_pack(ranked, questions.select("qid"), budget=budget)
     prompts = build_prompts(packed.join(questions.select("qid", "file_id", "question"), "qid"))
     return apply_model(prompts, model, ["system", "user"], "answer")
@@ -101,8 +104,17 @@ def _chat_sql() -> str:
 @register("pipeline_chat", _chat_sql())
 def pipeline_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Z2 (flagship): every vector is a question on its own file; top 10 by
-    L2, context under 10,000 tokens, grounded prompt, model answer."""
-    out = chat(vector_collection(spark, sf_dir), vector_questions(spark, sf_dir))
+    L2, context under 10,000 tokens, grounded prompt, model answer. The search
+    reads only (id, file, vector) of vectors that have a document (a semi-join
+    on doc_id); content is fetched for the ranked ids only."""
+    emb = load_table(spark, "embeddings", sf_dir)
+    docs = load_table(spark, "documents", sf_dir)
+    vectors = (emb.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+               .select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("file_id"),
+                       "embedding"))
+    contents = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"),
+                           chars4(F.col("text")).alias("num_tokens"))
+    out = chat(vectors, vector_questions(spark, sf_dir), fields=contents)
     return out.select("qid", "file_id", "n_chunks", "ctx_tokens",
                       F.md5("system").alias("system_md5"), F.md5("user").alias("user_md5"),
                       F.md5("answer").alias("answer_md5"))

@@ -88,15 +88,18 @@ def q_column_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("table_descriptions", f"""
 WITH req AS (SELECT unnest([{', '.join(_lit(t) for t in REQUESTED)}]) AS table_name),
 cat AS (SELECT * FROM (VALUES {_catalog_values()}) v(table_name, description)),
-cols AS (SELECT table_name, count(*) AS n FROM duckdb_columns() GROUP BY table_name)
-SELECT r.table_name, CAST(c.n AS BIGINT) AS n_columns,
+cols AS (SELECT table_name, count(*) AS n FROM duckdb_columns() GROUP BY table_name),
+rows AS (""" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in PROFILED) + f""")
+SELECT r.table_name, CAST(c.n AS BIGINT) AS n_columns, CAST(rw.n_rows AS BIGINT) AS n_rows,
        CASE WHEN k.table_name IS NOT NULL THEN coalesce(k.description, '{NO_DESCRIPTION}') END AS description,
        CASE WHEN c.n IS NULL THEN 'unknown_table' WHEN k.table_name IS NULL THEN 'not_in_catalog'
             ELSE 'ok' END AS status
 FROM req r LEFT JOIN cols c ON c.table_name = r.table_name LEFT JOIN cat k ON k.table_name = r.table_name
+LEFT JOIN rows rw ON rw.table_name = r.table_name
 """)
 def q_table_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S4 + P2 + F7 + X13: catalogue lookup with default and status."""
+    """S4 + P2 + F7 + X13: catalogue lookup with default and status, plus
+    each table's column and row count."""
     tables = {t: load_table(spark, t, sf_dir) for t in PROFILED}
     return table_descriptions(spark, tables, read_catalog(spark), REQUESTED)
 
