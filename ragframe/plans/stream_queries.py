@@ -25,13 +25,14 @@ SELECT conv_id, turn, CAST(len(string_split(text, ' ')) + 1 AS BIGINT) AS n_delt
 FROM conversations
 """)
 def q_reassemble_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T1 as a streaming aggregation: answers arrive as word deltas plus a
-    closing null in files; the stream reassembles them in order."""
+    """T1 as a stateful stream: answers arrive as word deltas plus a closing
+    null in files; each message is emitted once complete and its state
+    dropped."""
     c = load_table(spark, "conversations", sf_dir)
     landing = scratch_path(spark, "deltas")
     to_deltas(c, ["conv_id", "turn"]).repartition(N_LANDING_FILES).write.parquet(landing)
     name = "reassembled_" + uuid.uuid4().hex[:8]
-    reassemble_stream(spark, landing, "conv_id long, turn long, seq long, delta string",
+    reassemble_stream(spark, landing, "conv_id long, turn long, seq long, delta string, last boolean",
                       ["conv_id", "turn"], scratch_path(spark, "ckpt-reassemble"), name)
     return spark.table(name).select("conv_id", "turn", "n_deltas", F.md5("text").alias("text_md5"))
 

@@ -1,39 +1,87 @@
-"""Reassembling streamed model answers from ordered partial strings."""
+"""Reassembling streamed model answers from ordered partial strings.
+
+Batch: one ordered concatenation per message. Stream: a custom stateful
+operator (``applyInPandasWithState``) keeps the parts of each open message,
+emits the message once its closing part and every earlier part have arrived,
+and removes its state; optionally, messages that stay incomplete past a
+timeout are evicted. State therefore holds only open messages."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ragframe.functions.text import split_keep
 
 
 def to_deltas(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """Split answers into word deltas (each carrying its leading space), then
-    a closing null delta, as a streamed completion delivers them."""
+    a closing null delta, as a streamed completion delivers them; ``last``
+    marks the closing part."""
     parts = F.array_append(split_keep(F.col(text_col), " "), F.lit(None).cast("string"))
-    return df.select(*keys, F.posexplode_outer(parts).alias("seq", "delta")) \
-             .withColumn("seq", F.col("seq").cast("long"))
+    out = df.select(*keys, F.posexplode_outer(parts).alias("seq", "delta"), F.size(parts).alias("_n"))
+    return out.select(*keys, F.col("seq").cast("long").alias("seq"), "delta",
+                      (F.col("seq") == F.col("_n") - 1).alias("last"))
 
 
 def reassemble(deltas: DataFrame, keys: list[str], seq_col: str = "seq",
                delta_col: str = "delta") -> DataFrame:
-    """Concatenate deltas in ``seq`` order, skipping nulls. Works on a batch
-    DataFrame and as a stateful streaming aggregation (complete/update)."""
+    """Concatenate deltas in ``seq`` order, skipping nulls (batch form)."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(seq_col).alias("s"), F.col(delta_col).alias("d"))))
     return deltas.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_deltas"),
         F.array_join(F.transform(parts, lambda x: x["d"]), "").alias("text"))
 
 
+def _assembler(keys: list[str], timeout_ms: int | None):
+    def step(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()                      # incomplete message evicted
+            return
+        seqs, parts, last = ([], [], -1)
+        if state.exists:
+            seqs, parts, last = list(state.get[0]), list(state.get[1]), int(state.get[2])
+        for pdf in batches:
+            seqs.extend(int(s) for s in pdf["seq"])
+            parts.extend(None if pd.isna(d) else d for d in pdf["delta"])
+            hits = pdf.loc[pdf["last"].astype(bool), "seq"]
+            if len(hits):
+                last = int(hits.max())
+        if last >= 0 and len(set(seqs)) == last + 1:
+            order = sorted(range(len(seqs)), key=lambda i: seqs[i])
+            text = "".join(parts[i] for i in order if parts[i] is not None)
+            state.remove()
+            yield pd.DataFrame([list(key) + [len(set(seqs)), text]], columns=keys + ["n_deltas", "text"])
+        else:
+            state.update((seqs, parts, last))
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
+    return step
+
+
 def reassemble_stream(spark, source_path: str, schema: str, keys: list[str], checkpoint: str,
-                      query_name: str):
-    """Run ``reassemble`` as a streaming query over a folder of delta files
-    until all available input is processed; results land in the in-memory
-    table ``query_name``. Returns the finished StreamingQuery."""
+                      query_name: str, key_types: str = "long", timeout_ms: int | None = None,
+                      available_now: bool = True):
+    """Streaming reassembly over a folder of delta files; finished messages
+    land (append mode) in the in-memory table ``query_name``.
+
+    ``timeout_ms`` evicts messages that stay incomplete that long (for a
+    continuously running stream; it makes the engine schedule clean-up
+    batches, so it is off for ``available_now`` runs, which end once the
+    input is processed). Returns the StreamingQuery (finished when
+    ``available_now``)."""
     stream = spark.readStream.schema(schema).parquet(source_path)
-    q = (reassemble(stream, keys).writeStream.outputMode("complete").format("memory")
-         .queryName(query_name).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q
+    out_schema = ", ".join(f"{k} {key_types}" for k in keys) + ", n_deltas long, text string"
+    state_schema = "seqs array<long>, parts array<string>, last long"
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    assembled = stream.groupBy(*keys).applyInPandasWithState(
+        _assembler(keys, timeout_ms), out_schema, state_schema, "append", timeout)
+    w = (assembled.writeStream.outputMode("append").format("memory").queryName(query_name)
+         .option("checkpointLocation", checkpoint))
+    if available_now:
+        q = w.trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q
+    return w.start()

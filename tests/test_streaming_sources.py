@@ -26,7 +26,7 @@ def test_stream_reassembly(spark):
     landing = scratch_path(spark, "t-deltas")
     to_deltas(c, ["conv_id", "turn"]).repartition(3).write.parquet(landing)
     name = "t_" + uuid.uuid4().hex[:6]
-    reassemble_stream(spark, landing, "conv_id long, turn long, seq long, delta string",
+    reassemble_stream(spark, landing, "conv_id long, turn long, seq long, delta string, last boolean",
                       ["conv_id", "turn"], scratch_path(spark, "t-ck"), name)
     got = {(r.conv_id, r.turn): r.text for r in spark.table(name).collect()}
     assert got == {(1, 0): "a b  c", (1, 1): "", (2, 0): "x"}
