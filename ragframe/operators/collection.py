@@ -147,3 +147,16 @@ def fold_extras(df: DataFrame, known: list[str], out_col: str = "extras") -> Dat
     for c in extra:
         kv += [F.lit(c), F.col(c).cast("string")]
     return df.select(*known, F.map_filter(F.create_map(*kv), lambda k, v: v.isNotNull()).alias(out_col))
+
+
+def search_collection(spark: SparkSession, path: str, questions: DataFrame, k: int = 10, *,
+                      n_buckets: int = 64, output_fields: list[str] | None = None, **topk_kw) -> DataFrame:
+    """V3/V5 over a stored collection: questions ``(qid, file_id, embedding)``
+    search only their own files. Only the ``file_bucket`` partitions of the
+    questions' files are read (partition pruning; the bucket list has at most
+    ``n_buckets`` values), then the exact top-k runs per question."""
+    from ragframe.operators.search import topk
+    buckets = sorted(r[0] for r in questions.select(file_bucket(F.col("file_id"), n_buckets))
+                     .distinct().collect())
+    col = load_collection(spark, path).filter(F.col("file_bucket").isin(buckets))
+    return topk(col, questions, k, key="file_id", output_fields=output_fields, **topk_kw)

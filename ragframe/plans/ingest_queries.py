@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ragframe.functions.text import sanitise_ascii
 from ragframe.functions.tokens import WORD_PATTERN
 from ragframe.functions.vectors import parse_vector, vector_to_text
-from ragframe.operators.collection import append, create_if_missing, load_collection
+from ragframe.operators.collection import append, create_if_missing, load_collection, search_collection
 from ragframe.operators.embed import enrich_chunks, hash_buckets
 from ragframe.operators.sections import assemble_sections, global_markers
 from ragframe.operators.validation import conform_collection
@@ -142,3 +142,45 @@ def q_embedded_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size(v).cast("long").alias("dim"), F.col("num_tokens").cast("long").alias("num_tokens"),
                        F.round(F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")), 6).alias("vsum"),
                        sanitise_ascii(F.col("collection")).alias("collection"))
+
+
+def _vectors_sql() -> str:
+    """Dense hashed vectors of the sections in SQL (float, like the embedder)."""
+    return f""",
+nrm AS (SELECT doc_id, section_no, sqrt(sum(cnt * cnt)) AS norm FROM bk GROUP BY ALL),
+grid AS (SELECT s.doc_id, s.section_no, b.b FROM sections s, range(0, {DIM}) b(b)),
+vec AS (SELECT g.doc_id, g.section_no,
+               list(CASE WHEN n.norm IS NULL THEN CAST(0.0 AS FLOAT)
+                         ELSE CAST(coalesce(bk.cnt, 0) / n.norm AS FLOAT) END ORDER BY g.b) AS v
+        FROM grid g LEFT JOIN bk ON bk.doc_id = g.doc_id AND bk.section_no = g.section_no AND bk.bucket = g.b
+        LEFT JOIN nrm n ON n.doc_id = g.doc_id AND n.section_no = g.section_no
+        GROUP BY g.doc_id, g.section_no)"""
+
+
+@register("collection_search", _sections_sql(False) + "," + _embed_stats_sql("sections", ["doc_id", "section_no"], "content")
+          + _vectors_sql() + f""",
+ok AS (SELECT v.* FROM vec v JOIN sections s USING (doc_id, section_no) WHERE length(s.content) <= 30000),
+pairs AS (SELECT q.doc_id * 100000 + q.section_no AS qid, c.section_no AS id,
+                 list_reduce(list_transform(range(1, {DIM} + 1),
+                     lambda i: (CAST(c.v[i] AS DOUBLE) - CAST(q.v[i] AS DOUBLE))
+                             * (CAST(c.v[i] AS DOUBLE) - CAST(q.v[i] AS DOUBLE))), lambda a, b: a + b) AS distance
+          FROM ok q JOIN ok c ON c.doc_id = q.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rnk FROM pairs)
+SELECT qid, CAST(rnk AS BIGINT) AS rank, id, round(distance, 6) AS distance FROM ranked WHERE rnk <= 3
+""")
+def q_collection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7 + V5 over a stored collection: the split-doc collection is written,
+    then every stored section asks for the 3 nearest sections of its own
+    document; only the bucket partitions of the questions' files are read."""
+    d = load_table(spark, "documents", sf_dir).select("doc_id", "text")
+    rows = assemble_sections(d, _rule).select(F.col("doc_id").cast("string").alias("file_id"),
+                                              F.col("section_no").alias("chunk_no"), "content")
+    ok, _rejected = conform_collection(enrich_chunks(rows, ["file_id", "chunk_no"], dim=DIM), DIM)
+    path = scratch_path(spark, "collection")
+    create_if_missing(spark, path)
+    append(ok.drop("status"), path)
+    stored = load_collection(spark, path)
+    qs = stored.select((F.col("file_id").cast("long") * 100000 + F.col("chunk_no")).alias("qid"),
+                       "file_id", "embedding")
+    r = search_collection(spark, path, qs, 3, id_col="chunk_no")
+    return r.select("qid", "rank", "id", F.round("distance", 6).alias("distance"))

@@ -65,3 +65,17 @@ def test_fold_extras(spark):
     df = spark.createDataFrame([(1, "x", None)], "id long, a string, b double")
     r = fold_extras(df, ["id"]).first()
     assert r.extras == {"a": "x"}
+
+
+def test_search_collection_prunes_partitions(spark):
+    from ragframe.operators.collection import search_collection
+    path = scratch_path(spark, "t-coll")
+    create_if_missing(spark, path)
+    df = spark.createDataFrame([(f"f{i}", j, f"t{i}{j}", [float(i), float(j)]) for i in range(20) for j in range(3)],
+                               "file_id string, chunk_no long, content string, embedding array<float>")
+    append(df, path, n_buckets=8)
+    qs = spark.createDataFrame([(1, "f3", [3.0, 0.2])], "qid long, file_id string, embedding array<float>")
+    r = search_collection(spark, path, qs, 2, n_buckets=8, output_fields=["content"])
+    assert [x.content for x in r.orderBy("rank").collect()] == ["t30", "t31"]
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(file_bucket" in plan
