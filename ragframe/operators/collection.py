@@ -65,13 +65,17 @@ def new_batch_id() -> int:
     return uuid.uuid4().int >> 65          # positive 63-bit
 
 
-def _write_partitions(rows: DataFrame, path: str) -> None:
+def _write_partitions(rows: DataFrame, path: str, replace: bool = True) -> None:
     """Dynamic partition overwrite: only the (ingest_batch, file_bucket)
-    partitions present in ``rows`` are replaced. REBALANCE lets AQE coalesce
-    small and split skewed write partitions (few right-sized files)."""
-    rows.hint("rebalance", *PARTITION_COLS).write.mode("overwrite") \
-        .option("partitionOverwriteMode", "dynamic") \
-        .partitionBy(*PARTITION_COLS).parquet(path)
+    partitions present in ``rows`` are replaced (``replace=False``: plain
+    append, for a batch id that cannot exist yet). REBALANCE lets AQE
+    coalesce small and split skewed write partitions (few right-sized files)."""
+    w = rows.hint("rebalance", *PARTITION_COLS).write
+    if replace:
+        w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        w = w.mode("append")
+    w.partitionBy(*PARTITION_COLS).parquet(path)
 
 
 def append(df: DataFrame, path: str, *, batch_id: int | None = None, replace_files: bool = False,
@@ -91,7 +95,8 @@ def append(df: DataFrame, path: str, *, batch_id: int | None = None, replace_fil
     rows = (to_collection_rows(df).withColumn("ingest_batch", F.lit(bid).cast("long"))
             .withColumn("file_bucket", file_bucket(F.col("file_id"), n_buckets)))
     if not replace_files:
-        _write_partitions(rows, path)
+        # a generated id is new: nothing to replace; a given id may be a replay
+        _write_partitions(rows, path, replace=batch_id is not None)
         return bid
     existing = load_collection(spark, path)
     files = rows.select("file_id").distinct()
