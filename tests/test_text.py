@@ -62,3 +62,11 @@ def test_marker_edges_match_python_parser(spark):
 def test_increasing_prefix(spark):
     got = _one(spark, strictly_increasing_prefix, [[0, 3, 2, 5], [1, 1], [], [4, 6, 9]], "array<int>")
     assert got == [[0, 3], [1], [], [4, 6, 9]]
+
+
+def test_word_pattern_separators_equal_python_isspace():
+    import regex
+    from ragframe.functions.tokens import WORD_PATTERN
+    pat = regex.compile(WORD_PATTERN)
+    sep = {c for c in range(0x10000) if not pat.fullmatch(chr(c))}
+    assert sep == {c for c in range(0x10000) if chr(c).isspace()}
