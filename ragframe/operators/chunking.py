@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ragframe.functions.text import SENTENCE_PATTERN, split_keep
 from ragframe.functions.tokens import TokenCounter, chars4, get_counter
-from ragframe.operators.folds import greedy_pack
+from ragframe.operators.folds import greedy_head, greedy_pack
 from ragframe.operators.partitioning import spread
 
 # Fixed values of the reference: token limit 1000, word limit = token limit,
@@ -121,9 +121,10 @@ def overlap_heads(chunks: Column, limit: int = TOKEN_LIMIT, *, pattern: str = SE
     ov = int(limit * overlap)
     word_limit = limit if word_limit is None else word_limit
     char_limit = 4 * word_limit if char_limit is None else char_limit
-    return F.transform(chunks, lambda c: F.get(
-        chunk_text(c, ov, pattern=pattern, word_limit=word_limit, char_limit=char_limit,
-                   counter=counter, chain=chain), 0))
+    counter = get_counter(counter)
+    chain = default_chain(word_limit, char_limit) if chain is None else chain
+    return F.transform(chunks, lambda c: greedy_head(
+        leaves(split_keep(c, pattern), ov, counter, chain), ov))
 
 
 def with_overlap(chunks: Column, heads: Column) -> Column:

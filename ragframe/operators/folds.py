@@ -48,6 +48,23 @@ def greedy_pack(leaves: Column, limit: int) -> Column:
                        .otherwise(s["out"]))
 
 
+def greedy_head(leaves: Column, limit: int) -> Column:
+    """The first chunk ``greedy_pack`` would produce, without building the
+    others: accumulation stops at the first break."""
+    init = F.struct(F.lit(False).alias("started"), F.lit(False).alias("done"),
+                    F.lit(0).cast("long").alias("cur"), F.lit(False).alias("a"), F.lit("").alias("acc"))
+
+    def step(s, x):
+        brk = s["started"] & (((s["cur"] + x["n"]) > F.lit(limit)) | x["b"] | s["a"])
+        stop = s["done"] | brk
+        return F.struct(
+            F.lit(True).alias("started"), stop.alias("done"),
+            (s["cur"] + x["n"]).alias("cur"), x["a"].alias("a"),
+            F.when(stop, s["acc"]).otherwise(F.concat(s["acc"], x["t"])).alias("acc"))
+
+    return F.aggregate(leaves, init, step, lambda s: s["acc"])
+
+
 def min_size_sections(paras: Column, min_chars: int = 128) -> Column:
     """MinSizeFold over paragraphs ``struct<len, start, ...>`` -> section id
     per paragraph: at a section start, the pending text is emitted when its
