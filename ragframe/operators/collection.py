@@ -165,3 +165,26 @@ def search_collection(spark: SparkSession, path: str, questions: DataFrame, k: i
                      .distinct().collect())
     col = load_collection(spark, path).filter(F.col("file_bucket").isin(buckets))
     return topk(col, questions, k, key="file_id", output_fields=output_fields, **topk_kw)
+
+
+REGISTRY_SCHEMA = "file_uuid string, filename string, storage_path string"
+
+
+def append_registry(rows: DataFrame, path: str, n_buckets: int = 16) -> None:
+    """K7: append accepted uploads ``(file_uuid, filename, storage_path)``.
+    Ids are content hashes, so rows whose ``file_uuid`` is already registered
+    are skipped (a re-upload or a replayed batch adds nothing). Partitioned by
+    a bounded hash bucket; the anti-join reads only the buckets being written."""
+    spark = rows.sparkSession
+    new = (rows.select("file_uuid", "filename", "storage_path").dropDuplicates(["file_uuid"])
+           .withColumn("uuid_bucket", file_bucket(F.col("file_uuid"), n_buckets)))
+    if path_exists(spark, path):
+        buckets = sorted(r[0] for r in new.select("uuid_bucket").distinct().collect())  # <= n_buckets
+        old = (spark.read.schema(REGISTRY_SCHEMA + ", uuid_bucket int").parquet(path)
+               .filter(F.col("uuid_bucket").isin(buckets)).select("file_uuid"))
+        new = new.join(old, "file_uuid", "left_anti")
+    new.write.mode("append").partitionBy("uuid_bucket").parquet(path)
+
+
+def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(REGISTRY_SCHEMA + ", uuid_bucket int").parquet(path).drop("uuid_bucket")

@@ -79,3 +79,16 @@ def test_search_collection_prunes_partitions(spark):
     assert [x.content for x in r.orderBy("rank").collect()] == ["t30", "t31"]
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(file_bucket" in plan
+
+
+def test_upload_registry_append_is_replay_safe(spark):
+    from ragframe.operators.collection import append_registry, load_registry
+    path = scratch_path(spark, "t-registry")
+    rows = spark.createDataFrame([("u1", "a.docx", "wordDoc/u1.docx"), ("u2", "b.docx", "wordDoc/u2.docx")],
+                                 "file_uuid string, filename string, storage_path string")
+    append_registry(rows, path)
+    append_registry(rows, path)                         # replay
+    more = spark.createDataFrame([("u3", "c.docx", "wordDoc/u3.docx"), ("u1", "a.docx", "wordDoc/u1.docx")],
+                                 rows.schema)
+    append_registry(more, path)
+    assert sorted(r.file_uuid for r in load_registry(spark, path).collect()) == ["u1", "u2", "u3"]
