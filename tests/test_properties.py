@@ -64,3 +64,22 @@ def test_random_sections_like_the_model(spark):
     for d, exp in expect.items():
         want = exp if len(exp) == 1 else exp[:-2] + [exp[-2] + "\n" + exp[-1]]
         assert [pdf[d][k] for k in sorted(pdf[d])] == want
+
+
+def test_sections_partition_the_kept_paragraphs(spark):
+    from conftest import SF01
+    from ragframe.operators.sections import heading_rule, paragraphs
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
+    paras = {}
+    for r in paragraphs(docs).collect():
+        paras.setdefault(r.doc_id, {})[r.marker_no] = r.text
+    for mode in ("word", "pdf"):
+        secs = {}
+        for r in assemble_sections(docs, heading_rule, mode=mode, lines_per_page=10).collect():
+            secs.setdefault(r.doc_id, {})[r.section_no] = (r.content, r.first_marker, r.n_paras)
+        for d, ps in paras.items():
+            ordered = [secs[d][k] for k in sorted(secs[d])]
+            assert "\n".join(c for c, _, _ in ordered) == "\n".join(ps[m] for m in sorted(ps))
+            assert sum(n for _, _, n in ordered) == len(ps)
+            firsts = [f for _, f, _ in ordered]
+            assert firsts == sorted(firsts) and firsts[0] == 0
