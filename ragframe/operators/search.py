@@ -2,9 +2,9 @@
 questions, offset pages, and an IVF approximate search.
 
 Per question, the nearest ``k`` corpus rows with the same filter key. The
-distance work runs in a NumPy kernel inside tasks, which emits at most
-``k + margin`` candidates per question and task (never question x candidate
-rows); Spark then ranks the candidates:
+distance work runs in a NumPy kernel inside tasks, which emits at most ``k``
+candidates per question and task (never question x candidate rows); Spark
+then ranks the candidates:
 
     small question side (measured):   corpus --mapInPandas(kernel, broadcast questions)-->
     large question side:              corpus(key, s, r) cogroup questions(key, s, r)
@@ -15,8 +15,9 @@ rows); Spark then ranks the candidates:
 In the large case the corpus of a key is split into ``salt`` slices and the
 questions of a key into ``r`` blocks sized to fit a task, so one key holding a
 third of the corpus spreads over ``salt x r`` groups. The kernel picks
-candidates with the dot-product expansion and re-ranks them with an exact
-left-to-right float64 sum, so distances equal ``l2_squared``'s.
+candidates with the dot-product expansion (tie- and rounding-aware) and
+re-ranks them with an exact left-to-right float64 sum, so distances and the
+(distance, id) order equal those of ``l2_squared``.
 
 ``engine="jvm"`` keeps the plain Spark form (equi-join + higher-order
 function distance) for comparison. Wide output fields are fetched after
@@ -36,34 +37,42 @@ from ragframe.functions.vectors import l2_squared
 from ragframe.operators.partitioning import spread
 from ragframe.operators.sizing import DEFAULT_BROADCAST_MAX_BYTES, measured_rows
 
-CANDIDATE_MARGIN = 8
+CANDIDATE_MARGIN = 0   # the kernel's tolerance-based selection is exact
 _CAND_SCHEMA = "qid long, id long, distance double"
 
 
 def kernel_candidates(cm: np.ndarray, ids: np.ndarray, qm: np.ndarray, qids: np.ndarray,
                       keep: int, q_chunk: int = 256) -> pd.DataFrame:
-    """Top ``keep`` corpus rows per question with exact distances.
+    """Top ``keep`` corpus rows per question by (exact distance, id).
+
     cm: corpus vectors (n x d), qm: question vectors (m x d), float64.
-    Questions are handled ``q_chunk`` at a time, so memory stays at
-    O(n x q_chunk + keep x q_chunk x d) whatever the number of questions."""
+    The dot-product expansion gives approximate distances for all pairs of a
+    chunk of questions; for each question every row within a small tolerance
+    of the keep-th approximate distance is a candidate (so ties and rounding
+    never drop a row the exact order would keep), candidates are re-ranked
+    with the exact left-to-right float64 sum, and ties go to the smaller id.
+    Memory stays at O(n x q_chunk) plus the candidates."""
     n, m = len(ids), len(qids)
     if n == 0 or m == 0:
         return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
                              "distance": pd.Series([], dtype="float64")})
     kk = min(keep, n)
-    cn = (cm * cm).sum(1)[:, None]
+    cn = (cm * cm).sum(1)
     out_q, out_i, out_d = [], [], []
     for j0 in range(0, m, q_chunk):
         qb, qi = qm[j0:j0 + q_chunk], qids[j0:j0 + q_chunk]
-        approx = cn - 2.0 * cm @ qb.T + (qb * qb).sum(1)[None, :]
-        sel = (np.argpartition(approx, kk - 1, axis=0)[:kk] if kk < n
-               else np.tile(np.arange(n)[:, None], (1, len(qi))))
-        # exact re-rank: differences summed strictly left to right in float64
-        diff = cm[sel] - qb[None, :, :]
-        exact = np.add.accumulate(diff * diff, axis=2)[:, :, -1]
-        out_q.append(np.repeat(qi[None, :], kk, axis=0).ravel(order="F"))
-        out_i.append(ids[sel].ravel(order="F"))
-        out_d.append(exact.ravel(order="F"))
+        qn = (qb * qb).sum(1)
+        approx = cn[:, None] - 2.0 * cm @ qb.T + qn[None, :]
+        thr = np.partition(approx, kk - 1, axis=0)[kk - 1] if kk < n else approx.max(axis=0)
+        tol = 1e-9 * (1.0 + np.abs(thr) + cn.max() + qn)
+        for j in range(len(qi)):
+            cand = np.flatnonzero(approx[:, j] <= thr[j] + tol[j])
+            diff = cm[cand] - qb[j]
+            exact = np.add.accumulate(diff * diff, axis=1)[:, -1]
+            best = np.lexsort((ids[cand], exact))[:kk]
+            out_q.append(np.full(len(best), qi[j], dtype=np.int64))
+            out_i.append(ids[cand][best])
+            out_d.append(exact[best])
     return pd.DataFrame({"qid": np.concatenate(out_q), "id": np.concatenate(out_i),
                          "distance": np.concatenate(out_d)})
 

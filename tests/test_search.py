@@ -103,7 +103,18 @@ def test_kernel_chunks_questions_consistently():
     ids, qids = np.arange(50), np.arange(100, 137)
     a = kernel_candidates(cm, ids, qm, qids, 5, q_chunk=256).sort_values(["qid", "distance"]).to_numpy()
     b = kernel_candidates(cm, ids, qm, qids, 5, q_chunk=4).sort_values(["qid", "distance"]).to_numpy()
+    assert len(a) == 37 * 5
     assert (a == b).all()
     d = ((cm[:, None, :] - qm[None, :, :]) ** 2).sum(-1)
     best = np.sort(d, axis=0)[:5].T.ravel()
     assert np.allclose(np.sort(a.reshape(37, 5, 3)[:, :, 2], axis=1).ravel(), best)
+
+
+def test_ties_resolved_by_id_like_the_jvm_engine(spark):
+    rows = [(i, "f", [1.0, 2.0, 3.0]) for i in range(60, 0, -1)] + [(100, "f", [5.0, 5.0, 5.0])]
+    c = spark.createDataFrame(rows, "id long, file_id string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(1, "f", [1.0, 2.0, 3.0])], "qid long, file_id string, embedding array<float>")
+    a = [r.id for r in topk(c, q, 10, engine="jvm").orderBy("rank").collect()]
+    b = [r.id for r in topk(c, q, 10).orderBy("rank").collect()]
+    blocked = [r.id for r in topk(c, q, 10, broadcast_max_bytes=0, salt=2).orderBy("rank").collect()]
+    assert a == b == blocked == list(range(1, 11))
