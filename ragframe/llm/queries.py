@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ragframe.llm import chat, licenses, sql
+from ragframe.llm import bpe, chat, licenses, sql
 from ragframe.llm.common import table
 
 QUERIES: dict = {}
@@ -28,3 +28,15 @@ def op1_license_scan(spark, sf_dir):
 def op10_chat_perspectives(spark, sf_dir):
     """Every conversation rendered from each participant's perspective, with its mask."""
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+def tokenizer_path() -> str:
+    """The word-end BPE vocabulary of the installed tokenizer files."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_bpe_round_trip")
+def op3_bpe_round_trip(spark, sf_dir):
+    """Every document encoded by a pair occurrence index, and decoded again."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
