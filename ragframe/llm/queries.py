@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ragframe.llm import bpe, chat, licenses, sql
+from ragframe.llm import bpe, chat, langid, licenses, sql, toxicity
 from ragframe.llm.common import table
 
 QUERIES: dict = {}
@@ -40,3 +40,15 @@ def tokenizer_path() -> str:
 def op3_bpe_round_trip(spark, sf_dir):
     """Every document encoded by a pair occurrence index, and decoded again."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, sf_dir):
+    """Toxicity of every document: noisy-or of sentence scores, learnt from document labels."""
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark, sf_dir):
+    """Language of every document by words, then by shorter and shorter n-grams."""
+    return langid.predictions(table(spark, sf_dir, "documents"))
