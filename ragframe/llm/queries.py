@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ragframe.llm import bpe, chat, langid, licenses, sql, toxicity
+from ragframe.llm import bpe, chat, langid, licenses, minhash, sql, toxicity
 from ragframe.llm.common import table
 
 QUERIES: dict = {}
@@ -52,3 +52,9 @@ def op4_toxicity(spark, sf_dir):
 def op8_language_id(spark, sf_dir):
     """Language of every document by words, then by shorter and shorter n-grams."""
     return langid.predictions(table(spark, sf_dir, "documents"))
+
+
+@query("op6_minhash_near_dedup")
+def op6_minhash_near_dedup(spark, sf_dir):
+    """Groups of near copies among all documents: 3-word shingles, similarity 0.85 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
