@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ragframe.llm import bpe, chat, langid, licenses, minhash, sql, toxicity
+from ragframe.llm import bpe, chat, langid, licenses, minhash, sql, toxicity, vectors
 from ragframe.llm.common import table
 
 QUERIES: dict = {}
@@ -58,3 +58,9 @@ def op8_language_id(spark, sf_dir):
 def op6_minhash_near_dedup(spark, sf_dir):
     """Groups of near copies among all documents: 3-word shingles, similarity 0.85 or more."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+@query("op5_vector_near_dedup")
+def op5_vector_near_dedup(spark, sf_dir):
+    """Links, components and kept rows of all vectors at cosine 0.95 or more, by spherical-cap filters."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
