@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragframe.llm.buckets import bucket_members, pairs_across, star_pairs
 from ragframe.llm.common import id_and_text, semi_join_measured, written
 from ragframe.llm.components import connected_components
 
 BANDS, ROWS = 28, 6          # a pair of similarity 0.85 shares no band with probability 2e-6, of 0.8 2e-4
 SEED = 20_240_607
 SIGNATURE_SLACK = 0.15       # an estimate this far below the threshold (5 standard errors) ends a pair
-BLOCK = 512                  # rows of a bucket compared with as many others in one task
 
 
 def word_list(text: str) -> list[bytes]:
@@ -142,40 +142,6 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, name: str)
                    f"{name}-links")
 
 
-def across_components(members: DataFrame, reps: DataFrame, components: DataFrame, floor: float) -> DataFrame:
-    """Pairs of members of one bucket that are in different components and whose
-    signatures agree. A bucket of n rows is dealt into n / BLOCK blocks and each
-    pair of blocks is one group, so a group is bounded whatever the bucket."""
-    m = (members.join(components.withColumnRenamed("node", "rep"), "rep", "left")
-         .withColumn("component", F.coalesce("component", "rep")))
-    # in a bucket of two, the one pair was compared in the star
-    open_ = (m.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
-             .where((F.col("n") > 2) & (F.col("x") != F.col("y")))
-             .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    m = (m.join(open_, "key").join(reps.select("rep", "sig"), "rep")
-         .withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    groups = (m.groupBy("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-              .agg(F.collect_list(F.struct("side", "rep", "component", "sig")).alias("rows")))
-
-    def compare(batches):
-        for batch in batches:
-            for i, j, rows in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(),
-                                  batch.column("rows").to_pylist(), strict=True):
-                left = [r for r in rows if r["side"] == i]
-                right = left if i == j else [r for r in rows if r["side"] == j]
-                if not left or not right:
-                    continue
-                a, b = (np.array([r["rep"] for r in side]) for side in (left, right))
-                ca, cb = (np.array([r["component"] for r in side]) for side in (left, right))
-                good = (_agreement(_signatures(r["sig"] for r in left), _signatures(r["sig"] for r in right)) >= floor)
-                x, y = np.nonzero(good & (ca[:, None] != cb[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[x], b[y])), pa.array(np.maximum(a[x], b[y]))],
-                                                 names=["a", "b"])
-
-    return groups.select("i", "j", "rows").mapInArrow(compare, "a long, b long").distinct()
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                     percent: int = 80) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept.
@@ -192,14 +158,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = sketched.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     reps = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"),
                                               F.first("bands").alias("bands")), "reps")
-    keyed = reps.select("rep", F.explode("bands").alias("key")).distinct()
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
-    members = written(keyed.join(shared, "key").select("key", "rep", "least"), "members")
+    members = bucket_members(reps.select(F.col("rep").alias("node"), F.explode("bands").alias("key")), "minhash")
     one = reps.groupBy("rep").agg(F.min(F.struct("digest", "sig")).alias("first")).select("rep", "first.sig")
-    star = members.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(agreeing(star, one, floor), d, k, percent, "star")
-    components = connected_components(links)
-    rest = across_components(members.select("key", "rep"), one, components, floor)
+    links = verified(agreeing(star_pairs(members), one, floor), d, k, percent, "star")
+    rest = pairs_across(members, one.select(F.col("rep").alias("node"), F.col("sig").alias("payload")),
+                        connected_components(links),
+                        lambda x, y: _agreement(_signatures(x), _signatures(y)) >= floor)
     more = verified(rest, d, k, percent, "rest")
     components = connected_components(links.unionByName(more))
     named = (reps.select("digest", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ragframe.llm import bpe, chat, langid, licenses, minhash, sql, toxicity, vectors
+from ragframe.llm import bpe, chat, langid, licenses, lines, minhash, sql, toxicity, vectors
 from ragframe.llm.common import table
 
 QUERIES: dict = {}
@@ -64,3 +64,9 @@ def op6_minhash_near_dedup(spark, sf_dir):
 def op5_vector_near_dedup(spark, sf_dir):
     """Links, components and kept rows of all vectors at cosine 0.95 or more, by spherical-cap filters."""
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark, sf_dir):
+    """Every document without the lines that are fuzzy copies of an earlier one."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).drop("row")
