@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ragframe.llm import bpe, chat, langid, licenses, lines, minhash, sql, toxicity, vectors
+from ragframe.llm import bpe, chat, decontam, langid, licenses, lines, minhash, sql, substrings, toxicity, vectors
 from ragframe.llm.common import table
 
 QUERIES: dict = {}
@@ -70,3 +70,15 @@ def op5_vector_near_dedup(spark, sf_dir):
 def op9_line_dedup(spark, sf_dir):
     """Every document without the lines that are fuzzy copies of an earlier one."""
     return lines.dedup_lines(table(spark, sf_dir, "documents")).drop("row")
+
+
+@query("op7_benchmark_decontamination")
+def op7_benchmark_decontamination(spark, sf_dir):
+    """Benchmark items that documents hold, with their windows."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark, sf_dir):
+    """Passages that documents share, by content-defined chunks."""
+    return substrings.repeated_spans(table(spark, sf_dir, "documents"))
