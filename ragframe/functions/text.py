@@ -1,5 +1,5 @@
-"""String building blocks (Column -> Column). All run JVM-side inside
-whole-stage codegen; none needs Python."""
+"""String building blocks (Column -> Column). All run in the JVM; none needs
+Python. Those with lambda functions are interpreted, the others generated code."""
 
 from __future__ import annotations
 
@@ -31,8 +31,15 @@ CODE_BLOCK_PATTERN = CODE_BLOCK_PATTERN_REF
 # Written out so the same class works in Java regex and in RE2 (DuckDB).
 PY_SPACE_CLASS = r"[\t\n\x0b\x0c\r\x1c-\x1f\x85\p{Z}]"
 
-# Private-use sentinel inserted in front of every separator before a split.
+# Private-use character put in front of every separator before a split. Where
+# a text has it, it is escaped by others of the same class, which no pattern
+# tells apart from it, and comes back in the units.
 SENTINEL = "\ue000"
+_ESCAPE, _ESCAPED_ESCAPE, _ESCAPED_SENTINEL = "\ue001", "\ue001\ue002", "\ue001\ue003"
+
+
+def _replace(c: Column, old: str, new: str) -> Column:
+    return F.replace(c, F.lit(old), F.lit(new))
 
 
 def py_strip(c: Column) -> Column:
@@ -48,7 +55,9 @@ def split_keep(text: Column, pattern: str) -> Column:
     """Lossless split: array of units where unit i>0 starts with the separator
     that preceded it, so ``array_join(units, '')`` gives the text back.
     Empty text gives ``['']``; a leading separator gives a first unit ``''``."""
-    return F.split(F.regexp_replace(text, pattern, SENTINEL + "$0"), SENTINEL, -1)
+    escaped = _replace(_replace(text, _ESCAPE, _ESCAPED_ESCAPE), SENTINEL, _ESCAPED_SENTINEL)
+    units = F.split(F.regexp_replace(escaped, pattern, SENTINEL + "$0"), SENTINEL, -1)
+    return F.transform(units, lambda u: _replace(_replace(u, _ESCAPED_SENTINEL, SENTINEL), _ESCAPED_ESCAPE, _ESCAPE))
 
 
 def sentence_units(text: Column) -> Column:

@@ -12,10 +12,12 @@ from __future__ import annotations
 import re
 from typing import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.functions.text import IMAGE_PREFIX, marker, py_strip
+from ragframe.functions.text import (CODE_BLOCK_PATTERN_REF, IMAGE_PREFIX, MARKER_CLOSE, MARKER_OPEN, marker,
+                                     py_strip)
 from ragframe.operators.numbering import global_offsets
 from ragframe.operators.partitioning import spread
 
@@ -166,81 +168,62 @@ def global_markers(sections: DataFrame, *, id_col: str = "doc_id",
 # Model-driven boundaries with carry-over, one document per call.
 # ---------------------------------------------------------------------------
 
-_CODE = re.compile(r"``` ?[Pp]ython\n(?:(?!```)[\S\s])+\n```")
-_MARK = re.compile(r"【(\d+)†source】")
-
-
-def parse_section_answer(answer: str | None):
-    """Python twin of functions.text.section_markers for use inside tasks."""
-    if answer is None:
-        return None
-    found = None
-    for block in _CODE.findall(answer):
-        b = block.strip("` \n")
-        if b.lower().startswith("python"):
-            b = b[6:].lstrip()
-        if b.startswith("sections"):
-            found = [int(x) for x in _MARK.findall(b)]
-    return found
-
-
-def _increasing_prefix(ms):
-    out = []
-    for m in ms:
-        if out and m <= out[-1]:
-            break
-        out.append(m)
-    return out
-
-
-def sections_state_machine(paras, boundary_fn, group_size, min_chars, pdf, max_retries=2):
-    """paras: list of (marker_no, text, page). Returns list of
-    (content, first_marker, n_paras, page). Sequential within one document."""
-    out, pending, g = [], [], group_size
-    for i, p in enumerate(paras):
-        pending.append(p)
-        if len(pending) < g and i != len(paras) - 1:
-            continue
-        excerpt = "\n".join(f"【{m}†source】 {t}" for m, t, _ in pending)
-        starts = None
-        for _ in range(max_retries + 1):
-            starts = parse_section_answer(boundary_fn(excerpt))
-            if starts is not None:
-                break
-        if not starts:
-            g += group_size // 2
-            continue
-        present = [m for m, _, _ in pending]
-        order = {m: k for k, m in enumerate(present)}
-        seq = []
-        for m in _increasing_prefix(starts):
-            if m not in order or (seq and order[m] <= order[seq[-1]]):
-                break
-            seq.append(m)
-        emitted_upto, acc, cur_from = 0, 0, 0
-        targets = iter(seq)
-        nxt = next(targets, None)
-        for k, (m, t, _) in enumerate(pending):
-            if nxt is None:
-                break
-            if m == nxt:
-                if k > cur_from and acc > min_chars:
-                    chunk = pending[cur_from:k]
-                    out.append(("\n".join(x[1] for x in chunk), chunk[0][0], len(chunk), chunk[0][2]))
-                    cur_from, acc, emitted_upto = k, 0, k
-                nxt = next(targets, None)
-            acc += len(t)
-        if emitted_upto == 0:
-            g += group_size // 2
-        pending = pending[emitted_upto:]
-    if pending:
-        content = "\n".join(x[1] for x in pending)
-        if pdf and out:
-            c, f, n, pg = out[-1]
-            out[-1] = (c + "\n" + content, f, n + len(pending), pg)
-        else:
-            out.append((content, pending[0][0], len(pending), pending[0][2]))
-    return out
+def listed_markers(answer: str | None) -> list[int] | None:
+    """Markers of the last fenced block that assigns ``sections``; None without
+    one. For use inside tasks, where ``functions.text.section_markers`` can't run."""
+    bodies = (re.sub(r"(?i)\Apython\s*", "", m.group().strip("` \n"))
+              for m in re.finditer(CODE_BLOCK_PATTERN_REF, answer or ""))
+    lists = [b for b in bodies if b.startswith("sections")]
+    mark = re.escape(MARKER_OPEN) + r"(\d+)" + re.escape(MARKER_CLOSE)
+    return [int(n) for n in re.findall(mark, lists[-1])] if lists else None
+
+
+def leading_starts(markers: list[int], first: int, n: int) -> np.ndarray:
+    """Positions, among the ``n`` paragraphs from marker ``first`` on, of the
+    leading run of markers that are known and increase."""
+    at = np.asarray(markers, dtype=np.int64) - first
+    good = (at >= 0) & (at < n) & (np.diff(at, prepend=-1) > 0)
+    return at[:len(at) if good.all() else int(good.argmin())]
+
+
+def section_cuts(lengths: np.ndarray, starts: np.ndarray, min_chars: int) -> list[int]:
+    """The starts at which more than ``min_chars`` characters lie since the cut before."""
+    before = np.concatenate([[0], np.cumsum(lengths)])
+    cuts = [0]
+    while True:
+        far = starts[(starts > cuts[-1]) & (before[starts] - before[cuts[-1]] > min_chars)]
+        if not len(far):
+            return cuts[1:]
+        cuts.append(int(far[0]))
+
+
+def cut_by_model(texts: list[str], boundary_fn, group_size: int, min_chars: int, max_retries: int = 2) -> list[int]:
+    """Paragraph numbers at which sections begin, asked of the model excerpt by
+    excerpt. An excerpt begins at the last cut, so undecided paragraphs are
+    seen again; an excerpt that gives no cut makes those after it longer."""
+    cuts, size, n = [0], group_size, len(texts)
+    lengths = np.array([len(t) for t in texts])
+    end = 0
+    while end < n:
+        begin, end = cuts[-1], min(cuts[-1] + size, n)
+        excerpt = "\n".join(f"{MARKER_OPEN}{begin + i}{MARKER_CLOSE} {t}" for i, t in enumerate(texts[begin:end]))
+        answers = (listed_markers(boundary_fn(excerpt)) for _ in range(max_retries + 1))
+        listed = next((a for a in answers if a is not None), [])
+        new = section_cuts(lengths[begin:end], leading_starts(listed, begin, end - begin), min_chars)
+        cuts += [begin + c for c in new]
+        if not new:
+            size += group_size // 2
+    return cuts
+
+
+def sections_by_model(paras, boundary_fn, group_size, min_chars, pdf):
+    """paras: list of (text, page). (content, first paragraph, number of
+    paragraphs, page) of each section; in PDF mode the tail joins the one before."""
+    cuts = cut_by_model([t for t, _ in paras], boundary_fn, group_size, min_chars) if paras else []
+    if pdf and len(cuts) > 1:
+        cuts.pop()
+    return [("\n".join(t for t, _ in paras[a:b]), a, b - a, paras[a][1])
+            for a, b in zip(cuts, [*cuts[1:], len(paras)], strict=True)]
 
 
 def semantic_chunks(df: DataFrame, boundary_fn: Callable[[str], str], *, id_col: str = "doc_id",
@@ -267,8 +250,8 @@ def semantic_chunks(df: DataFrame, boundary_fn: Callable[[str], str], *, id_col:
                     if not t or (not pdf and t.startswith(IMAGE_PREFIX)):
                         continue
                     page = (idx // lines_per_page + 1) if (pdf and lines_per_page) else None
-                    paras.append((len(paras), t, page))
-                secs = sections_state_machine(paras, boundary_fn, g0, min_chars, pdf)
+                    paras.append((t, page))
+                secs = sections_by_model(paras, boundary_fn, g0, min_chars, pdf)
                 for k, (c, f, n, pg) in enumerate(secs):
                     rows.append((did, k, c, f, n) + ((pg,) if pdf else ()))
             cols = [id_col, "section_no", "content", "first_marker", "n_paras"] + (["page_number"] if pdf else [])
@@ -298,10 +281,12 @@ def per_file_lines(sections: DataFrame, *, file_col: str = "doc_id",
 
 
 def write_per_file(lines: DataFrame, path: str, file_col: str = "doc_id") -> None:
-    """K6 sink: one CSV folder per file (mirrors the input tree by key)."""
-    from ragframe.sources.files import CSV_OPTIONS
-    lines.select(file_col, "line").write.mode("overwrite").options(**CSV_OPTIONS) \
-        .partitionBy(file_col).csv(path)
+    """K6 sink: one CSV folder per file (mirrors the input tree by key), lines in
+    section order. Only the folders of the files in ``lines`` are replaced."""
+    from ragframe.sources.files import CSV_WRITE
+    (lines.repartition(file_col).sortWithinPartitions(file_col, "section_no").select(file_col, "line")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**CSV_WRITE)
+     .partitionBy(file_col).csv(path))
 
 
 def rule_model(min_len: int = 60):

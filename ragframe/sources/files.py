@@ -6,24 +6,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Outer white space stays; an empty string is a quoted empty field and a null
+# this mark, so both come back. A text that is the mark alone would read as null.
+NULL_MARK = "\u0001"
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
-               "encoding": "UTF-8"}
+               "encoding": "UTF-8", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+               "nullValue": NULL_MARK}
+CSV_WRITE = {**CSV_OPTIONS, "emptyValue": '""'}
+CSV_READ = {**CSV_OPTIONS, "emptyValue": ""}
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K5: header + RFC-4180 quoting (quoted newlines, doubled quotes)."""
-    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
+    df.write.mode(mode).options(**CSV_WRITE).csv(path)
 
 
 def read_chunk_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header skipped, blank records skipped, all fields as strings;
     callers take fields by position."""
-    return spark.read.options(**CSV_OPTIONS).csv(path)
+    return spark.read.options(**CSV_READ).csv(path)
 
 
 def read_embedded_csv(spark: SparkSession, path: str) -> DataFrame:
     """Columns by header name; ``embedding`` stays text until parsed."""
-    return spark.read.options(**CSV_OPTIONS).csv(path)
+    return spark.read.options(**CSV_READ).csv(path)
 
 
 def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:

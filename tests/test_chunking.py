@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from brute import SENT, chunk, units_of
+from brute import assert_overlapped, assert_packed, char_pieces, sentence_pieces, word_pieces
 from conftest import SF01
 from ragframe.functions.text import sentence_units
 from ragframe.operators.chunking import chunk_documents
@@ -26,7 +26,7 @@ def test_sentence_units_match_python_regex(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(SENTENCE_EDGES)], "i int, t string")
     got = {r.i: r.u for r in df.select("i", sentence_units(F.col("t")).alias("u")).collect()}
     for i, t in enumerate(SENTENCE_EDGES):
-        assert got[i] == units_of(t), t
+        assert got[i] == sentence_pieces(t), t
 
 
 def test_sentence_edge_rules(spark):
@@ -65,7 +65,6 @@ def test_pack_worked_example(spark):
 
 
 def test_custom_splitter_chain(spark):
-    from brute import Packer, units_of
     from ragframe.operators.chunking import chars_splitter, pack_units, words_splitter
     from ragframe.functions.text import newline_units
     text = "alpha beta gamma delta\n" + "w " * 30 + "\n" + "z" * 50
@@ -73,11 +72,9 @@ def test_custom_splitter_chain(spark):
     # a three-level chain: words by 4, then words by 2, then characters by 8
     chain = [words_splitter(4), words_splitter(2), chars_splitter(8)]
     got = df.select(pack_units(newline_units(F.col("t")), 5, chain=chain).alias("c")).first().c
-    p = Packer(5, 4, 8)
-    p.chain = [lambda t: __import__("brute").by_words(t, 4), lambda t: __import__("brute").by_words(t, 2),
-               lambda t: __import__("brute").by_chars(t, 8)]
     import regex
-    assert got == p.chunks(units_of(text, regex.compile("\n")))
+    assert_packed(text, got, 5, regex.compile("\n"),
+                  [lambda t: word_pieces(t, 4), lambda t: word_pieces(t, 2), lambda t: char_pieces(t, 8)])
 
 
 OVERSIZE = [
@@ -89,12 +86,13 @@ OVERSIZE = [
 ]
 
 
-@pytest.mark.parametrize("overlap", [None, 0.34])
-def test_oversize_against_brute(spark, overlap):
+def test_oversize(spark):
     rows = [(i, t) for i, t in enumerate(OVERSIZE)]
-    got = _spark_chunks(spark, rows, limit=100, overlap=overlap)
+    plain = _spark_chunks(spark, rows, limit=100)
+    overlapped = _spark_chunks(spark, rows, limit=100, overlap=0.34)
     for i, t in rows:
-        assert got[i] == chunk(t, 100, overlap), i
+        assert_packed(t, plain[i], 100)
+        assert_overlapped(plain[i], overlapped[i], 100, 0.34)
 
 
 def test_empty_document_gives_one_empty_chunk(spark):
@@ -102,16 +100,20 @@ def test_empty_document_gives_one_empty_chunk(spark):
     assert got[1] == [""]
 
 
-@pytest.mark.parametrize("limit,overlap", [(100, None), (100, 0.34), (1000, 0.34), (37, None)])
-def test_whole_sf001_documents_against_brute(spark, limit, overlap):
+@pytest.mark.parametrize("limit,overlap", [(100, 0.34), (1000, 0.34), (37, None)])
+def test_whole_sf001_documents(spark, limit, overlap):
     docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
-    got = {}
-    for r in chunk_documents(docs, limit=limit, overlap=overlap).collect():
-        got.setdefault(r.doc_id, {})[r.chunk_no] = r.chunk
+
+    def collected(**kw):
+        out = {}
+        for r in chunk_documents(docs, limit=limit, **kw).collect():
+            out.setdefault(r.doc_id, {})[r.chunk_no] = r.chunk
+        return {i: [c[k] for k in sorted(c)] for i, c in out.items()}
+    plain, overlapped = collected(), collected(overlap=overlap) if overlap else None
     for r in docs.collect():
-        exp = chunk(r.text, limit, overlap)
-        g = [got[r.doc_id][k] for k in sorted(got[r.doc_id])]
-        assert g == exp, r.doc_id
+        assert_packed(r.text, plain[r.doc_id], limit)
+        if overlap:
+            assert_overlapped(plain[r.doc_id], overlapped[r.doc_id], limit, overlap)
 
 
 def test_concatenation_is_lossless(spark):
@@ -131,5 +133,11 @@ def test_partition_count_independent(spark):
         assert sorted(chunk_documents(docs.repartition(n), limit=100).collect()) == base
 
 
-def test_sentence_pattern_is_the_reference_pattern():
-    assert SENT.pattern == r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!\:)\s+|\p{Cc}+|\p{Cf}+"
+def test_private_use_characters_stay(spark):
+    texts = ["a\ue000b. c", "\ue000", "\ue001. \ue000\ue001x", "\ue001\ue002 \ue001\ue003. y", "Mr.\ue000 Z. q"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.u for r in df.select("doc_id", sentence_units(F.col("text")).alias("u")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == sentence_pieces(t)
+    chunks = _spark_chunks(spark, list(enumerate(texts)), limit=100)
+    assert all("".join(chunks[i]) == t for i, t in enumerate(texts))

@@ -1,11 +1,11 @@
-"""Randomised properties against the independent sequential model."""
+"""Randomised properties."""
 
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from brute import chunk, min_size_sections
+from brute import assert_overlapped, assert_packed, assert_sections
 from ragframe.operators.chunking import chunk_documents
 from ragframe.operators.sections import assemble_sections
 
@@ -23,46 +23,44 @@ def _docs(n, seed):
 
 
 @pytest.mark.parametrize("limit,overlap", [(3, None), (7, 0.34), (25, 0.34), (60, None)])
-def test_random_documents_chunk_like_the_model(spark, limit, overlap):
+def test_random_documents_are_packed(spark, limit, overlap):
     rows = _docs(300, seed=limit)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {}
-    for r in chunk_documents(df, limit=limit, overlap=overlap).collect():
-        got.setdefault(r.doc_id, {})[r.chunk_no] = r.chunk
+    def collected(**kw):
+        out = {}
+        for r in chunk_documents(df, limit=limit, **kw).collect():
+            out.setdefault(r.doc_id, {})[r.chunk_no] = r.chunk
+        return {i: [c[k] for k in sorted(c)] for i, c in out.items()}
+    plain, overlapped = collected(), collected(overlap=overlap) if overlap else None
     for i, t in rows:
-        exp = chunk(t, limit, overlap)
-        assert [got[i][k] for k in sorted(got[i])] == exp, (i, t)
-        if not overlap:
-            assert "".join(exp) == t
+        assert_packed(t, plain[i], limit)
+        if overlap:
+            assert_overlapped(plain[i], overlapped[i], limit, overlap)
 
 
-def test_random_sections_like_the_model(spark):
+def test_random_sections(spark):
     rnd = random.Random(5)
-    rows, expect = [], {}
+    rows, parts = [], {}
     for d in range(120):
         n = rnd.randint(1, 25)
         lens = [rnd.choice([1, 5, 20, 60, 130, 200]) for _ in range(n)]
         paras = [chr(97 + (j % 26)) * ln for j, ln in enumerate(lens)]
         rows.append((d, "\n".join(paras)))
-        starts = [(j == 0) or ln < 60 for j, ln in enumerate(lens)]
-        ids = min_size_sections(lens, starts)
-        secs = {}
-        for j, sid in enumerate(ids):
-            secs.setdefault(sid, []).append(paras[j])
-        expect[d] = ["\n".join(secs[k]) for k in sorted(secs)]
+        parts[d] = (paras, [(j == 0) or ln < 60 for j, ln in enumerate(lens)])
     df = spark.createDataFrame(rows, "doc_id long, text string")
     rule = lambda m, t: (m == 0) | (F.length(t) < 60)
     got = {}
     for r in assemble_sections(df, rule).collect():
         got.setdefault(r.doc_id, {})[r.section_no] = r.content
-    for d, exp in expect.items():
-        assert [got[d][k] for k in sorted(got[d])] == exp
+    exp = {d: [x[k] for k in sorted(x)] for d, x in got.items()}
+    for d, (paras, starts) in parts.items():
+        assert_sections(paras, starts, exp[d])
     # PDF mode: the tail joins the previous section
     pdf = {}
     for r in assemble_sections(df, rule, mode="pdf", lines_per_page=4).collect():
         pdf.setdefault(r.doc_id, {})[r.section_no] = r.content
-    for d, exp in expect.items():
-        want = exp if len(exp) == 1 else exp[:-2] + [exp[-2] + "\n" + exp[-1]]
+    for d, own in exp.items():
+        want = own if len(own) == 1 else own[:-2] + [own[-2] + "\n" + own[-1]]
         assert [pdf[d][k] for k in sorted(pdf[d])] == want
 
 

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from ragframe.functions.text import (clean_code_block, file_id_from_path, py_strip, sanitise_ascii,
                                      sanitise_unicode, section_markers, strictly_increasing_prefix)
-from ragframe.operators.sections import parse_section_answer
+from ragframe.operators.sections import listed_markers
 
 
 def _one(spark, col_fn, values, typ="string"):
@@ -54,7 +54,7 @@ MARKER_EDGES = [
 
 def test_marker_edges_match_python_parser(spark):
     got = _one(spark, section_markers, MARKER_EDGES)
-    assert got == [parse_section_answer(a) for a in MARKER_EDGES]
+    assert got == [listed_markers(a) for a in MARKER_EDGES]
     assert got[1] is None and got[2] == []            # null != empty
     assert got[3] == [2, 5]                           # last block wins
 
