@@ -3,7 +3,7 @@ replace-by-file, column lists <-> rows, dynamic extra fields."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,7 @@ def to_collection_rows(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+REJECTED_COLS = ["file_id", "chunk_no", "description", "embedding", "content", "num_tokens", "page_number"]
 PARTITION_COLS = ["ingest_batch", "file_bucket"]
 STORED_SCHEMA = T.StructType(COLLECTION_SCHEMA.fields + [
     T.StructField("ingest_batch", T.LongType()), T.StructField("file_bucket", T.IntegerType())])
@@ -49,11 +50,29 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def create_if_missing(spark: SparkSession, path: str) -> None:
-    """K1: an empty collection with the declared schema (idempotent)."""
+DEFAULT_BUCKETS = 64
+
+
+def create_if_missing(spark: SparkSession, path: str, n_buckets: int = DEFAULT_BUCKETS) -> None:
+    """K1: an empty collection with the declared schema (idempotent). Its
+    number of buckets is stored beside the data, in a folder readers skip."""
     if not path_exists(spark, path):
         spark.createDataFrame([], STORED_SCHEMA).write.mode("ignore") \
             .partitionBy(*PARTITION_COLS).parquet(path)
+    if not path_exists(spark, f"{path}/_layout"):
+        spark.createDataFrame([(n_buckets,)], "n_buckets int").coalesce(1).write.mode("ignore").parquet(f"{path}/_layout")
+
+
+def stored_buckets(spark: SparkSession, path: str, n_buckets: int | None = None) -> int:
+    """The collection's number of buckets; one that is given has to agree."""
+    if not path_exists(spark, f"{path}/_layout"):
+        if path_exists(spark, path):
+            raise ValueError(f"{path} has no stored layout: it was not made by create_if_missing or append")
+        return n_buckets or DEFAULT_BUCKETS
+    stored = spark.read.parquet(f"{path}/_layout").first()["n_buckets"]
+    if n_buckets not in (None, stored):
+        raise ValueError(f"{path} has {stored} buckets, not {n_buckets}")
+    return stored
 
 
 def file_bucket(file_id, n_buckets: int):
@@ -79,24 +98,33 @@ def _write_partitions(rows: DataFrame, path: str, replace: bool = True) -> None:
 
 
 def append(df: DataFrame, path: str, *, batch_id: int | None = None, replace_files: bool = False,
-           n_buckets: int = 64) -> int:
-    """K2: append a batch; returns its ``ingest_batch`` id.
+           n_buckets: int | None = None) -> int:
+    """K2: append a batch; returns its ``ingest_batch`` id. ``n_buckets`` is
+    that of the collection; it is only a choice where there is none yet.
 
     Storage is partitioned by (ingest_batch, file_bucket = xxhash64(file_id) %
     n_buckets): bounded folders per batch, never one per file. Writing a batch
-    replaces exactly that batch's partitions, so retrying or replaying the same
-    ``batch_id`` (e.g. a stream epoch) never duplicates rows; a new id is an
+    replaces all of that batch, also buckets the new rows no longer reach, so
+    replaying a ``batch_id`` (e.g. a stream epoch) never duplicates rows; a new id is an
     append. ``replace_files=True`` also removes earlier rows of the incoming
     files from other batches (re-ingest replaces): only partitions holding
     those files are rewritten, through a staging table in the shared
     checkpoint folder that cuts the lineage from the target."""
     spark = df.sparkSession
+    n_buckets = stored_buckets(spark, path, n_buckets)
+    create_if_missing(spark, path, n_buckets)
     bid = new_batch_id() if batch_id is None else int(batch_id)
     rows = (to_collection_rows(df).withColumn("ingest_batch", F.lit(bid).cast("long"))
             .withColumn("file_bucket", file_bucket(F.col("file_id"), n_buckets)))
     if not replace_files:
         # a generated id is new: nothing to replace; a given id may be a replay
-        _write_partitions(rows, path, replace=batch_id is not None)
+        if batch_id is None:
+            _write_partitions(rows, path, replace=False)
+            return bid
+        # the buckets written are observed while writing (at most n_buckets values)
+        seen = Observation()
+        _write_partitions(rows.observe(seen, F.collect_set("file_bucket").alias("buckets")), path)
+        _drop_other_buckets(spark, path, bid, set(seen.get["buckets"]))
         return bid
     existing = load_collection(spark, path)
     files = rows.select("file_id").distinct()
@@ -115,6 +143,47 @@ def append(df: DataFrame, path: str, *, batch_id: int | None = None, replace_fil
     return bid
 
 
+def append_conformed(df: DataFrame, path: str, dim: int, *, batch_id: int | None = None, **kw) -> int:
+    """F8 then K2: conforming rows are appended, the others go with their
+    ``status`` to the collection's quarantine, which a replay of the batch
+    replaces like the rows themselves. Nothing is lost."""
+    from ragframe.operators.validation import conform_collection
+    ok, bad = conform_collection(df, dim)
+    replay = batch_id is not None
+    bid = append(ok.drop("status"), path, batch_id=batch_id, **kw)
+    rows = bad.select(*[F.col(c).cast(COLLECTION_SCHEMA[c].dataType).alias(c) for c in REJECTED_COLS if c in bad.columns], "status")
+    rows = rows.withColumn("ingest_batch", F.lit(bid).cast("long"))
+    if replay:
+        _drop_folder(df.sparkSession, f"{path}/_rejected/ingest_batch={bid}")
+    rows.write.mode("append").partitionBy("ingest_batch").parquet(f"{path}/_rejected")
+    return bid
+
+
+def load_rejected(spark: SparkSession, path: str) -> DataFrame:
+    """The quarantined rows of a collection, with their status."""
+    fields = [COLLECTION_SCHEMA[c] for c in REJECTED_COLS]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields]
+                          + [T.StructField("status", T.StringType()), T.StructField("ingest_batch", T.LongType())])
+    return spark.read.schema(schema).option("basePath", f"{path}/_rejected").parquet(f"{path}/_rejected")
+
+
+def _drop_folder(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _drop_other_buckets(spark: SparkSession, path: str, batch: int, keep: set[int]) -> None:
+    """Removes a batch's bucket folders that are not in ``keep`` (folder names only, no data is read)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/ingest_batch={batch}")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.listStatus(p) if fs.exists(p) else []:
+        name = f.getPath().getName()
+        if name.startswith("file_bucket=") and int(name.partition("=")[2]) not in keep:
+            fs.delete(f.getPath(), True)
+
+
 def _drop_partition(spark: SparkSession, path: str, batch: int, bucket: int) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(f"{path}/ingest_batch={batch}/file_bucket={bucket}")
@@ -155,12 +224,13 @@ def fold_extras(df: DataFrame, known: list[str], out_col: str = "extras") -> Dat
 
 
 def search_collection(spark: SparkSession, path: str, questions: DataFrame, k: int = 10, *,
-                      n_buckets: int = 64, output_fields: list[str] | None = None, **topk_kw) -> DataFrame:
+                      n_buckets: int | None = None, output_fields: list[str] | None = None, **topk_kw) -> DataFrame:
     """V3/V5 over a stored collection: questions ``(qid, file_id, embedding)``
     search only their own files. Only the ``file_bucket`` partitions of the
     questions' files are read (partition pruning; the bucket list has at most
     ``n_buckets`` values), then the exact top-k runs per question."""
     from ragframe.operators.search import topk
+    n_buckets = stored_buckets(spark, path, n_buckets)
     buckets = sorted(r[0] for r in questions.select(file_bucket(F.col("file_id"), n_buckets))
                      .distinct().collect())
     col = load_collection(spark, path).filter(F.col("file_bucket").isin(buckets))

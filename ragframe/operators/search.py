@@ -2,9 +2,12 @@
 questions, offset pages, and an IVF approximate search.
 
 Per question, the nearest ``k`` corpus rows with the same filter key. The
-distance work runs in a NumPy kernel inside tasks, which emits at most ``k``
-candidates per question and task (never question x candidate rows); Spark
-then ranks the candidates:
+distance work runs in a NumPy kernel inside tasks. A task keeps a running best
+``k`` over its batches, so it emits at most ``k`` candidates per question
+(a group of the blocked form does; never question x candidate rows); Spark then
+ranks the candidates. A row or question without a key, or whose vector is not one
+of the questions' dimension, takes no part in any engine (``rejected_vectors``
+lists them). Rows of one key and id are one row, however often stored:
 
     small question side (measured):   corpus --mapInPandas(kernel, broadcast questions)-->
     large question side:              corpus(key, s, r) cogroup questions(key, s, r)
@@ -33,12 +36,37 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragframe.functions.vectors import l2_squared
+from ragframe.functions.vectors import is_vector, l2_squared
 from ragframe.operators.partitioning import spread
 from ragframe.operators.sizing import DEFAULT_BROADCAST_MAX_BYTES, measured_rows
 
-CANDIDATE_MARGIN = 0   # the kernel's tolerance-based selection is exact
-_CAND_SCHEMA = "qid long, id long, distance double"
+_CAND_COLS = ["qid", "id", "distance"]
+
+
+def _cand_schema(corpus: DataFrame, questions: DataFrame, key: str) -> str:
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return f"qid {kind(questions, 'qid')}, id {kind(corpus, 'id')}, distance double, `{key}` {kind(corpus, key)}"
+
+
+def _ids(s: pd.Series) -> np.ndarray:
+    """Numbers as 64-bit integers, anything else as strings (which sort by code point, as Spark's do)."""
+    return s.to_numpy(dtype=np.int64) if pd.api.types.is_integer_dtype(s) else s.to_numpy().astype(str)
+
+
+def _frame(columns: dict, **constants) -> pd.DataFrame:
+    """Candidates; strings as plain objects, which Arrow takes as one array."""
+    n = len(columns["qid"])
+    if not n:
+        return pd.DataFrame({c: pd.Series([], dtype=object) for c in [*columns, *constants]})
+    columns = {c: np.asarray(v) for c, v in columns.items()} | {c: np.array([v] * n) for c, v in constants.items()}
+    return pd.DataFrame({c: pd.Series(v, dtype=object if v.dtype.kind in "UO" else v.dtype) for c, v in columns.items()})
+
+
+def rejected_vectors(df: DataFrame, dim: int, *, vec_col: str = "embedding", key: str = "file_id") -> DataFrame:
+    """The rows a search leaves out, with ``reject_reason``."""
+    return (df.withColumn("reject_reason", F.when(F.col(key).isNull(), "missing_key")
+                          .when(F.col(vec_col).isNull(), "missing_vector").when(~is_vector(F.col(vec_col), dim), "bad_vector"))
+            .where("reject_reason is not null"))
 
 
 def kernel_candidates(cm: np.ndarray, ids: np.ndarray, qm: np.ndarray, qids: np.ndarray,
@@ -52,10 +80,12 @@ def kernel_candidates(cm: np.ndarray, ids: np.ndarray, qm: np.ndarray, qids: np.
     never drop a row the exact order would keep), candidates are re-ranked
     with the exact left-to-right float64 sum, and ties go to the smaller id.
     Memory stays at O(n x q_chunk) plus the candidates."""
+    first = np.unique(ids, return_index=True)[1]
+    if len(first) < len(ids):                 # a row stored twice is one row
+        cm, ids = cm[first], ids[first]
     n, m = len(ids), len(qids)
     if n == 0 or m == 0:
-        return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
-                             "distance": pd.Series([], dtype="float64")})
+        return _frame({c: [] for c in _CAND_COLS})
     kk = min(keep, n)
     cn = (cm * cm).sum(1)
     out_q, out_i, out_d = [], [], []
@@ -70,11 +100,10 @@ def kernel_candidates(cm: np.ndarray, ids: np.ndarray, qm: np.ndarray, qids: np.
             diff = cm[cand] - qb[j]
             exact = np.add.accumulate(diff * diff, axis=1)[:, -1]
             best = np.lexsort((ids[cand], exact))[:kk]
-            out_q.append(np.full(len(best), qi[j], dtype=np.int64))
+            out_q.append(np.repeat(qi[j:j + 1], len(best)))
             out_i.append(ids[cand][best])
             out_d.append(exact[best])
-    return pd.DataFrame({"qid": np.concatenate(out_q), "id": np.concatenate(out_i),
-                         "distance": np.concatenate(out_d)})
+    return _frame({"qid": np.concatenate(out_q), "id": np.concatenate(out_i), "distance": np.concatenate(out_d)})
 
 
 def _matrix(vs) -> np.ndarray:
@@ -87,23 +116,30 @@ def _broadcast_candidates(corpus: DataFrame, questions: DataFrame, key: str, kee
     questions of its keys."""
     spark = corpus.sparkSession
     qpdf = questions.toPandas()
-    groups = {kv: (g["qid"].to_numpy(dtype=np.int64), _matrix(g["qvec"]))
+    groups = {kv: (_ids(g["qid"]), _matrix(g["qvec"]))
               for kv, g in qpdf.groupby(key, sort=False)}
     bc = spark.sparkContext.broadcast(groups)
 
     def run(batches):
-        gs = bc.value
+        gs, best = bc.value, {}
         for pdf in batches:
-            outs = []
             for kv, part in pdf.groupby(key, sort=False):
                 if kv in gs:
                     qids, qm = gs[kv]
-                    outs.append(kernel_candidates(_matrix(part["vec"]), part["id"].to_numpy(dtype=np.int64),
-                                                  qm, qids, keep))
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
+                    best[kv] = _best(best.get(kv), kernel_candidates(_matrix(part["vec"]), _ids(part["id"]), qm, qids, keep), keep)
+        for kv, found in best.items():
+            yield _frame({c: found[c] for c in _CAND_COLS}, **{key: kv})
+
+    return spread(corpus).mapInPandas(run, _cand_schema(corpus, questions, key))
+
 
-    return spread(corpus).mapInPandas(run, _CAND_SCHEMA)
+def _best(before: pd.DataFrame | None, new: pd.DataFrame, keep: int) -> pd.DataFrame:
+    """The nearest ``keep`` rows per question of two sets of candidates."""
+    if before is None:
+        return new
+    both = _frame({c: np.concatenate([before[c].to_numpy(), new[c].to_numpy()]) for c in _CAND_COLS})
+    both = both.sort_values(["qid", "distance", "id"], kind="stable")
+    return both.drop_duplicates(["qid", "id"]).groupby("qid", sort=False).head(keep)
 
 
 def _blocked_candidates(corpus: DataFrame, questions: DataFrame, key: str, keep: int,
@@ -119,13 +155,12 @@ def _blocked_candidates(corpus: DataFrame, questions: DataFrame, key: str, keep:
 
     def run(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
         if len(cpdf) == 0 or len(qpdf) == 0:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
-                                 "distance": pd.Series([], dtype="float64")})
-        return kernel_candidates(_matrix(cpdf["vec"]), cpdf["id"].to_numpy(dtype=np.int64),
-                                 _matrix(qpdf["qvec"]), qpdf["qid"].to_numpy(dtype=np.int64), keep)
+            return _frame({c: [] for c in _CAND_COLS}, **{key: None})
+        found = kernel_candidates(_matrix(cpdf["vec"]), _ids(cpdf["id"]), _matrix(qpdf["qvec"]), _ids(qpdf["qid"]), keep)
+        return _frame({c: found[c] for c in _CAND_COLS}, **{key: cpdf[key].iloc[0]})
 
     return (c.groupBy(key, "_s", "_r").cogroup(q.groupBy(key, "_s", "_r"))
-            .applyInPandas(run, _CAND_SCHEMA))
+            .applyInPandas(run, _cand_schema(corpus, questions, key)))
 
 
 def _jvm_candidates(corpus: DataFrame, questions: DataFrame, key: str, small: bool,
@@ -138,7 +173,7 @@ def _jvm_candidates(corpus: DataFrame, questions: DataFrame, key: str, small: bo
         q = questions.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         c = corpus.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
         pairs = c.join(q, [key, "_salt"])
-    return pairs.select("qid", "id", l2_squared(F.col("vec"), F.col("qvec")).alias("distance"))
+    return pairs.select("qid", "id", l2_squared(F.col("vec"), F.col("qvec")).alias("distance"), key)
 
 
 # Largest question block one cogroup group holds in memory.
@@ -148,9 +183,12 @@ DEFAULT_QUESTION_BLOCK_BYTES = 256 * 1024 * 1024
 def _candidates(c: DataFrame, q: DataFrame, key: str, keep: int, engine: str, salt: int,
                 broadcast_max_bytes: int,
                 question_block_bytes: int = DEFAULT_QUESTION_BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """Candidates (qid, id, distance) from one of the engines, and the
+    """Candidates (qid, id, distance, key) from one of the engines, and the
     measured number of questions (which bounds every later result)."""
+    q = q.where(F.col(key).isNotNull() & F.col("qid").isNotNull())
     n_q, dim = measured_rows(q, "qvec")
+    q = q.where(is_vector(F.col("qvec"), dim))
+    c = c.where(F.col(key).isNotNull() & F.col("id").isNotNull() & is_vector(F.col("vec"), dim))
     q_bytes = n_q * (64 + 8 * max(dim, 1))
     small = q_bytes <= broadcast_max_bytes
     if engine == "jvm":
@@ -162,19 +200,20 @@ def _candidates(c: DataFrame, q: DataFrame, key: str, keep: int, engine: str, sa
 
 
 def _rank(scored: DataFrame, k: int, offset: int) -> DataFrame:
+    # a row that several tasks held has one rank, and one row of it stays
     w = Window.partitionBy("qid").orderBy("distance", "id")
-    ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= offset + k)
+    ranked = scored.withColumn("rank", F.dense_rank().over(w)).filter(F.col("rank") <= offset + k)
     if offset:
         ranked = ranked.filter(F.col("rank") > offset)
-    return ranked.withColumn("rank", (F.col("rank") - offset).cast("long"))
+    return ranked.dropDuplicates(["qid", "rank"]).withColumn("rank", (F.col("rank") - offset).cast("long"))
 
 
-def _fetch(ranked: DataFrame, fields: DataFrame, n_ranked_max: int, broadcast_max_bytes: int) -> DataFrame:
+def _fetch(ranked: DataFrame, fields: DataFrame, keys: list[str], n_ranked_max: int, broadcast_max_bytes: int) -> DataFrame:
     """Attach wide output fields to the (at most ``n_ranked_max``) ranked rows
-    by id, broadcasting the ranked rows when that bound is small enough."""
+    by key and id, broadcasting the ranked rows when that bound is small enough."""
     if n_ranked_max * 40 <= broadcast_max_bytes:
-        return fields.join(F.broadcast(ranked), "id")
-    return ranked.join(fields, "id")
+        ranked = F.broadcast(ranked)
+    return fields.join(ranked, keys).dropDuplicates(["qid", "rank"])
 
 
 def topk(corpus: DataFrame, questions: DataFrame, k: int = 10, *, key: str = "file_id",
@@ -204,14 +243,17 @@ def topk(corpus: DataFrame, questions: DataFrame, k: int = 10, *, key: str = "fi
     c = corpus.select(F.col(id_col).alias("id"), F.col(key).alias(key), F.col(vec_col).alias("vec"))
     q = questions.select(F.col(qid_col).alias("qid"), F.col(key).alias(key),
                          F.col(qvec_col).alias("qvec"))
-    scored, n_q = _candidates(c, q, key, offset + k + CANDIDATE_MARGIN, engine, salt,
+    scored, n_q = _candidates(c, q, key, offset + k, engine, salt,
                               broadcast_max_bytes, question_block_bytes)
     ranked = _rank(scored, k, offset)
     if not output_fields:
-        return ranked
-    src = fields.select("id", *output_fields) if fields is not None else \
-        corpus.select(F.col(id_col).alias("id"), *output_fields)
-    return _fetch(ranked, src, n_q * k, broadcast_max_bytes)
+        return ranked.drop(key)
+    # an id may be of use in one file only: the key is part of it where the fields have it
+    keys = ["id"] if fields is not None and key not in fields.columns else ["id", key]
+    src = (fields if fields is not None else corpus.withColumn("id", F.col(id_col))).select(
+        *keys, *[c for c in output_fields if c not in keys])
+    out = _fetch(ranked if key in keys else ranked.drop(key), src, keys, n_q * k, broadcast_max_bytes)
+    return out.select("qid", "rank", "id", "distance", *[c for c in output_fields if c != "id"])
 
 
 def topk_single(corpus: DataFrame, vector: list[float], k: int = 10, *,
@@ -221,7 +263,8 @@ def topk_single(corpus: DataFrame, vector: list[float], k: int = 10, *,
     if where is not None:
         corpus = corpus.filter(where)
     qv = F.array(*[F.lit(float(x)).cast("float") for x in vector])
-    scored = corpus.withColumn("distance", l2_squared(F.col(vec_col), qv))
+    good = corpus.where(is_vector(F.col(vec_col), len(vector)))
+    scored = good.withColumn("distance", l2_squared(F.col(vec_col), qv))
     out = scored.orderBy("distance", id_col)
     if offset:
         out = out.offset(offset)
@@ -290,13 +333,14 @@ def topk_ivf(assigned: DataFrame, centroids: list[list[float]], questions: DataF
          .filter(F.col("cell").isNotNull())
          .select("qid", ckey.alias("_ck"), "qvec"))
     c = assigned.select(F.col(id_col).alias("id"), ckey.alias("_ck"), F.col(vec_col).alias("vec"))
-    scored, n_q = _candidates(c, q, "_ck", k + CANDIDATE_MARGIN, engine, salt, broadcast_max_bytes,
+    scored, n_q = _candidates(c, q, "_ck", k, engine, salt, broadcast_max_bytes,
                               question_block_bytes)
     ranked = _rank(scored, k, 0)
     if not output_fields:
-        return ranked
-    fields = assigned.select(F.col(id_col).alias("id"), *output_fields)
-    return _fetch(ranked, fields, n_q * k, broadcast_max_bytes)
+        return ranked.drop("_ck")
+    fields = assigned.select(F.col(id_col).alias("id"), ckey.alias("_ck"), *output_fields)
+    return _fetch(ranked, fields, ["id", "_ck"], n_q * k, broadcast_max_bytes).select(
+        "qid", "rank", "id", "distance", *output_fields)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from ragframe.functions.text import sanitise_ascii
 from ragframe.functions.tokens import WORD_PATTERN
 from ragframe.functions.vectors import parse_vector, vector_to_text
-from ragframe.operators.collection import append, create_if_missing, load_collection, search_collection
+from ragframe.operators.collection import append_conformed, load_collection, load_rejected, search_collection
 from ragframe.operators.embed import enrich_chunks, hash_buckets
 from ragframe.operators.sections import assemble_sections, global_markers
-from ragframe.operators.validation import conform_collection
 from ragframe.plans.chat import vector_collection
 from ragframe.plans.chunk_queries import LIMIT, _LINES_SQL
 from ragframe.plans.registry import register
@@ -79,25 +78,24 @@ def q_enrich_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("pipeline_split_doc", _sections_sql(False) + "," + _embed_stats_sql("sections", ["doc_id", "section_no"], "content") + """
 SELECT CAST(s.doc_id AS VARCHAR) AS file_id, s.section_no AS chunk_no,
        CAST(ceil(length(s.content) / 4.0) AS BIGINT) AS num_tokens,
-       coalesce(st.n_buckets, 0) AS n_buckets, coalesce(st.max_weight, 0.0) AS max_weight, st.top_bucket
+       coalesce(st.n_buckets, 0) AS n_buckets, coalesce(st.max_weight, 0.0) AS max_weight, st.top_bucket,
+       CASE WHEN length(s.content) <= 30000 THEN 'ok' ELSE 'content_too_long' END AS status
 FROM sections s LEFT JOIN st USING (doc_id, section_no)
-WHERE length(s.content) <= 30000
 """)
 def q_pipeline_split_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents -> semantic sections -> embed + count -> conform ->
-    create-if-missing + append to a Parquet collection -> read back."""
+    create-if-missing + append to a Parquet collection and its quarantine ->
+    read both back."""
     d = load_table(spark, "documents", sf_dir).select("doc_id", "text")
     secs = assemble_sections(d, _rule)
     rows = secs.select(F.col("doc_id").cast("string").alias("file_id"),
                        F.col("section_no").alias("chunk_no"), "content")
-    enriched = enrich_chunks(rows, ["file_id", "chunk_no"], dim=DIM)
-    ok, _rejected = conform_collection(enriched, DIM)
     path = scratch_path(spark, "collection")
-    create_if_missing(spark, path)
-    append(ok.drop("status"), path)
-    col = load_collection(spark, path)
-    return _embed_stats(col, ["file_id", "chunk_no"]).withColumn(
-        "top_bucket", F.when(F.col("n_buckets") > 0, F.col("top_bucket")))
+    append_conformed(enrich_chunks(rows, ["file_id", "chunk_no"], dim=DIM), path, DIM)
+    keys = ["file_id", "chunk_no", "status"]
+    out = _embed_stats(load_collection(spark, path).withColumn("status", F.lit("ok")), keys).unionByName(
+        _embed_stats(load_rejected(spark, path), keys))
+    return out.withColumn("top_bucket", F.when(F.col("n_buckets") > 0, F.col("top_bucket")))
 
 
 @register("csv_roundtrip", _sections_sql(False) + """,
@@ -166,7 +164,8 @@ pairs AS (SELECT q.doc_id * 100000 + q.section_no AS qid, c.section_no AS id,
                              * (CAST(c.v[i] AS DOUBLE) - CAST(q.v[i] AS DOUBLE))), lambda a, b: a + b) AS distance
           FROM ok q JOIN ok c ON c.doc_id = q.doc_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rnk FROM pairs)
-SELECT qid, CAST(rnk AS BIGINT) AS rank, id, round(distance, 6) AS distance FROM ranked WHERE rnk <= 3
+SELECT qid, CAST(rnk AS BIGINT) AS rank, id, round(distance, 6) AS distance, s.content
+FROM ranked r JOIN sections s ON s.doc_id = r.qid // 100000 AND s.section_no = r.id WHERE rnk <= 3
 """)
 def q_collection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7 + V5 over a stored collection: the split-doc collection is written,
@@ -175,12 +174,23 @@ def q_collection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load_table(spark, "documents", sf_dir).select("doc_id", "text")
     rows = assemble_sections(d, _rule).select(F.col("doc_id").cast("string").alias("file_id"),
                                               F.col("section_no").alias("chunk_no"), "content")
-    ok, _rejected = conform_collection(enrich_chunks(rows, ["file_id", "chunk_no"], dim=DIM), DIM)
     path = scratch_path(spark, "collection")
-    create_if_missing(spark, path)
-    append(ok.drop("status"), path)
+    append_conformed(enrich_chunks(rows, ["file_id", "chunk_no"], dim=DIM), path, DIM)
     stored = load_collection(spark, path)
     qs = stored.select((F.col("file_id").cast("long") * 100000 + F.col("chunk_no")).alias("qid"),
                        "file_id", "embedding")
-    r = search_collection(spark, path, qs, 3, id_col="chunk_no")
-    return r.select("qid", "rank", "id", F.round("distance", 6).alias("distance"))
+    r = search_collection(spark, path, qs, 3, id_col="chunk_no", output_fields=["content"])
+    return r.select("qid", "rank", "id", F.round("distance", 6).alias("distance"), "content")
+
+
+@register("chunk_csv_roundtrip", _LINES_SQL + """
+SELECT doc_id, chunk_no, chunk FROM chunks
+""")
+def q_chunk_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5 + S5: the line chunks of every document written as a chunk CSV and
+    read back byte for byte (they begin with their separators)."""
+    d = load_table(spark, "documents", sf_dir).select("doc_id", "text")
+    path = scratch_path(spark, "chunks-csv")
+    write_csv(chunk_documents(d, limit=LIMIT, pattern=NEWLINE_PATTERN).select("doc_id", "chunk_no", "chunk"), path)
+    back = read_chunk_csv(spark, path).toDF("doc_id", "chunk_no", "chunk")
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_no").cast("long").alias("chunk_no"), "chunk")

@@ -85,9 +85,10 @@ def q_topk_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     file_id == '0' applied with the search, nearest 10, projected fields."""
     e = load_table(spark, "embeddings", sf_dir)
     qv = e.orderBy("vec_id").select("embedding").first()[0]   # one vector: dim floats
-    corpus = e.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("file_id"), "embedding")
-    r = topk_single(corpus, qv, K, where=F.col("file_id") == "0", output_fields=["file_id"])
-    return r.select("id", F.round("distance", 6).alias("distance"), "file_id")
+    # the predicate is on the stored type, so that the scan takes it
+    corpus = e.select(F.col("vec_id").alias("id"), F.col("label").alias("file_id"), "embedding")
+    r = topk_single(corpus, qv, K, where=F.col("file_id") == 0, output_fields=["file_id"])
+    return r.select("id", F.round("distance", 6).alias("distance"), F.col("file_id").cast("string").alias("file_id"))
 
 
 @register("topk_ivf_full_probe", _RANKED_SQL + f"""

@@ -1,4 +1,4 @@
-"""Registered file-source queries."""
+"""Registered file-source queries."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ragframe.operators.partitioning import spread
 from ragframe.plans.registry import register
 from ragframe.sources.docx import docx_paragraphs, text_to_docx
-from ragframe.sources.files import scan_files
 from ragframe.sources.tables import load_table
 
 
@@ -24,9 +23,3 @@ def q_docx_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = d.select("doc_id", text_to_docx(F.col("text")).alias("content"))
     return docx_paragraphs(files, "doc_id", "content")
 
-
-@register("scan_files")
-def q_scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recursive file listing with relative paths and sizes (content is
-    not read unless selected)."""
-    return scan_files(spark, sf_dir).select("relpath", F.col("length").cast("long").alias("length"))

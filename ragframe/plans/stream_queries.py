@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,15 +24,17 @@ FROM conversations
 """)
 def q_reassemble_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 as a stateful stream: answers arrive as word deltas plus a closing
-    null in files; each message is emitted once complete and its state
-    dropped."""
+    null in files, some of them twice; each message is written to a table once
+    complete and its state dropped."""
     c = load_table(spark, "conversations", sf_dir)
     landing = scratch_path(spark, "deltas")
-    to_deltas(c, ["conv_id", "turn"]).repartition(N_LANDING_FILES).write.parquet(landing)
-    name = "reassembled_" + uuid.uuid4().hex[:8]
+    d = to_deltas(c, ["conv_id", "turn"])
+    # every fifth part is sent twice
+    d.unionByName(d.where("seq % 5 = 0")).repartition(N_LANDING_FILES).write.parquet(landing)
+    out = scratch_path(spark, "reassembled")
     reassemble_stream(spark, landing, "conv_id long, turn long, seq long, delta string, last boolean",
-                      ["conv_id", "turn"], scratch_path(spark, "ckpt-reassemble"), name)
-    return spark.table(name).select("conv_id", "turn", "n_deltas", F.md5("text").alias("text_md5"))
+                      ["conv_id", "turn"], scratch_path(spark, "ckpt-reassemble"), out)
+    return spark.read.parquet(out).select("conv_id", "turn", "n_deltas", F.md5("text").alias("text_md5"))
 
 
 @register("stream_ingest", _LINES_SQL + "," + _embed_stats_sql("chunks", ["doc_id", "chunk_no"], "chunk") + """

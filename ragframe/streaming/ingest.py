@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragframe.operators.chunking import chunk_documents
-from ragframe.operators.collection import append, create_if_missing
+from ragframe.operators.collection import append_conformed, create_if_missing
 from ragframe.operators.embed import enrich_chunks
-from ragframe.operators.validation import conform_collection
 
 
 def ingest_batch(batch: DataFrame, collection: str, *, limit: int, pattern: str, dim: int,
@@ -19,8 +18,7 @@ def ingest_batch(batch: DataFrame, collection: str, *, limit: int, pattern: str,
     ch = chunk_documents(batch, limit=limit, pattern=pattern).select(
         F.col("doc_id").cast("string").alias("file_id"), "chunk_no", F.col("chunk").alias("content"))
     enriched = enrich_chunks(ch, ["file_id", "chunk_no"], dim=dim)
-    ok, _rejected = conform_collection(enriched, dim)
-    append(ok.drop("status"), collection, batch_id=batch_id, replace_files=replace_files)
+    append_conformed(enriched, collection, dim, batch_id=batch_id, replace_files=replace_files)
 
 
 def stream_batch_base(checkpoint: str) -> int:
@@ -31,7 +29,7 @@ def stream_batch_base(checkpoint: str) -> int:
 
 
 def stream_ingest(spark: SparkSession, source: str, schema: str, collection: str, checkpoint: str, *,
-                  limit: int, pattern: str, dim: int, max_files_per_trigger: int = 1,
+                  limit: int, pattern: str, dim: int, max_files_per_trigger: int | None = None,
                   replace_files: bool = False):
     """File source -> foreachBatch(chunk -> enrich -> conform -> append),
     processed until the input is exhausted (``availableNow``). Micro-batch n
@@ -39,8 +37,10 @@ def stream_ingest(spark: SparkSession, source: str, schema: str, collection: str
     partitions only (exactly-once output without rewriting the collection)."""
     create_if_missing(spark, collection)
     base = stream_batch_base(checkpoint)
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-           .parquet(source))
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    src = reader.parquet(source)
     q = (src.writeStream.option("checkpointLocation", checkpoint)
          .foreachBatch(lambda df, epoch: ingest_batch(df, collection, limit=limit, pattern=pattern, dim=dim,
                                                       batch_id=base + epoch, replace_files=replace_files))

@@ -4,7 +4,7 @@ Batch: one ordered concatenation per message. Stream: a custom stateful
 operator (``applyInPandasWithState``) keeps the parts of each open message,
 emits the message once its closing part and every earlier part have arrived,
 and removes its state; optionally, messages that stay incomplete past a
-timeout are evicted. State therefore holds only open messages."""
+timeout are written out as such. State therefore holds only open messages."""
 
 from __future__ import annotations
 
@@ -28,57 +28,61 @@ def to_deltas(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFra
 
 def reassemble(deltas: DataFrame, keys: list[str], seq_col: str = "seq",
                delta_col: str = "delta") -> DataFrame:
-    """Concatenate deltas in ``seq`` order, skipping nulls (batch form)."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(seq_col).alias("s"), F.col(delta_col).alias("d"))))
-    return deltas.groupBy(*keys).agg(
+    """Concatenate deltas in ``seq`` order, skipping nulls (batch form). A part
+    that was sent several times counts once (of different ones, the largest)."""
+    once = deltas.groupBy(*keys, F.col(seq_col).alias("_s")).agg(F.max(delta_col).alias("_d"))
+    parts = F.array_sort(F.collect_list(F.struct("_s", "_d")))
+    return once.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_deltas"),
-        F.array_join(F.transform(parts, lambda x: x["d"]), "").alias("text"))
+        F.array_join(F.transform(parts, lambda x: x["_d"]), "").alias("text"))
 
 
 def _assembler(keys: list[str], timeout_ms: int | None):
+    def message(key, parts, complete):
+        text = "".join(parts[s] for s in sorted(parts) if parts[s] is not None)
+        return pd.DataFrame([[*key, len(parts), text, complete]], columns=[*keys, "n_deltas", "text", "complete"])
+
     def step(key, batches, state):
+        seqs, texts, last = state.get if state.exists else ([], [], -1)
+        parts = dict(zip(seqs, texts))          # one part per number
         if state.hasTimedOut:
-            state.remove()                      # incomplete message evicted
+            state.remove()
+            yield message(key, parts, False)    # what has come of an open message
             return
-        seqs, parts, last = ([], [], -1)
-        if state.exists:
-            seqs, parts, last = list(state.get[0]), list(state.get[1]), int(state.get[2])
         for pdf in batches:
-            seqs.extend(int(s) for s in pdf["seq"])
-            parts.extend(None if pd.isna(d) else d for d in pdf["delta"])
-            hits = pdf.loc[pdf["last"].astype(bool), "seq"]
-            if len(hits):
-                last = int(hits.max())
-        if last >= 0 and len(set(seqs)) == last + 1:
-            order = sorted(range(len(seqs)), key=lambda i: seqs[i])
-            text = "".join(parts[i] for i in order if parts[i] is not None)
-            state.remove()
-            yield pd.DataFrame([list(key) + [len(set(seqs)), text]], columns=keys + ["n_deltas", "text"])
+            for s, d in zip(pdf["seq"].tolist(), pdf["delta"].tolist()):
+                parts[int(s)] = max([x for x in (parts.get(int(s)), None if pd.isna(d) else d) if x is not None], default=None)
+            last = max([int(last), *pdf.loc[pdf["last"].astype(bool), "seq"].astype(int).tolist()])
+        if last >= 0 and len(parts) == last + 1:
+            if state.exists:
+                state.remove()
+            yield message(key, parts, True)
         else:
-            state.update((seqs, parts, last))
+            state.update((list(parts), list(parts.values()), last))
             if timeout_ms:
                 state.setTimeoutDuration(timeout_ms)
     return step
 
 
 def reassemble_stream(spark, source_path: str, schema: str, keys: list[str], checkpoint: str,
-                      query_name: str, key_types: str = "long", timeout_ms: int | None = None,
+                      output_path: str, key_types: str = "long", timeout_ms: int | None = None,
                       available_now: bool = True):
-    """Streaming reassembly over a folder of delta files; finished messages
-    land (append mode) in the in-memory table ``query_name``.
+    """Streaming reassembly over a folder of delta files; finished messages are
+    appended to Parquet files below ``output_path`` (exactly once: the file
+    sink commits by epoch) with ``complete`` true.
 
-    ``timeout_ms`` evicts messages that stay incomplete that long (for a
-    continuously running stream; it makes the engine schedule clean-up
-    batches, so it is off for ``available_now`` runs, which end once the
-    input is processed). Returns the StreamingQuery (finished when
-    ``available_now``)."""
+    ``timeout_ms`` evicts messages that stay incomplete that long and writes what
+    has come of them, ``complete`` false (for a continuously running stream; it
+    makes the engine schedule clean-up batches, so it is off for
+    ``available_now`` runs). A part repeated after its message was finished opens
+    a message of its own. Returns the StreamingQuery (finished when ``available_now``)."""
     stream = spark.readStream.schema(schema).parquet(source_path)
-    out_schema = ", ".join(f"{k} {key_types}" for k in keys) + ", n_deltas long, text string"
+    out_schema = ", ".join(f"{k} {key_types}" for k in keys) + ", n_deltas long, text string, complete boolean"
     state_schema = "seqs array<long>, parts array<string>, last long"
     timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
     assembled = stream.groupBy(*keys).applyInPandasWithState(
         _assembler(keys, timeout_ms), out_schema, state_schema, "append", timeout)
-    w = (assembled.writeStream.outputMode("append").format("memory").queryName(query_name)
+    w = (assembled.writeStream.outputMode("append").format("parquet").option("path", output_path)
          .option("checkpointLocation", checkpoint))
     if available_now:
         q = w.trigger(availableNow=True).start()

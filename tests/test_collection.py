@@ -70,12 +70,12 @@ def test_fold_extras(spark):
 def test_search_collection_prunes_partitions(spark):
     from ragframe.operators.collection import search_collection
     path = scratch_path(spark, "t-coll")
-    create_if_missing(spark, path)
+    create_if_missing(spark, path, n_buckets=8)
     df = spark.createDataFrame([(f"f{i}", j, f"t{i}{j}", [float(i), float(j)]) for i in range(20) for j in range(3)],
                                "file_id string, chunk_no long, content string, embedding array<float>")
     append(df, path, n_buckets=8)
     qs = spark.createDataFrame([(1, "f3", [3.0, 0.2])], "qid long, file_id string, embedding array<float>")
-    r = search_collection(spark, path, qs, 2, n_buckets=8, output_fields=["content"])
+    r = search_collection(spark, path, qs, 2, output_fields=["content"])
     assert [x.content for x in r.orderBy("rank").collect()] == ["t30", "t31"]
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(file_bucket" in plan
@@ -92,3 +92,50 @@ def test_upload_registry_append_is_replay_safe(spark):
                                  rows.schema)
     append_registry(more, path)
     assert sorted(r.file_uuid for r in load_registry(spark, path).collect()) == ["u1", "u2", "u3"]
+
+
+def test_replayed_batch_replaces_all_of_it(spark):
+    path = scratch_path(spark, "t-coll")
+    wide = spark.createDataFrame([(f"f{i}", k, "t", [0.1, 0.2]) for i in range(6) for k in (0, 1)],
+                                 "file_id string, chunk_no long, content string, embedding array<float>")
+    append(wide, path, batch_id=7)
+    append(wide, path, batch_id=8)
+    append(wide.where("file_id = 'f3'"), path, batch_id=7)
+    col = load_collection(spark, path)
+    assert col.where("ingest_batch = 7").count() == 2 and col.where("ingest_batch = 8").count() == 12
+    append(wide.limit(0), path, batch_id=8)
+    assert load_collection(spark, path).where("ingest_batch = 8").count() == 0
+
+
+def test_bucket_count_is_stored(spark):
+    import pytest
+    from ragframe.operators.collection import search_collection, stored_buckets
+    path = scratch_path(spark, "t-coll")
+    df = spark.createDataFrame([(f"f{i}", k, f"{i}-{k}", [float(i), float(k)]) for i in range(6) for k in (0, 1)],
+                               "file_id string, chunk_no long, content string, embedding array<float>")
+    append(df, path, n_buckets=8)
+    append(df, path)                                   # the same rows again
+    assert stored_buckets(spark, path) == 8
+    qs = df.where("chunk_no = 0").select(F.col("content").alias("qid"), "file_id", "embedding")
+    r = search_collection(spark, path, qs, 3, output_fields=["content"]).collect()
+    assert sorted((x.qid, x.rank, x.content) for x in r) == sorted((f"{i}-0", k + 1, f"{i}-{k}") for i in range(6) for k in (0, 1))
+    by_number = search_collection(spark, path, qs, 3, id_col="chunk_no", output_fields=["content"]).collect()
+    assert sorted((x.qid, x.rank, x.content) for x in by_number) == sorted((x.qid, x.rank, x.content) for x in r)
+    with pytest.raises(ValueError):
+        search_collection(spark, path, qs, 3, n_buckets=64)
+    with pytest.raises(ValueError):
+        append(df, path, n_buckets=16)
+
+
+def test_rejected_rows_are_kept_and_replaced_with_their_batch(spark):
+    from ragframe.operators.collection import append_conformed, load_rejected
+    path = scratch_path(spark, "t-coll")
+    df = spark.createDataFrame([("a", 0, "ok", [0.1, 0.2]), ("a", 1, "x" * 30001, [0.1, 0.2]), ("b", 0, "no vector", None),
+                                ("c", 0, "short", [0.1])], "file_id string, chunk_no long, content string, embedding array<float>")
+    for _ in range(2):
+        append_conformed(df, path, 2, batch_id=3)
+    assert load_collection(spark, path).count() == 1
+    assert sorted((r.file_id, r.chunk_no, r.status) for r in load_rejected(spark, path).collect()) == [
+        ("a", 1, "content_too_long"), ("b", 0, "missing_embedding"), ("c", 0, "bad_dimension")]
+    append_conformed(df.where("file_id = 'b'"), path, 2, batch_id=3)
+    assert load_collection(spark, path).count() == 0 and load_rejected(spark, path).count() == 1

@@ -118,3 +118,39 @@ def test_ties_resolved_by_id_like_the_jvm_engine(spark):
     b = [r.id for r in topk(c, q, 10).orderBy("rank").collect()]
     blocked = [r.id for r in topk(c, q, 10, broadcast_max_bytes=0, salt=2).orderBy("rank").collect()]
     assert a == b == blocked == list(range(1, 11))
+
+
+BAD = [(8, "a", [1.0, 1.0]), (9, None, [1.0, 1.0]), (10, "a", None), (11, "a", [1.0]), (12, "a", [1.0, None]),
+       (13, "a", [float("nan"), 1.0]), (14, "a", []), (15, "b", [2.0, 1.0]), (8, "a", [1.0, 1.0])]
+
+
+@pytest.mark.parametrize("kw", [{}, {"engine": "jvm"}, {"broadcast_max_bytes": 1},
+                                {"broadcast_max_bytes": 1, "engine": "jvm"}, {"broadcast_max_bytes": 1, "question_block_bytes": 80}])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_bad_rows_in_all_engines(spark, kw, kind):
+    from ragframe.operators.search import rejected_vectors
+    c = spark.createDataFrame([(str(i) if kind == "string" else i, f, v) for i, f, v in BAD],
+                              f"id {kind}, file_id string, embedding array<float>")
+    qs = spark.createDataFrame([("x", "a", [1.0, 1.0]), ("y", None, [1.0, 1.0]), ("z", "a", None), ("w", "b", [1.0, 1.0]),
+                                ("v", "a", [1.0])], "qid string, file_id string, embedding array<float>")
+    got = {(r.qid, int(r.id), r.rank) for r in topk(c, qs, 3, **kw).collect()}
+    assert got == {("x", 8, 1), ("w", 15, 1)}
+    wide = topk(c, qs, 3, output_fields=["file_id"], **kw).collect()
+    assert sorted((r.qid, r.file_id) for r in wide) == [("w", "b"), ("x", "a")]
+    assert sorted((int(r.id), r.reject_reason) for r in rejected_vectors(c, 2).collect()) == [
+        (9, "missing_key"), (10, "missing_vector"), (11, "bad_vector"), (12, "bad_vector"), (13, "bad_vector"), (14, "bad_vector")]
+    assert [int(r.id) for r in topk_single(c, [1.0, 1.0], 2, where=F.col("id") != "8").collect()] == [9, 15]
+
+
+def test_candidates_are_bounded_per_task(spark):
+    from ragframe.operators.search import _candidates
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        c = spark.range(200).select("id", F.lit("a").alias("file_id"), F.array(F.col("id").cast("float")).alias("vec")).repartition(4)
+        q = spark.createDataFrame([(1, "a", [100.2])], "qid long, file_id string, qvec array<float>")
+        n_tasks = 16    # the corpus is spread over at most 2 x 8 tasks
+        found, _ = _candidates(c, q, "file_id", 10, "auto", 4, 1 << 20)
+        rows = found.collect()
+        assert len(rows) <= 10 * n_tasks and len(rows) < 200 and {r.id for r in rows} >= set(range(96, 105))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -1,5 +1,4 @@
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,20 +15,34 @@ import pytest
 
 
 def test_delta_edges(spark):
-    d = spark.createDataFrame([(1, 2, " world"), (1, 0, "Hel"), (1, 3, None), (1, 1, "lo")],
+    d = spark.createDataFrame([(1, 2, " world"), (1, 0, "Hel"), (1, 3, None), (1, 1, "lo"), (1, 0, "Hel"), (1, 0, "Hel")],
                               "rid long, seq long, delta string")
-    assert reassemble(d, ["rid"]).first().text == "Hello world"
+    assert tuple(reassemble(d, ["rid"]).first()) == (1, 4, "Hello world")
 
 
 def test_stream_reassembly(spark):
     c = spark.createDataFrame([(1, 0, "a b  c"), (1, 1, ""), (2, 0, "x")], "conv_id long, turn long, text string")
-    landing = scratch_path(spark, "t-deltas")
-    to_deltas(c, ["conv_id", "turn"]).repartition(3).write.parquet(landing)
-    name = "t_" + uuid.uuid4().hex[:6]
+    landing, out = scratch_path(spark, "t-deltas"), scratch_path(spark, "t-out")
+    d = to_deltas(c, ["conv_id", "turn"])
+    d.unionByName(d.where("seq = 0")).repartition(3).write.parquet(landing)   # parts may be sent twice
     reassemble_stream(spark, landing, "conv_id long, turn long, seq long, delta string, last boolean",
-                      ["conv_id", "turn"], scratch_path(spark, "t-ck"), name)
-    got = {(r.conv_id, r.turn): r.text for r in spark.table(name).collect()}
-    assert got == {(1, 0): "a b  c", (1, 1): "", (2, 0): "x"}
+                      ["conv_id", "turn"], scratch_path(spark, "t-ck"), out)
+    rows = spark.read.parquet(out).collect()
+    assert {(r.conv_id, r.turn): r.text for r in rows} == {(1, 0): "a b  c", (1, 1): "", (2, 0): "x"}
+    assert len(rows) == 3 and all(r.complete for r in rows)
+
+
+def test_evicted_messages_are_written_out():
+    import pandas as pd
+    from ragframe.streaming.reassemble import _assembler
+
+    class State:
+        hasTimedOut, exists, get = True, True, ([1, 0], ["b", "a"], -1)
+
+        def remove(self):
+            self.exists = False
+    rows = pd.concat(list(_assembler(["k"], 10)((5,), iter([]), State())))
+    assert rows.to_dict("records") == [{"k": 5, "n_deltas": 2, "text": "ab", "complete": False}]
 
 
 def test_stream_ingest_and_epoch_replay(spark):
@@ -40,7 +53,7 @@ def test_stream_ingest_and_epoch_replay(spark):
     coll = scratch_path(spark, "t-coll")
     ck = scratch_path(spark, "t-ck")
     stream_ingest(spark, landing, "doc_id long, text string", coll, ck, limit=100,
-                  pattern=NEWLINE_PATTERN, dim=16)
+                  pattern=NEWLINE_PATTERN, dim=16, max_files_per_trigger=1)
     col = load_collection(spark, coll)
     n1 = col.count()
     assert n1 == 6 and col.select("ingest_batch").distinct().count() == 3
@@ -69,15 +82,25 @@ def test_whole_text_universal_newlines(spark, tmp_path):
 
 
 def test_csv_round_trip_quotes_and_newlines(spark):
-    df = spark.createDataFrame([("t", "【0†source】", 'say "hi"\nnext line'), ("u", "m", "")],
+    df = spark.createDataFrame([("t", "【0†source】", 'say "hi"\nnext line'), ("u", "m", ""), ("v", "m", None),
+                                ("w", " \t", " \n lead and trail  "), ("x", '""', "a\r\nb\rc, d\\\"")],
                                "documentTitle string, referenceMarker string, content string")
     p = scratch_path(spark, "t-csv")
     write_csv(df, p)
     back = read_chunk_csv(spark, p)
-    got = sorted((r[0], r[1], r[2] or "") for r in back.collect())
-    assert got == sorted((r[0], r[1], r[2]) for r in df.collect())
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
 def test_missing_table(spark):
     with pytest.raises(TableNotFound):
         load_table(spark, "no_such_table")
+
+
+def test_per_file_lines_in_section_order(spark, tmp_path):
+    from ragframe.operators.sections import per_file_lines, write_per_file
+    df = spark.createDataFrame([(f, k, f" part {k} ") for f in "ab" for k in (2, 0, 11, 1)], "doc_id string, section_no long, content string")
+    write_per_file(per_file_lines(df), str(tmp_path))
+    write_per_file(per_file_lines(df.where("doc_id = 'b' and section_no < 2")), str(tmp_path))
+    for f, keys in (("a", (0, 1, 2, 11)), ("b", (0, 1))):
+        own = read_chunk_csv(spark, f"{tmp_path}/doc_id={f}").collect()
+        assert [r[0] for r in own] == [f"【{k}†source】  part {k} " for k in keys]
