@@ -104,12 +104,15 @@ def union_all(dfs: list[DataFrame]) -> DataFrame:
 
 
 def describe_model(prompts):
-    """Stand-in model for P4: one 'name: description' line per column listed
-    in the prompt."""
+    """Stand-in model for P4: one 'name: description' line per column listed in
+    the prompt, with the number of its values in the sample rows."""
+    import pandas as pd
     out = []
     for p in prompts.iloc[:, 0]:
-        head = dict(line.split(": ", 1) for line in p.split("\n")[:3] if ": " in line)
-        cols = [c for c in head.get("Columns", "").split(", ") if c]
-        out.append("\n".join(f"{c}: column {i + 1} of {head.get('Table', '')}" for i, c in enumerate(cols)))
-    import pandas as pd
+        *lines, rows = p.split("\n", 3)
+        head = dict(line.split(": ", 1) for line in lines if ": " in line)
+        sample = json.loads(rows.partition("Rows: ")[2] or "[]")
+        columns = [c for c in head.get("Columns", "").split(", ") if c]
+        out.append("\n".join(f"{c}: column {i} of {head.get('Table', '')}, {len({r[c] for r in sample if c in r})} values in the sample"
+                              for i, c in enumerate(columns, 1)))
     return pd.Series(out)

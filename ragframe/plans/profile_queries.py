@@ -30,10 +30,13 @@ PROFILED = {
     "labels": (["doc_id", "quality", "toxic"], ["doc_id"]),
     "benchmark": (["item_id", "text"], ["item_id"]),
     "conversations": (["conv_id", "turn", "role", "text"], ["conv_id", "turn"]),
+    "documents": (["doc_id", "text", "lang", "source", "n_chars"], ["doc_id"]),
+    "pages": (["page_id", "url", "html"], ["page_id"]),
+    # the vector itself has no text form that engines agree on
+    "embeddings": (["vec_id", "label"], ["vec_id"]),
 }
-# Sample order: the key, then every other column as a tie-breaker (a total
-# order up to identical rows).
-PROFILED = {t: (cols, key + [c for c in cols if c not in key]) for t, (cols, key) in PROFILED.items()}
+# Line numbers repeat within an order: its sample is ordered by every column.
+PROFILED["lineitem"][1].extend(c for c in PROFILED["lineitem"][0] if c not in PROFILED["lineitem"][1])
 # Requested names include one that is not a table.
 REQUESTED = list(PROFILED) + ["employees"]
 
@@ -79,10 +82,10 @@ SELECT table_name, column_name, col_pos, count(value) AS n_values,
 FROM u GROUP BY table_name, column_name, col_pos
 """)
 def q_column_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S2 + P1 for eleven tables: column names in table order and their
+    """S2 + P1 for all tables: column names in table order and their
     sample values."""
-    return union_all([column_samples(load_table(spark, t, sf_dir), t, key)
-                      for t, (_, key) in PROFILED.items()])
+    return union_all([column_samples(load_table(spark, t, sf_dir).select(*cols), t, key)
+                      for t, (cols, key) in PROFILED.items()])
 
 
 @register("table_descriptions", f"""
@@ -119,8 +122,8 @@ _PROMPTS_SQL = _with_samples() + ", prompts AS (" + " UNION ALL ".join(_prompt_s
 
 def _prompts(spark, sf_dir) -> DataFrame:
     cat = dict(catalog_entries())
-    return union_all([profile_prompt(load_table(spark, t, sf_dir), t, cat.get(t), key)
-                      for t, (_, key) in PROFILED.items()])
+    return union_all([profile_prompt(load_table(spark, t, sf_dir).select(*cols), t, cat.get(t), key)
+                      for t, (cols, key) in PROFILED.items()])
 
 
 @register("profile_prompts", _PROMPTS_SQL + """
@@ -133,12 +136,14 @@ def q_profile_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.length("prompt").cast("long").alias("prompt_chars"))
 
 
-@register("describe_tables", "WITH " + ", ".join(
-    f"""d_{t} AS (SELECT '{t}' AS table_name, unnest(range(0, {len(c)})) AS line_no,
-        unnest([{', '.join(_lit(x) for x in c)}]) AS column_name)""" for t, (c, _) in PROFILED.items()) + """
-SELECT table_name, CAST(line_no AS BIGINT) AS line_no, column_name,
-       'column ' || (line_no + 1) || ' of ' || table_name AS description, 'ok' AS status
-FROM (""" + " UNION ALL ".join(f"SELECT * FROM d_{t}" for t in PROFILED) + ")")
+def _described_sql(t: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, CAST({i} AS BIGINT) AS line_no, '{c}' AS column_name, "
+        f"'column {i + 1} of {t}, ' || count(DISTINCT CAST({c} AS VARCHAR)) || ' values in the sample' AS description, "
+        f"'ok' AS status FROM s_{t}" for i, c in enumerate(PROFILED[t][0]))
+
+
+@register("describe_tables", _with_samples() + " SELECT * FROM (" + " UNION ALL ".join(_described_sql(t) for t in PROFILED) + ")")
 def q_describe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt -> model -> parsed 'name: description' lines."""
     p = _prompts(spark, sf_dir)

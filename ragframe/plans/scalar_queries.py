@@ -10,13 +10,15 @@ from ragframe.functions.text import (code_blocks, file_id_from_path, marker,
                                      description_lines, basename)
 from ragframe.functions.tokens import WORD_PATTERN, chars4, words
 from ragframe.functions.vectors import parse_vector, vector_to_text
-from ragframe.operators.collection import columns_to_rows, fold_extras, rows_to_columns, stable_id
+from ragframe.operators.collection import (append_registry, columns_to_rows, fold_extras, load_registry, rows_to_columns,
+                                           stable_id)
 from ragframe.operators.partitioning import spread
 from ragframe.operators.validation import collection_status, question_status, upload_status
 from ragframe.plans.chat import vector_collection
 from ragframe.plans.registry import register
 from ragframe.plans.section_queries import RULE_LEN, _paras_sql
 from ragframe.operators.sections import kept_paragraphs
+from ragframe.session import scratch_path
 from ragframe.sources.tables import load_table
 
 DIM = 64
@@ -66,7 +68,8 @@ def q_file_id_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("upload_registry", r"""
-WITH b AS (SELECT page_id, regexp_extract(url, '[^/]*$', 0) AS filename, html FROM pages)
+WITH b AS (SELECT page_id, regexp_extract(url, '[^/]*$', 0) || CASE WHEN length(html) % 2 = 0 THEN '.docx' ELSE '' END AS filename,
+                  html FROM pages)
 SELECT page_id, filename,
        CASE WHEN ends_with(filename, '.docx') THEN 'ok' ELSE 'not_a_word_document' END AS status,
        CASE WHEN ends_with(filename, '.docx') THEN sha256(html) END AS file_uuid,
@@ -75,14 +78,20 @@ FROM b
 """)
 def q_upload_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F4 + X6 + K7: only '.docx' uploads are registered, under a
-    content-addressed name (replay-safe); others are quarantined."""
-    p = load_table(spark, "pages", sf_dir).select("page_id", basename(F.col("url")).alias("filename"), "html")
-    st = upload_status(F.col("filename"))
-    ok = st == "ok"
-    uid = F.sha2(F.col("html"), 256)
-    return p.select("page_id", "filename", st.alias("status"),
-                    F.when(ok, uid).alias("file_uuid"),
-                    F.when(ok, F.concat(F.lit("wordDoc/"), uid, F.lit(".docx"))).alias("storage_path"))
+    content-addressed name; others are quarantined. Pages of even length are
+    named as Word files. The batch is appended twice, as on a retry, and what
+    the registry then holds is joined to the uploads."""
+    name = F.concat(basename(F.col("url")), F.when(F.length("html") % 2 == 0, ".docx").otherwise(""))
+    p = load_table(spark, "pages", sf_dir).select("page_id", name.alias("filename"), F.sha2("html", 256).alias("uid"))
+    p = p.withColumn("status", upload_status(F.col("filename")))
+    accepted = p.where("status = 'ok'").select(F.col("uid").alias("file_uuid"), "filename", F.concat(
+        F.lit("wordDoc/"), F.col("uid"), F.lit(".docx")).alias("storage_path"))
+    path = scratch_path(spark, "registry")
+    for _ in range(2):
+        append_registry(accepted, path)
+    stored = load_registry(spark, path).select("file_uuid", "storage_path")
+    return p.join(stored, (p["uid"] == stored["file_uuid"]) & (p["status"] == "ok"), "left").select(
+        "page_id", "filename", "status", "file_uuid", "storage_path")
 
 
 def _answers(spark, sf_dir) -> DataFrame:

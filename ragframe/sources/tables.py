@@ -39,6 +39,11 @@ def sample_scan(df: DataFrame, n: int = 100, order_by: list[str] | None = None)
     """First ``n`` rows. The reference's LIMIT has no order; ours is
     deterministic: ordered by ``order_by`` (default: the first column), which
     plans as TakeOrderedAndProject (a per-task top-n, then a merge of n rows
-    per task), never a full sort."""
+    per task), never a full sort. The top keys are found first, from the key
+    columns alone, and bound the scan of the wide ones by a pushed filter."""
     keys = order_by or [df.columns[0]]
+    top = df.select(*keys).orderBy(*[F.col(k).asc_nulls_first() for k in keys]).limit(n)
+    bound = top.agg(F.max(keys[0])).first()[0]
+    if bound is not None:
+        df = df.where((F.col(keys[0]) <= bound) | F.col(keys[0]).isNull())
     return df.orderBy(*[F.col(k).asc_nulls_first() for k in keys]).limit(n)
