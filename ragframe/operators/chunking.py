@@ -24,22 +24,23 @@ TOKEN_LIMIT = 1000
 OVERLAP_PERCENTAGE = 0.34
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: a lambda variable is bound to it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def word_pieces(u: Column, word_limit: int) -> Column:
     """Groups of ``word_limit`` words split on single spaces, re-joined with a
     space; pieces after the first carry the ' ' separator in front."""
-    words = F.split(u, " ", -1)
-    starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(word_limit))
-    return F.transform(starts, lambda s, j: F.concat(
-        F.when(j > 0, F.lit(" ")).otherwise(F.lit("")),
-        F.array_join(F.slice(F.split(u, " ", -1), s + 1, F.lit(word_limit)), " ")))
+    return _let(F.split(u, " ", -1), lambda words: F.transform(
+        F.sequence(F.lit(0), F.size(words) - 1, F.lit(word_limit)),
+        lambda s: F.concat(F.when(s > 0, F.lit(" ")).otherwise(F.lit("")),
+                           F.array_join(F.slice(words, s + 1, F.lit(word_limit)), " "))))
 
 
 def char_pieces(w: Column, char_limit: int) -> Column:
-    """Every ``char_limit`` characters (code points); empty text -> []."""
-    n = F.length(w)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(char_limit)),
-                                     lambda s: w.substr(s + 1, F.lit(char_limit)))) \
-            .otherwise(F.array().cast("array<string>"))
+    """Every ``char_limit`` characters (code points), in one pass; empty text -> []."""
+    return F.regexp_extract_all(w, F.lit(f"(?s).{{1,{char_limit}}}"), 0)
 
 
 Splitter = Callable[[Column], Column]

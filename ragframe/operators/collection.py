@@ -122,9 +122,11 @@ def append(df: DataFrame, path: str, *, batch_id: int | None = None, replace_fil
             _write_partitions(rows, path, replace=False)
             return bid
         # the buckets written are observed while writing (at most n_buckets values)
-        seen = Observation()
+        seen = Observation("written")
         _write_partitions(rows.observe(seen, F.collect_set("file_bucket").alias("buckets")), path)
-        _drop_other_buckets(spark, path, bid, set(seen.get["buckets"]))
+        # a plan without rows is optimised away with its metrics
+        written = set() if rows.isEmpty() else set(seen.get["buckets"])
+        _drop_other_buckets(spark, path, bid, written)
         return bid
     existing = load_collection(spark, path)
     files = rows.select("file_id").distinct()
@@ -146,9 +148,15 @@ def append(df: DataFrame, path: str, *, batch_id: int | None = None, replace_fil
 def append_conformed(df: DataFrame, path: str, dim: int, *, batch_id: int | None = None, **kw) -> int:
     """F8 then K2: conforming rows are appended, the others go with their
     ``status`` to the collection's quarantine, which a replay of the batch
-    replaces like the rows themselves. Nothing is lost."""
-    from ragframe.operators.validation import conform_collection
-    ok, bad = conform_collection(df, dim)
+    replaces like the rows themselves. Nothing is lost. The rows are staged in
+    the shared checkpoint folder, so that what they cost (an embedder's calls)
+    is paid once and they may come from the collection itself."""
+    from ragframe.operators.validation import with_collection_status
+    from ragframe.session import scratch_path
+    staging = scratch_path(df.sparkSession, "conformed")
+    with_collection_status(df, dim).write.parquet(staging)
+    staged = df.sparkSession.read.parquet(staging)
+    ok, bad = staged.where("status = 'ok'"), staged.where("status <> 'ok'")
     replay = batch_id is not None
     bid = append(ok.drop("status"), path, batch_id=batch_id, **kw)
     rows = bad.select(*[F.col(c).cast(COLLECTION_SCHEMA[c].dataType).alias(c) for c in REJECTED_COLS if c in bad.columns], "status")

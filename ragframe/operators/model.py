@@ -1,10 +1,13 @@
 """Applying an external model (chat completion, embedder) to a column of
-prompts: Arrow batches per partition, one client per partition, bounded
-retries, failures kept in an ``error`` column instead of failing the job."""
+prompts: Arrow batches per partition, one client per partition, a time limit
+and bounded retries. A batch that fails is asked again prompt by prompt, so one
+bad prompt costs no other its answer; failures are kept in an ``error`` column
+instead of failing the job."""
 
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from typing import Callable
 
 import pandas as pd
@@ -16,30 +19,46 @@ ModelFn = Callable[[pd.DataFrame], pd.Series]
 
 def apply_model(df: DataFrame, fn: ModelFn | Callable[[], ModelFn], prompt_cols: list[str],
                 out_col: str = "answer", *, max_retries: int = 3, backoff_s: float = 0.5,
-                factory: bool = False) -> DataFrame:
+                factory: bool = False, timeout_s: float | None = 10.0) -> DataFrame:
     """Add ``out_col`` (string) and ``error`` (string) computed by ``fn`` on
     each Arrow batch of ``prompt_cols``. With ``factory=True`` ``fn`` is called
-    once per partition to build the client-bound function."""
+    once per partition to build the client-bound function. A call that takes
+    longer than ``timeout_s`` counts as failed. The whole batch is tried once,
+    each prompt of a failed one up to ``max_retries`` times more."""
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType()),
                                               T.StructField("error", T.StringType())])
 
     def run(batches):
         f = fn() if factory else fn
-        for pdf in batches:
+        def call(prompts: pd.DataFrame) -> list:
+            if timeout_s is None:
+                return list(f(prompts))
+            pool = ThreadPoolExecutor(1)      # one that hangs is left behind
+            try:
+                return list(pool.submit(f, prompts).result(timeout_s))
+            finally:
+                pool.shutdown(wait=False, cancel_futures=True)
+
+        def one(prompt: pd.DataFrame) -> tuple[str | None, str | None]:
             err = None
-            out = None
-            for attempt in range(max_retries + 1):
+            for attempt in range(max_retries):
                 try:
-                    out = pd.Series(f(pdf[prompt_cols]), index=pdf.index).astype(object)
-                    err = None
-                    break
+                    return call(prompt)[0], None
                 except Exception as e:  # noqa: BLE001 - model errors are data
                     err = f"{type(e).__name__}: {e}"
-                    if attempt < max_retries:
+                    if attempt + 1 < max_retries:
                         time.sleep(backoff_s * (2 ** attempt))
+            return None, err
+
+        for pdf in batches:
+            try:
+                answers = [(a, None) for a in call(pdf[prompt_cols])] if len(pdf) else []
+            except Exception as e:  # noqa: BLE001
+                answers = [one(pdf[prompt_cols].iloc[i:i + 1]) if max_retries else (None, f"{type(e).__name__}: {e}")
+                           for i in range(len(pdf))]
             pdf = pdf.copy()
-            pdf[out_col] = out if err is None else None
-            pdf["error"] = err
+            for c, i in ((out_col, 0), ("error", 1)):
+                pdf[c] = pd.Series([a[i] for a in answers], index=pdf.index, dtype=object)
             yield pdf
 
     return df.mapInPandas(run, schema)

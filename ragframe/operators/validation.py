@@ -54,9 +54,13 @@ def collection_status(file_id: Column, content: Column, embedding: Column, dim:
             .otherwise(F.lit("ok")))
 
 
+def with_collection_status(df: DataFrame, dim: int, *, length_unit: str = "chars") -> DataFrame:
+    """Add ``status``: "ok" or the first rule a row breaks."""
+    desc = F.col("description") if "description" in df.columns else None
+    return df.withColumn("status", collection_status(F.col("file_id"), F.col("content"), F.col("embedding"), dim, desc,
+                                                     length_unit))
+
+
 def conform_collection(df: DataFrame, dim: int, *, length_unit: str = "chars"):
     """Add ``status`` and return ``(accepted, quarantined)``."""
-    desc = F.col("description") if "description" in df.columns else None
-    st = collection_status(F.col("file_id"), F.col("content"), F.col("embedding"), dim, desc,
-                           length_unit)
-    return split_by_status(df.withColumn("status", st))
+    return split_by_status(with_collection_status(df, dim, length_unit=length_unit))

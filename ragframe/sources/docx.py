@@ -56,8 +56,14 @@ def minimal_docx(paragraphs: list[str]) -> bytes:
     return buf.getvalue()
 
 
-def _paragraph_texts(content: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None else paragraphs_of(bytes(b)) for b in content])
+def _paragraph_texts(content: pd.Series) -> pd.DataFrame:
+    rows = []
+    for b in content:
+        try:
+            rows.append((None if b is None else paragraphs_of(bytes(b)), None))
+        except Exception as e:  # noqa: BLE001 - a corrupt file is data
+            rows.append((None, f"{type(e).__name__}: {e}"))
+    return pd.DataFrame(rows, columns=["texts", "error"])
 
 
 def _to_docx(text: pd.Series) -> pd.Series:
@@ -65,8 +71,8 @@ def _to_docx(text: pd.Series) -> pd.Series:
 
 
 def docx_paragraph_texts(content):
-    """Arrow-batched: .docx bytes -> paragraph texts in body order."""
-    return F.pandas_udf(_paragraph_texts, "array<string>")(content)
+    """Arrow-batched: .docx bytes -> paragraph texts in body order, or the error of a corrupt file."""
+    return F.pandas_udf(_paragraph_texts, "texts array<string>, error string")(content)
 
 
 def text_to_docx(text):
@@ -74,12 +80,15 @@ def text_to_docx(text):
     return F.pandas_udf(_to_docx, "binary")(text)
 
 
-def docx_paragraphs(df: DataFrame, key_col: str = "path", content_col: str = "content") -> DataFrame:
-    """Rows ``(key, para_idx, text)`` from a binary column of .docx bytes."""
-    return (df.select(key_col, F.posexplode_outer(docx_paragraph_texts(F.col(content_col)))
-                      .alias("para_idx", "text"))
-            .filter(F.col("para_idx").isNotNull())
-            .withColumn("para_idx", F.col("para_idx").cast("long")))
+def docx_paragraphs(df: DataFrame, key_col: str = "path", content_col: str = "content",
+                    errors: bool = False) -> DataFrame:
+    """Rows ``(key, para_idx, text)`` from a binary column of .docx bytes. With
+    ``errors`` also ``error``, and a row with it for each file that can't be read."""
+    read = df.select(key_col, docx_paragraph_texts(F.col(content_col)).alias("_d"))
+    out = read.select(key_col, F.posexplode_outer("_d.texts").alias("para_idx", "text"), F.col("_d.error").alias("error"))
+    out = out.filter(F.col("para_idx").isNotNull() | (F.col("error").isNotNull() if errors else F.lit(False)))
+    out = out.withColumn("para_idx", F.col("para_idx").cast("long"))
+    return out if errors else out.drop("error")
 
 
 def read_docx_folder(spark: SparkSession, root: str) -> DataFrame:

@@ -79,13 +79,13 @@ def assert_packed(text: str, chunks: list[str], limit: int, pattern=SENT, finer:
 
 
 def assert_overlapped(plain: list[str], overlapped: list[str], limit: int, overlap: float, pattern=SENT) -> None:
-    """Each chunk goes on with the first run of the next one, under the overlap's own limit."""
+    """Each chunk goes on with the first run of the next one, under the overlap's own limit; pieces stay those of the whole."""
     own = int(limit * overlap)
     assert len(plain) == len(overlapped)
     for i, (p, o) in enumerate(zip(plain, overlapped, strict=True)):
         head = ""
         if i + 1 < len(plain):
-            parts = leaves(sentence_pieces(plain[i + 1], pattern), own, splitters(own))
+            parts = leaves(sentence_pieces(plain[i + 1], pattern), own, splitters(limit))
             head = "".join(t for t, _ in parts[:first_run(parts, 0, own)])
         assert o == p + head, i
 

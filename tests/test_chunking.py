@@ -141,3 +141,21 @@ def test_private_use_characters_stay(spark):
         assert got[i] == sentence_pieces(t)
     chunks = _spark_chunks(spark, list(enumerate(texts)), limit=100)
     assert all("".join(chunks[i]) == t for i, t in enumerate(texts))
+
+
+def test_time_grows_with_the_length_of_a_document(spark):
+    import time
+    from ragframe.operators.chunking import char_pieces, word_pieces
+
+    def seconds(mb, col):
+        df = spark.createDataFrame([("word " * (200_000 * mb),)], "t string").persist()
+        df.count()
+        took = []
+        for _ in range(2):
+            t0 = time.time()
+            df.select(col(F.col("t")).alias("p")).write.format("noop").mode("overwrite").save()
+            took.append(time.time() - t0)
+        df.unpersist()
+        return min(took)
+    for col in (lambda t: word_pieces(t, 100), lambda t: char_pieces(t, 400)):
+        assert seconds(4, col) < 4 * seconds(1, col) + 1.5

@@ -104,3 +104,28 @@ def test_per_file_lines_in_section_order(spark, tmp_path):
     for f, keys in (("a", (0, 1, 2, 11)), ("b", (0, 1))):
         own = read_chunk_csv(spark, f"{tmp_path}/doc_id={f}").collect()
         assert [r[0] for r in own] == [f"【{k}†source】  part {k} " for k in keys]
+
+
+def test_corrupt_docx_is_an_error_row(spark):
+    from ragframe.sources.docx import docx_paragraphs
+    df = spark.createDataFrame([("good", minimal_docx(["a", "b"])), ("bad", b"not a zip"), ("none", None)], "path string, content binary")
+    assert sorted((r.path, r.text) for r in docx_paragraphs(df).collect()) == [("good", "a"), ("good", "b")]
+    bad = [r for r in docx_paragraphs(df, errors=True).collect() if r.error]
+    assert [(r.path, r.para_idx) for r in bad] == [("bad", None)]
+
+
+def test_one_bad_prompt_costs_no_other(spark):
+    import time
+    import pandas as pd
+    from ragframe.operators.model import apply_model
+
+    def model(prompts):
+        if (prompts["p"] == "bad").any():
+            raise ValueError("bad prompt")
+        if (prompts["p"] == "slow").any():
+            time.sleep(3)
+        return pd.Series(["<" + p + ">" for p in prompts["p"]])
+    df = spark.createDataFrame([(p,) for p in ["a", "bad", "b", "slow"]], "p string").coalesce(1)
+    got = {r.p: (r.answer, (r.error or "").split(":")[0]) for r in
+           apply_model(df, model, ["p"], max_retries=1, timeout_s=1.0, backoff_s=0).collect()}
+    assert got == {"a": ("<a>", ""), "b": ("<b>", ""), "bad": (None, "ValueError"), "slow": (None, "TimeoutError")}
