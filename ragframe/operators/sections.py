@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragframe.functions.text import (CODE_BLOCK_PATTERN_REF, IMAGE_PREFIX, MARKER_CLOSE, MARKER_OPEN, marker,
-                                     py_strip)
+                                     py_strip, strictly_increasing_prefix)
 from ragframe.operators.numbering import global_offsets
 from ragframe.operators.partitioning import spread
 
@@ -153,6 +153,39 @@ def assemble_sections(df: DataFrame, rule: BoundaryRule = heading_rule, *, id_co
     return out.select(*cols)
 
 
+def sections_from_rows(rows: DataFrame, rule: BoundaryRule = heading_rule, *, starts: DataFrame | None = None,
+                       id_col: str = "doc_id", idx_col: str = "para_idx", text_col: str = "text",
+                       page_col: str | None = None, min_chars: int = MIN_SECTION_CHARS, mode: str = "word") -> DataFrame:
+    """D4 + D6 - D8 over paragraph rows, as Word files and page blocks give
+    them: a text may hold line breaks and still be one paragraph. Blank ones
+    and, in Word mode, image placeholders are left out before numbering.
+
+    ``starts`` has (id, ``markers`` array<int>) as listed in model answers; of
+    each list the leading increasing run of known markers counts, and it takes
+    the place of ``rule``. A document without an answer is one section. One
+    shuffle gathers a document's paragraphs in its row."""
+    pdf = mode == "pdf"
+    page = F.col(page_col).cast("int") if page_col else F.lit(None).cast("int")
+    kept = rows.select(F.col(id_col).alias("_id"), F.col(idx_col).alias("_i"), py_strip(F.col(text_col)).alias("_t"), page.alias("_p"))
+    kept = kept.where(F.col("_t") != "") if pdf else kept.where((F.col("_t") != "") & ~F.col("_t").startswith(IMAGE_PREFIX))
+    docs = kept.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_i", "_t", "_p"))).alias("_rows"))
+    if starts is None:
+        begins = lambda i, t: rule(i, t)
+    else:
+        own = starts.select(F.col(id_col).alias("_id"), strictly_increasing_prefix(F.col("markers")).alias("_starts"))
+        docs = docs.join(own, "_id", "left").withColumn("_starts", F.coalesce("_starts", F.array().cast("array<int>")))
+        # an unknown marker ends the run; the ones before it are all smaller
+        begins = lambda i, t: F.array_contains("_starts", i)
+    paras = F.transform("_rows", lambda x, i: F.struct(
+        i.alias("m"), x["_t"].alias("text"), begins(i, x["_t"]).alias("start"), x["_p"].alias("page")))
+    out = docs.select(F.col("_id").alias(id_col), F.posexplode_outer(_assemble(paras, min_chars, pdf)).alias("section_no", "_x"))
+    cols = [id_col, F.col("section_no").cast("long").alias("section_no"), F.col("_x.content").alias("content"),
+            F.col("_x.first_marker").cast("long").alias("first_marker"), F.col("_x.n_paras").cast("long").alias("n_paras")]
+    if pdf:
+        cols.append(F.col("_x.page").cast("long").alias("page_number"))
+    return out.where(F.col("section_no").isNotNull()).select(*cols)
+
+
 def global_markers(sections: DataFrame, *, id_col: str = "doc_id",
                    section_col: str = "section_no") -> DataFrame:
     """Number sections over all documents of a run (document order, then

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragframe.functions.text import PY_SPACE_CLASS
+from ragframe.functions.text import PY_SPACE_CLASS, marker, section_markers
+from ragframe.operators.partitioning import spread
 from ragframe.operators.sections import (MIN_SECTION_CHARS, PDF_GROUP, assemble_sections,
                                          excerpt_groups, global_markers,
-                                         paragraphs, per_file_lines, rule_model, semantic_chunks)
+                                         paragraphs, per_file_lines, rule_model, sections_from_rows,
+                                         semantic_chunks)
 from ragframe.plans.registry import register
+from ragframe.sources.docx import docx_paragraphs, text_to_docx
 from ragframe.sources.tables import load_table
 
 # Query parameters: boundary rule = first or shorter than 60 characters;
@@ -144,3 +147,40 @@ def q_per_file_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows a per-file CSV sink writes)."""
     s = assemble_sections(_docs(spark, sf_dir), _rule, mode="pdf", lines_per_page=LINES_PER_PAGE)
     return per_file_lines(s)
+
+
+@register("docx_sections", _sections_sql(False) + """
+SELECT doc_id, section_no, content, first_marker, n_paras FROM sections
+""")
+def q_docx_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9 -> D4: every document as a Word file, its paragraph rows cut into sections."""
+    files = spread(_docs(spark, sf_dir)).select("doc_id", text_to_docx(F.col("text")).alias("content"))
+    return sections_from_rows(docx_paragraphs(files, "doc_id", "content"), _rule)
+
+
+@register("sections_from_blocks", _sections_sql(True) + """
+SELECT doc_id, section_no, content, first_marker, n_paras, page_number FROM sections
+""")
+def q_sections_from_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S10 -> D7 + D8: a table of page blocks (page and text per row) cut into sections."""
+    d = spread(_docs(spark, sf_dir))
+    blocks = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "block")).withColumn(
+        "page", F.floor(F.col("block_no") / LINES_PER_PAGE) + 1)
+    return sections_from_rows(blocks, _rule, idx_col="block_no", text_col="block", page_col="page", mode="pdf")
+
+
+@register("sections_from_answers", _sections_sql(False) + """
+SELECT doc_id, section_no, content, first_marker, n_paras FROM sections
+""")
+def q_sections_from_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X10 -> D4: sections from the markers that answers list. Each third answer
+    goes on with a repeated, a falling and an unknown marker, each seventh names
+    its list twice: neither changes what counts."""
+    from ragframe.plans.scalar_queries import _answers
+    bad = F.concat(F.lit(", "), F.array_join(F.array(*(F.concat(F.lit("'"), marker(F.lit(n)), F.lit("'")) for n in (0, 0, 999_999))), ", "), F.lit("]"))
+    a = _answers(spark, sf_dir)
+    a = a.withColumn("answer", F.when(F.col("doc_id") % 3 == 0, F.replace("answer", F.lit("]"), bad)).otherwise(F.col("answer")))
+    a = a.withColumn("answer", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("```python\nsections = ['【1†source】']\n```\n"), "answer"))
+                     .otherwise(F.col("answer")))
+    lines = spread(_docs(spark, sf_dir)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("para_idx", "text"))
+    return sections_from_rows(lines, starts=a.select("doc_id", section_markers(F.col("answer")).alias("markers")))
