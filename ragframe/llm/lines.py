@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.llm.buckets import bucket_members, pairs_across, star_pairs
+from ragframe.llm.buckets import bucket_members, open_members, pairs_across, star_pairs
 from ragframe.llm.common import id_and_text, written
 from ragframe.llm.components import connected_components
 
@@ -145,7 +145,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .join(prints.withColumnRenamed("node", "b").withColumnRenamed("payload", "y"), "b")
             .where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS).select("a", "b"))
     links = _verified(near, d, classes, similarity, "star")
-    rest = pairs_across(members, prints, connected_components(links), _within_radius)
+    rest = pairs_across(open_members(members, connected_components(links), "lines"), prints, _within_radius)
     more = _verified(rest, d, classes, similarity, "rest")
     components = connected_components(links.unionByName(more))
     linked = classes.join(components, "node")

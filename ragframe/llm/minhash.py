@@ -8,9 +8,10 @@
    pairs). Pairs whose signatures agree are verified on the full shingle sets,
    and the links found are closed into components by large-star / small-star.
 4. A bucket may still hold several components. Only those buckets are compared in
-   full, in blocks of bounded size, and only pairs across components whose
-   signatures agree are verified. So no link between different texts that share
-   a bucket is lost, while the pairs inside a component are never listed.
+   full: blocks of bounded size count the shingles that rows of different
+   components share and give back a spanning set of the links. So no link
+   between different texts that share a bucket is lost, and neither the pairs
+   inside a component nor those that fail are ever rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.llm.buckets import bucket_members, pairs_across, star_pairs
+from ragframe.llm.buckets import bucket_members, open_members, pairs_across, star_pairs
 from ragframe.llm.common import id_and_text, semi_join_measured, written
 from ragframe.llm.components import connected_components
 
@@ -91,25 +92,39 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, digest binary, n_shingles long, sig binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-
+def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int, name: str) -> DataFrame:
+    """(doc_id, shingles as bytes) of the documents in ``nodes`` (column doc_id)."""
     def run(batches):
         for batch in batches:
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                s = shingle_set(word_list(text), k).view(np.int64)
+            for i, text in enumerate(batch.column("text")):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, 1), pa.ListArray.from_arrays([0, len(s)], pa.array(s))], schema=schema)
-
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
-
-
-def _agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Share of equal minima of each row of ``left`` and each of ``right``."""
-    same = np.zeros((len(left), len(right)), dtype=np.int16)
-    for c in range(left.shape[1]):
-        same += left[:, c, None] == right[None, :, c]
-    return same / left.shape[1]
+                    [batch.column("doc_id").slice(i, 1), pa.array([shingle_set(word_list(text.as_py()), k).tobytes()], pa.binary())],
+                    names=["doc_id", "shingles"])
+
+    texts = semi_join_measured(docs, written(nodes.distinct(), f"{name}-ids"), "doc_id").dropDuplicates(["doc_id", "text"])
+    return written(texts.mapInArrow(run, "doc_id long, shingles binary"), f"{name}-sets")
+
+
+def similar(left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
+    """Matrix of 100 * intersection >= percent * union, of shingle sets as bytes."""
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in (left if left is right else [*left, *right])]
+    size = np.array([len(x) for x in sets], dtype=np.float64)
+    owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = held > 1                        # a shingle of one set alone is in no intersection
+    column = (np.cumsum(several) - 1)[at][several[at]]
+    owner = owner[several[at]]
+    by = np.argsort(column, kind="stable")
+    column, owner = column[by], owner[by]
+    m = len(left)
+    rest = slice(0, m) if left is right else slice(m, None)
+    shared = np.zeros((m, len(size[rest])))
+    for s in range(0, int(several.sum()), 2048):  # bounds the table
+        x, y = np.searchsorted(column, (s, s + 2048))
+        table = np.zeros((len(sets), 2048), dtype=np.float32)
+        table[owner[x:y], column[x:y] - s] = 1
+        shared += table[:m] @ table[rest].T
+    return 100 * shared >= percent * (size[:m, None] + size[None, rest] - shared)
 
 
 def _signatures(column) -> np.ndarray:
@@ -131,15 +146,16 @@ def agreeing(pairs: DataFrame, reps: DataFrame, floor: float) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
+    @F.pandas_udf("boolean")
+    def linked(x, y):
+        import pandas as pd
+        return pd.Series([bool(similar([p], [q], percent)[0, 0]) for p, q in zip(x, y, strict=True)], dtype=bool)
+
     pairs = written(pairs, f"{name}-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = semi_join_measured(docs, written(ids, f"{name}-ids"), "doc_id").dropDuplicates(["doc_id", "text"])
-    sets = written(shingle_sets(texts, k), f"{name}-sets")
+    sets = shingle_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), k, name)
     both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return written(both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(),
-                   f"{name}-links")
+    return written(both.where(linked("sa", "sb")).select("a", "b").distinct(), f"{name}-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
@@ -161,10 +177,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = bucket_members(reps.select(F.col("rep").alias("node"), F.explode("bands").alias("key")), "minhash")
     one = reps.groupBy("rep").agg(F.min(F.struct("digest", "sig")).alias("first")).select("rep", "first.sig")
     links = verified(agreeing(star_pairs(members), one, floor), d, k, percent, "star")
-    rest = pairs_across(members, one.select(F.col("rep").alias("node"), F.col("sig").alias("payload")),
-                        connected_components(links),
-                        lambda x, y: _agreement(_signatures(x), _signatures(y)) >= floor)
-    more = verified(rest, d, k, percent, "rest")
+    open_ = open_members(members, connected_components(links), "minhash")
+    sets = shingle_sets(d, open_.select(F.col("node").alias("doc_id")), k, "open")
+    more = written(pairs_across(open_, sets.toDF("node", "payload"), lambda x, y: similar(x, y, percent), spanning=True), "more-links")
     components = connected_components(links.unionByName(more))
     named = (reps.select("digest", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
              .select("digest", F.coalesce("component", "rep").alias("component_id")))

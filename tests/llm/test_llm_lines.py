@@ -57,7 +57,7 @@ def near_lines(rng, n):
 
 @pytest.mark.parametrize("block", [512, 3])
 def test_against_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(buckets.pairs_across, "__defaults__", (block,))
+    monkeypatch.setattr(buckets.open_members, "__defaults__", (block,))
     rng = random.Random(block)
     pool = near_lines(rng, 60) + ["the same line in very many documents here"] * 30 + ["", "too short to judge", "!!!"]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 6)))) for i in range(1, 140)]

@@ -75,7 +75,7 @@ def chain(rng, n, words=60):
 
 @pytest.mark.parametrize("block", [512, 4])
 def test_chains_edges_and_clashing_columns(spark, monkeypatch, block):
-    monkeypatch.setattr(buckets.pairs_across, "__defaults__", (block,))
+    monkeypatch.setattr(buckets.open_members, "__defaults__", (block,))
     rng = random.Random(block)
     texts = [t for _ in range(6) for t in chain(rng, 12)] + ["same words here and there"] * 40
     texts += ["", " \n", None, "one", "One", "one two", "ONE\ttwo", "x " * 30_000, "X " * 30_000 + "y", "É é", "é é"]
