@@ -59,8 +59,9 @@ def shingle_weights(words: list[str]) -> np.ndarray:
 
 def word_signs(words: list[str]) -> np.ndarray:
     """Running sums of the words' 128 signs: a window's are the difference of two rows."""
-    names, at = np.unique(words, return_inverse=True)
-    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in names.tolist()), dtype=np.uint8).reshape(-1, 16)
+    number: dict[str, int] = {}
+    at = np.array([number.setdefault(w, len(number)) for w in words])
+    raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, number)), dtype=np.uint8).reshape(-1, 16)
     signs = np.unpackbits(raw, axis=1).astype(np.int32) * 2 - 1
     return np.concatenate([np.zeros((1, 128), dtype=np.int32), np.cumsum(signs[at], axis=0, dtype=np.int32)])
 
