@@ -40,14 +40,15 @@ def open_members(members: DataFrame, components: DataFrame, name: str, block: in
 
 
 def pairs_across(open_: DataFrame, payload: DataFrame, agree: Callable[[list, list], np.ndarray],
-                 spanning: bool = False) -> DataFrame:
+                 spanning: bool = False, confirm: Callable[[object, object], bool] | None = None) -> DataFrame:
     """Pairs (a, b) of members of one bucket that are in different components
     and of which ``agree`` (a matrix, from the ``payload`` column of the rows
     and of the columns) is true. ``payload`` has node and payload.
 
     Each pair of a bucket's blocks is one group, bounded whatever the bucket. If
     ``agree`` is final, ``spanning`` gives of a group's pairs only those that
-    connect components not yet connected by an earlier one of the group."""
+    connect components not yet connected by an earlier one of the group; with
+    ``confirm``, a last test of two payloads, it is asked of such pairs only."""
     m = (open_.join(payload, "node").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
          .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     groups = (m.groupBy("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
@@ -66,17 +67,18 @@ def pairs_across(open_: DataFrame, payload: DataFrame, agree: Callable[[list, li
                 across = ca[:, None] != cb[None, :]
                 if not across.any():
                     continue
-                x, y = np.nonzero(across & agree([r["payload"] for r in left], [r["payload"] for r in right]))
+                pl, pr = [r["payload"] for r in left], [r["payload"] for r in right]
+                x, y = np.nonzero(across & agree(pl, pr))
                 if spanning:
-                    x, y = _spanning(ca, cb, x, y)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[x], b[y])), pa.array(np.maximum(a[x], b[y]))],
+                    x, y = _spanning(ca, cb, x, y, (lambda p, q: confirm(pl[p], pr[q])) if confirm else None)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[x], b[y]), pa.int64()), pa.array(np.maximum(a[x], b[y]), pa.int64())],
                                                  names=["a", "b"])
 
     return groups.select("i", "j", "rows").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _spanning(ca: np.ndarray, cb: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[int]]:
-    """Of the pairs (x, y), those that connect two components first."""
+def _spanning(ca: np.ndarray, cb: np.ndarray, x: np.ndarray, y: np.ndarray, confirm) -> tuple[list[int], list[int]]:
+    """Of the pairs (x, y), those that connect two components first (and are confirmed)."""
     parent: dict[int, int] = {}
 
     def root(c: int) -> int:
@@ -87,7 +89,7 @@ def _spanning(ca: np.ndarray, cb: np.ndarray, x: np.ndarray, y: np.ndarray) -> t
     out = []
     for p, q in zip(x.tolist(), y.tolist(), strict=True):
         u, v = root(int(ca[p])), root(int(cb[q]))
-        if u != v:
+        if u != v and (confirm is None or confirm(p, q)):
             parent[max(u, v)] = min(u, v)
             out.append((p, q))
     return [p for p, _ in out], [q for _, q in out]

@@ -1,13 +1,15 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, components.
 
 Lines are normalised (lower case, white space collapsed); equal ones are a class
-(one aggregate). Each class has a 64-bit SimHash of its words. The fingerprint
+(one aggregate). Each class has a 64-bit SimHash of its words, in which longer
+words weigh more, or lines would be alike by their small words. The fingerprint
 is cut into five blocks: of two fingerprints that differ in at most three bits,
 two blocks at least are equal, so lines are joined on all ten pairs of blocks
 and none within the radius is missed. A bucket's members are paired with its
-smallest one; buckets that then hold several components are compared in blocks.
-Pairs within the radius are verified by edit similarity, links are closed into
-connected groups, and the first occurrence of each group stays.
+smallest one; pairs within the radius are verified by edit similarity and links
+closed into components. Buckets that then hold several components are compared
+in blocks, which test pairs across components until they are connected and give
+back those links alone. The first occurrence of each connected group stays.
 
 A line of fewer than ``MIN_WORDS`` words says too little to be called a copy and
 always stays.
@@ -19,6 +21,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -31,6 +34,7 @@ from ragframe.llm.components import connected_components
 MIN_WORDS = 5
 SIMILARITY = 0.9             # 1 - edit distance / longer length, of normalised lines
 RADIUS = 3
+SHORT_WORD, LONG_WEIGHT = 4, 3   # words of so many letters or more weigh 3, shorter ones 1
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))   # first bit and width
 BROADCAST_LINES = 2_000_000  # line numbers of the largest removal list that is broadcast
 
@@ -42,17 +46,56 @@ def normalise(line: str) -> str:
 
 
 def simhashes(lines: list[list[str]]) -> np.ndarray:
-    """64-bit SimHash of each (not empty) list of words."""
-    names, at = np.unique([w for ws in lines for w in ws], return_inverse=True)
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in names.tolist()], dtype="<u8")
-    signs = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
-    starts = np.cumsum([0, *(len(ws) for ws in lines)])
-    out = np.zeros((len(lines), 8), dtype=np.uint8)
-    for s in range(0, len(lines), 2000):  # bounds the table of signs
-        part = starts[s:s + 2001]
-        sums = np.add.reduceat(signs[at[part[0]:part[-1]]], part[:-1] - part[0], axis=0, dtype=np.int32)
-        out[s:s + 2000] = np.packbits(sums > 0, axis=1, bitorder="little")
-    return out.view("<i8")[:, 0]
+    """64-bit SimHash of each (not empty) list of words, by weight."""
+    words = [w for ws in lines for w in ws]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype="<u8", count=len(words))
+    names, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+    weights = np.array([1 if len(words[i]) < SHORT_WORD else LONG_WEIGHT for i in first.tolist()], dtype="<u2")
+    # a word's weighted bits as 64 counters of 16 bits, four to an integer, so that a sum adds four at once
+    bits = np.unpackbits(names.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype("<u2")
+    counters = (bits * weights[:, None]).view("<u8")
+    # parts of a line small enough for 16 bits
+    cuts, part_of = [], []
+    start = 0
+    for i, ws in enumerate(lines):
+        for s in range(0, len(ws), 65_535 // LONG_WEIGHT):
+            cuts.append(start + s)
+            part_of.append(i)
+        start += len(ws)
+    cuts.append(start)
+    ones = np.zeros((len(lines), 64), dtype=np.int64)
+    for p in range(0, len(part_of), 2000):  # bounds the table of counters
+        c = np.array(cuts[p:p + 2001])
+        sums = np.add.reduceat(counters[at[c[0]:c[-1]]], c[:-1] - c[0], axis=0)
+        np.add.at(ones, part_of[p:p + 2000], sums.view("<u2").astype(np.int64))
+    total = np.zeros(len(lines), dtype=np.int64)
+    np.add.at(total, np.repeat(np.arange(len(lines)), [len(ws) for ws in lines]), weights[at].astype(np.int64))
+    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
+
+
+def within_edits(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is ``most`` or less: the bit-parallel dynamic
+    programme, a column of the table in two integers."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    if not a or not b:
+        return True
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance = full, 0, len(a)
+    for n, c in enumerate(b, 1):
+        same = where.get(c, 0)
+        flat = same | down
+        zero = (((same & up) + up) ^ up) | same
+        right_up, right_down = down | ~(zero | up) & full, up & zero
+        distance += bool(right_up & top) - bool(right_down & top)
+        if distance - (len(b) - n) > most:
+            return False
+        right_up, right_down = (right_up << 1 | 1) & full, right_down << 1 & full
+        up, down = right_down | ~(flat | right_up) & full, right_up & flat
+    return distance <= most
 
 
 def _fingerprints(docs: DataFrame) -> DataFrame:
@@ -91,14 +134,17 @@ def block_keys(simhash: Column) -> Column:
 
 
 def _within_radius(left: list, right: list) -> np.ndarray:
-    x, y = (np.array(side, dtype=np.int64).view(np.uint64) for side in (left, right))
+    x, y = (np.array([p["simhash"] for p in side], dtype=np.int64).view(np.uint64) for side in (left, right))
     return np.bitwise_count(x[:, None] ^ y[None, :]) <= RADIUS
 
 
-def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """(node, text): the normalised first line of each class in ``pairs``."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = written(classes.join(nodes, "node").groupBy(F.col("first.doc_id").alias("doc_id"))
+def _similar(x: str, y: str, similarity: float) -> bool:
+    return within_edits(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9))
+
+
+def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """(node, text): the normalised first line of each class in ``nodes``."""
+    wanted = written(classes.join(nodes.distinct(), "node").groupBy(F.col("first.doc_id").alias("doc_id"))
                      .agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "node")).alias("lines")), f"{name}-wanted")
     n = wanted.agg(F.sum(F.size("lines"))).first()[0] or 0
     if n <= BROADCAST_LINES:
@@ -121,12 +167,15 @@ def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) ->
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float, name: str) -> DataFrame:
     """The pairs whose lines have the edit similarity."""
     pairs = written(pairs, f"{name}-pairs")
-    t = _texts(docs, classes, pairs, name)
+    t = _texts(docs, classes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), name)
     both = (pairs.join(t.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-            .join(t.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-            .withColumn("most", F.expr(f"cast(floor({1 - similarity:.6f} * greatest(length(x), length(y)) + 1e-9) as int)")))
-    # the bounded distance is -1 beyond ``most`` edits
-    return written(both.where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b"), f"{name}-links")
+            .join(t.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"))
+
+    @F.pandas_udf("boolean")
+    def alike(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([_similar(x, y, similarity) for x, y in zip(xs, ys, strict=True)], dtype=bool)
+
+    return written(both.where(alike("x", "y")).select("a", "b"), f"{name}-links")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -140,13 +189,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                                   F.count("*").alias("n"), F.first("simhash").alias("simhash"))
                       .withColumn("node", F.monotonically_increasing_id()), "line-classes")
     members = bucket_members(classes.select("node", F.explode(block_keys(F.col("simhash"))).alias("key")), "lines")
-    prints = classes.select("node", F.col("simhash").alias("payload"))
-    near = (star_pairs(members).join(prints.withColumnRenamed("node", "a").withColumnRenamed("payload", "x"), "a")
-            .join(prints.withColumnRenamed("node", "b").withColumnRenamed("payload", "y"), "b")
+    prints = classes.select("node", "simhash")
+    near = (star_pairs(members).join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b")
             .where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS).select("a", "b"))
     links = _verified(near, d, classes, similarity, "star")
-    rest = pairs_across(open_members(members, connected_components(links), "lines"), prints, _within_radius)
-    more = _verified(rest, d, classes, similarity, "rest")
+    open_ = open_members(members, connected_components(links), "lines")
+    payload = _texts(d, classes, open_.select("node"), "open").join(prints, "node").select(
+        "node", F.struct("simhash", "text").alias("payload"))
+    more = written(pairs_across(open_, payload, _within_radius, spanning=True,
+                                confirm=lambda x, y: _similar(x["text"], y["text"], similarity)), "more-links")
     components = connected_components(links.unionByName(more))
     linked = classes.join(components, "node")
     first = linked.groupBy("component").agg(F.min("first").alias("stays"))

@@ -80,6 +80,23 @@ def test_against_all_pairs(spark, monkeypatch, block):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_bounded_edits_and_fingerprints():
+    rng = random.Random(2)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abc é") for _ in range(rng.randrange(14))) for _ in range(2))
+        d = edits(a, b)
+        assert [lines.within_edits(a, b, m) for m in range(16)] == [d <= m for m in range(16)]
+    import xxhash
+    for ws in [["a"], ["longer", "an", "longer"], [f"w{i}" for i in range(50_000)]]:
+        sums = [0] * 64
+        for w in ws:
+            h = xxhash.xxh3_64_intdigest(w)
+            for i in range(64):
+                sums[i] += (1 if len(w) < 4 else 3) * (1 if h >> i & 1 else -1)
+        want = sum(1 << i for i in range(64) if sums[i] > 0)
+        assert int(lines.simhashes([["x"], ws, ["y", "zzzz"]])[1]) & (2 ** 64 - 1) == want
+
+
 def test_all_pairs_of_blocks_cover_the_radius(spark):
     """Fingerprints within three bits share a key, whichever bits differ."""
     from pyspark.sql import functions as F
