@@ -20,14 +20,15 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragframe.llm.common import id_and_text
 
-CACHE_WORDS = 300_000          # distinct words a task keeps between batches
-PIECE_CHARS = 4_000_000        # texts indexed together, unless one is longer
+CACHE_WORDS = 150_000          # distinct words a task keeps between batches
+PIECE_CHARS = 1_000_000        # texts indexed together, unless one is longer
 BASE = 1 << 20                 # pair key: left * BASE + right; ids stay below it
 
 
@@ -156,16 +157,16 @@ class Encoder:
         return out
 
 
-def pieces(texts: list[str], limit: int = PIECE_CHARS):
+def pieces(sizes: list[int], limit: int = PIECE_CHARS):
     """Slices of consecutive texts of up to ``limit`` characters together (a longer text is one slice)."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > limit:
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > limit:
             yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
@@ -183,9 +184,9 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     def run(batches):
         encoder = Encoder(vocabulary.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for s, e in pieces(texts):
-                coded = encoder.encode(texts[s:e])
+            sizes = pc.utf8_length(batch.column("text")).to_pylist()
+            for s, e in pieces(sizes):
+                coded = encoder.encode(batch.column("text").slice(s, e - s).to_pylist())
                 offsets = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays(
