@@ -1,17 +1,18 @@
 """Embedding near-dedup by spherical-cap filters.
 
-A filter is a direction; a vector is in it if their dot product is at least
-``height``. Directions are a structured product code: the (randomly rotated)
-space is cut into blocks, each block has a small random code, and a direction
-takes one word of each block's code. So a vector is list-decoded to all
-directions it exceeds by adding up block products and leaving out what can't
-reach the height any more, without looking at every direction.
+A filter is the cell of a direction in one of several codes: each code has a
+random rotation of its own, cuts the rotated space into blocks, and gives each
+block some random words; its directions take one word of each block. A vector
+is in the cell of the direction it is closest to, found block by block, so every
+vector has a filter in every code, whatever the others are like.
 
 Vectors are joined on their filters and verified by exact cosine in double
-precision. Height and number of directions follow from the number of vectors:
-about ``BUCKET`` unrelated vectors share a filter and a vector is in about
-``FILTERS`` of them, at every size. Close vectors share about half of them, so a
-pair is missed with probability around exp(-FILTERS / 2); tests measure the recall.
+precision. The words follow from the number of vectors: about ``BUCKET``
+unrelated ones share a filter, at every size. As the rotations are independent,
+whether a pair shares its filter depends on its cosine alone and from code to
+code by chance; that share is measured for pairs at the threshold, and there are
+as many codes as leave a probability of ``MISS`` that such a pair shares none.
+Closer pairs are missed more seldom.
 
 Equal vectors are a class (one aggregate). A bucket is dealt into blocks of
 bounded size; a pair of blocks gives back sums of links and the edges of a
@@ -21,7 +22,7 @@ filters counts in the smallest of them alone.
 
 from __future__ import annotations
 
-from statistics import NormalDist
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,45 +33,73 @@ from ragframe.llm.common import written
 from ragframe.llm.components import connected_components
 
 BUCKET = 32          # unrelated vectors expected in a filter
-FILTERS = 20         # filters expected for a vector
-CODE = 160           # most words of a block's code
+MISS = 1e-4          # probability that a pair at the threshold shares no filter
+CODES = 48           # most codes; coarser cells if more would be needed
+CODE = 400           # most words of a block's code
 BLOCK = 512          # vectors of a bucket compared with as many others in one task
 SEED = 77
 
 
-def code_shape(n: int, dim: int) -> tuple[float, int, int]:
-    """(height, blocks, words of a block's code) for n vectors."""
-    share = min(0.25, BUCKET / max(n, 1))
-    total, blocks = FILTERS / share, 1
+def share_of_pairs(dim: int, blocks: int, words: int, threshold: float, pairs: int = 1000, codes: int = 4) -> float:
+    """Measured share of the codes in which a pair at the threshold has the same closest direction."""
+    rng = np.random.default_rng([SEED, dim, blocks, words])
+    x, y = rng.standard_normal((2, pairs, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+    y = threshold * x + np.sqrt(max(0.0, 1 - threshold * threshold)) * y if dim > 1 else x
+    same = 0
+    for k in range(codes):
+        rotation, cuts, code = product_code(dim, blocks, words, 1_000_000 + k)
+        tx, ty = x @ rotation, y @ rotation
+        same += np.all([(tx[:, c] @ w.T).argmax(axis=1) == (ty[:, c] @ w.T).argmax(axis=1)
+                        for c, w in zip(cuts, code, strict=True)], axis=0).sum()
+    return same / (codes * pairs)
+
+
+@lru_cache(maxsize=64)
+def code_shape(n: int, dim: int, threshold: float) -> tuple[int, int, int]:
+    """(codes, blocks, words of a block's code) for n vectors."""
+    total, blocks = max(1.0, n / BUCKET), 1
     while total ** (1 / blocks) > CODE and 2 * (blocks + 1) <= dim:
         blocks += 1
-    return NormalDist().inv_cdf(1 - share), blocks, int(np.ceil(total ** (1 / blocks)))
-
-
-def product_code(dim: int, blocks: int, words: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """A random rotation, the coordinates of each block and its code (Gaussian,
-    so that a unit vector's product with a direction is standard normal)."""
-    rng = np.random.default_rng([SEED, dim])
+    words = int(np.ceil(total ** (1 / blocks)))
+    while words > 1:
+        share = min(share_of_pairs(dim, blocks, words, threshold), 1 - 1e-9)
+        codes = int(np.ceil(np.log(MISS) / np.log1p(-share))) if share > 0 else CODES + 1
+        if codes <= CODES:
+            return codes, blocks, words
+        words = max(1, words * 3 // 4)
+    return 1, blocks, 1
+
+
+def product_code(dim: int, blocks: int, words: int, number: int = 0) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The random rotation of a code, the coordinates of each block and its words
+    (all of one length, or the longer ones would have the larger cells)."""
+    rng = np.random.default_rng([SEED, dim, number])
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     cuts = np.array_split(np.arange(dim), blocks)
-    return rotation, cuts, [rng.standard_normal((words, len(c))) for c in cuts]
+    code = [rng.standard_normal((words, len(c))) for c in cuts]
+    return rotation, cuts, [w * np.sqrt(w.shape[1]) / np.linalg.norm(w, axis=1, keepdims=True) for w in code]
 
 
-def list_decode(unit: np.ndarray, height: float, rotation, cuts, code) -> tuple[np.ndarray, np.ndarray]:
-    """(row, direction) of every direction that a row of ``unit`` exceeds."""
+def list_decode(unit: np.ndarray, height: float | None, rotation, cuts, code) -> tuple[np.ndarray, np.ndarray]:
+    """(row, direction) of every direction that a row of ``unit`` exceeds; with
+    no height, of the closest one (and any as close)."""
     turned = unit @ rotation
     products = [turned[:, c] @ w.T for c, w in zip(cuts, code, strict=True)]
     rest = np.cumsum([p.max(axis=1) for p in products[::-1]], axis=0)[::-1]
+    height = np.full(len(unit), height) if height is not None else rest[0] - 1e-9
     row, sums, at = np.arange(len(unit)), np.zeros(len(unit)), np.zeros(len(unit), dtype=np.int64)
     for i, p in enumerate(products):
         reach = sums[:, None] + p[row]
         beyond = rest[i + 1][row] if i + 1 < len(products) else np.zeros(len(row))
-        x, word = np.nonzero(reach >= height - beyond[:, None])
+        x, word = np.nonzero(reach >= (height[row] - beyond)[:, None])
         row, sums, at = row[x], reach[x, word], at[x] * p.shape[1] + word
     return row, at
 
 
-def _filtered(classes: DataFrame, n: int) -> DataFrame:
+def _filtered(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     """(rep, copies, vector as bytes, filters as bytes, filters) of every class."""
     schema = pa.schema([("rep", pa.int64()), ("copies", pa.int64()), ("vector", pa.binary()), ("listed", pa.binary()),
                         ("filters", pa.list_(pa.int64()))])
@@ -83,14 +112,18 @@ def _filtered(classes: DataFrame, n: int) -> DataFrame:
             for dim in {len(v) for v in vectors}:
                 rows = [i for i, v in enumerate(vectors) if len(v) == dim]
                 if dim not in codes:
-                    height, blocks, words = code_shape(n, dim)
-                    codes[dim] = (height, *product_code(dim, blocks, words))
+                    many, blocks, words = code_shape(n, dim, threshold)
+                    codes[dim] = [product_code(dim, blocks, words, k) for k in range(many)]
                 for s in range(0, len(rows), 64):
                     part = rows[s:s + 64]
                     m = np.array([vectors[i] for i in part])
                     # scaled by the largest component first: no overflow of the squares
                     m /= np.abs(m).max(axis=1, keepdims=True)
-                    row, at = list_decode(m / np.linalg.norm(m, axis=1, keepdims=True), *codes[dim])
+                    m /= np.linalg.norm(m, axis=1, keepdims=True)
+                    found = [list_decode(m, None, *code) for code in codes[dim]]
+                    row = np.concatenate([r for r, _ in found])
+                    # the code is part of the filter's number
+                    at = np.concatenate([x * CODES + k for k, (_, x) in enumerate(found)])
                     for j, i in enumerate(part):
                         # vectors of another dimension never meet: it is part of the filter's number
                         listed[i] = np.sort(at[row == j]) * 65536 + dim % 65536
@@ -174,7 +207,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     usable = v.where("vector is not null")
     classes = written(usable.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies")),
                       "vector-classes")
-    listed = written(_filtered(classes, classes.count()), "filters")
+    listed = written(_filtered(classes, classes.count(), threshold), "filters")
     keyed = listed.select("rep", F.explode("filters").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = (keyed.join(buckets.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")

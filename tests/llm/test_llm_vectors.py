@@ -81,3 +81,24 @@ def test_query(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF01}/embeddings.parquet").collect()]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in QUERIES["op5_vector_near_dedup"](spark, SF01).collect()}
     assert got == brute(rows)[0]
+
+
+@pytest.mark.parametrize("n", [1_000, 200_000, 20_000_000])
+@pytest.mark.parametrize("dim", [8, 64])
+def test_isolated_pairs_share_a_filter(n, dim):
+    """Pairs just above the threshold, with the codes of a table of n vectors."""
+    rng = np.random.default_rng(n + dim)
+    x, y = rng.standard_normal((2, 3000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.951 * x + math.sqrt(1 - 0.951 ** 2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    codes, blocks, words = vectors.code_shape(n, dim, 0.95)
+    shared = np.zeros(len(x), dtype=bool)
+    for k in range(codes):
+        code = vectors.product_code(dim, blocks, words, k)
+        (a, at), (b, bt) = (vectors.list_decode(v, None, *code) for v in (x, y))
+        assert len(set(a.tolist())) == len(x), "a vector without a filter"
+        ours = set(zip(a.tolist(), at.tolist(), strict=True))
+        shared[[r for r, d in zip(b.tolist(), bt.tolist(), strict=True) if (r, d) in ours]] = True
+    print(n, dim, codes, blocks, words, 1 - shared.mean())
+    assert shared.mean() >= 0.998, shared.mean()
