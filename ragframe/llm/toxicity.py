@@ -4,6 +4,9 @@ A document is a bag of sentences of which only the bag has a label. A sentence
 scores sigmoid(bias + sum of its words' weights), and the bag noisy-or
 1 - prod(1 - sentence score); the weights are fitted to the document labels, and
 the sentences that make a document toxic are then located by their own scores.
+When texts are scored, only sentences above a learnt floor enter the product:
+the highest score of a sentence of the clean documents of the sample, at most
+0.5. Otherwise any text would be toxic that is long enough.
 
 Words carry a feature of their own and two of their beginnings, so inflected
 forms share weight. The fit uses at most ``SAMPLE_PER_CLASS`` labelled documents
@@ -138,18 +141,29 @@ def fit_noisy_or(data: pd.DataFrame, n_features: int, steps: int = 300, rate: fl
     return w[:-1], float(w[-1])
 
 
+def clean_floor(data: pd.DataFrame, weights: np.ndarray, bias: float) -> float:
+    """The highest score of a sentence of the clean bags, at most 0.5."""
+    top = bias
+    for ids, sizes in zip(data["ids"][data["y"] == 0], data["sizes"][data["y"] == 0], strict=True):
+        if len(sizes):
+            z = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights[np.asarray(ids, dtype=np.int64)])
+            top = max(top, bias + z.max())
+    return float(1 / (1 + np.exp(-np.clip(min(top, 0.0), -60, 0))))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS, max_features: int = MAX_FEATURES) -> dict:
-    """The model: {"bias", "weights"}; its size is bounded by ``max_features``.
+    """The model: {"bias", "floor", "weights"}; its size is bounded by ``max_features``.
     Without labels of both classes nothing can be learnt: no weights, and a
     bias by which each text scores below 0.5 (or, with toxic labels alone, 1)."""
     sample = training_sample(docs, labels, id_col, text_col, label_col, per_class)
     features = select_features(sample, max_features)
     if not features:
         only = [r.y for r in sample.select("y").distinct().collect()]
-        return {"bias": 40.0 if only == [1] else -40.0, "weights": {}}
-    weights, bias = fit_noisy_or(bags(sample, features), len(features))
-    return {"bias": bias, "weights": {f: float(x) for f, x in zip(features, weights, strict=True)}}
+        return {"bias": 40.0 if only == [1] else -40.0, "floor": 0.5, "weights": {}}
+    data = bags(sample, features)
+    weights, bias = fit_noisy_or(data, len(features))
+    return {"bias": bias, "floor": clean_floor(data, weights, bias), "weights": {f: float(x) for f, x in zip(features, weights, strict=True)}}
 
 
 class _Words(dict):
@@ -178,7 +192,7 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
 
 def _scorer(held):
     def run(batches):
-        bias, word = held.value["bias"], _Words(held.value["weights"])
+        bias, floor, word = held.value["bias"], held.value["floor"], _Words(held.value["weights"])
         get = word.__getitem__
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         for b in batches:
@@ -186,7 +200,9 @@ def _scorer(held):
             for text in b["text"]:
                 ss = sentences(text)
                 p = sigmoid(bias + np.array([sum(map(get, ws)) for _, _, ws in ss], dtype=float))
-                score = float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-15)).sum())) if len(p) else 0.0
+                # a score at the floor may come out a little above it by the order of the sum
+                strong = p[(p > floor + 1e-9) | (p >= 0.5)]
+                score = float(-np.expm1(np.log1p(-np.minimum(strong, 1 - 1e-15)).sum())) if len(strong) else 0.0
                 bad = set(np.flatnonzero(p >= 0.5).tolist()) | ({int(p.argmax())} if score >= 0.5 else set())
                 scores.append(score)
                 counts.append(len(ss))

@@ -41,6 +41,21 @@ def test_toxicity_rows_and_spans(spark):
     assert len(none) == len(docs) and all(r.predicted == 0 for r in none)
 
 
+def test_long_clean_texts_stay(spark):
+    """Clean texts of 10,000 sentences and more, without features and of real held-out documents."""
+    docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    clean = docs.join(labels.where("toxic = 0").select("doc_id"), "doc_id").orderBy("doc_id").select("doc_id", "text")
+    fine = {r.doc_id for r in toxicity.score_documents(clean, model).where("score < 0.5").collect()}
+    texts = [r.text for r in clean.collect() if held_out(r.doc_id) and r.doc_id in fine]
+    joined = "\n".join(texts)
+    n = 10_000 // len(toxicity.sentences(joined)) + 1
+    rows = [(1, "\n".join([joined] * n)), (2, "Zzqx zzqy. " * 20_000), (3, "Zzqx zzqy. " * 100_000)]
+    got = toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert all(r.n_sentences >= 10_000 and r.score < 0.5 and not r.offending for r in got)
+    assert 0 < model["floor"] <= 0.5
+
+
 def test_noisy_or_gradient():
     """The fit reaches the labels of bags whose one telling feature is known."""
     import pandas as pd
