@@ -74,10 +74,12 @@ def chunks(docs: DataFrame, places: bool) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, end (characters), n_words, n_chunks, first_doc, kept: a row
+    """doc_id, start, end (characters), n_words, n_chunks, first_doc, kept, cuts: a row
     per passage of a document row that other documents hold as well. ``first_doc``
     is the smallest id that holds a part of it; ``kept`` is true where this
-    document is the first with all of it, so the passage may stay.
+    document is the first with all of it, so the passage may stay. ``cuts`` are the
+    parts (start, end) that an earlier document holds and that may go: passages
+    that adjoin here may have different first documents, or this one.
 
     Documents without one have no row: null and empty texts, null ids, an empty
     table. Repeated rows of an id are one document, each with rows of its own;
@@ -89,18 +91,25 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = chunks(d, places=True).join(shared, ["d1", "d2"])
     w = Window.partitionBy("row").orderBy("n")
     new = F.coalesce(F.col("n") - F.lag("n").over(w) != 1, F.lit(True))
-    return (found.withColumn("span", F.sum(new.cast("int")).over(w))
-            .groupBy("row", "span").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
-                                        F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"),
-                                        F.min("first_doc").alias("first_doc"),
-                                        F.min(F.col("first_doc") == F.col("doc_id")).alias("kept"))
-            .where(F.col("n_words") >= min_words).drop("row", "span"))
+    first = F.col("first_doc") == F.col("doc_id")
+    turn = new | (first != F.lag(first).over(w))
+    return (found.withColumn("run", F.sum(new.cast("int")).over(w)).withColumn("span", F.sum(turn.cast("int")).over(w))
+            .groupBy("row", "run", "span").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
+                                               F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"),
+                                               F.min("first_doc").alias("first_doc"))
+            .groupBy("row", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
+                                       F.sum("n_words").alias("n_words"), F.sum("n_chunks").alias("n_chunks"),
+                                       F.min("first_doc").alias("first_doc"),
+                                       F.array_sort(F.collect_list(F.when(F.col("first_doc") != F.col("doc_id"), F.struct("start", "end")))).alias("cuts"))
+            .withColumn("kept", F.size("cuts") == 0)
+            .where(F.col("n_words") >= min_words)
+            .select("doc_id", "start", "end", "n_words", "n_chunks", "first_doc", "kept", "cuts"))
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and text of every document row without its spans that aren't kept."""
-    cuts = (spans.where("not kept").groupBy("doc_id")
-            .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts")))
+    """doc_id and text of every document row without the cuts of its spans: the first document of each part keeps it."""
+    cuts = (spans.select("doc_id", F.explode("cuts").alias("cut")).groupBy("doc_id")
+            .agg(F.array_sort(F.collect_set("cut")).alias("cuts")))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(cuts, "doc_id", "left")
     parts = F.transform("cuts", lambda c, i: F.substring(
         F.col("text"), F.when(i == 0, 1).otherwise(F.col("cuts")[i - 1]["end"] + 1).cast("int"),

@@ -76,6 +76,25 @@ def test_shared_passages_after_shifts(spark):
     assert substrings.repeated_spans(df.limit(0)).count() == 0
 
 
+def test_adjoining_passages_keep_one_copy(spark):
+    """P in document 1, P directly followed by Q in 2, Q in 3: one copy of each stays."""
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    docs, parts = [], []
+    for g in range(0, 60, 3):
+        p, q = text(100), text(100)
+        docs += [(g, f"{text(40)} {p} {text(40)}"), (g + 1, f"{text(40)} {p} {q} {text(40)}"), (g + 2, f"{text(40)} {q} {text(40)}")]
+        parts += [(g, p), (g + 1, q)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    spans = substrings.repeated_spans(df).collect()
+    assert all(r.kept == (not r.cuts) for r in spans)
+    left = {r.doc_id: r.text for r in substrings.without_repeats(df, substrings.repeated_spans(df)).collect()}
+    # chunks at a passage's ends are lost, so its middle words are looked for
+    for owner, passage in parts:
+        middle = " ".join(passage.split()[30:70])
+        assert [i for i, t in left.items() if middle in t] == [owner]
+
+
 def test_cuts_are_local():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 123, 5000).astype(np.uint8)
