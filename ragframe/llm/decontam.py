@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 A benchmark item of n words is compared with every window of n words of a
-document that can resemble it: similarity is taken over five-word shingles, so
+document (a shorter document as a whole) that can resemble it: similarity is taken over five-word shingles, so
 a window that shares none with any item of its size scores 0 and needs no
 fingerprint. The remaining windows and the items get 128-bit SimHashes of their
 words. Fingerprints are cut into 32 blocks of four bits: two that differ in at
@@ -113,7 +113,8 @@ def similarity(a: tuple[Counter, dict], shingles: list[int], weights: list[int])
 
 def matches(index: dict, text: str, threshold: float) -> list[tuple[int, int, int, float, int]]:
     """(item_id, first word, end word, similarity, bits that differ): the best
-    window of each item that reaches the threshold, the first of equal ones."""
+    window of each item that reaches the threshold, the first of equal ones.
+    The only window of an item longer than the text is the whole text."""
     if not index["ids"]:
         return []
     words = split_words(text)
@@ -129,17 +130,16 @@ def matches(index: dict, text: str, threshold: float) -> list[tuple[int, int, in
     size = index["size"][np.repeat(at[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())]
     sums, weights, best = word_signs(words), shingle_weights(words), {}
     for m in np.unique(size).tolist():
-        if m > len(words):
-            continue
         # windows of m words that hold one of the shared shingles
+        long = min(m, len(words))
         edge = np.zeros(len(words) + 2, dtype=np.int64)
         own = where[size == m]
-        np.add.at(edge, np.maximum(own - (m - K), 0), 1)
+        np.add.at(edge, np.maximum(own - (long - K), 0), 1)
         np.add.at(edge, own + 1, -1)
-        starts = np.flatnonzero(np.cumsum(edge)[:len(words) - m + 1] > 0)
+        starts = np.flatnonzero(np.cumsum(edge)[:len(words) - long + 1] > 0)
         if not len(starts):
             continue
-        prints = fingerprints(sums, starts, m)
+        prints = fingerprints(sums, starts, long)
         items, table = index["blocks"][m]
         values = nibbles(prints)
         near = np.zeros((len(starts), len(items)), dtype=bool)
@@ -149,9 +149,9 @@ def matches(index: dict, text: str, threshold: float) -> list[tuple[int, int, in
         bits = np.bitwise_count(prints[x] ^ index["prints"][items[y]]).sum(axis=1)
         for s, i, d in zip(starts[x[bits <= RADIUS]].tolist(), items[y[bits <= RADIUS]].tolist(),
                            bits[bits <= RADIUS].tolist(), strict=True):
-            score = similarity(index["bags"][i], shingles[s:s + m - K + 1].tolist(), weights[s:s + m - K + 1].tolist())
+            score = similarity(index["bags"][i], shingles[s:s + long - K + 1].tolist(), weights[s:s + long - K + 1].tolist())
             if score >= threshold and score > best.get(i, (0, 0, -1.0, 0))[2]:
-                best[i] = (s, s + m, score, int(d))
+                best[i] = (s, s + long, score, int(d))
     return [(index["ids"][i], *best[i]) for i in sorted(best)]
 
 
@@ -169,7 +169,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  item_col: str = "item_id", item_text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, first_word, end_word, similarity, differing_bits: a row
     per document row and item it holds. Clean documents have no row, nor have
-    null, empty and shorter texts. Items of fewer than five words, or without an
+    null and empty texts and those of fewer than five words; a text shorter than
+    an item is compared with it as a whole. Items of fewer than five words, or without an
     id, match nothing; an id of several texts is several items; repeated
     rows of documents give a row each, of items one."""
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int32()),

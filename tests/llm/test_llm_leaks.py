@@ -77,3 +77,28 @@ def test_every_fingerprint_within_the_radius_shares_a_block():
         other[rng.choice(128, decontam.RADIUS, replace=False)] ^= 1
         a, b = (decontam.nibbles(np.packbits(x)[None, :].astype(np.uint8))[0] for x in (bits, other))
         assert (a == b).any()
+
+
+def test_truncated_items_as_whole_documents(spark):
+    """Documents that are an item less some words at either end, judged by exact similarity."""
+    rng = random.Random(6)
+    items = [(i, " ".join(f"{rng.choice('abcdefg')}{rng.randrange(900)}" for _ in range(rng.randrange(15, 60)))) for i in range(60)]
+    docs = []
+    for i, t in items:
+        for less in range(1, 9):
+            docs.append((1_000 * i + less, " ".join(t.split()[:-less])))
+            docs.append((1_000 * i + 100 + less, " ".join(t.split()[less:])))
+    want = set()
+    for d, t in docs:
+        text, item = t.split(), dict(items)[d // 1_000].split()
+        grams = lambda ws: [tuple(ws[p:p + 5]) for p in range(len(ws) - 4)]
+        weigh = lambda gs: sum(sum(map(len, g)) for g in gs)
+        score = weigh(grams(text)) / weigh(grams(item))
+        if score >= 0.8:
+            want.add((d, d // 1_000, 0, len(text), round(score, 9)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = found(decontam.contaminated(df, bench))
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 400, (len(got), len(want))
+    left = {r.doc_id for r in decontam.drop_contaminated(df, bench).collect()}
+    assert left == {d for d, _ in docs} - {x[0] for x in got}
