@@ -11,8 +11,9 @@ closed into components. Buckets that then hold several components are compared
 in blocks, which test pairs across components until they are connected and give
 back those links alone. The first occurrence of each connected group stays.
 
-A line of fewer than ``MIN_WORDS`` words says too little to be called a copy and
-always stays.
+A line of fewer than ``MIN_WORDS`` words says too little to be called a fuzzy
+copy; with ``short_copies`` its exact copies (normalised) go like any others,
+without it they stay.
 """
 
 from __future__ import annotations
@@ -98,8 +99,9 @@ def within_edits(a: str, b: str, most: int) -> bool:
     return distance <= most
 
 
-def _fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, digest, simhash) of every line of MIN_WORDS words or more."""
+def _fingerprints(docs: DataFrame, short_copies: bool) -> DataFrame:
+    """(doc_id, line, digest, simhash) of every line of MIN_WORDS words or more;
+    with ``short_copies`` also of shorter ones that aren't blank, without a simhash."""
     names = ["doc_id", "line", "digest", "simhash"]
 
     def run(batches):
@@ -112,15 +114,19 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
                     for n, line in enumerate(text.split("\n")):
                         line = normalise(line)
                         ws = _WORD.findall(line)
-                        if len(ws) >= MIN_WORDS:
+                        if len(ws) >= MIN_WORDS or (short_copies and line):
                             where.append((i, n))
                             lines.append(line)
                             words.append(ws)
                 if lines:
+                    compared = [k for k, ws in enumerate(words) if len(ws) >= MIN_WORDS]
+                    prints: list = [None] * len(lines)
+                    for k, x in zip(compared, simhashes([words[k] for k in compared]).tolist() if compared else [], strict=True):
+                        prints[k] = x
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([i for i, _ in where], pa.int64()), pa.array([n for _, n in where], pa.int32()),
                          pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines], pa.binary()),
-                         pa.array(simhashes(words))], names=names)
+                         pa.array(prints, pa.int64())], names=names)
 
     return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line int, digest binary, simhash long")
 
@@ -179,16 +185,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity:
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   similarity: float = SIMILARITY) -> DataFrame:
+                   similarity: float = SIMILARITY, short_copies: bool = False) -> DataFrame:
     """(doc_id, lines): numbers of each document's lines, from 0, of which
     another occurrence stays. Documents that keep every line have no row.
     The occurrence that stays is the one of the smallest id, then line."""
     d = id_and_text(docs, id_col, text_col)
-    lines = written(_fingerprints(d), "lines")
+    lines = written(_fingerprints(d, short_copies), "lines")
     classes = written(lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"),
                                                   F.count("*").alias("n"), F.first("simhash").alias("simhash"))
                       .withColumn("node", F.monotonically_increasing_id()), "line-classes")
-    members = bucket_members(classes.select("node", F.explode(block_keys(F.col("simhash"))).alias("key")), "lines")
+    members = bucket_members(classes.where("simhash is not null").select("node", F.explode(block_keys(F.col("simhash"))).alias("key")), "lines")
     prints = classes.select("node", "simhash")
     near = (star_pairs(members).join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b")
             .where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS).select("a", "b"))
@@ -209,14 +215,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                similarity: float = SIMILARITY) -> DataFrame:
+                similarity: float = SIMILARITY, short_copies: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` as the struct ``row``, with n_lines,
     removed (line numbers) and text (what stays, null as it was).
 
     A null or empty text has one empty line, which stays. Rows of one id
     lose the same lines, so repeated rows stay alike; a row without an id loses
     none and takes none from others. An empty table gives an empty one."""
-    gone = written(repeated_lines(docs, id_col, text_col, similarity), "removed")
+    gone = written(repeated_lines(docs, id_col, text_col, similarity, short_copies), "removed")
     n = gone.agg(F.sum(F.size("lines"))).first()[0] or 0
     if n <= BROADCAST_LINES:
         gone = F.broadcast(gone)
@@ -232,11 +238,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars",
-                    similarity: float = SIMILARITY) -> DataFrame:
+                    similarity: float = SIMILARITY, short_copies: bool = False) -> DataFrame:
     """``docs`` with its columns, texts without the removed lines and lengths to
     match. A document of which no line stays is a copy throughout and goes; one
     that was null, empty or blank before stays as it was."""
-    done = dedup_lines(docs, id_col, text_col, similarity).where(F.size("removed") < F.col("n_lines"))
+    done = dedup_lines(docs, id_col, text_col, similarity, short_copies).where(F.size("removed") < F.col("n_lines"))
     out = []
     for c in docs.columns:
         old = F.col("row")[c]

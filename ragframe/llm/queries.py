@@ -69,7 +69,7 @@ def op5_vector_near_dedup(spark, sf_dir):
 @query("op9_line_dedup")
 def op9_line_dedup(spark, sf_dir):
     """Every document without the lines that are fuzzy copies of an earlier one."""
-    return lines.dedup_lines(table(spark, sf_dir, "documents")).drop("row")
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), short_copies=True).drop("row")
 
 
 @query("op7_benchmark_decontamination")

@@ -122,3 +122,26 @@ def test_query_equals_brute_force_on_equal_lines(spark):
     assert got.keys() == want.keys()
     more = sum(len(set(got[i][1]) - set(want[i][1])) for i in got)
     assert all(set(want[i][1]) <= set(got[i][1]) for i in got) and more <= 0.1 * sum(x[0] for x in want.values())
+
+
+def test_query_removes_exact_copies_of_short_lines(spark):
+    """On sf0.01: of equal lines that aren't blank, however short, one stays."""
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op9_line_dedup"](spark, SF01).collect()}
+    seen, left = defaultdict(int), defaultdict(int)
+    for i, text in rows.items():
+        for n, line in enumerate((text or "").split("\n")):
+            line = lines.normalise(line)
+            if 0 < len(lines._WORD.findall(line)) < lines.MIN_WORDS:
+                seen[line] += 1
+                left[line] += n not in got[i].removed
+    assert max(seen.values()) > 1 and set(left.values()) == {1}
+
+
+def test_short_copies_rows(spark):
+    long_line = "这是一行没有空格的很长的文字" * 5
+    rows = [(1, f"yes\n\n!!!\n{long_line}"), (2, f"Yes \nno\n\n!!!\n{long_line}"), (None, "yes"), (3, None), (4, "yes")]
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: (r.removed, r.text) for r in lines.dedup_lines(df, short_copies=True).collect()}
+    assert got == {1: ([], rows[0][1]), 2: ([0, 3, 4], "no\n"), None: ([], "yes"), 3: ([], None), 4: ([0], "")}
+    assert {r.doc_id for r in lines.clean_documents(df, short_copies=True).collect()} == {1, 2, None, 3}
