@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ragframe.llm import bpe, chat, decontam, langid, licenses, lines, minhash, sql, substrings, toxicity, vectors
+from ragframe.llm import (bpe, chat, codes, decontam, langid, licenses, lines, minhash, phrases, sharding, sql, substrings,
+                          toxicity, vectors)
 from ragframe.llm.common import table
 
 QUERIES: dict = {}
@@ -82,3 +83,21 @@ def op7_benchmark_decontamination(spark, sf_dir):
 def op2_substring_dedup(spark, sf_dir):
     """Passages that documents share, by content-defined chunks."""
     return substrings.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op11_phrase_collocations", sql.collocations())
+def op11_phrase_collocations(spark, sf_dir):
+    """Each language's first 2000 phrases of 2 to 4 words, from subtrees over groups of word prefixes."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_sharding", sql.shards())
+def op12_sharding(spark, sf_dir):
+    """All documents in 24 shards of near equal bytes, equal texts together, by minimax contiguous partition."""
+    return sharding.shards_by_bytes(table(spark, sf_dir, "documents"))
+
+
+@query("op13_vector_codes")
+def op13_vector_codes(spark, sf_dir):
+    """Product codes of all vectors, refined exactly over anchors-hierarchy ball trees."""
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ragframe.llm import chat, licenses
+from ragframe.llm import chat, licenses, phrases, sharding
 
 
 def license_scan() -> str:
@@ -88,3 +88,114 @@ SELECT conv_id, assistant, segment, part, count(*)::BIGINT AS n_turns,
        coalesce(list((ends - 1)::BIGINT ORDER BY rn) FILTER (WHERE role = assistant), []) AS mask_end
 FROM placed GROUP BY conv_id, assistant, segment, part
 """
+
+
+def collocations() -> str:
+    upper = "".join(chr(c) for c in range(ord("A"), ord("Z") + 1))
+    depth = phrases.DEPTH
+    lengths = ", ".join(f"({i})" for i in range(1, depth + 1))
+    return rf"""
+WITH texts AS (
+  SELECT coalesce(lang, '{phrases.NO_LANG}') AS lang, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS txt
+  FROM documents),
+pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(txt, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+word_lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (
+  SELECT lang, words, unnest(list_transform(range(1, len(ws) - words + 2),
+                                            lambda i: array_to_string(ws[i:i + words - 1], ' '))) AS phrase
+  FROM word_lists, (VALUES {lengths}) AS lengths(words) WHERE len(ws) >= words),
+counted AS MATERIALIZED (SELECT lang, words, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE words = 1 GROUP BY lang),
+candidates AS MATERIALIZED (
+  SELECT lang, words, phrase, string_split(phrase, ' ') AS ws, f AS a FROM counted
+  WHERE words > 1 AND f >= {phrases.MIN_COUNT}),
+sides AS (
+  SELECT lang, phrase, a, k, unnest([array_to_string(ws[1:k], ' '), array_to_string(ws[k + 1:words], ' ')]) AS side,
+         unnest([1, 2]) AS which
+  FROM candidates, (VALUES {lengths}) AS cuts(k) WHERE k < words),
+scored AS (
+  SELECT s.lang, s.phrase, a, k, max(f) FILTER (WHERE which = 1) AS l, max(f) FILTER (WHERE which = 2) AS r,
+         ({phrases.SCALE}::HUGEINT * a) // (max(f) FILTER (WHERE which = 1) + max(f) FILTER (WHERE which = 2)) AS score
+  FROM sides s JOIN counted c ON c.lang = s.lang AND c.phrase = s.side GROUP BY s.lang, s.phrase, a, k),
+best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, array_to_string(ws[first_word:first_word + size - 1], ' ') AS phrase, max(a) AS around
+  FROM candidates, (VALUES {lengths}) AS places(first_word), (VALUES {lengths}) AS sizes(size)
+  WHERE size > 1 AND size < words AND first_word + size - 1 <= words GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN around x ON x.lang = b.lang AND x.phrase = b.phrase
+  WHERE x.around IS NULL OR 100 * x.around < {phrases.ABSORB} * b.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept k JOIN totals t ON t.lang = k.lang
+QUALIFY rank <= {phrases.TOP}
+"""
+
+
+def shards() -> str:
+    k = sharding.SHARDS
+    # fixed values: the reflected CRC-32 of each half byte
+    half_bytes = []
+    for i in range(16):
+        for _ in range(4):
+            i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+        half_bytes.append(i)
+    step = lambda crc, nibble: f"xor(CAST([{', '.join(map(str, half_bytes))}] AS BIGINT[])[(xor({crc}, {nibble}) & 15) + 1], {crc} >> 4)"
+    last = lambda byte: f"list_max(list_filter(ends, lambda e: e <= {byte}))"
+    nxt = lambda byte: f"list_min(list_filter(ends, lambda e: e >= {byte}))"
+    return f"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, text, (coalesce(strlen(text), 0) + {sharding.ROW_BYTES})::BIGINT AS size, coalesce(sha256(text), '') AS digest
+  FROM documents),
+halves AS (
+  SELECT digest, list_transform(string_split(hex(encode(any_value(text))), ''), lambda h: ('0x' || h)::BIGINT) AS hs
+  FROM sized WHERE text <> '' GROUP BY digest),
+swapped AS (
+  SELECT digest, list_transform(range(1, len(hs) + 1), lambda i: CASE WHEN i % 2 = 1 THEN hs[i + 1] ELSE hs[i - 1] END) AS nibbles
+  FROM halves),
+sums AS (
+  SELECT digest, xor(list_reduce(list_prepend(4294967295::BIGINT, nibbles), lambda c, h: {step('c', 'h')}), 4294967295::BIGINT) AS crc
+  FROM swapped),
+groups AS (
+  SELECT digest, CASE WHEN count(doc_id) = count(*) THEN min(doc_id) END AS first_id, sum(size)::BIGINT AS bytes
+  FROM sized GROUP BY digest),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY bytes DESC, digest) AS r, sum(bytes) OVER () AS total,
+         coalesce(sum(bytes) OVER (ORDER BY bytes DESC, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS larger
+  FROM groups),
+judged AS (
+  SELECT *, coalesce(r < {k} AND bool_and(bytes * ({k} + 1 - r) > total - larger) OVER (ORDER BY r), false) AS alone FROM ranked),
+placed AS (
+  SELECT digest, bytes, sum(bytes) OVER (ORDER BY first_id NULLS FIRST, digest)::BIGINT AS e FROM judged WHERE NOT alone),
+known AS (
+  SELECT list_prepend(0::BIGINT, list(e ORDER BY e)) AS ends, max(e) AS total, max(bytes) AS largest,
+         {k} - (SELECT count(*) FROM judged WHERE alone)::BIGINT AS k FROM placed),
+search(low, high) AS (
+  SELECT greatest(largest, (total + k - 1) // k)::BIGINT, ((total + k - 1) // k + largest)::BIGINT FROM known
+  UNION ALL
+  SELECT CASE WHEN fits THEN low ELSE middle + 1 END, CASE WHEN fits THEN middle ELSE high END FROM (
+    SELECT low, high, middle, list_reduce(list_prepend(0::BIGINT, range(k)), lambda pos, step: {last('pos + middle')}) = total AS fits
+    FROM (SELECT low, high, (low + high) // 2 AS middle FROM search WHERE low < high), known)),
+capacity AS (SELECT low AS c FROM search WHERE low = high LIMIT 1),
+earliest AS (
+  SELECT list_reduce(list_prepend([total], list_transform(range(k - 1), lambda i: []::BIGINT[])),
+                     lambda found, more: list_prepend({nxt('found[1] - c')}, found)) AS es FROM known, capacity),
+cutting(j, pos) AS (
+  SELECT 0::BIGINT, 0::BIGINT
+  UNION ALL
+  SELECT j + 1, least(greatest(CASE WHEN aim - before <= after - aim THEN before ELSE after END, es[j + 1]), farthest) FROM (
+    SELECT j, es, aim, {last('aim')} AS before, {nxt('aim')} AS after, {last('pos + c')} AS farthest FROM (
+      SELECT j, pos, ends, c, es, (pos + (total - pos + k - j - 1) // (k - j))::BIGINT AS aim
+      FROM cutting, known, capacity, earliest WHERE j < k - 1))),
+shard_of AS (
+  SELECT digest, (r - 1)::INT AS shard, 0 AS start FROM judged WHERE alone
+  UNION ALL
+  SELECT digest, ((SELECT count(*) FROM judged WHERE alone) + (SELECT count(*) FROM cutting WHERE j > 0 AND pos <= e - bytes))::INT,
+         e - bytes FROM placed)
+SELECT doc_id, size, CASE WHEN text = '' THEN 0 ELSE crc END::BIGINT AS text_crc32, '{sharding.LAW}' AS law, shard,
+       (row_number() OVER (PARTITION BY shard ORDER BY start, doc_id NULLS FIRST) - 1)::BIGINT AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard
+FROM sized JOIN shard_of USING (digest) LEFT JOIN sums USING (digest)
+"""
