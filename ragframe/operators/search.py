@@ -10,14 +10,16 @@ of the questions' dimension, takes no part in any engine (``rejected_vectors``
 lists them). Rows of one key and id are one row, however often stored:
 
     small question side (measured):   corpus --mapInPandas(kernel, broadcast questions)-->
-    large question side:              corpus(key, s, r) cogroup questions(key, s, r)
-                                          --applyInPandas(kernel)-->
+    large question side:              corpus(key, s, r) + questions(key, s, r), sorted
+                                          --mapInArrow(kernel)-->
                                       -> WindowGroupLimit(partial) -> Exchange(qid)
                                       -> WindowGroupLimit(final) -> row_number <= k
 
-In the large case the corpus of a key is split into ``salt`` slices and the
-questions of a key into ``r`` blocks sized to fit a task, so one key holding a
-third of the corpus spreads over ``salt x r`` groups. The kernel picks
+In the large case a histogram of rows per key gives each key its own number of
+corpus slices ``s`` and question blocks ``r``: a key holding a third of the corpus
+spreads over ``s x r`` groups, a small one is one group and its rows are copied
+nowhere. A group's questions (at most ``question_block_bytes``, a hash spreads
+them) are held, its corpus rows stream by in Arrow batches. The kernel picks
 candidates with the dot-product expansion (tie- and rounding-aware) and
 re-ranks them with an exact left-to-right float64 sum, so distances and the
 (distance, id) order equal those of ``l2_squared``.
@@ -29,16 +31,17 @@ ranking by id.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragframe.functions.vectors import is_vector, l2_squared
 from ragframe.operators.partitioning import spread
-from ragframe.operators.sizing import DEFAULT_BROADCAST_MAX_BYTES, measured_rows
+from ragframe.operators.sizing import DEFAULT_BROADCAST_MAX_BYTES, fits_broadcast, measured_rows
+from ragframe.session import scratch_path
 
 _CAND_COLS = ["qid", "id", "distance"]
 
@@ -142,25 +145,95 @@ def _best(before: pd.DataFrame | None, new: pd.DataFrame, keep: int) -> pd.DataF
     return both.drop_duplicates(["qid", "id"]).groupby("qid", sort=False).head(keep)
 
 
-def _blocked_candidates(corpus: DataFrame, questions: DataFrame, key: str, keep: int,
-                        salt: int, q_blocks: int) -> DataFrame:
-    """Shuffle form for a large question side: group (key, s, r) holds corpus
-    slice s of the key and question block r of the key. The corpus is copied
-    ``q_blocks`` times and the questions ``salt`` times (a 2-D block
-    partitioning), so no group holds a whole hot key."""
-    c = (corpus.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
-         .withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
-    q = (questions.withColumn("_r", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int"))
-         .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))))
-
-    def run(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(cpdf) == 0 or len(qpdf) == 0:
-            return _frame({c: [] for c in _CAND_COLS}, **{key: None})
-        found = kernel_candidates(_matrix(cpdf["vec"]), _ids(cpdf["id"]), _matrix(qpdf["qvec"]), _ids(qpdf["qid"]), keep)
-        return _frame({c: found[c] for c in _CAND_COLS}, **{key: cpdf[key].iloc[0]})
+def block_sizes(corpus: DataFrame, questions: DataFrame, key: str, row_bytes: int, slice_bytes: int,
+                question_block_bytes: int, min_slices: int = 1) -> DataFrame:
+    """(key, slices, blocks) of every key that both sides hold, from a histogram of
+    their rows: a key's corpus is cut into slices and its questions into blocks of
+    at most about the given bytes, so a small key is one slice and one block."""
+    n_c = corpus.groupBy(key).agg(F.count(F.lit(1)).alias("_n_c"))
+    n_q = questions.groupBy(key).agg(F.count(F.lit(1)).alias("_n_q"))
+    pieces = lambda n, size: F.ceil(F.col(n) * F.lit(row_bytes) / F.lit(max(size, row_bytes))).cast("int")
+    return n_c.join(n_q, key).select(key, F.greatest(pieces("_n_c", slice_bytes), F.lit(min_slices)).alias("_slices"),
+                                     pieces("_n_q", question_block_bytes).alias("_blocks"))
+
+
+def _dealt(corpus: DataFrame, questions: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """Rows (key, slice, block, side, qid, id, vec), questions (side 0) and corpus
+    (side 1): a corpus row once per block of its key, a question once per slice."""
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    spot = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    c = (corpus.join(sizes, key).withColumn("_s", spot("id", "_slices")).withColumn("_r", span("_blocks"))
+         .select(key, "_s", "_r", F.lit(1).alias("_side"), none(questions, "qid"), "id",
+                 F.col("vec").cast("array<double>").alias("vec")))
+    q = (questions.join(sizes, key).withColumn("_r", spot("qid", "_blocks")).withColumn("_s", span("_slices"))
+         .select(key, "_s", "_r", F.lit(0).alias("_side"), "qid", none(corpus, "id"),
+                 F.col("qvec").cast("array<double>").alias("vec")))
+    return q.unionByName(c)
+
+
+def _stream_kernel(keep: int, key: str, schema: pa.Schema):
+    """Ranks groups as they stream by, each one's questions first: a task holds
+    one block of questions, one Arrow batch and the best ``keep`` per question."""
+    def run(batches):
+        group, qs, best = None, [], None
+
+        def done():
+            if best is not None and len(best):
+                columns = {c: pa.array(best[c].tolist(), schema.field(c).type) for c in _CAND_COLS}
+                columns[key] = pa.array([group[0]] * len(best), schema.field(key).type)
+                yield pa.RecordBatch.from_arrays([columns[c] for c in schema.names], schema=schema)
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = batch.column(key)
+            marks = [keys.dictionary_encode().indices.to_numpy(), *(batch.column(c).to_numpy() for c in ("_s", "_r", "_side"))]
+            change = np.zeros(n, dtype=bool)
+            for m in marks:
+                change[1:] |= m[1:] != m[:-1]
+            starts = [0, *np.flatnonzero(change).tolist(), n]
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if a == b:
+                    continue
+                here = (keys[a].as_py(), int(marks[1][a]), int(marks[2][a]))
+                if here != group:
+                    yield from done()
+                    group, qs, best = here, [], None
+                rows = batch.slice(a, b - a)
+                m = rows.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                if marks[3][a] == 0:
+                    qs.append((_ids(rows.column("qid").to_pandas()), m))
+                    continue
+                if not qs:      # no question's hash fell into this block
+                    continue
+                if len(qs) > 1:
+                    qs = [(np.concatenate([i for i, _ in qs]), np.concatenate([x for _, x in qs]))]
+                qids, qm = qs[0]
+                best = _best(best, kernel_candidates(m, _ids(rows.column("id").to_pandas()), qm, qids, keep), keep)
+        yield from done()
+    return run
+
+
+def _blocked_candidates(corpus: DataFrame, questions: DataFrame, key: str, keep: int, dim: int, min_slices: int,
+                        question_block_bytes: int, slice_bytes: int, broadcast_max_bytes: int) -> DataFrame:
+    """Shuffle form for a large question side: group (key, s, r) holds slice s of
+    the key's corpus and block r of its questions, sized key by key. Rows arrive
+    sorted by group, questions first, and are ranked as they stream by."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return (c.groupBy(key, "_s", "_r").cogroup(q.groupBy(key, "_s", "_r"))
-            .applyInPandas(run, _cand_schema(corpus, questions, key)))
+    spark = corpus.sparkSession
+    path = scratch_path(spark, "block-sizes")
+    block_sizes(corpus, questions, key, 64 + 8 * dim, slice_bytes, question_block_bytes, min_slices).write.parquet(path)
+    sizes = spark.read.parquet(path)
+    if fits_broadcast(sizes, 128, max_bytes=broadcast_max_bytes):
+        sizes = F.broadcast(sizes)
+    schema = T.StructType.fromDDL(_cand_schema(corpus, questions, key))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return (_dealt(corpus, questions, sizes, key).repartition(n, key, "_s", "_r")
+            .sortWithinPartitions(key, "_s", "_r", "_side")
+            .mapInArrow(_stream_kernel(keep, key, to_arrow_schema(schema)), schema))
 
 
 def _jvm_candidates(corpus: DataFrame, questions: DataFrame, key: str, small: bool,
@@ -176,13 +249,14 @@ def _jvm_candidates(corpus: DataFrame, questions: DataFrame, key: str, small: bo
     return pairs.select("qid", "id", l2_squared(F.col("vec"), F.col("qvec")).alias("distance"), key)
 
 
-# Largest question block one cogroup group holds in memory.
-DEFAULT_QUESTION_BLOCK_BYTES = 256 * 1024 * 1024
+# Questions of a group, which a task holds, and corpus rows of a group, which stream by.
+DEFAULT_QUESTION_BLOCK_BYTES = 32 * 1024 * 1024
+DEFAULT_SLICE_BYTES = 256 * 1024 * 1024
 
 
 def _candidates(c: DataFrame, q: DataFrame, key: str, keep: int, engine: str, salt: int,
-                broadcast_max_bytes: int,
-                question_block_bytes: int = DEFAULT_QUESTION_BLOCK_BYTES) -> tuple[DataFrame, int]:
+                broadcast_max_bytes: int, question_block_bytes: int = DEFAULT_QUESTION_BLOCK_BYTES,
+                slice_bytes: int = DEFAULT_SLICE_BYTES) -> tuple[DataFrame, int]:
     """Candidates (qid, id, distance, key) from one of the engines, and the
     measured number of questions (which bounds every later result)."""
     q = q.where(F.col(key).isNotNull() & F.col("qid").isNotNull())
@@ -195,8 +269,7 @@ def _candidates(c: DataFrame, q: DataFrame, key: str, keep: int, engine: str, sa
         return _jvm_candidates(c, q, key, small, salt), n_q
     if small:
         return _broadcast_candidates(c, q, key, keep), n_q
-    blocks = max(1, math.ceil(q_bytes / max(question_block_bytes, 1)))
-    return _blocked_candidates(c, q, key, keep, salt, blocks), n_q
+    return _blocked_candidates(c, q, key, keep, dim, salt, question_block_bytes, slice_bytes, broadcast_max_bytes), n_q
 
 
 def _rank(scored: DataFrame, k: int, offset: int) -> DataFrame:
@@ -222,7 +295,7 @@ def topk(corpus: DataFrame, questions: DataFrame, k: int = 10, *, key: str = "fi
          id_col: str = "id", vec_col: str = "embedding",
          qid_col: str = "qid", qvec_col: str = "embedding",
          broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
-         salt: int = 16, engine: str = "auto",
+         salt: int = 1, engine: str = "auto",
          question_block_bytes: int = DEFAULT_QUESTION_BLOCK_BYTES,
          fields: DataFrame | None = None) -> DataFrame:
     """Filtered exact top-k by L2 for every question.
@@ -233,6 +306,8 @@ def topk(corpus: DataFrame, questions: DataFrame, k: int = 10, *, key: str = "fi
     into the scan by Catalyst when it is a plain comparison).
     engine: "auto" (NumPy kernel, broadcast or blocked by measured size) or
     "jvm" (join + higher-order functions).
+    salt: least number of corpus slices of a key in the shuffle form (also that
+    of the join's salt in the "jvm" engine).
     fields: optional table (``id`` + ``output_fields``) to fetch output
     fields from, when they live outside the vector table.
     Returns ``qid, rank (1-based), id, distance`` plus ``output_fields``.
@@ -317,7 +392,7 @@ def topk_ivf(assigned: DataFrame, centroids: list[list[float]], questions: DataF
              k: int = 10, nprobe: int = 10, *, key: str | None = "file_id",
              output_fields=None, id_col: str = "id", vec_col: str = "embedding",
              qid_col: str = "qid", qvec_col: str = "embedding",
-             broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES, salt: int = 16,
+             broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES, salt: int = 1,
              engine: str = "auto",
              question_block_bytes: int = DEFAULT_QUESTION_BLOCK_BYTES) -> DataFrame:
     """Probe the ``nprobe`` nearest cells of each question and rank exactly
