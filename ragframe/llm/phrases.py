@@ -29,9 +29,9 @@ MIN_COUNT = 30
 TOP = 2000
 ABSORB = 80            # percent of a phrase's count that a longer candidate around it needs to absorb it
 SCALE = 2_000_000
-BUDGET = 400_000       # leaves of a group, each counting one and another for every LEAF_BYTES bytes
+BUDGET = 250_000       # leaves of a group, each counting one and another for every LEAF_BYTES bytes
 LEAF_BYTES = 64
-CHUNK = 6_000_000      # bytes of text counted at once
+CHUNK = 3_000_000      # bytes of text counted at once
 EMIT = 100_000         # rows of an Arrow batch
 NO_LANG = "und"
 
@@ -44,36 +44,32 @@ LOWER[ord("A"):ord("Z") + 1] += 32
 
 
 class Words:
-    """The words of a run of bytes: their distinct texts, and number, piece, start and end of each."""
+    """The words of a run of bytes: their distinct texts, and number, piece and start of each."""
 
     def __init__(self, data: np.ndarray, breaks: np.ndarray | None = None):
-        """``breaks``: further places (ascending) at which a piece and a word end."""
+        """``breaks``: further places (ascending, within the bytes) at which a piece and a word end."""
         kind = KIND[data]
         inside = kind == 0
-        edge = np.empty(len(data), dtype=bool)
-        edge[:1] = inside[:1]
-        edge[1:] = inside[1:] & ~inside[:-1]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
         if breaks is not None and len(breaks):
-            b = breaks[breaks < len(data)]
-            edge[b] |= inside[b]
-        self.start = np.flatnonzero(edge)
-        n = len(self.start)
-        # bytes of words before each place: lengths and, without the gaps, offsets of the words
-        before = np.concatenate([[0], np.cumsum(inside)])
-        offsets = np.append(before[self.start], before[-1]).astype(np.int32)
-        self.end = self.start + np.diff(offsets)
-        texts = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(LOWER[data[inside]]))
+            begins[breaks] |= inside[breaks]
+        ends = inside.copy()
+        ends[:-1] &= ~inside[1:] | begins[1:]
+        self.start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        offsets = np.zeros(len(self.start) + 1, dtype=np.int32)
+        np.cumsum(end - self.start, out=offsets[1:])
+        texts = pa.StringArray.from_buffers(len(self.start), pa.py_buffer(offsets), pa.py_buffer(LOWER[data[inside]]))
         coded = texts.dictionary_encode()
         self.texts, self.number = coded.dictionary, coded.indices.to_numpy()
-        pieces = np.cumsum(kind == 2)
-        self.piece = pieces[self.start] if n else np.zeros(0, dtype=np.int64)
+        self.piece = np.searchsorted(np.flatnonzero(kind == 2), self.start)
         if breaks is not None:
-            self.piece = self.piece + np.searchsorted(breaks, self.start, side="right")
+            self.piece += np.searchsorted(breaks, self.start, side="right")
 
     def windows(self) -> np.ndarray:
         """The numbers (from 1) of each word and of those after it in its piece, 0 where there is none."""
         n = len(self.number)
-        out = np.zeros((n, DEPTH), dtype=np.int64)
+        out = np.zeros((n, DEPTH), dtype=np.int32)
         for d in range(min(DEPTH, n)):
             same = self.piece[d:] == self.piece[:n - d]
             out[:n - d, d] = np.where(same, self.number[d:] + 1, 0)
@@ -93,13 +89,15 @@ def _runs(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _packed(windows: np.ndarray, words: int) -> list[np.ndarray]:
     """The columns of ``windows`` in as few integers as hold them."""
-    keys, width = [], words + 1
+    keys, width, held = [], words + 1, 0
     for d in range(DEPTH):
-        if keys and width ** (len(keys[-1][1]) + 1) < 2 ** 62:
-            keys[-1] = (keys[-1][0] * width + windows[:, d], [*keys[-1][1], d])
+        held += 1
+        if keys and width ** held < 2 ** 62:
+            keys[-1] = keys[-1] * width + windows[:, d]
         else:
-            keys.append((windows[:, d], [d]))
-    return [k for k, _ in keys]
+            keys.append(windows[:, d].astype(np.int64))
+            held = 1
+    return keys
 
 
 def _phrases(windows: np.ndarray, texts: pa.Array, depth: int = DEPTH) -> pa.Array:
@@ -115,8 +113,9 @@ def _phrases(windows: np.ndarray, texts: pa.Array, depth: int = DEPTH) -> pa.Arr
 
 
 def _leaves(docs: DataFrame) -> DataFrame:
-    """(lang, leaf, n): the suffixes of each task's pieces, cut after DEPTH words, counted by chunks of text."""
-    schema = pa.schema([("lang", pa.string()), ("leaf", pa.string()), ("n", pa.int64())])
+    """(lang, word, leaf, n, cost): the suffixes of each task's pieces, cut after DEPTH words, counted by
+    chunks of text; their first word, and what they count against the budget."""
+    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("leaf", pa.string()), ("n", pa.int64()), ("cost", pa.int32())])
 
     def counted(lang: str, data: np.ndarray, breaks: np.ndarray, skip_last: bool):
         """Batches of the counted windows; ``skip_last``: not those of the last DEPTH - 1 words."""
@@ -130,8 +129,11 @@ def _leaves(docs: DataFrame) -> DataFrame:
         n = np.diff(np.append(first, len(order)))
         rows = windows[order[first]]
         for s in range(0, len(rows), EMIT):
-            leaf = _phrases(rows[s:s + EMIT], w.texts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(leaf), pa.string()), leaf, pa.array(n[s:s + EMIT])], schema=schema)
+            some = rows[s:s + EMIT]
+            leaf = _phrases(some, w.texts)
+            cost = 1 + pc.binary_length(leaf).to_numpy() // LEAF_BYTES
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(leaf), pa.string()), w.texts.take(pa.array(some[:, 0] - 1)), leaf,
+                                              pa.array(n[s:s + EMIT]), pa.array(cost.astype(np.int32))], schema=schema)
 
     def long_text(lang: str, data: np.ndarray):
         """A text beyond CHUNK, slice by slice: a slice ends at a break between pieces, or
@@ -182,47 +184,46 @@ def _leaves(docs: DataFrame) -> DataFrame:
         for lang in list(held):
             yield from flush(lang)
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, leaf string, n long")
+    return docs.select("lang", "text").mapInArrow(run, "lang string, word string, leaf string, n long, cost int")
 
 
 def _first_words(d: int):
     return F.substring_index("leaf", " ", d)
 
 
-def _in(df: DataFrame, keys: DataFrame, flag: str, limit: int = 500_000) -> DataFrame:
-    """``df`` with ``flag`` true where its ``key`` is among ``keys``: those up to ``limit`` are broadcast."""
-    keys = keys.select("key", F.lit(True).alias(flag))
-    if keys.limit(limit + 1).count() <= limit:
-        keys = F.broadcast(keys)
-    return df.join(keys, "key", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+def _broadcast(df: DataFrame, limit: int = 500_000) -> DataFrame:
+    """Broadcast up to ``limit`` rows (counted), a shuffle join beyond."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def partition(leaves: DataFrame, budget: int) -> tuple[DataFrame, DataFrame, int]:
-    """(leaves with the length ``plen`` of their prefix, the nodes of the prefixes that were too
-    large: lang, phrase, words, n; cost of all leaves). At most cost / budget prefixes of a length are too large."""
+def partition(leaves: DataFrame, budget: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(leaves with the length ``plen`` of their prefix, the nodes of the prefixes that were too large: lang,
+    phrase, words, n; sizes of all prefixes of one word). At most cost / budget prefixes of a length are too large."""
     spark = leaves.sparkSession
     leaves = leaves.withColumn("plen", F.lit(1))
     nodes = spark.createDataFrame([], "lang string, phrase string, words int, n long")
-    cost = F.sum(F.floor(F.octet_length("leaf") / LEAF_BYTES) + 1)
-    total, inside = leaves.agg(cost).first()[0] or 0, leaves
+    measure = lambda df: df.groupBy("lang", "phrase").agg(F.sum("cost").alias("cost"), F.sum("n").alias("n"))
+    first = sizes = written(measure(leaves.withColumn("phrase", F.col("word"))), "prefixes-1")
     for d in range(1, DEPTH):
-        key = F.struct("lang", _first_words(d).alias("phrase"))
-        sizes = inside.groupBy(key.alias("key")).agg(cost.alias("cost"), F.sum("n").alias("n"))
-        large = written(sizes.where(F.col("cost") > budget), f"prefixes-{d}")
+        leaves = leaves.withColumn("phrase", F.col("word") if d == 1 else F.when(F.col("plen") == d, _first_words(d)))
+        if d > 1:
+            inside = leaves.where((F.col("plen") == d) & (F.size(F.split("leaf", " ")) >= d))
+            sizes = written(measure(inside).where(F.col("cost") > budget), f"prefixes-{d}")
+        large = sizes.where(F.col("cost") > budget)
         if large.isEmpty():
             break
-        nodes = nodes.unionByName(large.select("key.lang", "key.phrase", F.lit(d).alias("words"), "n"))
-        marked = _in(leaves.withColumn("key", key), large, "large")
-        leaves = marked.withColumn("plen", F.when((F.col("plen") == d) & F.col("large"), d + 1).otherwise(F.col("plen"))).drop("key", "large")
-        inside = leaves.where((F.col("plen") == d + 1) & (F.size(F.split("leaf", " ")) > d))
+        nodes = nodes.unionByName(large.select("lang", "phrase", F.lit(d).alias("words"), "n"))
+        flag = _broadcast(large.select("lang", "phrase", F.lit(1).alias("extended")))
+        leaves = leaves.join(flag, ["lang", "phrase"], "left").withColumn("plen", F.col("plen") + F.coalesce("extended", F.lit(0))).drop("extended")
     else:
-        d = DEPTH
-    if d > 1:
-        # what ends with its prefix is one leaf, however many tasks counted it
-        whole = (F.col("plen") == DEPTH) | (F.size(F.split("leaf", " ")) < F.col("plen"))
-        whole_leaves = leaves.where(whole).groupBy("lang", "leaf", "plen").agg(F.sum("n").alias("n"))
-        leaves = leaves.where(~whole).unionByName(whole_leaves)
-    return leaves, nodes, total
+        # a prefix of all DEPTH words is a leaf: its total needs no subtree
+        whole = leaves.where(F.col("plen") == DEPTH).where(F.size(F.split("leaf", " ")) == DEPTH)
+        nodes = nodes.unionByName(whole.groupBy("lang", F.col("leaf").alias("phrase")).agg(F.sum("n").alias("n"))
+                                  .withColumn("words", F.lit(DEPTH)))
+        leaves = leaves.where(F.col("plen") < DEPTH)
+    # a leaf shorter than its prefix adds to nodes above it alone, which are measured
+    leaves = leaves.where((F.col("plen") == 1) | (F.size(F.split("leaf", " ")) >= F.col("plen")))
+    return leaves, nodes, first
 
 
 def _subtrees(min_count: int):
@@ -260,17 +261,19 @@ def _subtrees(min_count: int):
     return build
 
 
-def phrase_counts(leaves: DataFrame, min_count: int = MIN_COUNT, budget: int = BUDGET) -> DataFrame:
-    """(lang, phrase, words, n) of all phrases of up to DEPTH words with ``min_count`` occurrences or more."""
-    leaves, nodes, total = partition(leaves, budget)
+def phrase_counts(leaves: DataFrame, min_count: int = MIN_COUNT, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
+    """((lang, phrase, words, n) of all phrases of up to DEPTH words with ``min_count``
+    occurrences or more, (lang, n) with the words of each language)."""
+    leaves, nodes, sizes = partition(leaves, budget)
+    total, words = sizes.agg(F.sum("cost")).first()[0] or 0, sizes.groupBy("lang").agg(F.sum("n").alias("n"))
     groups = max(1, -(-total // budget))
-    prefix = F.when(F.col("plen") == 1, _first_words(1))
+    prefix = F.when(F.col("plen") == 1, F.col("word"))
     for d in range(2, DEPTH + 1):
         prefix = prefix.when(F.col("plen") == d, _first_words(d))
     group = F.pmod(F.xxhash64("lang", prefix), F.lit(groups))
-    built = (leaves.withColumn("group", group).groupBy("group")
+    built = (leaves.select(group.alias("group"), "lang", "leaf", "n", "plen").groupBy("group")
              .applyInArrow(_subtrees(min_count), "lang string, phrase string, words int, n long"))
-    return built.unionByName(nodes.where(F.col("n") >= min_count))
+    return built.unionByName(nodes.where(F.col("n") >= min_count)), words
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT,
@@ -286,8 +289,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     leaves = written(_leaves(texts), "leaves")
-    words = leaves.groupBy("lang").agg(F.sum("n").alias("n"))
-    counts = written(phrase_counts(leaves, min_count, budget).withColumnRenamed("n", "f"), "phrases")
+    counts, words = phrase_counts(leaves, min_count, budget)
+    counts = written(counts.withColumnRenamed("n", "f"), "phrases")
     found = counts.where("words > 1")
 
     # the words of a phrase; it has none but single spaces
