@@ -1,8 +1,9 @@
 """Phrase collocation mining by vertical partitioning of a suffix tree.
 
 The suffixes of all pieces, cut after ``DEPTH`` words, are the leaves of one suffix
-tree per language, which is never built whole. Equal leaves are counted where the
-texts are read. Word prefixes are then measured: one whose leaves pass ``BUDGET`` is
+tree per language, which is never built whole. A first pass counts pairs of words by
+a hash; below a pair that is certainly rarer than any candidate nothing grows, so
+leaves end there. Equal leaves are counted where the texts are read. Word prefixes are then measured: one whose leaves pass ``BUDGET`` is
 extended by the next word, again and again, until every prefix fits; prefixes are
 dealt into groups of about that budget. Each group builds its depth-truncated
 subtrees on its own: its leaves in order are the tree, a node is a run of leaves
@@ -16,7 +17,10 @@ longer candidates around a phrase, are found by joins of that much smaller table
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -31,6 +35,7 @@ ABSORB = 80            # percent of a phrase's count that a longer candidate aro
 SCALE = 2_000_000
 BUDGET = 250_000       # leaves of a group, each counting one and another for every LEAF_BYTES bytes
 LEAF_BYTES = 64
+MAX_BITS = 1 << 31     # bits of the filter of frequent pairs (256 MB); beyond, it lets more through
 CHUNK = 3_000_000      # bytes of text counted at once
 EMIT = 100_000         # rows of an Arrow batch
 NO_LANG = "und"
@@ -112,42 +117,30 @@ def _phrases(windows: np.ndarray, texts: pa.Array, depth: int = DEPTH) -> pa.Arr
     return out
 
 
-def _leaves(docs: DataFrame) -> DataFrame:
-    """(lang, word, leaf, n, cost): the suffixes of each task's pieces, cut after DEPTH words, counted by
-    chunks of text; their first word, and what they count against the budget."""
-    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("leaf", pa.string()), ("n", pa.int64()), ("cost", pa.int32())])
-
+def _by_chunk(docs: DataFrame, emit: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
+    """``emit(lang, words, windows)``, Arrow batches of ``schema``, of the words of each chunk of a
+    language's texts; ``windows`` are those of all words that begin in the chunk."""
     def counted(lang: str, data: np.ndarray, breaks: np.ndarray, skip_last: bool):
-        """Batches of the counted windows; ``skip_last``: not those of the last DEPTH - 1 words."""
         w = Words(data, breaks)
         windows = w.windows()
         if skip_last:
             windows = windows[:len(windows) - (DEPTH - 1)]
-        if not len(windows):
-            return
-        order, first = _runs(_packed(windows, len(w.texts)))
-        n = np.diff(np.append(first, len(order)))
-        rows = windows[order[first]]
-        for s in range(0, len(rows), EMIT):
-            some = rows[s:s + EMIT]
-            leaf = _phrases(some, w.texts)
-            cost = 1 + pc.binary_length(leaf).to_numpy() // LEAF_BYTES
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(leaf), pa.string()), w.texts.take(pa.array(some[:, 0] - 1)), leaf,
-                                              pa.array(n[s:s + EMIT]), pa.array(cost.astype(np.int32))], schema=schema)
+        if len(windows):
+            yield from emit(lang, w, windows)
 
     def long_text(lang: str, data: np.ndarray):
         """A text beyond CHUNK, slice by slice: a slice ends at a break between pieces, or
         within a piece at a space; the next one then takes up DEPTH - 1 words earlier."""
-        at, size = 0, CHUNK
+        at, size, none = 0, CHUNK, np.zeros(0, dtype=np.int64)
         while at < len(data):
             end = at + size
             if end >= len(data):
-                yield from counted(lang, data[at:], np.zeros(0, dtype=np.int64), False)
+                yield from counted(lang, data[at:], none, False)
                 return
             kind = KIND[data[at:end]]
             cut = np.flatnonzero(kind == 2)
             if len(cut):
-                yield from counted(lang, data[at:at + cut[-1]], np.zeros(0, dtype=np.int64), False)
+                yield from counted(lang, data[at:at + cut[-1]], none, False)
                 at, size = at + int(cut[-1]) + 1, CHUNK
                 continue
             space = np.flatnonzero(kind == 1)
@@ -155,7 +148,7 @@ def _leaves(docs: DataFrame) -> DataFrame:
             if w is None or len(w.number) < 2 * DEPTH:
                 size *= 2        # words as long as a slice
                 continue
-            yield from counted(lang, data[at:at + space[-1]], np.zeros(0, dtype=np.int64), True)
+            yield from counted(lang, data[at:at + space[-1]], none, True)
             at, size = at + int(w.start[-(DEPTH - 1)]), CHUNK
 
     def run(batches):
@@ -184,7 +177,74 @@ def _leaves(docs: DataFrame) -> DataFrame:
         for lang in list(held):
             yield from flush(lang)
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, word string, leaf string, n long, cost int")
+    return docs.select("lang", "text").mapInArrow(run, ddl)
+
+
+def _pair_codes(lang: str, w: Words, windows: np.ndarray) -> np.ndarray:
+    """A 48-bit hash of the first two words of each window and the language; meaningless where there is no second."""
+    if not len(w.texts):
+        return np.zeros(len(windows), dtype=np.int64)
+    one = pd.util.hash_array(np.append(w.texts.to_numpy(zero_copy_only=False), lang).astype(object), categorize=False)
+    one, salt = one[:-1], one[-1]
+    code = (one[windows[:, 0] - 1] ^ salt) * np.uint64(0x9E3779B97F4A7C15) + one[windows[:, 1] - 1]
+    return ((code * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(16)).astype(np.int64)
+
+
+def _pair_filter(docs: DataFrame, min_count: int) -> np.ndarray:
+    """A bitmap with the codes of all word pairs that occur ``min_count`` times or more: 8 bits and more
+    for each, up to MAX_BITS. A pair that is not in it is rarer; one that is may be."""
+    schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
+
+    def pairs(lang, w, windows):
+        codes, n = np.unique(_pair_codes(lang, w, windows)[windows[:, 1] > 0], return_counts=True)
+        for s in range(0, len(codes), EMIT):
+            yield pa.RecordBatch.from_arrays([pa.array(codes[s:s + EMIT]), pa.array(n[s:s + EMIT])], schema=schema)
+
+    counts = _by_chunk(docs, pairs, schema, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    frequent = written(counts.where(F.col("n") >= min_count).select("code"), "frequent-pairs")
+    bits = 1 << 16
+    while bits < min(MAX_BITS, 8 * frequent.count()):
+        bits *= 2
+    piece = min(bits, 1 << 19)
+
+    def paint(table: pa.Table) -> pa.Table:
+        at = table.column("code").to_numpy() % bits
+        field = np.zeros(piece, dtype=bool)
+        field[at % piece] = True
+        return pa.table({"piece": [int(at[0]) // piece], "bits": [np.packbits(field).tobytes()]})
+
+    pieces = (frequent.groupBy(F.floor(F.pmod("code", F.lit(bits)) / piece).alias("piece"))
+              .applyInArrow(paint, "piece long, bits binary"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in pieces.collect():       # the bitmap, at most MAX_BITS
+        out[r["piece"] * piece // 8:(r["piece"] + 1) * piece // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def _leaves(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """(lang, word, leaf, n, cost): the suffixes of each task's pieces, cut after DEPTH words and before
+    the second word of a pair that is too rare for any candidate, counted by chunks of text; their first
+    word, and what they count against the budget."""
+    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("leaf", pa.string()), ("n", pa.int64()), ("cost", pa.int32())])
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def leaves(lang, w, windows):
+        bits = 8 * len(shared.value)
+        for d in range(1, DEPTH):
+            at = _pair_codes(lang, w, windows[:, d - 1:d + 1]) % bits
+            known = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+            windows[(windows[:, d] == 0) | (known == 0), d:] = 0
+        order, first = _runs(_packed(windows, len(w.texts)))
+        n = np.diff(np.append(first, len(order)))
+        rows = windows[order[first]]
+        for s in range(0, len(rows), EMIT):
+            some = rows[s:s + EMIT]
+            leaf = _phrases(some, w.texts)
+            cost = 1 + pc.binary_length(leaf).to_numpy() // LEAF_BYTES
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(leaf), pa.string()), w.texts.take(pa.array(some[:, 0] - 1)), leaf,
+                                              pa.array(n[s:s + EMIT]), pa.array(cost.astype(np.int32))], schema=schema)
+
+    return _by_chunk(docs, leaves, schema, "lang string, word string, leaf string, n long, cost int")
 
 
 def _first_words(d: int):
@@ -288,7 +348,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     without frequent phrases, gives no rows."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    leaves = written(_leaves(texts), "leaves")
+    leaves = written(_leaves(texts, _pair_filter(texts, min_count)), "leaves")
     counts, words = phrase_counts(leaves, min_count, budget)
     counts = written(counts.withColumnRenamed("n", "f"), "phrases")
     found = counts.where("words > 1")
