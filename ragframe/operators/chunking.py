@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragframe.functions.text import SENTENCE_PATTERN, split_keep
-from ragframe.functions.tokens import TokenCounter, chars4, get_counter
+from ragframe.functions.tokens import PythonCounter, TokenCounter, chars4, get_counter
+from ragframe.operators.cuts import heads_by, pack_at, pack_codes, packed_by, py_chain, runs
 from ragframe.operators.folds import greedy_head, greedy_pack
 from ragframe.operators.partitioning import spread
 
@@ -144,15 +145,30 @@ def chunk_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """documents -> rows ``(id, chunk_no, chunk, n_tokens)``.
 
     With ``overlap`` set, chunk i is extended by the head of chunk i+1.
-    Plan: scan -> project (split + fold) -> generate; no exchange."""
+    ``counter`` is a name, a ``Column -> Column`` function or a ``PythonCounter``
+    (``chain`` then lists Python splitters, text -> pieces). A null text has one
+    null chunk. Plan: scan -> project (split, sizes) -> cuts by Arrow -> project
+    (join) -> generate; no exchange."""
     counter_fn = get_counter(counter)
-    base = spread(df).select(F.col(id_col), chunk_text(F.col(text_col), limit, pattern=pattern,
-                                               word_limit=word_limit, char_limit=char_limit,
-                                               counter=counter_fn, chain=chain).alias("_chunks"))
+    words = limit if word_limit is None else word_limit
+    chars = 4 * words if char_limit is None else char_limit
+    units = split_keep(F.col(text_col), pattern)
+    in_python = isinstance(counter_fn, PythonCounter)
+    if in_python:
+        splitters = py_chain(words, chars) if chain is None else chain
+        base = spread(df).select(id_col, packed_by(units, limit, counter_fn, splitters).alias("_chunks"))
+    else:
+        splitters = default_chain(words, chars) if chain is None else chain
+        base = spread(df).select(F.col(id_col), leaves(units, limit, counter_fn, splitters).alias("_leaves"))
+        base = base.select(id_col, F.transform("_leaves", lambda x: x["t"]).alias("_texts"),
+                           pack_at(pack_codes(F.col("_leaves")), limit).alias("_cuts"))
+        base = base.select(id_col, runs("_texts", "_cuts", lambda ts: F.array_join(ts, "")).alias("_chunks"))
     if overlap:
-        heads = overlap_heads(F.col("_chunks"), limit, pattern=pattern, overlap=overlap,
-                              word_limit=word_limit, char_limit=char_limit, counter=counter_fn,
-                              chain=chain)
+        if in_python:
+            heads = heads_by(F.transform("_chunks", lambda c: split_keep(c, pattern)), int(limit * overlap), counter_fn, splitters)
+        else:
+            heads = overlap_heads(F.col("_chunks"), limit, pattern=pattern, overlap=overlap, word_limit=words,
+                                  char_limit=chars, counter=counter_fn, chain=splitters)
         base = base.select(id_col, "_chunks", heads.alias("_heads")) \
                    .select(id_col, with_overlap(F.col("_chunks"), F.col("_heads")).alias("_chunks"))
     out = base.select(id_col, F.posexplode_outer("_chunks").alias("chunk_no", "chunk"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ragframe.functions.text import (CODE_BLOCK_PATTERN_REF, IMAGE_PREFIX, MARKER_CLOSE, MARKER_OPEN, marker,
                                      py_strip, strictly_increasing_prefix)
+from ragframe.operators.cuts import runs, section_cuts, sections_at
 from ragframe.operators.numbering import global_offsets
 from ragframe.operators.partitioning import spread
 
@@ -70,63 +71,32 @@ def excerpt_groups(df: DataFrame, group_size: int = PDF_GROUP, *, id_col: str =
                    text_col: str = "text") -> DataFrame:
     """D2 without carry-over: consecutive groups of ``group_size`` kept
     paragraphs, each line ``marker text``, lines joined by newlines."""
-    init = F.struct(F.lit(0).alias("n"), F.lit("").alias("cur"),
-                    F.array().cast("array<string>").alias("out"))
-
-    def step(s, x):
-        line = F.concat(marker(x["m"]), F.lit(" "), x["text"])
-        full = (s["n"] > 0) & (s["n"] % group_size == 0)
-        return F.struct((s["n"] + 1).alias("n"),
-                        F.when(s["n"] == 0, line).when(full, line)
-                        .otherwise(F.concat(s["cur"], F.lit("\n"), line)).alias("cur"),
-                        F.when(full, F.array_append(s["out"], s["cur"])).otherwise(s["out"]).alias("out"))
-
-    paras = F.transform(kept_paragraphs(F.col(text_col)),
-                        lambda x, i: F.struct(i.alias("m"), x["text"].alias("text")))
-    groups = F.aggregate(paras, init, step,
-                         lambda s: F.when(s["n"] > 0, F.array_append(s["out"], s["cur"]))
-                         .otherwise(s["out"]))
-    d = spread(df).select(id_col, groups.alias("_g"))
+    lines = F.transform(kept_paragraphs(F.col(text_col)), lambda x, i: F.concat(marker(i), F.lit(" "), x["text"]))
+    d = spread(df).select(id_col, lines.alias("_l"))
+    first = F.when(F.size("_l") > 0, F.sequence(F.lit(0), F.size("_l") - 1, F.lit(group_size)))
+    groups = F.transform(first, lambda a: F.array_join(F.slice("_l", a + 1, group_size), "\n"))
+    d = d.select(id_col, groups.alias("_g"))
     return d.select(id_col, F.posexplode_outer("_g").alias("group_no", "excerpt")) \
             .filter(F.col("group_no").isNotNull()) \
             .withColumn("group_no", F.col("group_no").cast("long"))
 
 
-def _assemble(paras: Column, min_chars: int, pdf: bool) -> Column:
-    """MinSizeFold over array<struct<m, text, start, page>> producing
-    array<struct<content, first_marker, n_paras, page>>."""
-    sec = lambda content, first, n, page: F.struct(
-        content.alias("content"), first.alias("first_marker"), n.alias("n_paras"),
-        page.alias("page"))
-    init = F.struct(F.lit(0).cast("long").alias("acc"),
-                    sec(F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(0),
-                        F.lit(None).cast("int")).alias("cur"),
-                    F.array().cast("array<struct<content:string,first_marker:int,n_paras:int,page:int>>")
-                    .alias("out"))
-
-    def step(s, p):
-        emit = p["start"] & (s["acc"] > F.lit(min_chars))
-        fresh = sec(p["text"], p["m"], F.lit(1), p["page"])
-        grown = sec(F.concat(s["cur"]["content"], F.lit("\n"), p["text"]),
-                    s["cur"]["first_marker"], s["cur"]["n_paras"] + 1, s["cur"]["page"])
-        return F.struct(
-            (F.when(emit, F.lit(0).cast("long")).otherwise(s["acc"]) + F.length(p["text"])).alias("acc"),
-            F.when(emit | s["cur"]["content"].isNull(), fresh).otherwise(grown).alias("cur"),
-            F.when(emit, F.array_append(s["out"], s["cur"])).otherwise(s["out"]).alias("out"))
-
-    def finish(s):
-        has_tail = s["cur"]["content"].isNotNull()
-        n_out = F.size(s["out"])
-        if not pdf:
-            return F.when(has_tail, F.array_append(s["out"], s["cur"])).otherwise(s["out"])
-        last = F.get(s["out"], n_out - 1)
-        merged = sec(F.concat(last["content"], F.lit("\n"), s["cur"]["content"]),
-                     last["first_marker"], last["n_paras"] + s["cur"]["n_paras"], last["page"])
-        return (F.when(~has_tail, s["out"])
-                .when(n_out == 0, F.array(s["cur"]))
-                .otherwise(F.array_append(F.slice(s["out"], 1, n_out - 1), merged)))
-
-    return F.aggregate(paras, init, step, finish)
+def _assembled(rows: DataFrame, id_col: str, paras: Column, min_chars: int, pdf: bool) -> DataFrame:
+    """(id, section_no, content, first_marker, n_paras[, page_number]) from array<struct<m, text, start,
+    page>>: a start ends the section before it when that has more than ``min_chars`` characters."""
+    d = rows.select(id_col, paras.alias("_p"))
+    codes = F.transform("_p", lambda p: F.length(p["text"]).cast("long") * 2 + F.when(p["start"], F.lit(1)).otherwise(F.lit(0)))
+    d = d.select(id_col, "_p", sections_at(codes, min_chars, merge_tail=pdf).alias("_cuts"))
+    sections = runs("_p", "_cuts", lambda ps: F.struct(
+        F.array_join(F.transform(ps, lambda p: p["text"]), "\n").alias("content"), F.get(ps, 0)["m"].alias("first_marker"),
+        F.size(ps).alias("n_paras"), F.get(ps, 0)["page"].alias("page")))
+    out = (d.select(id_col, F.posexplode_outer(sections).alias("section_no", "_x"))
+           .filter(F.col("section_no").isNotNull()))
+    cols = [id_col, F.col("section_no").cast("long").alias("section_no"), F.col("_x.content").alias("content"),
+            F.col("_x.first_marker").cast("long").alias("first_marker"), F.col("_x.n_paras").cast("long").alias("n_paras")]
+    if pdf:
+        cols.append(F.col("_x.page").cast("long").alias("page_number"))
+    return out.select(*cols)
 
 
 def assemble_sections(df: DataFrame, rule: BoundaryRule = heading_rule, *, id_col: str = "doc_id",
@@ -141,16 +111,7 @@ def assemble_sections(df: DataFrame, rule: BoundaryRule = heading_rule, *, id_co
     paras = F.transform(kept, lambda x, i: F.struct(
         i.alias("m"), x["text"].alias("text"), rule(i, x["text"]).alias("start"),
         x["page"].alias("page")))
-    d = spread(df).select(id_col, _assemble(paras, min_chars, pdf).alias("_s"))
-    out = (d.select(id_col, F.posexplode_outer("_s").alias("section_no", "_x"))
-           .filter(F.col("section_no").isNotNull()))
-    cols = [id_col, F.col("section_no").cast("long").alias("section_no"),
-            F.col("_x.content").alias("content"),
-            F.col("_x.first_marker").cast("long").alias("first_marker"),
-            F.col("_x.n_paras").cast("long").alias("n_paras")]
-    if pdf:
-        cols.append(F.col("_x.page").cast("long").alias("page_number"))
-    return out.select(*cols)
+    return _assembled(spread(df), id_col, paras, min_chars, pdf)
 
 
 def sections_from_rows(rows: DataFrame, rule: BoundaryRule = heading_rule, *, starts: DataFrame | None = None,
@@ -178,12 +139,7 @@ def sections_from_rows(rows: DataFrame, rule: BoundaryRule = heading_rule, *, st
         begins = lambda i, t: F.array_contains("_starts", i)
     paras = F.transform("_rows", lambda x, i: F.struct(
         i.alias("m"), x["_t"].alias("text"), begins(i, x["_t"]).alias("start"), x["_p"].alias("page")))
-    out = docs.select(F.col("_id").alias(id_col), F.posexplode_outer(_assemble(paras, min_chars, pdf)).alias("section_no", "_x"))
-    cols = [id_col, F.col("section_no").cast("long").alias("section_no"), F.col("_x.content").alias("content"),
-            F.col("_x.first_marker").cast("long").alias("first_marker"), F.col("_x.n_paras").cast("long").alias("n_paras")]
-    if pdf:
-        cols.append(F.col("_x.page").cast("long").alias("page_number"))
-    return out.where(F.col("section_no").isNotNull()).select(*cols)
+    return _assembled(docs.withColumnRenamed("_id", id_col), id_col, paras, min_chars, pdf)
 
 
 def global_markers(sections: DataFrame, *, id_col: str = "doc_id",
@@ -219,17 +175,6 @@ def leading_starts(markers: list[int], first: int, n: int) -> np.ndarray:
     return at[:len(at) if good.all() else int(good.argmin())]
 
 
-def section_cuts(lengths: np.ndarray, starts: np.ndarray, min_chars: int) -> list[int]:
-    """The starts at which more than ``min_chars`` characters lie since the cut before."""
-    before = np.concatenate([[0], np.cumsum(lengths)])
-    cuts = [0]
-    while True:
-        far = starts[(starts > cuts[-1]) & (before[starts] - before[cuts[-1]] > min_chars)]
-        if not len(far):
-            return cuts[1:]
-        cuts.append(int(far[0]))
-
-
 def cut_by_model(texts: list[str], boundary_fn, group_size: int, min_chars: int, max_retries: int = 2) -> list[int]:
     """Paragraph numbers at which sections begin, asked of the model excerpt by
     excerpt. An excerpt begins at the last cut, so undecided paragraphs are

@@ -159,3 +159,74 @@ def test_time_grows_with_the_length_of_a_document(spark):
         return min(took)
     for col in (lambda t: word_pieces(t, 100), lambda t: char_pieces(t, 400)):
         assert seconds(4, col) < 4 * seconds(1, col) + 1.5
+
+
+def _timed(df, make, tries=2):
+    import time
+    took = []
+    for _ in range(tries):
+        t0 = time.time()
+        make(df).write.format("noop").mode("overwrite").save()
+        took.append(time.time() - t0)
+    return min(took)
+
+
+def test_chunks_and_sections_grow_in_proportion(spark):
+    """Documents of 0.5 to 4 MB, also without any heading: eight times the text takes about eight times as long."""
+    from ragframe.operators.sections import assemble_sections, excerpt_groups
+    line = "Some words of a longer line that goes on for a while. Then it ends here, at last.\n"
+    makers = [lambda d: chunk_documents(d, limit=100), lambda d: chunk_documents(d, limit=1000, overlap=0.34),
+              lambda d: assemble_sections(d, lambda m, t: m == 0), assemble_sections, excerpt_groups]
+    sized = {}
+    for mb in (0.5, 4):
+        text = (line * (1 + int(mb * 1e6) // len(line)))[:int(mb * 1e6)]
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string").persist()
+        df.count()
+        sized[mb] = [_timed(df, m) for m in makers]
+        df.unpersist()
+    for small, large in zip(sized[0.5], sized[4], strict=True):
+        assert large < 8 * small * 1.6 + 2 and large < 20, sized
+
+
+def test_a_python_tokenizer_drives_the_packer(spark):
+    from ragframe.functions.tokens import PythonCounter
+    calls = spark.sparkContext.accumulator(0)
+
+    def sizes(texts):
+        import re
+        return [len(re.findall(r"\w+|[^\w\s]", t)) for t in texts]
+
+    def counted(texts):
+        calls.add(1)
+        return sizes(texts)
+    docs = [(1, "One two three. Four five. Six seven eight nine ten eleven twelve. End."), (2, ""), (3, None),
+            (4, "a b c d e f g h i j. k."), (5, "x,y,z,u,v,w,a,b,c,d,e,f,g,h. Ok.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = chunk_documents(df, limit=6, counter=PythonCounter(counted), word_limit=4, char_limit=10).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r.doc_id, r.chunk_no or 0)):
+        got.setdefault(r.doc_id, []).append((r.chunk, r.n_tokens))
+    assert got == {
+        1: [("One two three.", 4), (" Four five.", 3), (" Six seven eight", 3), (" nine ten eleven twelve.", 5), (" End.", 2)],
+        2: [("", 0)], 3: [(None, None)],
+        4: [("a b c d", 4), (" e f g h", 4), (" i j.", 3), (" k.", 2)],
+        # one word of 29 tokens: pieces of ten characters, each still over the limit, stand alone
+        5: [("x,y,z,u,v,", 10), ("w,a,b,c,d,", 10), ("e,f,g,h.", 8), (" Ok.", 2)]}
+    assert 0 < calls.value <= 3 * 2 * 16       # a few per Arrow batch, not one per piece
+    over = {}
+    for r in chunk_documents(df.where("doc_id = 1"), limit=6, counter=PythonCounter(sizes), word_limit=4,
+                             char_limit=10, overlap=0.5).collect():
+        over[r.chunk_no] = r.chunk
+    # heads under a limit of three tokens
+    assert [over[i] for i in range(5)] == ["One two three. Four five.", " Four five. Six seven eight",
+                                           " Six seven eight nine ten eleven", " nine ten eleven twelve. End.", " End."]
+
+
+@pytest.mark.parametrize("overlap", [None, 0.34])
+def test_python_and_jvm_counters_agree(spark, overlap):
+    from ragframe.functions.tokens import PythonCounter
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
+    same = PythonCounter(lambda texts: [-(-len(t) // 4) for t in texts], batch_chars=20_000)
+    a = chunk_documents(docs, limit=100, overlap=overlap)
+    b = chunk_documents(docs, limit=100, overlap=overlap, counter=same)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
