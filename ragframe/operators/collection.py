@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragframe.operators.sizing import fits_broadcast
+
 COLLECTION_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), False),
     T.StructField("file_id", T.StringType(), False),
@@ -106,55 +108,66 @@ def append(df: DataFrame, path: str, *, batch_id: int | None = None, replace_fil
     n_buckets): bounded folders per batch, never one per file. Writing a batch
     replaces all of that batch, also buckets the new rows no longer reach, so
     replaying a ``batch_id`` (e.g. a stream epoch) never duplicates rows; a new id is an
-    append. ``replace_files=True`` also removes earlier rows of the incoming
-    files from other batches (re-ingest replaces): only partitions holding
-    those files are rewritten, through a staging table in the shared
-    checkpoint folder that cuts the lineage from the target."""
+    append. A batch that ``compact`` has closed is stored for good: writing it again
+    changes nothing. ``replace_files=True`` also removes earlier rows of the incoming
+    files (re-ingest replaces): no row is rewritten, (file, batch) tombstones are
+    written that reads leave out and ``compact`` applies."""
     spark = df.sparkSession
     n_buckets = stored_buckets(spark, path, n_buckets)
     create_if_missing(spark, path, n_buckets)
     bid = new_batch_id() if batch_id is None else int(batch_id)
+    if batch_id is not None and bid in _closed_batches(spark, path):
+        return bid
     rows = (to_collection_rows(df).withColumn("ingest_batch", F.lit(bid).cast("long"))
             .withColumn("file_bucket", file_bucket(F.col("file_id"), n_buckets)))
-    if not replace_files:
+    if batch_id is None:
         # a generated id is new: nothing to replace; a given id may be a replay
-        if batch_id is None:
-            _write_partitions(rows, path, replace=False)
-            return bid
+        _write_partitions(rows, path, replace=False)
+    else:
         # the buckets written are observed while writing (at most n_buckets values)
         seen = Observation("written")
         _write_partitions(rows.observe(seen, F.collect_set("file_bucket").alias("buckets")), path)
         # a plan without rows is optimised away with its metrics
         written = set() if rows.isEmpty() else set(seen.get["buckets"])
         _drop_other_buckets(spark, path, bid, written)
-        return bid
-    existing = load_collection(spark, path)
-    files = rows.select("file_id").distinct()
-    touched = (existing.join(files, "file_id", "left_semi").select(*PARTITION_COLS).distinct()
-               .filter(F.col("ingest_batch") != bid))
-    keep = existing.join(touched, PARTITION_COLS, "left_semi").join(files, "file_id", "left_anti")
-    from ragframe.session import scratch_path
-    staging = scratch_path(spark, "collection-staging")
-    keep.unionByName(rows).write.partitionBy(*PARTITION_COLS).parquet(staging)
-    merged = load_collection(spark, staging)
-    # partitions that lost all their rows must be emptied explicitly
-    emptied = touched.join(merged.select(*PARTITION_COLS).distinct(), PARTITION_COLS, "left_anti")
-    _write_partitions(merged, path)
-    for r in emptied.collect():               # bounded: partitions, not rows
-        _drop_partition(spark, path, r["ingest_batch"], r["file_bucket"])
+    if replace_files:
+        _bury_earlier(spark, path, bid)
     return bid
 
 
-def append_conformed(df: DataFrame, path: str, dim: int, *, batch_id: int | None = None, **kw) -> int:
+TOMBSTONES = "file_id string, dead_batch long, file_bucket int"
+
+
+def _bury_earlier(spark: SparkSession, path: str, bid: int) -> None:
+    """Tombstones for the rows that other batches hold of the files of batch ``bid``. They are written once:
+    a replay of the batch must not bury what came after it. Reads file ids of the batch's buckets only."""
+    folder = f"{path}/_tombstones/by_batch={bid}"
+    if path_exists(spark, f"{folder}/_SUCCESS"):
+        return
+    alive = load_collection(spark, path)
+    files = alive.where(F.col("ingest_batch") == bid).select("file_bucket", "file_id").distinct()
+    buckets = [r[0] for r in files.select("file_bucket").distinct().collect()]       # at most n_buckets
+    dead = (alive.where((F.col("ingest_batch") != bid) & F.col("file_bucket").isin(buckets))
+            .select("file_id", F.col("ingest_batch").alias("dead_batch"), "file_bucket").distinct()
+            .join(files, ["file_bucket", "file_id"], "left_semi"))
+    dead.select("file_id", "dead_batch", "file_bucket").write.mode("overwrite").parquet(folder)
+
+
+def append_conformed(df: DataFrame, path: str, dim: int, *, batch_id: int | None = None, rejected: DataFrame | None = None,
+                     **kw) -> int:
     """F8 then K2: conforming rows are appended, the others go with their
     ``status`` to the collection's quarantine, which a replay of the batch
     replaces like the rows themselves. Nothing is lost. The rows are staged in
     the shared checkpoint folder, so that what they cost (an embedder's calls)
-    is paid once and they may come from the collection itself."""
+    is paid once and they may come from the collection itself. ``rejected`` has rows
+    that failed before, with their ``status``: they join the quarantine."""
     from ragframe.operators.validation import with_collection_status
     from ragframe.session import scratch_path
     staging = scratch_path(df.sparkSession, "conformed")
-    with_collection_status(df, dim).write.parquet(staging)
+    judged = with_collection_status(df, dim)
+    if rejected is not None:
+        judged = judged.unionByName(rejected, allowMissingColumns=True)
+    judged.write.parquet(staging)
     staged = df.sparkSession.read.parquet(staging)
     ok, bad = staged.where("status = 'ok'"), staged.where("status <> 'ok'")
     replay = batch_id is not None
@@ -192,16 +205,102 @@ def _drop_other_buckets(spark: SparkSession, path: str, batch: int, keep: set[in
             fs.delete(f.getPath(), True)
 
 
-def _drop_partition(spark: SparkSession, path: str, batch: int, bucket: int) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/ingest_batch={batch}/file_bucket={bucket}")
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _batch_folders(spark: SparkSession, path: str) -> dict[int, int]:
+    """Bytes of each batch's folder (names and sizes only, no data is read)."""
+    p, fs = _fs(spark, path)
+    out = {}
+    for f in fs.listStatus(p) if fs.exists(p) else []:
+        name = f.getPath().getName()
+        if name.startswith("ingest_batch="):
+            out[int(name.partition("=")[2])] = fs.getContentSummary(f.getPath()).getLength()
+    return out
+
+
+def _compactions(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(closed batch, batch it was merged into) of the compactions that took effect."""
+    if not path_exists(spark, f"{path}/_compactions"):
+        return []
+    rows = spark.read.schema("old long, merged long").parquet(f"{path}/_compactions").collect()    # one per closed batch
+    there = {m: path_exists(spark, f"{path}/ingest_batch={m}") or any(r["old"] == m for r in rows) for m in {r["merged"] for r in rows}}
+    return [(r["old"], r["merged"]) for r in rows if there[r["merged"]]]
+
+
+def _closed_batches(spark: SparkSession, path: str) -> set[int]:
+    return {old for old, _ in _compactions(spark, path)}
+
+
+def compact(spark: SparkSession, path: str, *, keep: int = 1, small_bytes: int = 1 << 30, newest: int | None = None) -> int | None:
+    """Merges the batches below ``small_bytes``, but for the ``keep`` with the greatest ids (a stream's
+    newest epochs, which may be replayed; ``newest``: no batch from this id on is touched), into one batch
+    of right-sized files per bucket. Tombstones are applied. Returns the merged batch's id, or None if
+    fewer than two batches qualify.
+
+    The merged rows are staged, the closed batches are logged, then one rename of a folder makes the merge
+    take effect: readers leave logged batches out only when the merged folder is there, so rows are neither
+    lost nor doubled whenever a job ends early; what is left over is cleared by the next call. The rename
+    has to be atomic, as it is on file systems; object stores need a table format instead."""
+    _clear_closed(spark, path)
+    folders = _batch_folders(spark, path)
+    open_ = sorted(b for b in folders if newest is None or b < newest)
+    chosen = [b for b in (open_[:-keep] if keep else open_) if folders[b] < small_bytes]
+    if len(chosen) < 2:
+        return None
+    merged = new_batch_id()
+    staging = f"{path}/_staging-{merged}"
+    rows = load_collection(spark, path).where(F.col("ingest_batch").isin(chosen)).withColumn("ingest_batch", F.lit(merged).cast("long"))
+    rows.hint("rebalance", *PARTITION_COLS).write.partitionBy(*PARTITION_COLS).parquet(staging)
+    # also without any row alive there is a folder to rename
+    _fs(spark, staging)[1].mkdirs(_fs(spark, f"{staging}/ingest_batch={merged}")[0])
+    spark.createDataFrame([(b, merged) for b in chosen], "old long, merged long").coalesce(1) \
+        .write.mode("append").parquet(f"{path}/_compactions")
+    target, fs = _fs(spark, f"{path}/ingest_batch={merged}")
+    if not fs.rename(_fs(spark, f"{staging}/ingest_batch={merged}")[0], target):
+        raise OSError(f"cannot rename {staging}")
+    _drop_folder(spark, staging)
+    _clear_closed(spark, path)
+    return merged
+
+
+def _clear_closed(spark: SparkSession, path: str) -> None:
+    """Deletes folders of closed batches, stagings that never took effect, and tombstones of rows that are gone."""
+    for old in _closed_batches(spark, path) & set(_batch_folders(spark, path)):
+        _drop_folder(spark, f"{path}/ingest_batch={old}")
+    p, fs = _fs(spark, path)
+    for f in fs.listStatus(p) if fs.exists(p) else []:
+        if f.getPath().getName().startswith("_staging-"):
+            fs.delete(f.getPath(), True)
+    stones, fs = _fs(spark, f"{path}/_tombstones")
+    left = set(_batch_folders(spark, path))
+    for f in fs.listStatus(stones) if fs.exists(stones) else []:
+        folder = f"{path}/_tombstones/{f.getPath().getName()}"
+        by = int(f.getPath().getName().partition("=")[2])
+        if by in left:
+            continue            # an open batch: a replay has to find that it buried already
+        dead = spark.read.schema(TOMBSTONES).parquet(folder).select("dead_batch").distinct().collect()
+        if not {r[0] for r in dead} & left:
+            _drop_folder(spark, folder)
 
 
 def load_collection(spark: SparkSession, path: str) -> DataFrame:
     """V7: the collection as a DataFrame. A filter on ``file_bucket``
-    (``file_bucket(lit(id), n)``) prunes partitions for one file."""
-    return spark.read.schema(STORED_SCHEMA).parquet(path)
+    (``file_bucket(lit(id), n)``) prunes partitions for one file. Rows of replaced
+    files and of batches merged into another are left out."""
+    rows = spark.read.schema(STORED_SCHEMA).parquet(path)
+    closed = _closed_batches(spark, path) & set(_batch_folders(spark, path))
+    if closed:
+        rows = rows.where(~F.col("ingest_batch").isin(sorted(closed)))
+    if not path_exists(spark, f"{path}/_tombstones"):
+        return rows
+    dead = spark.read.schema(TOMBSTONES).option("recursiveFileLookup", "true").parquet(f"{path}/_tombstones")
+    dead = dead.withColumnRenamed("dead_batch", "ingest_batch").distinct()
+    if fits_broadcast(dead, 100):
+        dead = F.broadcast(dead)
+    return rows.join(dead, ["file_id", "ingest_batch", "file_bucket"], "left_anti").select(*[f.name for f in STORED_SCHEMA.fields])
 
 
 def columns_to_rows(batch: DataFrame, list_cols: list[str], keep: list[str] | None = None) -> DataFrame:

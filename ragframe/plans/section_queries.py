@@ -11,6 +11,7 @@ from ragframe.operators.sections import (MIN_SECTION_CHARS, PDF_GROUP, assemble_
                                          excerpt_groups, global_markers,
                                          paragraphs, per_file_lines, rule_model, sections_from_rows,
                                          semantic_chunks)
+from ragframe.operators.waves import semantic_waves
 from ragframe.plans.registry import register
 from ragframe.sources.docx import docx_paragraphs, text_to_docx
 from ragframe.sources.tables import load_table
@@ -139,6 +140,39 @@ def q_semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic_chunks(_docs(spark, sf_dir), rule_model(RULE_LEN))
 
 
+WAVE_GROUP = 8
+_END = "<end>"
+
+
+def wave_model(prompts):
+    """Stand-in boundary model: lists the first and the short paragraphs of an excerpt. Where the excerpt has
+    one group and is not the document's last, some answers are empty or begin with an unknown marker, so
+    that excerpts grow; the others go on with a falling and an unknown marker, which do not count."""
+    import re
+    out = []
+    for prompt in prompts["prompt"]:
+        lines = re.findall(r"^【(\d+)†source】 (.*)$", prompt, re.M)
+        found = [int(m) for m, t in lines if int(m) == 0 or len(t) < RULE_LEN]
+        first = int(lines[0][0])
+        if len(lines) == WAVE_GROUP and lines[-1][1] != _END and first % 3:
+            found = [] if first % 3 == 1 else [999_999, *found]
+        else:
+            found += [0, 999_999]
+        out.append("Sections:\n```python\nsections = [" + ", ".join(f"'【{m}†source】'" for m in found) + "]\n```")
+    return out
+
+
+@register("semantic_waves", _sections_sql(False).replace("string_split(text, chr(10))", f"string_split(text || chr(10) || '{_END}', chr(10))") + """
+SELECT * FROM sections
+""")
+def q_semantic_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5 + D10 + X14 in waves over all documents (each closed by an end line):
+    prompts in shared batches, groups of 8 paragraphs that grow where an answer
+    is empty or unknown; the result equals the single-pass assembly."""
+    d = _docs(spark, sf_dir).select("doc_id", F.concat("text", F.lit("\n" + _END)).alias("text"))
+    return semantic_waves(d, wave_model, group_size=WAVE_GROUP)[0]
+
+
 @register("per_file_sections", _sections_sql(True) + """
 SELECT doc_id, section_no, '【' || section_no || '†source】 ' || content AS line FROM sections
 """)

@@ -139,3 +139,76 @@ def test_rejected_rows_are_kept_and_replaced_with_their_batch(spark):
         ("a", 1, "content_too_long"), ("b", 0, "missing_embedding"), ("c", 0, "bad_dimension")]
     append_conformed(df.where("file_id = 'b'"), path, 2, batch_id=3)
     assert load_collection(spark, path).count() == 0 and load_rejected(spark, path).count() == 1
+
+
+def _files(path):
+    import glob
+    return glob.glob(f"{path}/ingest_batch=*/**/*.parquet", recursive=True)
+
+
+def test_replacing_one_file_of_many_writes_its_rows_only(spark):
+    import os
+    path = scratch_path(spark, "t-coll")
+    wide = spark.range(1000).select(F.concat(F.lit("f"), F.col("id")).alias("file_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_no"),
+                                    F.lit("text").alias("content"), F.array(F.lit(0.1), F.lit(0.2)).alias("embedding"))
+    append(wide, path, batch_id=1, n_buckets=8)
+    before = {f: os.path.getmtime(f) for f in _files(path)}
+    new = spark.createDataFrame([("f7", 0, "new", [0.5, 0.5])], "file_id string, chunk_no long, content string, embedding array<float>")
+    append(new, path, batch_id=2, replace_files=True)
+    after = {f: os.path.getmtime(f) for f in _files(path)}
+    assert {f: t for f, t in after.items() if f in before} == before and len(set(after) - set(before)) == 1
+    col = load_collection(spark, path)
+    assert col.count() == 1999 and [r.content for r in col.where("file_id = 'f7'").collect()] == ["new"]
+    # batch 3 replaces the file again; replays of 2 and 1 bring nothing back and bury nothing more
+    append(new.withColumn("content", F.lit("newer")), path, batch_id=3, replace_files=True)
+    append(new, path, batch_id=2, replace_files=True)
+    append(wide, path, batch_id=1)
+    col = load_collection(spark, path)
+    assert col.count() == 1999 and [r.content for r in col.where("file_id = 'f7'").collect()] == ["newer"]
+    assert "PartitionFilters: [isnotnull(file_bucket" in col.where("file_bucket = 3")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compaction_keeps_rows_and_bounds_files(spark):
+    from ragframe.operators.collection import _compactions, compact, search_collection
+    path = scratch_path(spark, "t-coll")
+    create_if_missing(spark, path, 4)
+    for b in range(40):
+        rows = [(f"f{(b * 3 + j) % 20}", b, f"{b}-{j}", [float(b), float(j)]) for j in range(3)]
+        append(spark.createDataFrame(rows, "file_id string, chunk_no long, content string, embedding array<float>").coalesce(1),
+               path, batch_id=100 + b, replace_files=b == 30)
+    qs = spark.createDataFrame([(i, f"f{i}", [3.0, 1.0]) for i in range(20)], "qid long, file_id string, embedding array<float>")
+
+    def state():
+        col = load_collection(spark, path)
+        found = search_collection(spark, path, qs, 3, output_fields=["content"])
+        return sorted(tuple(r) for r in col.drop("ingest_batch").collect()), sorted(tuple(r) for r in found.collect())
+    before, n_files = state(), len(_files(path))
+    merged = compact(spark, path, keep=2)
+    assert state() == before and len(_files(path)) <= 4 + 2 * 4 < n_files
+    assert {old for old, m in _compactions(spark, path) if m == merged} == set(range(100, 138))
+    # a replay of a closed batch changes nothing, one of an open batch replaces it
+    append(_rows(spark), path, batch_id=105)
+    assert state() == before
+    append(_rows(spark), path, batch_id=139)
+    assert load_collection(spark, path).where("ingest_batch = 139").count() == 4
+    assert compact(spark, path, keep=2) is None
+    for b in range(5):
+        append(_rows(spark), path, batch_id=200 + b)
+    n = load_collection(spark, path).count()
+    compact(spark, path, keep=0)
+    assert load_collection(spark, path).count() == n and len(_files(path)) <= 4
+
+
+def test_compaction_that_ends_early_loses_nothing(spark):
+    from ragframe.operators.collection import _batch_folders, compact
+    path = scratch_path(spark, "t-coll")
+    for b in (1, 2, 3):
+        append(_rows(spark), path, batch_id=b, n_buckets=2)
+    # ended after the log, before the rename: the log names a folder that is not there
+    spark.createDataFrame([(1, 77), (2, 77)], "old long, merged long").write.mode("append").parquet(f"{path}/_compactions")
+    _rows(spark).write.parquet(f"{path}/_staging-77")
+    assert load_collection(spark, path).count() == 12
+    append(_rows(spark).limit(1), path, batch_id=2)          # still open
+    assert load_collection(spark, path).count() == 9
+    merged = compact(spark, path, keep=1)
+    assert set(_batch_folders(spark, path)) == {merged, 3} and load_collection(spark, path).count() == 9
