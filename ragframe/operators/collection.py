@@ -180,6 +180,23 @@ def append_conformed(df: DataFrame, path: str, dim: int, *, batch_id: int | None
     return bid
 
 
+def ingest_embedded_csv(spark: SparkSession, csv_path: str, path: str, dim: int, *, id_col: str = "id", file_col: str = "collection",
+                        text_col: str = "chunks", columns: list[str] | None = None, batch_id: int | None = None) -> int:
+    """A CSV of embedded chunks (S6) into a collection: file ids sanitised, vectors parsed, rules of F8.
+    Records that are malformed go to the quarantine as ``content``, rows whose token count is no number too."""
+    from ragframe.functions.text import sanitise_ascii
+    from ragframe.functions.vectors import parse_vector
+    from ragframe.sources.files import read_embedded_csv_checked
+    rows, malformed = read_embedded_csv_checked(spark, csv_path, columns)
+    typed = rows.select(sanitise_ascii(F.col(file_col)).alias("file_id"), F.expr(f"try_cast(`{id_col}` AS long)").alias("chunk_no"),
+                        F.col(text_col).alias("content"), parse_vector(F.col("embedding")).alias("embedding"),
+                        F.expr("try_cast(num_tokens AS long)").alias("num_tokens"),
+                        (F.col("num_tokens").isNotNull() & F.expr("try_cast(num_tokens AS long)").isNull()).alias("_bad"))
+    bad = (typed.where("_bad").drop("_bad").withColumn("status", F.lit("bad_num_tokens"))
+           .unionByName(malformed.select(F.col("record").alias("content"), F.lit("malformed_record").alias("status")), allowMissingColumns=True))
+    return append_conformed(typed.where("not _bad").drop("_bad"), path, dim, batch_id=batch_id, rejected=bad)
+
+
 def load_rejected(spark: SparkSession, path: str) -> DataFrame:
     """The quarantined rows of a collection, with their status."""
     fields = [COLLECTION_SCHEMA[c] for c in REJECTED_COLS]

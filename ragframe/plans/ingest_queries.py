@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ragframe.functions.text import sanitise_ascii
 from ragframe.functions.tokens import WORD_PATTERN
 from ragframe.functions.vectors import parse_vector, vector_to_text
-from ragframe.operators.collection import append_conformed, load_collection, load_rejected, search_collection
+from ragframe.operators.collection import append_conformed, ingest_embedded_csv, load_collection, load_rejected, search_collection
 from ragframe.operators.embed import enrich_chunks, hash_buckets
 from ragframe.operators.sections import assemble_sections, global_markers
 from ragframe.plans.chat import vector_collection
@@ -142,6 +142,39 @@ def q_embedded_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                        sanitise_ascii(F.col("collection")).alias("collection"))
 
 
+@register("embedded_csv_ingest", """
+WITH c AS (SELECT e.vec_id AS id, d.text, e.embedding, CAST(ceil(length(d.text) / 4.0) AS BIGINT) AS num_tokens, e.label
+           FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id),
+judged AS (SELECT *, CASE WHEN id % 10 = 6 THEN 'malformed_record' WHEN id % 10 = 4 THEN 'bad_num_tokens'
+                          WHEN length(text) > 30000 THEN 'content_too_long'
+                          WHEN id % 10 = 3 THEN 'missing_embedding' WHEN id % 10 = 5 THEN 'bad_dimension' ELSE 'ok' END AS status FROM c)
+SELECT CASE WHEN status = 'malformed_record' THEN NULL ELSE 'emb' || label || 'ed' END AS file_id,
+       CASE WHEN status <> 'malformed_record' THEN id END AS chunk_no,
+       md5(CASE WHEN status = 'malformed_record' THEN CAST(id AS VARCHAR) || ',short' ELSE text END) AS content_md5,
+       CASE WHEN status NOT IN ('malformed_record', 'bad_num_tokens') THEN num_tokens END AS num_tokens,
+       CASE WHEN status = 'ok' THEN round(list_reduce(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), lambda a, b: a + b), 6) END AS vsum,
+       status
+FROM judged
+""")
+def q_embedded_csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV of embedded chunks, some of its vectors, counts and records broken,
+    goes to a stored collection and its quarantine; both are read back."""
+    c = vector_collection(spark, sf_dir).select("id", F.col("content").alias("chunks"), vector_to_text(F.col("embedding")).alias("embedding"),
+                                                F.col("num_tokens").cast("string").alias("num_tokens"),
+                                                F.concat(F.lit("emb-"), F.col("file_id"), F.lit("/ed")).alias("collection"))
+    last = F.col("id") % 10
+    broken = F.when(last == 3, F.lit("[1,x]")).when(last == 5, F.lit("[1,2]")).otherwise(F.col("embedding"))
+    path, target = scratch_path(spark, "embedded-csv"), scratch_path(spark, "collection")
+    write_csv(c.where("id % 10 <> 6").withColumn("embedding", broken)
+              .withColumn("num_tokens", F.when(last == 4, F.lit("many")).otherwise(F.col("num_tokens"))), path)
+    write_csv(c.where("id % 10 = 6").select("id", F.lit("short").alias("chunks")), path, mode="append")
+    ingest_embedded_csv(spark, path, target, DIM, columns=c.columns)
+    out = load_collection(spark, target).withColumn("status", F.lit("ok")).unionByName(load_rejected(spark, target), allowMissingColumns=True)
+    total = F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double"))
+    return out.select("file_id", "chunk_no", F.md5("content").alias("content_md5"), "num_tokens",
+                      F.when(F.col("status") == "ok", F.round(total, 6)).alias("vsum"), "status")
+
+
 def _vectors_sql() -> str:
     """Dense hashed vectors of the sections in SQL (float, like the embedder)."""
     return f""",

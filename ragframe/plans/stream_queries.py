@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragframe.functions.text import NEWLINE_PATTERN
-from ragframe.operators.collection import load_collection
+from ragframe.operators.collection import load_collection, load_rejected
+from ragframe.operators.partitioning import spread
 from ragframe.plans.chunk_queries import LIMIT, _LINES_SQL
 from ragframe.plans.ingest_queries import DIM, _embed_stats, _embed_stats_sql
 from ragframe.plans.registry import register
+from ragframe.plans.section_queries import _rule, _sections_sql
 from ragframe.session import scratch_path
 from ragframe.sources.tables import load_table
-from ragframe.streaming.ingest import stream_ingest
+from ragframe.sources.docx import text_to_docx
+from ragframe.sources.files import write_files
+from ragframe.streaming.ingest import stream_ingest, stream_word_files
 from ragframe.streaming.reassemble import reassemble_stream, to_deltas
 
 N_LANDING_FILES = 4
@@ -56,3 +60,25 @@ def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     col = load_collection(spark, collection)
     out = _embed_stats(col, ["file_id", "chunk_no"])
     return out.withColumn("top_bucket", F.when(F.col("n_buckets") > 0, F.col("top_bucket")))
+
+
+@register("stream_word_files", _sections_sql(False) + """,
+good AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, section_no AS chunk_no, md5(content) AS content_md5,
+                CASE WHEN length(content) <= 30000 THEN 'ok' ELSE 'content_too_long' END AS status FROM sections WHERE doc_id % 50 <> 7)
+SELECT * FROM good
+UNION ALL
+SELECT CAST(doc_id AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), 'corrupt_file' FROM documents WHERE doc_id % 50 = 7
+""")
+def q_stream_word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z1 + T2 + S9: every document lands as a Word file, some of them cut short; a
+    binary file stream reads them, cuts them into sections and appends to the
+    collection; the corrupt ones are in its quarantine."""
+    d = load_table(spark, "documents", sf_dir).select("doc_id", "text")
+    files = spread(d).select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"), "doc_id", text_to_docx(F.col("text")).alias("content"))
+    files = files.withColumn("content", F.when(F.col("doc_id") % 50 == 7, F.substring("content", 1, 20)).otherwise(F.col("content")))
+    landing, collection = scratch_path(spark, "word-files"), scratch_path(spark, "word-collection")
+    write_files(files, landing)
+    stream_word_files(spark, landing, collection, scratch_path(spark, "ckpt-word"), dim=DIM, rule=_rule)
+    out = load_collection(spark, collection).withColumn("status", F.lit("ok")).unionByName(load_rejected(spark, collection), allowMissingColumns=True)
+    return out.select("file_id", "chunk_no", F.md5("content").alias("content_md5"),
+                      F.regexp_replace("status", "^corrupt_file: .*", "corrupt_file").alias("status"))

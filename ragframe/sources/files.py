@@ -3,8 +3,12 @@ trees, whole-text files."""
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Outer white space stays; an empty string is a quoted empty field and a null
 # this mark, so both come back. A text that is the mark alone would read as null.
@@ -32,6 +36,43 @@ def read_embedded_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**CSV_READ).csv(path)
 
 
+MALFORMED = "_malformed"
+
+
+def read_embedded_csv_checked(spark: SparkSession, path: str, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """S6 with its malformed records: (rows, (record,)). Columns are the given ones, in
+    the order of the files, or those of the first file's header; a record with another number of fields, or a quote that does not close, is kept as it
+    stands in the second table and has no row in the first."""
+    columns = columns or spark.read.options(**CSV_READ).csv(path).columns        # reads a header line alone
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, MALFORMED]])
+    rows = spark.read.schema(schema).options(**CSV_READ, mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED).csv(path)
+    # Spark reads no CSV for its malformed records alone: another column has to be asked for
+    record = F.concat(F.col(MALFORMED), F.substring(F.coalesce(F.col(columns[0]), F.lit("")), 1, 0))
+    return rows.where(F.col(MALFORMED).isNull()).drop(MALFORMED), rows.where(F.col(MALFORMED).isNotNull()).select(record.alias("record"))
+
+
+def write_files(df: DataFrame, root: str, name_col: str = "name", content_col: str = "content") -> None:
+    """Each row a file ``root/name`` (binary), written by the tasks through the file system that
+    ``root`` names. A file is written under another name first and renamed, so a retry leaves whole files."""
+    schema = pa.schema([("n", pa.int64())])
+
+    def run(batches):
+        from pyarrow import fs
+        system, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                part = f"{base}/.{name}-{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(content)
+                system.move(part, f"{base}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], schema=schema)
+
+    df.select(F.col(name_col).alias("name"), F.col(content_col).cast("binary").alias("content")) \
+        .where("name is not null and content is not null").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """Every file below ``root`` (recursive) with its path relative to
     ``root``; content is read lazily and only when selected."""

@@ -1,5 +1,5 @@
-"""Incremental ingest. New document files are chunked, enriched and
-appended to a collection by a Structured Streaming query; each micro-batch
+"""Incremental ingest. New document files are chunked (texts) or cut into
+sections (Word files), enriched and appended to a collection by a Structured Streaming query; each micro-batch
 writes its own collection partitions, so a replayed batch (after a failure)
 overwrites them instead of duplicating rows."""
 
@@ -8,9 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragframe.functions.text import file_id_from_path
 from ragframe.operators.chunking import chunk_documents
-from ragframe.operators.collection import append_conformed, create_if_missing
+from ragframe.operators.collection import append_conformed, compact, create_if_missing
 from ragframe.operators.embed import enrich_chunks
+from ragframe.operators.sections import heading_rule, sections_from_rows
+from ragframe.session import scratch_path
+from ragframe.sources.docx import docx_paragraphs
 
 
 def ingest_batch(batch: DataFrame, collection: str, *, limit: int, pattern: str, dim: int,
@@ -30,7 +34,7 @@ def stream_batch_base(checkpoint: str) -> int:
 
 def stream_ingest(spark: SparkSession, source: str, schema: str, collection: str, checkpoint: str, *,
                   limit: int, pattern: str, dim: int, max_files_per_trigger: int | None = None,
-                  replace_files: bool = False):
+                  replace_files: bool = False, compact_every: int | None = None):
     """File source -> foreachBatch(chunk -> enrich -> conform -> append),
     processed until the input is exhausted (``availableNow``). Micro-batch n
     writes collection batch ``base + n``: a replayed epoch overwrites its own
@@ -41,9 +45,52 @@ def stream_ingest(spark: SparkSession, source: str, schema: str, collection: str
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(source)
-    q = (src.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, epoch: ingest_batch(df, collection, limit=limit, pattern=pattern, dim=dim,
-                                                      batch_id=base + epoch, replace_files=replace_files))
-         .trigger(availableNow=True).start())
+    return _run(src, checkpoint, collection, compact_every, lambda df, epoch: ingest_batch(
+        df, collection, limit=limit, pattern=pattern, dim=dim, batch_id=base + epoch, replace_files=replace_files))
+
+
+def _run(src: DataFrame, checkpoint: str, collection: str, compact_every: int | None, write):
+    """Runs ``write(batch, epoch)`` for each micro-batch until the input is exhausted."""
+    base = stream_batch_base(checkpoint)
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        write(df, epoch)
+        if compact_every and (epoch + 1) % compact_every == 0:
+            # this epoch is not committed yet: it stays open for a replay
+            compact(df.sparkSession, collection, keep=0, newest=base + epoch)
+
+    q = src.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def ingest_word_files(files: DataFrame, collection: str, *, dim: int, rule=heading_rule, batch_id: int | None = None,
+                      replace_files: bool = True) -> None:
+    """Word files (path, content) -> paragraphs -> sections -> embedding -> collection; the
+    file id is the file's name without extension. A file that cannot be read is a row of the
+    quarantine with its error as status. A file that comes again replaces its earlier rows."""
+    named = files.select(file_id_from_path(F.col("path")).alias("file_id"), "content")
+    staging = scratch_path(files.sparkSession, "paragraphs")
+    docx_paragraphs(named, "file_id", "content", errors=True).write.parquet(staging)      # files are read once
+    paras = files.sparkSession.read.parquet(staging)
+    broken = paras.where("error is not null").select("file_id", F.concat(F.lit("corrupt_file: "), "error").alias("status"))
+    sections = sections_from_rows(paras.where("error is null"), rule, id_col="file_id")
+    rows = enrich_chunks(sections.select("file_id", F.col("section_no").alias("chunk_no"), "content"), ["file_id", "chunk_no"], dim=dim)
+    append_conformed(rows, collection, dim, batch_id=batch_id, rejected=broken, replace_files=replace_files)
+
+
+def stream_word_files(spark: SparkSession, source: str, collection: str, checkpoint: str, *, dim: int, rule=heading_rule,
+                      max_files_per_trigger: int | None = None, replace_files: bool = True, compact_every: int | None = None):
+    """Every ``*.docx`` that lands below ``source`` goes to the collection (``ingest_word_files``),
+    epoch by epoch, replay-safe like ``stream_ingest``."""
+    create_if_missing(spark, collection)
+    base = stream_batch_base(checkpoint)
+    reader = (spark.readStream.format("binaryFile").schema(BINARY_FILES).option("pathGlobFilter", "*.docx")
+              .option("recursiveFileLookup", "true"))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return _run(reader.load(source), checkpoint, collection, compact_every, lambda df, epoch: ingest_word_files(
+        df, collection, dim=dim, rule=rule, batch_id=base + epoch, replace_files=replace_files))
