@@ -36,7 +36,7 @@ SCALE = 2_000_000
 BUDGET = 250_000       # leaves of a group, each counting one and another for every LEAF_BYTES bytes
 LEAF_BYTES = 64
 MAX_BITS = 1 << 31     # bits of the filter of frequent pairs (256 MB); beyond, it lets more through
-CHUNK = 3_000_000      # bytes of text counted at once
+CHUNK = 2_000_000      # bytes of text counted at once
 EMIT = 100_000         # rows of an Arrow batch
 NO_LANG = "und"
 
@@ -265,11 +265,12 @@ def partition(leaves: DataFrame, budget: int) -> tuple[DataFrame, DataFrame, Dat
     measure = lambda df: df.groupBy("lang", "phrase").agg(F.sum("cost").alias("cost"), F.sum("n").alias("n"))
     first = sizes = written(measure(leaves.withColumn("phrase", F.col("word"))), "prefixes-1")
     for d in range(1, DEPTH):
-        leaves = leaves.withColumn("phrase", F.col("word") if d == 1 else F.when(F.col("plen") == d, _first_words(d)))
+        # leaves under another prefix, or that end before, are one group without a phrase
+        leaves = leaves.withColumn("phrase", F.col("word") if d == 1 else F.when(
+            (F.col("plen") == d) & (F.size(F.split("leaf", " ")) >= d), _first_words(d)))
         if d > 1:
-            inside = leaves.where((F.col("plen") == d) & (F.size(F.split("leaf", " ")) >= d))
-            sizes = written(measure(inside).where(F.col("cost") > budget), f"prefixes-{d}")
-        large = sizes.where(F.col("cost") > budget)
+            sizes = written(measure(leaves).where(F.col("cost") > budget), f"prefixes-{d}")
+        large = sizes.where((F.col("cost") > budget) & F.col("phrase").isNotNull())
         if large.isEmpty():
             break
         nodes = nodes.unionByName(large.select("lang", "phrase", F.lit(d).alias("words"), "n"))
