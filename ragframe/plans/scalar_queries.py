@@ -228,14 +228,18 @@ def q_auto_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("columns_to_rows", f"""
-SELECT vec_id, label, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings
+SELECT vec_id, label, CAST(len(embedding) AS BIGINT) AS dim,
+       md5(array_to_string(list_transform(embedding, lambda x: CAST(CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), ',')) AS values_md5
+FROM embeddings
 """)
 def q_columns_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K4: columnar insert batches (bounded: one file, 100 ids) -> rows."""
+    """K4: columnar insert batches (bounded: one file, 100 ids) -> rows, with every
+    component (in millionths) of the vector that belongs to the id."""
     e = load_table(spark, "embeddings", sf_dir).withColumn("_batch", (F.col("vec_id") / 100).cast("long"))
     batches = rows_to_columns(e, ["label", "_batch"], "vec_id", ["vec_id", "embedding"])
     rows = columns_to_rows(batches, ["vec_id", "embedding"], keep=["label"])
-    return rows.select("vec_id", "label", F.size("embedding").cast("long").alias("dim"))
+    millionths = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000000).cast("string"))
+    return rows.select("vec_id", "label", F.size("embedding").cast("long").alias("dim"), F.md5(F.array_join(millionths, ",")).alias("values_md5"))
 
 
 @register("fold_extras", """

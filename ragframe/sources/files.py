@@ -52,7 +52,7 @@ def read_embedded_csv_checked(spark: SparkSession, path: str, columns: list[str]
 
 
 def write_files(df: DataFrame, root: str, name_col: str = "name", content_col: str = "content") -> None:
-    """Each row a file ``root/name`` (binary), written by the tasks through the file system that
+    """Each row a file ``root/name`` (binary; the name may have folders), written by the tasks through the file system that
     ``root`` names. A file is written under another name first and renamed, so a retry leaves whole files."""
     schema = pa.schema([("n", pa.int64())])
 
@@ -63,7 +63,10 @@ def write_files(df: DataFrame, root: str, name_col: str = "name", content_col: s
         for batch in batches:
             for i in range(batch.num_rows):
                 name, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                part = f"{base}/.{name}-{uuid.uuid4().hex}"
+                folder, _, last = name.rpartition("/")
+                if folder:
+                    system.create_dir(f"{base}/{folder}", recursive=True)
+                part = f"{base}/{folder}/.{last}-{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as out:
                     out.write(content)
                 system.move(part, f"{base}/{name}")
@@ -86,9 +89,10 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
 
 
 def read_text_files(spark: SparkSession, root: str) -> DataFrame:
-    """One file = one document, universal newlines."""
+    """One file = one document, universal newlines; the path as it is on the file system."""
     df = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-    return df.select(F.input_file_name().alias("path"),
+    # Spark gives the path as a URI; a plus sign stands for itself there
+    return df.select(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))).alias("path"),
                      F.regexp_replace(F.col("value"), "\r\n?", "\n").alias("text"))
 
 
