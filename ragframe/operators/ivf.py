@@ -81,7 +81,7 @@ def _probe(spark: SparkSession, centers: np.ndarray, n: int):
     return probe
 
 
-def fit_centers(rows: DataFrame, n_cells: int, *, seed: int = 7, max_iter: int = 20, train_rows: int = TRAIN_ROWS) -> np.ndarray:
+def fit_centers(rows: DataFrame, n_cells: int, *, seed: int = 7, max_iter: int = 10, train_rows: int = TRAIN_ROWS) -> np.ndarray:
     """k-means centres of at most about ``train_rows`` of the rows (id, vec), chosen by a hash of the id."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
