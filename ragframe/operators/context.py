@@ -33,15 +33,18 @@ def quarantine_tokens(ranked: DataFrame, tokens_col: str = "num_tokens"):
 
 def context_pack(ranked: DataFrame, questions: DataFrame | None = None, *,
                  budget: int = DEFAULT_BUDGET, qid_col: str = "qid", rank_col: str = "rank",
-                 content_col: str = "content", tokens_col: str = "num_tokens") -> DataFrame:
+                 content_col: str = "content", tokens_col: str = "num_tokens",
+                 with_rejected: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Keep ranked chunks while the running token total (this chunk
     included) stays below ``budget``; the first chunk that reaches it and
     every later one are dropped. Each kept content is followed by a newline.
 
     Returns ``qid, n_chunks, ctx_tokens, context``; questions without any
     kept chunk (given in ``questions``) get an empty context.
-    Groups are bounded by k (the search limit)."""
-    valid, _ = quarantine_tokens(ranked, tokens_col)
+    Groups are bounded by k (the search limit). Rows whose token count cannot be
+    budgeted take no part; with ``with_rejected`` they come as a second table, with
+    ``reject_reason``."""
+    valid, rejected = quarantine_tokens(ranked, tokens_col)
     w = (Window.partitionBy(qid_col).orderBy(rank_col)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     kept = (valid.withColumn("_run", F.sum(tokens_col).over(w))
@@ -50,13 +53,13 @@ def context_pack(ranked: DataFrame, questions: DataFrame | None = None, *,
         F.count(F.lit(1)).alias("n_chunks"),
         F.sum(tokens_col).cast("long").alias("ctx_tokens"),
         ordered_concat(rank_col, F.concat(F.col(content_col), F.lit("\n"))).alias("context"))
-    if questions is None:
-        return packed
-    return (questions.select(qid_col).join(packed, qid_col, "left")
-            .select(qid_col,
-                    F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"),
-                    F.coalesce("ctx_tokens", F.lit(0)).cast("long").alias("ctx_tokens"),
-                    F.coalesce("context", F.lit("")).alias("context")))
+    if questions is not None:
+        packed = (questions.select(qid_col).join(packed, qid_col, "left")
+                  .select(qid_col,
+                          F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"),
+                          F.coalesce("ctx_tokens", F.lit(0)).cast("long").alias("ctx_tokens"),
+                          F.coalesce("context", F.lit("")).alias("context")))
+    return (packed, rejected) if with_rejected else packed
 
 
 def build_prompts(df: DataFrame, context_col: str = "context", question_col: str = "question",

@@ -2,9 +2,10 @@
 
 The embedder is pluggable. The built-in deterministic stand-in is a hashed
 bag of words: token -> bucket ``int(md5(token)[:8], 16) % dim``, counts per
-bucket, L2-normalised. It runs as Spark aggregations (a partial
-aggregation per task, then one shuffle of at most ``dim`` rows per text),
-never in Python."""
+bucket, L2-normalised. ``hash_buckets`` and ``hash_embed_joined`` run as Spark
+aggregations (a partial aggregation per task, then one shuffle of at most ``dim``
+rows per text); ``hash_embedder``, the default of ``enrich_chunks``, takes the place
+of a model call: an Arrow batch of texts goes to Python."""
 
 from __future__ import annotations
 

@@ -20,8 +20,11 @@ CATALOG_PATH = os.path.join(os.path.dirname(os.path.dirname(__file__)), "resourc
 
 
 def read_catalog(spark: SparkSession, path: str = CATALOG_PATH) -> DataFrame:
-    """Catalogue JSON ``{table: {description}}`` -> rows
-    ``(table_name, description, has_description)``."""
+    """Catalogue JSON ``{table: {description}}`` -> rows ``(table_name, description)``.
+    The catalogue that comes with the package lies on the driver's disk alone: it is
+    read there (a row per table); any other path is read by Spark."""
+    if path == CATALOG_PATH:
+        return spark.createDataFrame(catalog_entries(path), "table_name string, description string")
     raw = spark.read.text(path, wholetext=True)
     m = F.from_json(F.col("value"), "map<string,struct<description:string>>")
     return (raw.select(F.explode(m).alias("table_name", "entry"))

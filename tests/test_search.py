@@ -84,6 +84,9 @@ def test_null_tokens_are_quarantined(spark):
                                    "qid long, rank long, content string, num_tokens long")
     r = context_pack(ranked, spark.createDataFrame([(1,)], "qid long")).first()
     assert r.context == "b\n"
+    packed, rejected = context_pack(ranked, with_rejected=True)
+    assert packed.first().context == "b\n"
+    assert [(x.qid, x.rank, x.content, x.reject_reason) for x in rejected.collect()] == [(1, 1, "a", "bad_num_tokens")]
 
 
 def test_arrow_engine_equals_jvm_engine(spark):
