@@ -4,9 +4,12 @@ A document is a bag of sentences of which only the bag has a label. A sentence
 scores sigmoid(bias + sum of its words' weights), and the bag noisy-or
 1 - prod(1 - sentence score); the weights are fitted to the document labels, and
 the sentences that make a document toxic are then located by their own scores.
-When texts are scored, only sentences above a learnt floor enter the product:
-the highest score of a sentence of the clean documents of the sample, at most
-0.5. Otherwise any text would be toxic that is long enough.
+When texts are scored, the product leaves out sentences below a floor, or any
+text would be toxic that is long enough. The floor rises with the number n of
+sentences: it is the lowest score above which n sentences of the sample's clean
+documents add ``ALLOWANCE`` at most to -log of the product. Short texts so have
+none, and the floor of endless ones is the highest score of a clean sentence, at
+most 0.5. A text's best sentence always counts, so every score is graded.
 
 Words carry a feature of their own and two of their beginnings, so inflected
 forms share weight. The fit uses at most ``SAMPLE_PER_CLASS`` labelled documents
@@ -18,6 +21,9 @@ classes' sizes; features are counted in Spark over that sample and the strongest
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,6 +37,8 @@ MAX_FEATURES = 20_000        # bound of the model
 MIN_DOCUMENTS = 3            # of the sample that must hold a feature
 MIN_Z = 3.0                  # strength of a feature, in standard errors of its log-odds
 PREFIXES = (4, 5)
+ALLOWANCE = 0.05             # what the clean sentences of a text, whatever their number, may add
+LENGTH_STEP = 1.05           # the floors are learnt for numbers of sentences that grow by so much
 CACHE_WORDS = 300_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -41,14 +49,16 @@ def word_features(word: str) -> list[str]:
     return ["w:" + word, *(f"{n}:{word[:n]}" for n in PREFIXES if len(word) > n)]
 
 
-def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, lower-cased words) of the sentences that have a word."""
-    out = []
+def each_sentence(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, lower-cased words) of the sentences that have a word, one at a time."""
     for m in _SENTENCE.finditer(text):
         words = _WORD.findall(m.group().lower())
         if words:
-            out.append((m.start(), m.end(), words))
-    return out
+            yield m.start(), m.end(), words
+
+
+def sentences(text: str) -> list[tuple[int, int, list[str]]]:
+    return list(each_sentence(text))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
@@ -77,7 +87,7 @@ def select_features(sample: DataFrame, max_features: int) -> list[str]:
     def present(batches):
         for b in batches:
             for y, text in zip(b["y"], b["text"], strict=True):
-                found = {f for _, _, ws in sentences(text) for w in set(ws) for f in word_features(w)}
+                found = {f for _, _, ws in each_sentence(text) for w in set(ws) for f in word_features(w)}
                 yield pd.DataFrame({"feature": sorted(found), "y": int(y)})
     total = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
@@ -103,10 +113,14 @@ def bags(sample: DataFrame, features: list[str]) -> pd.DataFrame:
         for b in batches:
             out = []
             for y, weight, text in zip(b["y"], b["weight"], b["text"], strict=True):
-                ss = sentences(text)
-                found = [[at[f] for w in ws for f in word_features(w) if f in at] for _, _, ws in ss]
-                found = [x for x in found if x]
-                out.append((y, weight, len(ss), [i for x in found for i in x], [len(x) for x in found]))
+                n, ids, sizes = 0, [], []
+                for _, _, ws in each_sentence(text):
+                    found = [at[f] for w in ws for f in word_features(w) if f in at]
+                    n += 1
+                    if found:
+                        ids += found
+                        sizes.append(len(found))
+                out.append((y, weight, n, ids, sizes))
             yield pd.DataFrame(out, columns=["y", "weight", "n", "ids", "sizes"])
     return sample.select("doc_id", "y", "weight", "text").mapInPandas(
         rows, "y int, weight double, n int, ids array<int>, sizes array<int>").toPandas()
@@ -141,29 +155,52 @@ def fit_noisy_or(data: pd.DataFrame, n_features: int, steps: int = 300, rate: fl
     return w[:-1], float(w[-1])
 
 
-def clean_floor(data: pd.DataFrame, weights: np.ndarray, bias: float) -> float:
-    """The highest score of a sentence of the clean bags, at most 0.5."""
-    top = bias
-    for ids, sizes in zip(data["ids"][data["y"] == 0], data["sizes"][data["y"] == 0], strict=True):
+def minus_log_clean(z: np.ndarray) -> np.ndarray:
+    """-log of the probability that a sentence of the sum ``z`` is clean."""
+    return -np.log1p(-np.minimum(1 / (1 + np.exp(-np.clip(z, -60, 60))), 1 - 1e-15))
+
+
+def clean_floors(data: pd.DataFrame, weights: np.ndarray, bias: float) -> tuple[list[int], list[float]]:
+    """Numbers of sentences, and for each the floor of texts of up to so many as
+    -log(1 - score), from the clean bags; the last floor holds for all longer ones."""
+    clean = data[data["y"] == 0]
+    n = int(clean["n"].sum())
+    found = [np.zeros(0)]
+    for ids, sizes in zip(clean["ids"], clean["sizes"], strict=True):
         if len(sizes):
-            z = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights[np.asarray(ids, dtype=np.int64)])
-            top = max(top, bias + z.max())
-    return float(1 / (1 + np.exp(-np.clip(min(top, 0.0), -60, 0))))
+            found.append(np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights[np.asarray(ids, dtype=np.int64)]))
+    z = np.concatenate(found)
+    levels = np.sort(minus_log_clean(bias + np.append(z, np.zeros(n - len(z)))))[::-1]
+    half = float(np.log(2))
+    if not n:
+        return [1], [half]
+    above = np.cumsum(levels) / n  # what a clean sentence adds, on average, if so many levels are above the floor
+    lengths, floors, length = [], [], 1
+    while True:
+        k = int(np.searchsorted(above * float(length), ALLOWANCE, side="right"))
+        lengths.append(length)
+        floors.append(min(float(levels[k]), half) if k < len(levels) else 0.0)
+        if k == 0:
+            return lengths, floors
+        length = max(length + 1, int(length * LENGTH_STEP))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS, max_features: int = MAX_FEATURES) -> dict:
-    """The model: {"bias", "floor", "weights"}; its size is bounded by ``max_features``.
+    """The model: {"bias", "weights", "lengths", "floors", "floor"}; its size is bounded
+    by ``max_features``. ``floor`` is the last of the floors, as a score.
     Without labels of both classes nothing can be learnt: no weights, and a
     bias by which each text scores below 0.5 (or, with toxic labels alone, 1)."""
     sample = training_sample(docs, labels, id_col, text_col, label_col, per_class)
     features = select_features(sample, max_features)
     if not features:
         only = [r.y for r in sample.select("y").distinct().collect()]
-        return {"bias": 40.0 if only == [1] else -40.0, "floor": 0.5, "weights": {}}
+        return {"bias": 40.0 if only == [1] else -40.0, "floor": 0.5, "lengths": [1], "floors": [float(np.log(2))], "weights": {}}
     data = bags(sample, features)
     weights, bias = fit_noisy_or(data, len(features))
-    return {"bias": bias, "floor": clean_floor(data, weights, bias), "weights": {f: float(x) for f, x in zip(features, weights, strict=True)}}
+    lengths, floors = clean_floors(data, weights, bias)
+    return {"bias": bias, "floor": float(-np.expm1(-floors[-1])), "lengths": lengths, "floors": floors,
+            "weights": {f: float(x) for f, x in zip(features, weights, strict=True)}}
 
 
 class _Words(dict):
@@ -192,21 +229,31 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
 
 def _scorer(held):
     def run(batches):
-        bias, floor, word = held.value["bias"], held.value["floor"], _Words(held.value["weights"])
+        bias, word = held.value["bias"], _Words(held.value["weights"])
+        lengths, floors = held.value["lengths"], held.value["floors"]
         get = word.__getitem__
-        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         for b in batches:
             scores, counts, offending = [], [], []
             for text in b["text"]:
-                ss = sentences(text)
-                p = sigmoid(bias + np.array([sum(map(get, ws)) for _, _, ws in ss], dtype=float))
-                # a score at the floor may come out a little above it by the order of the sum
-                strong = p[(p > floor + 1e-9) | (p >= 0.5)]
-                score = float(-np.expm1(np.log1p(-np.minimum(strong, 1 - 1e-15)).sum())) if len(strong) else 0.0
-                bad = set(np.flatnonzero(p >= 0.5).tolist()) | ({int(p.argmax())} if score >= 0.5 else set())
+                # numbers alone stay of a sentence, so a long text costs 16 bytes for each
+                starts, ends, sums = array("i"), array("i"), array("d")
+                for start, end, ws in each_sentence(text):
+                    starts.append(start)
+                    ends.append(end)
+                    sums.append(sum(map(get, ws)))
+                n = len(sums)
+                adds = minus_log_clean(bias + np.array(sums, dtype=float))
+                score, bad = 0.0, []
+                if n:
+                    floor = floors[min(bisect_left(lengths, n), len(floors) - 1)]
+                    # a score at the floor may come out a little above it by the order of the sum
+                    score = float(-np.expm1(-max(adds[adds > floor + 1e-9].sum(), adds.max())))
+                    bad = np.flatnonzero(adds >= np.log(2)).tolist()
+                    if score >= 0.5 and not bad:
+                        bad = [int(adds.argmax())]
                 scores.append(score)
-                counts.append(len(ss))
-                offending.append([{"start": ss[i][0], "end": ss[i][1], "score": float(p[i])} for i in sorted(bad)])
+                counts.append(n)
+                offending.append([{"start": starts[i], "end": ends[i], "score": float(-np.expm1(-adds[i]))} for i in bad])
                 if len(word) > CACHE_WORDS:
                     word.clear()
             # a nullable integer id would turn into a float in pandas: keep it as it came
