@@ -5,11 +5,15 @@ Lines are normalised (lower case, white space collapsed); equal ones are a class
 words weigh more, or lines would be alike by their small words. The fingerprint
 is cut into five blocks: of two fingerprints that differ in at most three bits,
 two blocks at least are equal, so lines are joined on all ten pairs of blocks
-and none within the radius is missed. A bucket's members are paired with its
-smallest one; pairs within the radius are verified by edit similarity and links
-closed into components. Buckets that then hold several components are compared
-in blocks, which test pairs across components until they are connected and give
-back those links alone. The first occurrence of each connected group stays.
+and none within the radius is missed. A bucket of two is settled where it is
+counted (its fingerprints' exclusive or says how far they are apart). Lines of a
+larger one are joined once more on each fourth of the fingerprint, of which at
+least one is equal within the radius, so that unrelated lines part. There a
+bucket's members are paired with its smallest one; pairs within the radius are
+verified by edit similarity and links closed into components. Buckets that then
+hold several components are compared in blocks, which test pairs across
+components until they are connected and give back those links alone. The first
+occurrence of each connected group stays.
 
 A line of fewer than ``MIN_WORDS`` words says too little to be called a fuzzy
 copy; with ``short_copies`` its exact copies (normalised) go like any others,
@@ -19,7 +23,7 @@ without it they stay.
 from __future__ import annotations
 
 import re
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -37,6 +41,8 @@ SIMILARITY = 0.9             # 1 - edit distance / longer length, of normalised
 RADIUS = 3
 SHORT_WORD, LONG_WEIGHT = 4, 3   # words of so many letters or more weigh 3, shorter ones 1
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))   # first bit and width
+SLICE_CHARS = 1_000_000      # of text, whose lines are fingerprinted at once
+FOURTH = 0x1111_1111_1111_1111   # every fourth bit of a fingerprint
 BROADCAST_LINES = 2_000_000  # line numbers of the largest removal list that is broadcast
 
 _WORD = re.compile(r"\w+")
@@ -46,31 +52,37 @@ def normalise(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+# of each byte its bits as counters of 16 bits, four to an integer, so that a sum adds four at once
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype("<u2").view("<u8")
+
+
 def simhashes(lines: list[list[str]]) -> np.ndarray:
     """64-bit SimHash of each (not empty) list of words, by weight."""
-    words = [w for ws in lines for w in ws]
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype="<u8", count=len(words))
-    names, first, at = np.unique(hashes, return_index=True, return_inverse=True)
-    weights = np.array([1 if len(words[i]) < SHORT_WORD else LONG_WEIGHT for i in first.tolist()], dtype="<u2")
-    # a word's weighted bits as 64 counters of 16 bits, four to an integer, so that a sum adds four at once
-    bits = np.unpackbits(names.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype("<u2")
-    counters = (bits * weights[:, None]).view("<u8")
+    if not lines:
+        return np.zeros(0, dtype=np.int64)
+    size = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    n = int(size.sum())
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(lines)), dtype="<u8", count=n)
+    letters = np.fromiter(map(len, chain.from_iterable(lines)), dtype=np.int64, count=n)
+    weights = np.where(letters < SHORT_WORD, 1, LONG_WEIGHT)
     # parts of a line small enough for 16 bits
-    cuts, part_of = [], []
-    start = 0
-    for i, ws in enumerate(lines):
-        for s in range(0, len(ws), 65_535 // LONG_WEIGHT):
-            cuts.append(start + s)
-            part_of.append(i)
-        start += len(ws)
-    cuts.append(start)
-    ones = np.zeros((len(lines), 64), dtype=np.int64)
+    most = 65_535 // LONG_WEIGHT
+    parts = -(-size // most)
+    part_of = np.repeat(np.arange(len(lines)), parts)
+    ends = np.cumsum(size)
+    nth = np.arange(len(part_of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    cuts = np.append((ends - size)[part_of] + nth * most, n)
+    total = np.add.reduceat(weights, ends - size)
+    ones = np.zeros((len(lines), 64), dtype=np.int32 if n < 2 ** 29 else np.int64)
     for p in range(0, len(part_of), 2000):  # bounds the table of counters
-        c = np.array(cuts[p:p + 2001])
-        sums = np.add.reduceat(counters[at[c[0]:c[-1]]], c[:-1] - c[0], axis=0)
-        np.add.at(ones, part_of[p:p + 2000], sums.view("<u2").astype(np.int64))
-    total = np.zeros(len(lines), dtype=np.int64)
-    np.add.at(total, np.repeat(np.arange(len(lines)), [len(ws) for ws in lines]), weights[at].astype(np.int64))
+        c = cuts[p:p + 2001]
+        own = slice(c[0], c[-1])
+        counters = (_BYTE_BITS[hashes[own].view(np.uint8)].reshape(-1, 16) * weights[own, None].astype("<u8"))
+        sums = np.add.reduceat(counters, c[:-1] - c[0], axis=0).view("<u2")
+        if len(part_of) == len(lines):
+            ones[p:p + 2000] = sums
+        else:
+            np.add.at(ones, part_of[p:p + 2000], sums)
     return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
 
 
@@ -104,29 +116,34 @@ def _fingerprints(docs: DataFrame, short_copies: bool) -> DataFrame:
     with ``short_copies`` also of shorter ones that aren't blank, without a simhash."""
     names = ["doc_id", "line", "digest", "simhash"]
 
+    def prints(where, lines, words):
+        long = [k for k, ws in enumerate(words) if len(ws) >= MIN_WORDS]
+        values: list = [None] * len(lines)
+        for k, x in zip(long, simhashes([words[k] for k in long]).tolist(), strict=True):
+            values[k] = x
+        return pa.RecordBatch.from_arrays(
+            [pa.array([i for i, _ in where], pa.int64()), pa.array([n for _, n in where], pa.int32()),
+             pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines], pa.binary()),
+             pa.array(values, pa.int64())], names=names)
+
     def run(batches):
+        where, lines, words, size = [], [], [], 0
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
             texts = batch.column("text")
-            for s in range(0, len(ids), 500):
-                where, lines, words = [], [], []
-                for i, text in zip(ids[s:s + 500], texts.slice(s, 500).to_pylist(), strict=True):
-                    for n, line in enumerate(text.split("\n")):
-                        line = normalise(line)
-                        ws = _WORD.findall(line)
-                        if len(ws) >= MIN_WORDS or (short_copies and line):
-                            where.append((i, n))
-                            lines.append(line)
-                            words.append(ws)
-                if lines:
-                    compared = [k for k, ws in enumerate(words) if len(ws) >= MIN_WORDS]
-                    prints: list = [None] * len(lines)
-                    for k, x in zip(compared, simhashes([words[k] for k in compared]).tolist() if compared else [], strict=True):
-                        prints[k] = x
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([i for i, _ in where], pa.int64()), pa.array([n for _, n in where], pa.int32()),
-                         pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines], pa.binary()),
-                         pa.array(prints, pa.int64())], names=names)
+            for r, i in enumerate(batch.column("doc_id").to_pylist()):
+                for n, line in enumerate(texts[r].as_py().split("\n")):
+                    line = normalise(line)
+                    ws = _WORD.findall(line)
+                    if len(ws) >= MIN_WORDS or (short_copies and line):
+                        where.append((i, n))
+                        lines.append(line)
+                        words.append(ws)
+                        size += len(line)
+                        if size > SLICE_CHARS:
+                            yield prints(where, lines, words)
+                            where, lines, words, size = [], [], [], 0
+        if lines:
+            yield prints(where, lines, words)
 
     return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line int, digest binary, simhash long")
 
@@ -139,6 +156,23 @@ def block_keys(simhash: Column) -> Column:
                      for n, (a, b) in enumerate(combinations(BLOCKS, 2))))
 
 
+def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) within the radius whose bucket holds no third line, and (key,
+    node, least) of those parts of larger buckets in which a fourth of the
+    fingerprint is equal. The counts are partial aggregates; only keys of larger
+    buckets are joined back, and the join of a hot one can be split."""
+    keyed = classes.where("simhash is not null").select("node", "simhash", F.explode(block_keys(F.col("simhash"))).alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"),
+                                              F.bit_xor("simhash").alias("apart"))
+                     .where((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count("apart") <= RADIUS))), "lines-shared")
+    # of at most three different bits, one of the four fourths (every fourth bit) holds none
+    fourths = F.array(*(F.xxhash64("key", F.lit(q), F.col("simhash").bitwiseAND(F.lit(FOURTH << q if q < 3 else (FOURTH << 3) - (1 << 64))))
+                        for q in range(4)))
+    larger = written(keyed.join(shared.where("n > 2").select("key"), "key").select("node", F.explode(fourths).alias("key")),
+                     "lines-fourths")
+    return shared.where("n = 2").select("a", "b").distinct(), bucket_members(larger, "lines")
+
+
 def _within_radius(left: list, right: list) -> np.ndarray:
     x, y = (np.array([p["simhash"] for p in side], dtype=np.int64).view(np.uint64) for side in (left, right))
     return np.bitwise_count(x[:, None] ^ y[None, :]) <= RADIUS
@@ -194,10 +228,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = written(lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"),
                                                   F.count("*").alias("n"), F.first("simhash").alias("simhash"))
                       .withColumn("node", F.monotonically_increasing_id()), "line-classes")
-    members = bucket_members(classes.where("simhash is not null").select("node", F.explode(block_keys(F.col("simhash"))).alias("key")), "lines")
+    pairs, members = _candidates(classes)
     prints = classes.select("node", "simhash")
     near = (star_pairs(members).join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b")
             .where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS).select("a", "b"))
+    near = near.unionByName(pairs).distinct()
     links = _verified(near, d, classes, similarity, "star")
     open_ = open_members(members, connected_components(links), "lines")
     payload = _texts(d, classes, open_.select("node"), "open").join(prints, "node").select(
