@@ -20,6 +20,7 @@ from ragframe.streaming.ingest import stream_ingest, stream_word_files
 from ragframe.streaming.reassemble import reassemble_stream, to_deltas
 
 N_LANDING_FILES = 4
+LANDING_FOLDERS = 1024     # of Word files: tasks create theirs in different folders, which are listed in parallel
 
 
 @register("reassemble_stream", """
@@ -74,7 +75,8 @@ def q_stream_word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     binary file stream reads them, cuts them into sections and appends to the
     collection; the corrupt ones are in its quarantine."""
     d = load_table(spark, "documents", sf_dir).select("doc_id", "text")
-    files = spread(d).select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"), "doc_id", text_to_docx(F.col("text")).alias("content"))
+    name = F.concat_ws("/", F.pmod(F.xxhash64("doc_id"), F.lit(LANDING_FOLDERS)).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".docx")))
+    files = spread(d).select(name.alias("name"), "doc_id", text_to_docx(F.col("text")).alias("content"))
     files = files.withColumn("content", F.when(F.col("doc_id") % 50 == 7, F.substring("content", 1, 20)).otherwise(F.col("content")))
     landing, collection = scratch_path(spark, "word-files"), scratch_path(spark, "word-collection")
     write_files(files, landing)

@@ -5,6 +5,8 @@ overwrites them instead of duplicating rows."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,27 @@ def _run(src: DataFrame, checkpoint: str, collection: str, compact_every: int |
     return q
 
 
+# Files of an epoch of a stream of small files: the driver holds the names of one epoch's files at a time.
+FILES_PER_EPOCH = 100_000
+SMALL_FILE_BYTES = 64 * 1024     # what opening a small file counts for when files are dealt to tasks
+
+
+@contextmanager
+def _small_files(spark: SparkSession):
+    """Settings for streams of many small files, which a stream takes over when it starts. By default
+    Spark looks up each file of an epoch in a task of its own (up to 10,000) and reads 32 files a task."""
+    wanted = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism),
+              "spark.sql.files.openCostInBytes": str(SMALL_FILE_BYTES)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -83,14 +106,15 @@ def ingest_word_files(files: DataFrame, collection: str, *, dim: int, rule=headi
 
 
 def stream_word_files(spark: SparkSession, source: str, collection: str, checkpoint: str, *, dim: int, rule=heading_rule,
-                      max_files_per_trigger: int | None = None, replace_files: bool = True, compact_every: int | None = None):
+                      max_files_per_trigger: int | None = FILES_PER_EPOCH, replace_files: bool = True, compact_every: int | None = None):
     """Every ``*.docx`` that lands below ``source`` goes to the collection (``ingest_word_files``),
-    epoch by epoch, replay-safe like ``stream_ingest``."""
+    epoch by epoch, replay-safe like ``stream_ingest``; an epoch has at most ``max_files_per_trigger`` files."""
     create_if_missing(spark, collection)
     base = stream_batch_base(checkpoint)
     reader = (spark.readStream.format("binaryFile").schema(BINARY_FILES).option("pathGlobFilter", "*.docx")
               .option("recursiveFileLookup", "true"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _run(reader.load(source), checkpoint, collection, compact_every, lambda df, epoch: ingest_word_files(
-        df, collection, dim=dim, rule=rule, batch_id=base + epoch, replace_files=replace_files))
+    with _small_files(spark):
+        return _run(reader.load(source), checkpoint, collection, compact_every, lambda df, epoch: ingest_word_files(
+            df, collection, dim=dim, rule=rule, batch_id=base + epoch, replace_files=replace_files))
