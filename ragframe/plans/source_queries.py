@@ -27,11 +27,17 @@ def q_docx_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-def _as_files(spark: SparkSession, sf_dir: str) -> str:
-    """Every document a text file in a folder of its language, some with Windows line ends; the folder."""
+TOP_FOLDERS = 128     # more than 32: their files are listed by tasks
+
+
+def _as_files(spark: SparkSession, sf_dir: str, top_folders: int | None = None) -> str:
+    """Every document a text file in a folder of its language, some with Windows line ends; the folder.
+    With ``top_folders`` the folders of languages are in so many others, by a hash of the id."""
     d = spread(load_table(spark, "documents", sf_dir).select("doc_id", "text", "lang"))
     name = F.concat(F.coalesce("lang", F.lit("none")), F.lit("/doc "), F.col("doc_id").cast("string"), F.lit(" +100%.txt"))
     text = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
+    if top_folders:
+        name = F.concat_ws("/", F.pmod(F.xxhash64("doc_id"), F.lit(top_folders)).cast("string"), name)
     root = scratch_path(spark, "text-files")
     write_files(d.select(name.alias("name"), F.coalesce(text, F.lit("")).alias("content")), root)
     return root
@@ -55,6 +61,6 @@ SELECT {_NAME_SQL} AS relpath, md5(replace(replace(coalesce(text, ''), chr(13) |
 """)
 def q_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written as a file and read whole, line ends made one."""
-    root = _as_files(spark, sf_dir)
+    root = _as_files(spark, sf_dir, TOP_FOLDERS)
     files = read_text_files(spark, root)
     return files.select(F.substring_index("path", "/", -2).alias("relpath"), F.md5("text").alias("text_md5"))

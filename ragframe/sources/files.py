@@ -60,12 +60,14 @@ def write_files(df: DataFrame, root: str, name_col: str = "name", content_col: s
         from pyarrow import fs
         system, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
         system.create_dir(base, recursive=True)
+        made = set()
         for batch in batches:
             for i in range(batch.num_rows):
                 name, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 folder, _, last = name.rpartition("/")
-                if folder:
+                if folder and folder not in made:
                     system.create_dir(f"{base}/{folder}", recursive=True)
+                    made.add(folder)
                 part = f"{base}/{folder}/.{last}-{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as out:
                     out.write(content)
@@ -76,6 +78,12 @@ def write_files(df: DataFrame, root: str, name_col: str = "name", content_col: s
         .where("name is not null and content is not null").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
+def _few_tasks(files: DataFrame) -> DataFrame:
+    """A scan of small files has a task for each 32 of them: beyond 32 tasks a core they are joined."""
+    most = 32 * files.sparkSession.sparkContext.defaultParallelism
+    return files.coalesce(most) if files.rdd.getNumPartitions() > most else files
+
+
 def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """Every file below ``root`` (recursive) with its path relative to
     ``root``; content is read lazily and only when selected."""
@@ -85,15 +93,15 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     df = r.load(root)
     prefix = root.rstrip("/") + "/"
     rel = F.regexp_replace(F.col("path"), "^(file:)?" + _re_escape(prefix), "")
-    return df.withColumn("relpath", rel)
+    return _few_tasks(df.withColumn("relpath", rel))
 
 
 def read_text_files(spark: SparkSession, root: str) -> DataFrame:
     """One file = one document, universal newlines; the path as it is on the file system."""
     df = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
     # Spark gives the path as a URI; a plus sign stands for itself there
-    return df.select(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))).alias("path"),
-                     F.regexp_replace(F.col("value"), "\r\n?", "\n").alias("text"))
+    return _few_tasks(df.select(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))).alias("path"),
+                                F.regexp_replace(F.col("value"), "\r\n?", "\n").alias("text")))
 
 
 def _re_escape(s: str) -> str:
