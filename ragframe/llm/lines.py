@@ -4,10 +4,11 @@ Lines are normalised (lower case, white space collapsed); equal ones are a class
 (one aggregate). Each class has a 64-bit SimHash of its words, in which longer
 words weigh more, or lines would be alike by their small words. The fingerprint
 is cut into five blocks: of two fingerprints that differ in at most three bits,
-two blocks at least are equal, so lines are joined on all ten pairs of blocks
-and none within the radius is missed. A bucket of two is settled where it is
+two blocks at least are equal, so lines are bucketed by all ten pairs of blocks
+and none within the radius is missed (beyond ``FEW_LINES`` lines by three of six
+blocks, so that buckets of unrelated lines stay rare). A bucket of two is settled where it is
 counted (its fingerprints' exclusive or says how far they are apart). Lines of a
-larger one are joined once more on each fourth of the fingerprint, of which at
+larger one are dealt once more on each fourth of the fingerprint, of which at
 least one is equal within the radius, so that unrelated lines part. There a
 bucket's members are paired with its smallest one; pairs within the radius are
 verified by edit similarity and links closed into components. Buckets that then
@@ -23,16 +24,17 @@ without it they stay.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragframe.llm.buckets import bucket_members, open_members, pairs_across, star_pairs
+from ragframe.llm.buckets import open_members, pairs_across, star_pairs
 from ragframe.llm.common import id_and_text, written
 from ragframe.llm.components import connected_components
 
@@ -41,6 +43,8 @@ SIMILARITY = 0.9             # 1 - edit distance / longer length, of normalised
 RADIUS = 3
 SHORT_WORD, LONG_WEIGHT = 4, 3   # words of so many letters or more weigh 3, shorter ones 1
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))   # first bit and width
+FEW_LINES = 1 << 24          # beyond, keys of two of five blocks (26 bits) would be shared by unrelated lines
+MORE_BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))   # three of six: 20 keys of 31 bits or more
 SLICE_CHARS = 1_000_000      # of text, whose lines are fingerprinted at once
 FOURTH = 0x1111_1111_1111_1111   # every fourth bit of a fingerprint
 BROADCAST_LINES = 2_000_000  # line numbers of the largest removal list that is broadcast
@@ -48,16 +52,25 @@ BROADCAST_LINES = 2_000_000  # line numbers of the largest removal list that is
 _WORD = re.compile(r"\w+")
 
 
+_ASCII_WORDS = bytes(c if _WORD.match(chr(c)) and c < 128 else 32 for c in range(256))
+
+
+def words_of(line: str) -> list:
+    """Its words; those of an ASCII line as bytes."""
+    return line.encode().translate(_ASCII_WORDS).split() if line.isascii() else _WORD.findall(line)
+
+
 def normalise(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-# of each byte its bits as counters of 16 bits, four to an integer, so that a sum adds four at once
-_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype("<u2").view("<u8")
+# of each byte its bits as counters of 8 bits in one integer, so that a sum adds eight at once
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+_PART = 255 // LONG_WEIGHT     # words whose weights fit 8 bits
 
 
-def simhashes(lines: list[list[str]]) -> np.ndarray:
-    """64-bit SimHash of each (not empty) list of words, by weight."""
+def simhashes(lines: list[list]) -> np.ndarray:
+    """64-bit SimHash of each (not empty) list of words, by weight; ASCII words may be bytes."""
     if not lines:
         return np.zeros(0, dtype=np.int64)
     size = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
@@ -65,32 +78,50 @@ def simhashes(lines: list[list[str]]) -> np.ndarray:
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(lines)), dtype="<u8", count=n)
     letters = np.fromiter(map(len, chain.from_iterable(lines)), dtype=np.int64, count=n)
     weights = np.where(letters < SHORT_WORD, 1, LONG_WEIGHT)
-    # parts of a line small enough for 16 bits
-    most = 65_535 // LONG_WEIGHT
-    parts = -(-size // most)
+    # parts of a line small enough for 8 bits
+    parts = -(-size // _PART)
+    first = np.cumsum(parts) - parts
     part_of = np.repeat(np.arange(len(lines)), parts)
-    ends = np.cumsum(size)
-    nth = np.arange(len(part_of)) - np.repeat(np.cumsum(parts) - parts, parts)
-    cuts = np.append((ends - size)[part_of] + nth * most, n)
-    total = np.add.reduceat(weights, ends - size)
-    ones = np.zeros((len(lines), 64), dtype=np.int32 if n < 2 ** 29 else np.int64)
+    cuts = np.append((np.cumsum(size) - size)[part_of] + (np.arange(len(part_of)) - first[part_of]) * _PART, n)
+    ones = np.zeros((len(part_of), 64), dtype=np.uint8)
     for p in range(0, len(part_of), 2000):  # bounds the table of counters
         c = cuts[p:p + 2001]
         own = slice(c[0], c[-1])
-        counters = (_BYTE_BITS[hashes[own].view(np.uint8)].reshape(-1, 16) * weights[own, None].astype("<u8"))
-        sums = np.add.reduceat(counters, c[:-1] - c[0], axis=0).view("<u2")
-        if len(part_of) == len(lines):
-            ones[p:p + 2000] = sums
+        counters = _BYTE_BITS[hashes[own].view(np.uint8)].reshape(-1, 8) * weights[own, None].astype("<u8")
+        ones[p:p + 2000] = np.add.reduceat(counters, c[:-1] - c[0], axis=0).view(np.uint8)
+    total = np.add.reduceat(weights, cuts[first])
+    if len(part_of) > len(lines):
+        ones = np.add.reduceat(ones, first, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones.astype(np.int64) > total[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the common beginning, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
         else:
-            np.add.at(ones, part_of[p:p + 2000], sums)
-    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
+            high = middle - 1
+    return low
 
 
 def within_edits(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is ``most`` or less: the bit-parallel dynamic
-    programme, a column of the table in two integers."""
+    programme, a column of the table in two integers. A common beginning and end
+    cost nothing and are left out; letters that only one has settle many pairs."""
     if abs(len(a) - len(b)) > most:
         return False
+    n = _common(a, b)
+    a, b = a[n:], b[n:]
+    n = _common(a[::-1], b[::-1])
+    a, b = a[:len(a) - n], b[:len(b) - n]
+    if max(len(a), len(b)) <= most:
+        return True
+    x, y = Counter(a), Counter(b)
+    if max((x - y).total(), (y - x).total()) > most:
+        return False
     if not a or not b:
         return True
     where: dict[str, int] = {}
@@ -133,7 +164,7 @@ def _fingerprints(docs: DataFrame, short_copies: bool) -> DataFrame:
             for r, i in enumerate(batch.column("doc_id").to_pylist()):
                 for n, line in enumerate(texts[r].as_py().split("\n")):
                     line = normalise(line)
-                    ws = _WORD.findall(line)
+                    ws = words_of(line)
                     if len(ws) >= MIN_WORDS or (short_copies and line):
                         where.append((i, n))
                         lines.append(line)
@@ -148,29 +179,36 @@ def _fingerprints(docs: DataFrame, short_copies: bool) -> DataFrame:
     return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line int, digest binary, simhash long")
 
 
-def block_keys(simhash: Column) -> Column:
-    """The ten pairs of blocks, each with the pair's number in its top bits."""
-    def bits(b):
-        return F.shiftrightunsigned(simhash, b[0]).bitwiseAND(F.lit((1 << b[1]) - 1).cast("long"))
-    return F.array(*(F.shiftleft(F.lit(n).cast("long"), 26).bitwiseOR(F.shiftleft(bits(a), 13)).bitwiseOR(bits(b))
-                     for n, (a, b) in enumerate(combinations(BLOCKS, 2))))
+def block_keys(simhash: Column, blocks: tuple = BLOCKS) -> Column:
+    """The ways to choose all blocks but ``RADIUS`` (ten pairs of five), each with its number in its top bits."""
+    def key(n, chosen):
+        out = F.lit(n).cast("long")
+        for first, width in chosen:
+            bits = F.shiftrightunsigned(simhash, first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+            out = F.shiftleft(out, width).bitwiseOR(bits)
+        return out
+    return F.array(*(key(n, chosen) for n, chosen in enumerate(combinations(blocks, len(blocks) - RADIUS))))
 
 
 def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) within the radius whose bucket holds no third line, and (key,
     node, least) of those parts of larger buckets in which a fourth of the
-    fingerprint is equal. The counts are partial aggregates; only keys of larger
-    buckets are joined back, and the join of a hot one can be split."""
-    keyed = classes.where("simhash is not null").select("node", "simhash", F.explode(block_keys(F.col("simhash"))).alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"),
-                                              F.bit_xor("simhash").alias("apart"))
-                     .where((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count("apart") <= RADIUS))), "lines-shared")
+    fingerprint is equal. Rows are shuffled once for the buckets and once for
+    their parts; a bucket's rows come sorted and are held in Spark's buffer that spills."""
+    blocks = BLOCKS if classes.count() <= FEW_LINES else MORE_BLOCKS
+    keyed = classes.where("simhash is not null").select("node", "simhash", F.explode(block_keys(F.col("simhash"), blocks)).alias("key"))
+    bucket = Window.partitionBy("key")
+    shared = written(keyed.select("key", "node", "simhash", F.count("*").over(bucket).alias("n"), F.min("node").over(bucket).alias("a"),
+                                  F.max("node").over(bucket).alias("b"), F.bit_xor("simhash").over(bucket).alias("apart"))
+                     .where((F.col("n") > 2) | ((F.col("n") == 2) & (F.col("node") == F.col("a")) & (F.bit_count("apart") <= RADIUS)))
+                     .select("key", "node", "simhash", "n", "a", "b"), "lines-shared")
     # of at most three different bits, one of the four fourths (every fourth bit) holds none
     fourths = F.array(*(F.xxhash64("key", F.lit(q), F.col("simhash").bitwiseAND(F.lit(FOURTH << q if q < 3 else (FOURTH << 3) - (1 << 64))))
                         for q in range(4)))
-    larger = written(keyed.join(shared.where("n > 2").select("key"), "key").select("node", F.explode(fourths).alias("key")),
-                     "lines-fourths")
-    return shared.where("n = 2").select("a", "b").distinct(), bucket_members(larger, "lines")
+    larger = shared.where("n > 2").select("node", F.explode(fourths).alias("key"))
+    members = written(larger.select("key", "node", F.min("node").over(bucket).alias("least"), F.count("*").over(bucket).alias("n"))
+                      .where("n > 1").drop("n"), "lines-members")
+    return shared.where("n = 2").select("a", "b").distinct(), members
 
 
 def _within_radius(left: list, right: list) -> np.ndarray:
@@ -211,6 +249,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity:
     both = (pairs.join(t.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
             .join(t.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"))
 
+
     @F.pandas_udf("boolean")
     def alike(xs: pd.Series, ys: pd.Series) -> pd.Series:
         return pd.Series([_similar(x, y, similarity) for x, y in zip(xs, ys, strict=True)], dtype=bool)
