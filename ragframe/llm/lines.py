@@ -7,8 +7,11 @@ is cut into five blocks: of two fingerprints that differ in at most three bits,
 two blocks at least are equal, so lines are bucketed by all ten pairs of blocks
 and none within the radius is missed (beyond ``FEW_LINES`` lines by three of six
 blocks, so that buckets of unrelated lines stay rare). A bucket of two is settled where it is
-counted (its fingerprints' exclusive or says how far they are apart). Lines of a
-larger one are dealt once more on each fourth of the fingerprint, of which at
+counted (its fingerprints' exclusive or says how far they are apart). Of one of
+up to ``IN_TASK`` lines those without another line within the radius are left out
+by comparing all of them in the task that counted it, so that what goes on grows
+with the similar lines and not with the unrelated ones that share a bucket. The
+lines that remain are dealt once more on each fourth of the fingerprint, of which at
 least one is equal within the radius, so that unrelated lines part. There a
 bucket's members are paired with its smallest one; pairs within the radius are
 verified by edit similarity and links closed into components. Buckets that then
@@ -45,6 +48,7 @@ SHORT_WORD, LONG_WEIGHT = 4, 3   # words of so many letters or more weigh 3, sho
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))   # first bit and width
 FEW_LINES = 1 << 24          # beyond, keys of two of five blocks (26 bits) would be shared by unrelated lines
 MORE_BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))   # three of six: 20 keys of 31 bits or more
+IN_TASK = 4096               # lines of a bucket that are compared with each other where they are counted
 SLICE_CHARS = 1_000_000      # of text, whose lines are fingerprinted at once
 FOURTH = 0x1111_1111_1111_1111   # every fourth bit of a fingerprint
 BROADCAST_LINES = 2_000_000  # line numbers of the largest removal list that is broadcast
@@ -182,14 +186,59 @@ def _fingerprints(docs: DataFrame, short_copies: bool) -> DataFrame:
 def block_keys(simhash: Column, blocks: tuple = BLOCKS) -> Column:
     """The ways to choose all blocks but ``RADIUS`` (ten pairs of five), each with its number in its top bits."""
     def key(n, chosen):
-        out = F.lit(n).cast("long")
+        out = F.lit(0).cast("long")
         for first, width in chosen:
             bits = F.shiftrightunsigned(simhash, first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
             out = F.shiftleft(out, width).bitwiseOR(bits)
-        return out
+        # above all blocks, whose widths differ: keys of two ways are never equal
+        return out.bitwiseOR(F.lit(n << 48).cast("long"))
     return F.array(*(key(n, chosen) for n, chosen in enumerate(combinations(blocks, len(blocks) - RADIUS))))
 
 
+def _any_near(prints: np.ndarray) -> np.ndarray:
+    """Of each row of fingerprints (a bucket), which have another one of the row within the radius."""
+    near = np.zeros(prints.shape, dtype=bool)
+    for step in range(1, prints.shape[1]):
+        close = np.bitwise_count(prints[:, step:] ^ prints[:, :-step]) <= RADIUS
+        near[:, step:] |= close
+        near[:, :-step] |= close
+    return near
+
+
+def _without_alone(batches):
+    """The rows (key, simhash, n among others; a bucket's ``n`` rows follow one another) but for those of buckets
+    of 3 to ``IN_TASK`` rows that have no other of their bucket within the radius. At most the rows of one such
+    bucket are held over; rows that do not follow one another all stay."""
+    def judged(table):
+        key, n = (table.column(c).to_numpy() for c in ("key", "n"))
+        prints = table.column("simhash").to_numpy().view(np.uint64)
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(starts, len(key)))
+        keep = np.ones(len(key), dtype=bool)
+        whole = (size == n[starts]) & (size > 2) & (size <= IN_TASK)
+        for m in np.unique(size[whole]).tolist():
+            rows = starts[whole & (size == m)][:, None] + np.arange(m)
+            keep[rows] = _any_near(prints[rows])
+        return table.filter(pa.array(keep))
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        if not table.num_rows:
+            continue
+        key, n = (table.column(c).to_numpy() for c in ("key", "n"))
+        last = len(key) - int(np.argmin(np.append(key[::-1] == key[-1], False)))
+        # the last bucket's rows may go on in the next batch
+        cut = last if 2 < n[-1] <= IN_TASK and len(key) - last < n[-1] else len(key)
+        held = table.slice(cut) if cut < len(key) else None
+        if cut:
+            yield from judged(table.slice(0, cut)).to_batches()
+    if held is not None:
+        yield from judged(held).to_batches()
+
+
 def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) within the radius whose bucket holds no third line, and (key,
     node, least) of those parts of larger buckets in which a fourth of the
@@ -198,10 +247,11 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = BLOCKS if classes.count() <= FEW_LINES else MORE_BLOCKS
     keyed = classes.where("simhash is not null").select("node", "simhash", F.explode(block_keys(F.col("simhash"), blocks)).alias("key"))
     bucket = Window.partitionBy("key")
-    shared = written(keyed.select("key", "node", "simhash", F.count("*").over(bucket).alias("n"), F.min("node").over(bucket).alias("a"),
-                                  F.max("node").over(bucket).alias("b"), F.bit_xor("simhash").over(bucket).alias("apart"))
-                     .where((F.col("n") > 2) | ((F.col("n") == 2) & (F.col("node") == F.col("a")) & (F.bit_count("apart") <= RADIUS)))
-                     .select("key", "node", "simhash", "n", "a", "b"), "lines-shared")
+    shared = (keyed.select("key", "node", "simhash", F.count("*").over(bucket).alias("n"), F.min("node").over(bucket).alias("a"),
+                           F.max("node").over(bucket).alias("b"), F.bit_xor("simhash").over(bucket).alias("apart"))
+              .where((F.col("n") > 2) | ((F.col("n") == 2) & (F.col("node") == F.col("a")) & (F.bit_count("apart") <= RADIUS)))
+              .select("key", "node", "simhash", "n", "a", "b"))
+    shared = written(shared.mapInArrow(_without_alone, shared.schema), "lines-shared")
     # of at most three different bits, one of the four fourths (every fourth bit) holds none
     fourths = F.array(*(F.xxhash64("key", F.lit(q), F.col("simhash").bitwiseAND(F.lit(FOURTH << q if q < 3 else (FOURTH << 3) - (1 << 64))))
                         for q in range(4)))

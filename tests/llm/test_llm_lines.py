@@ -145,3 +145,35 @@ def test_short_copies_rows(spark):
     got = {r.doc_id: (r.removed, r.text) for r in lines.dedup_lines(df, short_copies=True).collect()}
     assert got == {1: ([], rows[0][1]), 2: ([0, 3, 4], "no\n"), None: ([], "yes"), 3: ([], None), 4: ([0], "")}
     assert {r.doc_id for r in lines.clean_documents(df, short_copies=True).collect()} == {1, 2, None, 3}
+
+
+def _apart(n):
+    """Three fingerprints that share two blocks and a fourth, each pair more than the radius apart, and ``n`` copies of one more."""
+    prints = [0, sum(1 << b for b in (27, 29, 30, 31)), sum(1 << b for b in (33, 34, 35, 37))]
+    return prints + [(1 << 20) + (1 << 40) + (1 << 50) + x for x in (1, 3, 7)[:n]]
+
+
+@pytest.mark.parametrize("similar", [0, 3])
+def test_unrelated_lines_of_a_bucket_go_no_further(spark, similar):
+    classes = spark.createDataFrame(list(enumerate(_apart(similar))), "node long, simhash long")
+    pairs, members = lines._candidates(classes)
+    assert not {x for r in pairs.collect() for x in (r.a, r.b)} & {0, 1, 2}
+    assert {r.node for r in members.collect()} == set(range(3, 3 + similar))
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 1000])
+@pytest.mark.parametrize("in_task", [4096, 4])
+def test_lines_with_another_of_their_bucket_stay(monkeypatch, size, in_task):
+    import pyarrow as pa
+    monkeypatch.setattr(lines, "IN_TASK", in_task)
+    rng, rows = random.Random(3), []
+    for key in range(200):
+        own = [rng.getrandbits(63) for _ in range(rng.choice([2, 3, 3, 4, 4, 7, 40]))]
+        own = [own[0] ^ (1 << rng.randrange(60)) if rng.random() < 0.2 else x for x in own]
+        rows += [(key, 1000 * key + i, x, len(own), own) for i, x in enumerate(own)]
+    rows.append((999, 999_000, 5, 3, [5]))       # a bucket that is not whole stays
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[p:p + size]], pa.int64()) for c in range(4)],
+                                          names=["key", "node", "simhash", "n"]) for p in range(0, len(rows), size)]
+    got = [x for b in lines._without_alone(iter(batches)) for x in b.column("node").to_pylist()]
+    assert got == [node for _, node, x, n, own in rows if not 2 < n <= in_task or len(own) != n
+                   or sum((x ^ y).bit_count() <= 3 for y in own) > 1]
