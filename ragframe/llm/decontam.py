@@ -32,6 +32,7 @@ K = 5
 SIMILARITY = 0.8
 RADIUS = 31                 # of 128 bits; one less than the number of blocks
 PART_CHARS = 4_000_000
+SLICE_WORDS = 1024          # of a text, whose windows are fingerprinted at once
 _WORD = re.compile(r"\w+")
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                      0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -57,17 +58,28 @@ def shingle_weights(words: list[str]) -> np.ndarray:
     return size[K:] - size[:-K] if len(words) >= K else np.zeros(0, dtype=np.int64)
 
 
-def word_signs(words: list[str]) -> np.ndarray:
-    """Running sums of the words' 128 signs: a window's are the difference of two rows."""
+def word_digests(words: list[str]) -> np.ndarray:
+    """128 bits of each word, as 16 bytes."""
     number: dict[str, int] = {}
-    at = np.array([number.setdefault(w, len(number)) for w in words])
-    raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, number)), dtype=np.uint8).reshape(-1, 16)
-    signs = np.unpackbits(raw, axis=1).astype(np.int32) * 2 - 1
-    return np.concatenate([np.zeros((1, 128), dtype=np.int32), np.cumsum(signs[at], axis=0, dtype=np.int32)])
-
-
-def fingerprints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    return np.packbits(sums[starts + size] - sums[starts] > 0, axis=1)
+    at = np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64)
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, number)), dtype=np.uint8).reshape(-1, 16)[at]
+
+
+def fingerprints(digests: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of the ``size`` words from each of the (ascending) starts. A word's signs are summed up
+    for starts within ``SLICE_WORDS`` at a time, so that memory does not grow with the text."""
+    out = np.zeros((len(starts), 16), dtype=np.uint8)
+    p = 0
+    while p < len(starts):
+        first = int(starts[p])
+        q = int(np.searchsorted(starts, first + SLICE_WORDS))
+        sums = np.zeros((int(starts[q - 1]) + size - first + 1, 128), dtype=np.int32)
+        np.cumsum(np.unpackbits(digests[first:first + len(sums) - 1], axis=1), axis=0, dtype=np.int32, out=sums[1:])
+        at = starts[p:q] - first
+        # more ones than zeros
+        out[p:q] = np.packbits(2 * (sums[at + size] - sums[at]) > size, axis=1)
+        p = q
+    return out
 
 
 def nibbles(prints: np.ndarray) -> np.ndarray:
@@ -85,7 +97,7 @@ def build_index(items: list[tuple[int, str]]) -> dict:
         names.append(np.unique(shingles))
         owner.append(np.full(len(names[-1]), len(words)))
         bags.append((Counter(shingles.tolist()), dict(zip(shingles.tolist(), shingle_weights(words).tolist(), strict=True))))
-        prints.append(fingerprints(word_signs(words), np.array([0]), len(words))[0])
+        prints.append(fingerprints(word_digests(words), np.array([0]), len(words))[0])
         ids.append(item_id)
         sizes.append(len(words))
     if not ids:
@@ -128,7 +140,7 @@ def matches(index: dict, text: str, threshold: float) -> list[tuple[int, int, in
     n = last - at[hit]
     where = np.repeat(hit, n)
     size = index["size"][np.repeat(at[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    sums, weights, best = word_signs(words), shingle_weights(words), {}
+    digests, weights, best = word_digests(words), shingle_weights(words), {}
     for m in np.unique(size).tolist():
         # windows of m words that hold one of the shared shingles
         long = min(m, len(words))
@@ -139,19 +151,21 @@ def matches(index: dict, text: str, threshold: float) -> list[tuple[int, int, in
         starts = np.flatnonzero(np.cumsum(edge)[:len(words) - long + 1] > 0)
         if not len(starts):
             continue
-        prints = fingerprints(sums, starts, long)
         items, table = index["blocks"][m]
-        values = nibbles(prints)
-        near = np.zeros((len(starts), len(items)), dtype=bool)
-        for b in range(32):
-            near |= table[b, values[:, b]]
-        x, y = np.nonzero(near)
-        bits = np.bitwise_count(prints[x] ^ index["prints"][items[y]]).sum(axis=1)
-        for s, i, d in zip(starts[x[bits <= RADIUS]].tolist(), items[y[bits <= RADIUS]].tolist(),
-                           bits[bits <= RADIUS].tolist(), strict=True):
-            score = similarity(index["bags"][i], shingles[s:s + long - K + 1].tolist(), weights[s:s + long - K + 1].tolist())
-            if score >= threshold and score > best.get(i, (0, 0, -1.0, 0))[2]:
-                best[i] = (s, s + long, score, int(d))
+        for p in range(0, len(starts), SLICE_WORDS):    # bounds the table of windows and items
+            own = starts[p:p + SLICE_WORDS]
+            prints = fingerprints(digests, own, long)
+            values = nibbles(prints)
+            near = np.zeros((len(own), len(items)), dtype=bool)
+            for b in range(32):
+                near |= table[b, values[:, b]]
+            x, y = np.nonzero(near)
+            bits = np.bitwise_count(prints[x] ^ index["prints"][items[y]]).sum(axis=1)
+            for s, i, d in zip(own[x[bits <= RADIUS]].tolist(), items[y[bits <= RADIUS]].tolist(),
+                               bits[bits <= RADIUS].tolist(), strict=True):
+                score = similarity(index["bags"][i], shingles[s:s + long - K + 1].tolist(), weights[s:s + long - K + 1].tolist())
+                if score >= threshold and score > best.get(i, (0, 0, -1.0, 0))[2]:
+                    best[i] = (s, s + long, score, int(d))
     return [(index["ids"][i], *best[i]) for i in sorted(best)]
 
 

@@ -102,3 +102,22 @@ def test_truncated_items_as_whole_documents(spark):
     assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 400, (len(got), len(want))
     left = {r.doc_id for r in decontam.drop_contaminated(df, bench).collect()}
     assert left == {d for d, _ in docs} - {x[0] for x in got}
+
+
+def test_long_texts_are_fingerprinted_in_slices(monkeypatch):
+    import tracemalloc
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice([8, 8, 30])))) for i in range(20)]
+    words = [f"w{rng.randrange(300)}" for _ in range(60_000)]
+    for n, (_, text) in enumerate(items[:12]):
+        words[5000 * n + 1020:5000 * n + 1020 + len(text.split())] = text.split()
+    index, text = decontam.build_index(items), " ".join(words)
+    tracemalloc.start()
+    found = decontam.matches(index, text, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    assert {f[0] for f in found} >= set(range(12))
+    assert all(f[1] == 5000 * f[0] + 1020 and f[3] == 1 for f in found if f[0] < 12)
+    monkeypatch.setattr(decontam, "SLICE_WORDS", 7)
+    assert decontam.matches(index, text, 0.8) == found
