@@ -19,10 +19,15 @@ from ragframe.sources.files import write_files
 from ragframe.streaming.ingest import stream_ingest, stream_word_files
 from ragframe.streaming.reassemble import reassemble_stream, to_deltas
 
-N_LANDING_FILES = 4
+N_LANDING_FILES = 4        # at least
 LANDING_FOLDERS = 1024     # of Word files: tasks create theirs in different folders, which are listed in parallel
 
 
+def _landing_files(spark: SparkSession) -> int:
+    """Files that the rows land in: enough for every core to write and read some of them, whatever their size."""
+    return max(N_LANDING_FILES, 2 * spark.sparkContext.defaultParallelism)
+
+
 @register("reassemble_stream", """
 SELECT conv_id, turn, CAST(len(string_split(text, ' ')) + 1 AS BIGINT) AS n_deltas, md5(text) AS text_md5
 FROM conversations
@@ -35,7 +40,8 @@ def q_reassemble_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing = scratch_path(spark, "deltas")
     d = to_deltas(c, ["conv_id", "turn"])
     # every fifth part is sent twice
-    d.unionByName(d.where("seq % 5 = 0")).repartition(N_LANDING_FILES).write.parquet(landing)
+    # dealt by a hash: a round-robin deal would sort all parts first
+    d.unionByName(d.where("seq % 5 = 0")).repartition(_landing_files(spark), "conv_id", "turn", "seq").write.parquet(landing)
     out = scratch_path(spark, "reassembled")
     reassemble_stream(spark, landing, "conv_id long, turn long, seq long, delta string, last boolean",
                       ["conv_id", "turn"], scratch_path(spark, "ckpt-reassemble"), out)

@@ -21,9 +21,10 @@ def to_deltas(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFra
     a closing null delta, as a streamed completion delivers them; ``last``
     marks the closing part."""
     parts = F.array_append(split_keep(F.col(text_col), " "), F.lit(None).cast("string"))
-    out = df.select(*keys, F.posexplode_outer(parts).alias("seq", "delta"), F.size(parts).alias("_n"))
+    out = df.select(*keys, F.posexplode_outer(parts).alias("seq", "delta"))
+    # only the closing part is null; counting the parts here would split the text again for each of them
     return out.select(*keys, F.col("seq").cast("long").alias("seq"), "delta",
-                      (F.col("seq") == F.col("_n") - 1).alias("last"))
+                      F.when(F.col("seq").isNotNull(), F.col("delta").isNull()).alias("last"))
 
 
 def reassemble(deltas: DataFrame, keys: list[str], seq_col: str = "seq",
@@ -40,7 +41,7 @@ def reassemble(deltas: DataFrame, keys: list[str], seq_col: str = "seq",
 def _assembler(keys: list[str], timeout_ms: int | None):
     def message(key, parts, complete):
         text = "".join(parts[s] for s in sorted(parts) if parts[s] is not None)
-        return pd.DataFrame([[*key, len(parts), text, complete]], columns=[*keys, "n_deltas", "text", "complete"])
+        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "n_deltas": [len(parts)], "text": [text], "complete": [complete]})
 
     def step(key, batches, state):
         seqs, texts, last = state.get if state.exists else ([], [], -1)
@@ -50,9 +51,13 @@ def _assembler(keys: list[str], timeout_ms: int | None):
             yield message(key, parts, False)    # what has come of an open message
             return
         for pdf in batches:
-            for s, d in zip(pdf["seq"].tolist(), pdf["delta"].tolist()):
-                parts[int(s)] = max([x for x in (parts.get(int(s)), None if pd.isna(d) else d) if x is not None], default=None)
-            last = max([int(last), *pdf.loc[pdf["last"].astype(bool), "seq"].astype(int).tolist()])
+            # plain lists: a message has few rows, for which each call on a frame costs more than its work
+            seq = pdf["seq"].tolist()
+            for s, d in zip(seq, pdf["delta"].tolist(), strict=True):
+                old = parts.get(s)
+                # a null (not a string in a frame) takes the number's place only
+                parts[s] = old if not isinstance(d, str) or (old is not None and old >= d) else d
+            last = max([int(last), *(s for s, closing in zip(seq, pdf["last"].tolist(), strict=True) if closing)])
         if last >= 0 and len(parts) == last + 1:
             if state.exists:
                 state.remove()

@@ -20,6 +20,36 @@ def test_delta_edges(spark):
     assert tuple(reassemble(d, ["rid"]).first()) == (1, 4, "Hello world")
 
 
+def test_deltas_split_each_text_once(spark):
+    c = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "rid long, text string")
+    d = to_deltas(c, ["rid"])
+    assert sorted(tuple(r) for r in d.where("rid < 3").na.fill("-", ["delta"]).collect()) == [
+        (1, 0, "a", False), (1, 1, " b", False), (1, 2, "-", True), (2, 0, "", False), (2, 1, "-", True)]
+    assert [tuple(r) for r in d.where("rid = 3").collect()] == [(3, None, None, None)]
+    # not again for each of its parts, above the Generate
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_parts_sent_with_different_texts_or_none_first():
+    import pandas as pd
+    from ragframe.streaming.reassemble import _assembler
+
+    class State:
+        hasTimedOut, exists = False, False
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists = False
+    step, state = _assembler(["k"], None), State()
+    first = pd.DataFrame({"seq": [1, 1, 0], "delta": [None, "b", "x"], "last": [False] * 3})
+    assert not list(step((5,), iter([first]), state)) and state.exists
+    rest = pd.DataFrame({"seq": [0, 2, 1], "delta": ["y", None, None], "last": [False, True, False]})
+    rows = pd.concat(list(step((5,), iter([rest]), state)))
+    assert rows.to_dict("records") == [{"k": 5, "n_deltas": 3, "text": "yb", "complete": True}] and not state.exists
+
+
 def test_stream_reassembly(spark):
     c = spark.createDataFrame([(1, 0, "a b  c"), (1, 1, ""), (2, 0, "x")], "conv_id long, turn long, text string")
     landing, out = scratch_path(spark, "t-deltas"), scratch_path(spark, "t-out")
