@@ -60,7 +60,7 @@ def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     the batch result."""
     d = load_table(spark, "documents", sf_dir).select("doc_id", "text")
     landing = scratch_path(spark, "landing")
-    d.repartition(N_LANDING_FILES).write.parquet(landing)
+    d.repartition(_landing_files(spark)).write.parquet(landing)
     collection = scratch_path(spark, "stream-collection")
     stream_ingest(spark, landing, "doc_id long, text string", collection,
                   scratch_path(spark, "ckpt-ingest"), limit=LIMIT, pattern=NEWLINE_PATTERN, dim=DIM)

@@ -159,3 +159,18 @@ def test_one_bad_prompt_costs_no_other(spark):
     got = {r.p: (r.answer, (r.error or "").split(":")[0]) for r in
            apply_model(df, model, ["p"], max_retries=1, timeout_s=1.0, backoff_s=0).collect()}
     assert got == {"a": ("<a>", ""), "b": ("<b>", ""), "bad": (None, "ValueError"), "slow": (None, "TimeoutError")}
+
+
+def test_streamed_documents_land_in_files_for_every_core(spark, monkeypatch):
+    import ragframe.plans.stream_queries as queries
+    from conftest import SF001
+
+    class Landed(Exception):
+        pass
+
+    def landed(spark, landing, *args, **kw):
+        raise Landed(len([f for f in os.listdir(landing) if f.endswith(".parquet")]))
+    monkeypatch.setattr(queries, "stream_ingest", landed)
+    with pytest.raises(Landed) as seen:
+        queries.q_stream_ingest(spark, SF001)
+    assert seen.value.args[0] >= spark.sparkContext.defaultParallelism
