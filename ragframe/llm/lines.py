@@ -49,19 +49,25 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))   # first bit and wid
 FEW_LINES = 1 << 24          # beyond, keys of two of five blocks (26 bits) would be shared by unrelated lines
 MORE_BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))   # three of six: 20 keys of 31 bits or more
 IN_TASK = 4096               # lines of a bucket that are compared with each other where they are counted
-SLICE_CHARS = 1_000_000      # of text, whose lines are fingerprinted at once
+PIECE = 5                    # characters of a piece of a line that is looked for in another
+SLICE_CHARS = 100_000        # of text, whose lines are fingerprinted at once
 FOURTH = 0x1111_1111_1111_1111   # every fourth bit of a fingerprint
 BROADCAST_LINES = 2_000_000  # line numbers of the largest removal list that is broadcast
 
 _WORD = re.compile(r"\w+")
 
 
-_ASCII_WORDS = bytes(c if _WORD.match(chr(c)) and c < 128 else 32 for c in range(256))
+_WORD_CHARS = bytes(c if _WORD.match(chr(c)) else 32 for c in range(256))   # of Latin-1, which begins with ASCII
 
 
 def words_of(line: str) -> list:
     """Its words; those of an ASCII line as bytes."""
-    return line.encode().translate(_ASCII_WORDS).split() if line.isascii() else _WORD.findall(line)
+    if line.isascii():
+        return line.encode().translate(_WORD_CHARS).split()
+    try:
+        return line.encode("latin-1").translate(_WORD_CHARS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(line)
 
 
 def normalise(line: str) -> str:
@@ -111,10 +117,23 @@ def _common(a: str, b: str) -> int:
     return low
 
 
+def _pieces_stay(a: str, b: str, most: int) -> bool:
+    """False only if the edit distance is more than ``most``: an edit breaks one of
+    a's pieces at most, and a whole one is in b at most ``most`` places further."""
+    left = most
+    for i in range(0, len(a) - PIECE + 1, PIECE):
+        if b.find(a[i:i + PIECE], max(i - most, 0), i + PIECE + most) < 0:
+            left -= 1
+            if left < 0:
+                return False
+    return True
+
+
 def within_edits(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is ``most`` or less: the bit-parallel dynamic
     programme, a column of the table in two integers. A common beginning and end
-    cost nothing and are left out; letters that only one has settle many pairs."""
+    cost nothing and are left out; words replaced one by one, pieces that are not in
+    the other and letters that only one has settle many pairs."""
     if abs(len(a) - len(b)) > most:
         return False
     n = _common(a, b)
@@ -123,6 +142,11 @@ def within_edits(a: str, b: str, most: int) -> bool:
     a, b = a[:len(a) - n], b[:len(b) - n]
     if max(len(a), len(b)) <= most:
         return True
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= most:
+        return True
+    if not _pieces_stay(a, b, most):
+        return False
     x, y = Counter(a), Counter(b)
     if max((x - y).total(), (y - x).total()) > most:
         return False
@@ -151,34 +175,37 @@ def _fingerprints(docs: DataFrame, short_copies: bool) -> DataFrame:
     with ``short_copies`` also of shorter ones that aren't blank, without a simhash."""
     names = ["doc_id", "line", "digest", "simhash"]
 
-    def prints(where, lines, words):
+    def prints(where, at, lines):
+        words = [words_of(x) for x in lines]
         long = [k for k, ws in enumerate(words) if len(ws) >= MIN_WORDS]
         values: list = [None] * len(lines)
         for k, x in zip(long, simhashes([words[k] for k in long]).tolist(), strict=True):
             values[k] = x
+        if not short_copies:
+            own = [len(ws) >= MIN_WORDS for ws in words]
+            where, at = [x for x, k in zip(where, at, strict=True) if own[k]], [k for k in at if own[k]]
+        digests = [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]
         return pa.RecordBatch.from_arrays(
             [pa.array([i for i, _ in where], pa.int64()), pa.array([n for _, n in where], pa.int32()),
-             pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines], pa.binary()),
-             pa.array(values, pa.int64())], names=names)
+             pa.array([digests[k] for k in at], pa.binary()), pa.array([values[k] for k in at], pa.int64())], names=names)
 
     def run(batches):
-        where, lines, words, size = [], [], [], 0
+        # equal lines of a slice are fingerprinted once: ``at`` has each line's place among the different ones
+        where, at, lines, size = [], [], {}, 0
         for batch in batches:
             texts = batch.column("text")
             for r, i in enumerate(batch.column("doc_id").to_pylist()):
                 for n, line in enumerate(texts[r].as_py().split("\n")):
                     line = normalise(line)
-                    ws = words_of(line)
-                    if len(ws) >= MIN_WORDS or (short_copies and line):
+                    if line:
                         where.append((i, n))
-                        lines.append(line)
-                        words.append(ws)
+                        at.append(lines.setdefault(line, len(lines)))
                         size += len(line)
                         if size > SLICE_CHARS:
-                            yield prints(where, lines, words)
-                            where, lines, words, size = [], [], [], 0
-        if lines:
-            yield prints(where, lines, words)
+                            yield prints(where, at, lines)
+                            where, at, lines, size = [], [], {}, 0
+        if where:
+            yield prints(where, at, lines)
 
     return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line int, digest binary, simhash long")
 
