@@ -30,6 +30,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 500   # whole texts that go to Python at once; Spark's own 10,000 are a whole input split
+
+
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """From now on the session's Arrow batches have at most ``rows`` rows, as a plan
+    runs when its caller writes it. A batch is held several times over (buffers of the
+    executor and of its Python worker, strings). A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def in_training_part(id_col) -> "F.Column":
     """True where crc32 of the id as text, modulo 5, is not 0."""
     return F.crc32(F.col(id_col).cast("string")) % 5 != 0

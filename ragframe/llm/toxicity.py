@@ -278,8 +278,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        batch = pd.DataFrame({"doc_id": pd.Series(range(len(texts)), dtype="Int64"), "text": texts.fillna("")})
-        return next(_scorer(held)(iter([batch])))["score"]
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        frames = (pd.DataFrame({"doc_id": pd.Series(range(len(texts)), dtype="Int64"), "text": texts.fillna("")}) for texts in batches)
+        for scored in _scorer(held)(frames):
+            yield scored["score"]
 
     return docs.where(score(F.col(text_col).cast("string")) < 0.5)

@@ -38,3 +38,18 @@ def test_equal_lines_of_a_slice_are_fingerprinted_once(spark, monkeypatch):
         assert len(out) == 20 * each and len({(r["digest"], r["simhash"]) for r in out}) == each
         assert {r["line"] for r in out} == ({0, 2, 3} if each == 3 else {0, 3})
     assert seen == [2, 2]
+
+
+def test_pipeline_stages_bound_the_texts_of_a_batch(spark):
+    import corpus_pipeline
+    from ragframe.llm.common import BATCH_ROWS
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    try:
+        for set_, want in (("10000", BATCH_ROWS), ("0", BATCH_ROWS), ("7", 7)):
+            spark.conf.set(name, set_)
+            dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, docs, "")
+            assert int(spark.conf.get(name)) == want
+    finally:
+        spark.conf.set(name, before)
