@@ -34,6 +34,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,8 @@ from ragframe.operators.sizing import DEFAULT_BROADCAST_MAX_BYTES, fits_broadcas
 from ragframe.session import scratch_path
 
 _CAND_COLS = ["qid", "id", "distance"]
+SMALL_GROUP = 64         # corpus rows of a group whose distances are all exact
+SMALL_CELLS = 500_000    # components compared at once in such a group
 
 
 def _cand_schema(corpus: DataFrame, questions: DataFrame, key: str) -> str:
@@ -56,6 +59,13 @@ def _ids(s: pd.Series) -> np.ndarray:
     return s.to_numpy(dtype=np.int64) if pd.api.types.is_integer_dtype(s) else s.to_numpy().astype(str)
 
 
+def _column_ids(column: pa.Array) -> np.ndarray:
+    """``_ids`` of an Arrow column; where it is null, any value."""
+    if pa.types.is_integer(column.type):
+        return pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.to_pandas().to_numpy().astype(str)
+
+
 def _frame(columns: dict, **constants) -> pd.DataFrame:
     """Candidates; strings as plain objects, which Arrow takes as one array."""
     n = len(columns["qid"])
@@ -72,26 +82,36 @@ def rejected_vectors(df: DataFrame, dim: int, *, vec_col: str = "embedding", key
             .where("reject_reason is not null"))
 
 
-def kernel_candidates(cm: np.ndarray, ids: np.ndarray, qm: np.ndarray, qids: np.ndarray,
-                      keep: int, q_chunk: int = 256) -> pd.DataFrame:
-    """Top ``keep`` corpus rows per question by (exact distance, id).
+def nearest(cm: np.ndarray, ids: np.ndarray, qm: np.ndarray, qids: np.ndarray, keep: int,
+            q_chunk: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(qid, id, distance): the top ``keep`` corpus rows per question by (exact distance, id).
 
     cm: corpus vectors (n x d), qm: question vectors (m x d), float64.
-    The dot-product expansion gives approximate distances for all pairs of a
+    The distances of a small group are all exact, left-to-right float64 sums. In a
+    larger one the dot-product expansion gives approximate distances for all pairs of a
     chunk of questions; for each question every row within a small tolerance
     of the keep-th approximate distance is a candidate (so ties and rounding
     never drop a row the exact order would keep), candidates are re-ranked
-    with the exact left-to-right float64 sum, and ties go to the smaller id.
+    with the exact sum, and ties go to the smaller id.
     Memory stays at O(n x q_chunk) plus the candidates."""
-    first = np.unique(ids, return_index=True)[1]
-    if len(first) < len(ids):                 # a row stored twice is one row
-        cm, ids = cm[first], ids[first]
     n, m = len(ids), len(qids)
     if n == 0 or m == 0:
-        return _frame({c: [] for c in _CAND_COLS})
+        return qids[:0], ids[:0], np.zeros(0)
+    ids, first = np.unique(ids, return_index=True)      # by id; a row stored twice is one row
+    cm, n = cm[first], len(ids)
     kk = min(keep, n)
-    cn = (cm * cm).sum(1)
     out_q, out_i, out_d = [], [], []
+    if n <= SMALL_GROUP:
+        step = max(1, SMALL_CELLS // (n * cm.shape[1] or 1))
+        for j0 in range(0, m, step):
+            diff = cm[None, :, :] - qm[j0:j0 + step, None, :]
+            exact = np.add.accumulate(diff * diff, axis=2)[:, :, -1]
+            best = np.argsort(exact, axis=1, kind="stable")[:, :kk]
+            out_q.append(np.repeat(qids[j0:j0 + step], kk))
+            out_i.append(ids[best].ravel())
+            out_d.append(np.take_along_axis(exact, best, axis=1).ravel())
+        return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_d)
+    cn = (cm * cm).sum(1)
     for j0 in range(0, m, q_chunk):
         qb, qi = qm[j0:j0 + q_chunk], qids[j0:j0 + q_chunk]
         qn = (qb * qb).sum(1)
@@ -102,47 +122,85 @@ def kernel_candidates(cm: np.ndarray, ids: np.ndarray, qm: np.ndarray, qids: np.
             cand = np.flatnonzero(approx[:, j] <= thr[j] + tol[j])
             diff = cm[cand] - qb[j]
             exact = np.add.accumulate(diff * diff, axis=1)[:, -1]
-            best = np.lexsort((ids[cand], exact))[:kk]
+            best = np.argsort(exact, kind="stable")[:kk]
             out_q.append(np.repeat(qi[j:j + 1], len(best)))
             out_i.append(ids[cand][best])
             out_d.append(exact[best])
-    return _frame({"qid": np.concatenate(out_q), "id": np.concatenate(out_i), "distance": np.concatenate(out_d)})
+    return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_d)
+
+
+def kernel_candidates(cm: np.ndarray, ids: np.ndarray, qm: np.ndarray, qids: np.ndarray,
+                      keep: int, q_chunk: int = 256) -> pd.DataFrame:
+    """``nearest`` as a frame."""
+    return _frame(dict(zip(_CAND_COLS, nearest(cm, ids, qm, qids, keep, q_chunk), strict=True)))
 
 
 def _matrix(vs) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vs])
 
 
+def _by_key(keys: pd.Series) -> tuple[np.ndarray, dict]:
+    """An order of the rows by key, and each key's part (first, end) of it."""
+    codes, names = pd.factorize(keys, use_na_sentinel=False)
+    n = np.bincount(codes, minlength=len(names))
+    ends = np.cumsum(n)
+    return np.argsort(codes, kind="stable"), dict(zip(names.tolist(), zip((ends - n).tolist(), ends.tolist(), strict=True), strict=True))
+
+
 def _broadcast_candidates(corpus: DataFrame, questions: DataFrame, key: str, keep: int) -> DataFrame:
     """Questions (already measured below the broadcast limit) go to every
     task as one broadcast value; each corpus batch is ranked against the
     questions of its keys."""
     spark = corpus.sparkSession
     qpdf = questions.toPandas()
-    groups = {kv: (_ids(g["qid"]), _matrix(g["qvec"]))
-              for kv, g in qpdf.groupby(key, sort=False)}
-    bc = spark.sparkContext.broadcast(groups)
+    order, spans = _by_key(qpdf[key])
+    held = (_ids(qpdf["qid"])[order], _matrix(qpdf["qvec"])[order]) if len(qpdf) else None
+    bc = spark.sparkContext.broadcast((spans, held))
 
     def run(batches):
-        gs, best = bc.value, {}
+        (of, held), best = bc.value, {}
         for pdf in batches:
-            for kv, part in pdf.groupby(key, sort=False):
-                if kv in gs:
-                    qids, qm = gs[kv]
-                    best[kv] = _best(best.get(kv), kernel_candidates(_matrix(part["vec"]), _ids(part["id"]), qm, qids, keep), keep)
-        for kv, found in best.items():
-            yield _frame({c: found[c] for c in _CAND_COLS}, **{key: kv})
+            if held is None or not len(pdf):
+                continue
+            order, spans = _by_key(pdf[key])
+            ids, m = _ids(pdf["id"])[order], _matrix(pdf["vec"])[order]
+            for kv, (a, b) in spans.items():
+                if kv in of:
+                    x, y = of[kv]
+                    best[kv] = _best(best.get(kv), nearest(m[a:b], ids[a:b], held[1][x:y], held[0][x:y], keep), keep)
+        for kvs, columns in _in_bulk(best.items()):
+            yield _frame(dict(zip([*_CAND_COLS, key], [*columns, np.array(kvs)], strict=True)))
 
     return spread(corpus).mapInPandas(run, _cand_schema(corpus, questions, key))
 
 
-def _best(before: pd.DataFrame | None, new: pd.DataFrame, keep: int) -> pd.DataFrame:
+def _in_bulk(found, rows: int = 10_000):
+    """(key of each row, columns) of many keys' candidates at once: a frame or a batch for each key would cost more than its ranking."""
+    kvs, parts = [], []
+    for kv, part in found:
+        kvs += [kv] * len(part[0])
+        parts.append(part)
+        if len(kvs) >= rows:
+            yield kvs, [np.concatenate(c) for c in zip(*parts, strict=True)]
+            kvs, parts = [], []
+    if kvs:
+        yield kvs, [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
+def _best(before: tuple | None, new: tuple, keep: int) -> tuple:
     """The nearest ``keep`` rows per question of two sets of candidates."""
     if before is None:
         return new
-    both = _frame({c: np.concatenate([before[c].to_numpy(), new[c].to_numpy()]) for c in _CAND_COLS})
-    both = both.sort_values(["qid", "distance", "id"], kind="stable")
-    return both.drop_duplicates(["qid", "id"]).groupby("qid", sort=False).head(keep)
+    q, i, d = (np.concatenate(both) for both in zip(before, new, strict=True))
+    order = np.lexsort((i, d, q))
+    q, i, d = q[order], i[order], d[order]
+    change = np.append(True, q[1:] != q[:-1])[:len(q)]
+    # a row that both sets hold has one distance, so its two places follow one another
+    fresh = change | np.append(True, (i[1:] != i[:-1]) | (d[1:] != d[:-1]))[:len(q)]
+    q, i, d, change = q[fresh], i[fresh], d[fresh], change[fresh]
+    starts = np.flatnonzero(change)
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    return q[place < keep], i[place < keep], d[place < keep]
 
 
 def block_sizes(corpus: DataFrame, questions: DataFrame, key: str, row_bytes: int, slice_bytes: int,
@@ -175,15 +233,8 @@ def _dealt(corpus: DataFrame, questions: DataFrame, sizes: DataFrame, key: str)
 def _stream_kernel(keep: int, key: str, schema: pa.Schema):
     """Ranks groups as they stream by, each one's questions first: a task holds
     one block of questions, one Arrow batch and the best ``keep`` per question."""
-    def run(batches):
+    def ranked(batches):
         group, qs, best = None, [], None
-
-        def done():
-            if best is not None and len(best):
-                columns = {c: pa.array(best[c].tolist(), schema.field(c).type) for c in _CAND_COLS}
-                columns[key] = pa.array([group[0]] * len(best), schema.field(key).type)
-                yield pa.RecordBatch.from_arrays([columns[c] for c in schema.names], schema=schema)
-
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -194,25 +245,30 @@ def _stream_kernel(keep: int, key: str, schema: pa.Schema):
             for m in marks:
                 change[1:] |= m[1:] != m[:-1]
             starts = [0, *np.flatnonzero(change).tolist(), n]
+            vectors = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            qids, ids = _column_ids(batch.column("qid")), _column_ids(batch.column("id"))
             for a, b in zip(starts[:-1], starts[1:], strict=True):
-                if a == b:
-                    continue
                 here = (keys[a].as_py(), int(marks[1][a]), int(marks[2][a]))
                 if here != group:
-                    yield from done()
+                    if best is not None:
+                        yield group[0], best
                     group, qs, best = here, [], None
-                rows = batch.slice(a, b - a)
-                m = rows.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
                 if marks[3][a] == 0:
-                    qs.append((_ids(rows.column("qid").to_pandas()), m))
+                    qs.append((qids[a:b], vectors[a:b]))
                     continue
                 if not qs:      # no question's hash fell into this block
                     continue
                 if len(qs) > 1:
                     qs = [(np.concatenate([i for i, _ in qs]), np.concatenate([x for _, x in qs]))]
-                qids, qm = qs[0]
-                best = _best(best, kernel_candidates(m, _ids(rows.column("id").to_pandas()), qm, qids, keep), keep)
-        yield from done()
+                best = _best(best, nearest(vectors[a:b], ids[a:b], qs[0][1], qs[0][0], keep), keep)
+        if best is not None:
+            yield group[0], best
+
+    def run(batches):
+        for kvs, found in _in_bulk(ranked(batches)):
+            columns = {c: pa.array(x.tolist(), schema.field(c).type) for c, x in zip(_CAND_COLS, found, strict=True)}
+            columns[key] = pa.array(kvs, schema.field(key).type)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in schema.names], schema=schema)
     return run
 
 

@@ -53,3 +53,44 @@ def test_pipeline_stages_bound_the_texts_of_a_batch(spark):
             assert int(spark.conf.get(name)) == want
     finally:
         spark.conf.set(name, before)
+
+
+def test_small_groups_are_ranked_like_large_ones_and_leave_in_few_batches(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from ragframe.operators import search
+    rng = np.random.default_rng(2)
+    for n in (1, 3, 64, 65, 200):
+        cm = rng.integers(0, 2, size=(n, 3)).astype(float)       # many ties
+        ids = rng.permutation(n) // 2 * 2 if n != 64 else rng.permutation(n)
+        cm = cm[np.unique(ids, return_index=True)[1]][np.unique(ids, return_inverse=True)[1]]
+        qm, qids = rng.random((30, 3)), np.arange(30) + 7
+        want = [(q, i, d) for q, x in zip(qids.tolist(), qm, strict=True)
+                for d, i in sorted({(float(np.add.accumulate((c - x) ** 2)[-1]), int(i)) for c, i in zip(cm, ids, strict=True)})[:5]]
+        got = search.nearest(cm, ids, qm, qids, 5)
+        assert [(int(q), int(i), float(d)) for q, i, d in zip(*got, strict=True)] == want
+        cut = n // 2
+        parts = search._best(search.nearest(cm[:cut], ids[:cut], qm, qids, 5) if cut else None, search.nearest(cm[cut:], ids[cut:], qm, qids, 5), 5)
+        assert [(int(q), int(i), float(d)) for q, i, d in zip(*parts, strict=True)] == want
+    rows = spark.range(600).select("id", F.format_string("k%d", F.expr("id div 3")).alias("file_id"),
+                                   F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    sizes, real = [], search._in_bulk
+
+    def spy(found):
+        for kvs, columns in real(found):
+            sizes.append(len(kvs))
+            yield kvs, columns
+    kernel = search._stream_kernel(2, "file_id", __import__("pyarrow").schema([("qid", "int64"), ("id", "int64"), ("distance", "float64"), ("file_id", "string")]))
+    monkeypatch.setattr(search, "_in_bulk", spy)
+    c = rows.select("id", "file_id", F.col("embedding").alias("vec"))
+    q = rows.select(F.col("id").alias("qid"), "file_id", F.col("embedding").alias("qvec"))
+    sizes_of = search.block_sizes(c, q, "file_id", 80, 10_000, 10_000)
+    dealt = search._dealt(c, q, sizes_of, "file_id").orderBy("file_id", "_s", "_r", "_side").toArrow().combine_chunks().to_batches()
+    out = [r for b in kernel(iter(dealt)) for r in b.to_pylist()]
+    assert sizes == [1200] and len(out) == 1200
+    for limit in (0, 1 << 30):       # by blocks, by broadcast
+        got = {(r.qid, r["rank"]): (r.id, r.distance) for r in search.topk(rows, rows.withColumnRenamed("id", "qid"), 2, broadcast_max_bytes=limit).collect()}
+        assert len(got) == 1200
+        for i in range(600):
+            near = sorted(((j - i) ** 2, j) for j in range(i // 3 * 3, i // 3 * 3 + 3))[:2]
+            assert [got[i, k] for k in (1, 2)] == [(j, float(d)) for d, j in near]
