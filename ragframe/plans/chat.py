@@ -45,9 +45,11 @@ def chat(corpus: DataFrame, questions: DataFrame, *, k: int = 10, budget: int =
     count, context tokens, prompt and model answer. ``fields`` (id, content,
     num_tokens) is where content is fetched from when the vector table does
     not carry it."""
-    ranked = topk(corpus, questions, k, key="file_id", output_fields=["content", "num_tokens"],
-                  fields=fields)
-    packed = context_pack(ranked, questions.select("qid"), budget=budget)
+    contents = corpus if fields is None else fields
+    # an id may be of use in one file only
+    file = [c for c in ("file_id",) if c in contents.columns]
+    ranked = topk(corpus, questions, k, key="file_id", output_fields=["num_tokens", *file], fields=fields)
+    packed = context_pack(ranked, questions.select("qid"), budget=budget, contents=contents, id_cols=("id", *file))
     prompts = build_prompts(packed.join(questions.select("qid", "file_id", "question"), "qid"))
     return apply_model(prompts, model, ["system", "user"], "answer")
 

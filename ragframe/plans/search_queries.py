@@ -177,8 +177,8 @@ def q_context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1: ranked chunks packed under a 10,000-token running total."""
     corpus = vector_collection(spark, sf_dir)
     qs = vector_questions(spark, sf_dir)
-    ranked = topk(corpus, qs, K, key="file_id", output_fields=["content", "num_tokens"])
-    p = context_pack(ranked, qs.select("qid"))
+    ranked = topk(corpus, qs, K, key="file_id", output_fields=["num_tokens", "file_id"])
+    p = context_pack(ranked, qs.select("qid"), contents=corpus, id_cols=("id", "file_id"))
     return p.select("qid", "n_chunks", "ctx_tokens", F.md5("context").alias("context_md5"))
 
 

@@ -94,3 +94,27 @@ def test_small_groups_are_ranked_like_large_ones_and_leave_in_few_batches(spark,
         for i in range(600):
             near = sorted(((j - i) ** 2, j) for j in range(i // 3 * 3, i // 3 * 3 + 3))[:2]
             assert [got[i, k] for k in (1, 2)] == [(j, float(d)) for d, j in near]
+
+
+def test_contents_are_fetched_for_kept_rows_in_parts_that_follow_their_size(spark, monkeypatch):
+    from ragframe.operators import context
+    from ragframe.plans.chat import chat
+    # ids of use in one file only, a row stored twice, one too long to be kept
+    rows = [(i, f, [float(i)], f"{f}{i} " * 5, 4) for i in (1, 2, 3) for f in "ab"]
+    rows = [*rows, rows[0], (4, "a", [4.0], "long", 50)]
+    corpus = spark.createDataFrame(rows, "id long, file_id string, embedding array<float>, content string, num_tokens long")
+    qs = spark.createDataFrame([(10, "a", [0.0], "?"), (11, "b", [0.0], "!"), (12, "c", [0.0], ".")],
+                               "qid long, file_id string, embedding array<float>, question string")
+    seen, real = [], context._with_contents
+
+    def spy(*a):
+        out = real(*a)
+        seen.append((sorted(a[0].columns), out.rdd.getNumPartitions()))
+        return out
+    monkeypatch.setattr(context, "_with_contents", spy)
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    for part, want in ((1 << 25, least), (1, 24 * context.TOKEN_BYTES)):
+        monkeypatch.setattr(context, "PART_BYTES", part)
+        got = {r.qid: (r.n_chunks, r.ctx_tokens, r.context) for r in chat(corpus, qs, budget=20).collect()}
+        assert got == {q: (3, 12, "".join(f"{f}{i} " * 5 + "\n" for i in (1, 2, 3))) for q, f in ((10, "a"), (11, "b"))} | {12: (0, 0, "")}
+        assert seen.pop() == (["file_id", "id", "num_tokens", "qid", "rank"], want)
