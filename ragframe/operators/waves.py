@@ -68,21 +68,22 @@ def semantic_waves(df: DataFrame, fn: ModelFn, *, id_col: str = "doc_id", text_c
              .select(id_col, "paras", nothing.alias("held"), F.lit(size0).alias("size"), F.lit(0).alias("asks"), F.lit(0).alias("done")))
     sections, failures = [], []
     while True:
-        excerpt = F.slice("paras", 1, F.col("size"))
-        lines = F.array_join(F.transform(excerpt, lambda p: F.concat(marker(p["m"]), F.lit(" "), p["text"])), "\n")
-        asked = state.withColumn("_r", model_answers(fn, section_prompt(lines).alias("prompt"), timeout_s=timeout_s, max_retries=max_retries))
-        wave = _table(asked.select("*", "_r.answer", "_r.error").drop("_r"), "wave")      # the model is asked once
+        # head: the excerpt, which sections are cut from; tail: what is only carried on
+        parts = state.select(id_col, F.slice("paras", 1, F.col("size")).alias("head"),
+                             F.slice("paras", F.col("size") + 1, F.size("paras")).alias("tail"), "held", "size", "asks", "done")
+        lines = F.array_join(F.transform("head", lambda p: F.concat(marker(p["m"]), F.lit(" "), p["text"])), "\n")
+        asked = parts.withColumn("_r", model_answers(fn, section_prompt(lines).alias("prompt"), timeout_s=timeout_s, max_retries=max_retries))
+        asked = (asked.select("*", "_r.answer", "_r.error").drop("_r").withColumn("_listed", section_markers(F.col("answer")))
+                 .withColumn("decides", F.col("_listed").isNotNull() | (F.col("asks") + 1 >= max_asks)))
+        lengths = F.transform("head", lambda p: F.length(p["text"]))
+        cuts = _new_cuts(min_chars)(lengths, _known_run(F.coalesce("_listed", F.array().cast("array<int>")), F.col("head")))
+        # written once a wave: the model is asked once, and the next wave and the sections read it
+        wave = _table(asked.withColumn("cuts", cuts).drop("answer", "_listed"), "wave")
         if wave.isEmpty():
             break
-        failures.append(wave.where("error is not null").select(id_col, F.get("paras", 0)["m"].cast("long").alias("first_marker"), "error"))
-        wave = (wave.withColumn("_listed", section_markers(F.col("answer"))).withColumn("_excerpt", excerpt)
-                .withColumn("_decides", F.col("_listed").isNotNull() | (F.col("asks") + 1 >= max_asks)))
-        lengths = F.transform("_excerpt", lambda p: F.length(p["text"]))
-        wave = wave.withColumn("_cuts", _new_cuts(min_chars)(lengths, _known_run(F.coalesce("_listed", F.array().cast("array<int>")), F.col("_excerpt"))))
-        wave = _table(_decided(wave.where("_decides"), pdf, size0), "decided").unionByName(
-            wave.where("not _decides").select(id_col, "paras", "held", "size", (F.col("asks") + 1).alias("asks"), "done",
-                                              F.lit(False).alias("over"), F.array().cast(f"array<array<{_PARA}>>").alias("out"), F.lit(0).alias("before")))
-        sections.append(_rows(wave, id_col, pdf))
+        failures.append(wave.where("error is not null").select(id_col, F.get("head", 0)["m"].cast("long").alias("first_marker"), "error"))
+        wave = _decided(wave, id_col, pdf, size0)
+        sections.append(_rows(wave.where("decides"), id_col, pdf))
         state = wave.where("not over").select(id_col, "paras", "held", "size", "asks", "done")
     if not sections:
         empty = state.select(id_col, "paras", F.lit(0).alias("before"), F.array().cast(f"array<array<{_PARA}>>").alias("out")).limit(0)
@@ -93,15 +94,16 @@ def semantic_waves(df: DataFrame, fn: ModelFn, *, id_col: str = "doc_id", text_c
     return out, errors
 
 
-def _decided(wave: DataFrame, pdf: bool, size0: int) -> DataFrame:
-    """The state after the wave of documents whose answer counts, with the sections ``out`` that leave it."""
-    n = F.size("_cuts")
-    ends = F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("_cuts")).alias("a"), F.col("_cuts").alias("b"))
-    spans = F.transform(F.slice(ends, 1, n), lambda s: F.slice("paras", s["a"] + 1, s["b"] - s["a"]))
-    last = F.when(n > 0, F.element_at("_cuts", -1)).otherwise(F.lit(0))
-    wave = (wave.withColumn("over", F.col("size") >= F.size("paras"))
-            .withColumn("_spans", F.concat(F.when(F.size("held") > 0, F.array("held")).otherwise(F.array().cast(f"array<array<{_PARA}>>")), spans))
-            .withColumn("_rest", F.slice("paras", last + 1, F.size("paras"))))
+def _decided(wave: DataFrame, id_col: str, pdf: bool, size0: int) -> DataFrame:
+    """The state after the wave, with the sections ``out`` that leave it (none while an answer does not count)."""
+    none = F.array().cast(f"array<array<{_PARA}>>")
+    n = F.size("cuts")
+    ends = F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("cuts")).alias("a"), F.col("cuts").alias("b"))
+    spans = F.transform(F.slice(ends, 1, n), lambda s: F.slice("head", s["a"] + 1, s["b"] - s["a"]))
+    last = F.when(n > 0, F.element_at("cuts", -1)).otherwise(F.lit(0))
+    wave = (wave.withColumn("over", F.col("decides") & (F.size("tail") == 0))
+            .withColumn("_spans", F.concat(F.when(F.size("held") > 0, F.array("held")).otherwise(none), spans))
+            .withColumn("_rest", F.slice("head", last + 1, F.size("head"))))
     k = F.size("_spans")
     if pdf:
         before = F.when(k > 0, F.slice("_spans", 1, k - 1)).otherwise(F.col("_spans"))
@@ -112,10 +114,11 @@ def _decided(wave: DataFrame, pdf: bool, size0: int) -> DataFrame:
         out = F.when(F.col("over"), F.concat(F.col("_spans"), F.array("_rest"))).otherwise(F.col("_spans"))
         held = F.array().cast(f"array<{_PARA}>")
     grown = F.when(n == 0, F.col("size") + size0 // 2).otherwise(F.col("size"))
-    ids = [c for c in wave.columns if c not in ("paras", "held", "size", "asks", "done", "answer", "error", "over") and not c.startswith("_")]
-    return (wave.withColumn("out", out).withColumn("_held", held)
-            .select(*ids, F.col("_rest").alias("paras"), F.col("_held").alias("held"), grown.alias("size"), F.lit(0).alias("asks"),
-                    (F.col("done") + F.size("out")).alias("done"), "over", "out", F.col("done").alias("before")))
+    counts = lambda new, old: F.when(F.col("decides"), new).otherwise(old)
+    return (wave.withColumn("out", counts(out, none))
+            .select(id_col, F.concat(counts(F.col("_rest"), F.col("head")), "tail").alias("paras"), counts(held, F.col("held")).alias("held"),
+                    counts(grown, F.col("size")).alias("size"), counts(F.lit(0), F.col("asks") + 1).alias("asks"),
+                    (F.col("done") + F.size("out")).alias("done"), "decides", "over", "out", F.col("done").alias("before")))
 
 
 def _rows(wave: DataFrame, id_col: str, pdf: bool) -> DataFrame:

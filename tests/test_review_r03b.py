@@ -118,3 +118,17 @@ def test_contents_are_fetched_for_kept_rows_in_parts_that_follow_their_size(spar
         got = {r.qid: (r.n_chunks, r.ctx_tokens, r.context) for r in chat(corpus, qs, budget=20).collect()}
         assert got == {q: (3, 12, "".join(f"{f}{i} " * 5 + "\n" for i in (1, 2, 3))) for q, f in ((10, "a"), (11, "b"))} | {12: (0, 0, "")}
         assert seen.pop() == (["file_id", "id", "num_tokens", "qid", "rank"], want)
+
+
+def test_a_wave_is_written_once_and_its_sections_need_the_excerpt_alone(spark, monkeypatch):
+    from ragframe.operators import waves
+    written, real = [], waves._table
+    monkeypatch.setattr(waves, "_table", lambda df, name: written.append((name, df.columns)) or real(df, name))
+
+    def model(prompts):
+        return ["sections = ['【0†source】']"] * len(prompts)
+    docs = spark.createDataFrame([(1, "\n".join(f"paragraph {i} of some length" for i in range(7)))], "doc_id long, text string")
+    out = waves.semantic_waves(docs, model, group_size=4, min_chars=1)[0]
+    assert "\n".join(r.content for r in sorted(out.collect())) == docs.first().text
+    # nothing but the waves is written; carried paragraphs are apart from the excerpt
+    assert {name for name, _ in written} == {"wave"} and all({"head", "tail"} <= set(c) for _, c in written)
