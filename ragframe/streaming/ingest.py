@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from ragframe.functions.text import file_id_from_path
 from ragframe.operators.chunking import chunk_documents
-from ragframe.operators.collection import append_conformed, compact, create_if_missing
+from ragframe.operators.collection import _fs, append_conformed, compact, create_if_missing, path_exists
 from ragframe.operators.embed import enrich_chunks
+from ragframe.operators.numbering import global_offsets
 from ragframe.operators.sections import heading_rule, sections_from_rows
 from ragframe.session import scratch_path
 from ragframe.sources.docx import docx_paragraphs
+from ragframe.sources.files import NAMES, list_files, read_contents, task_folder
 
 
 def ingest_batch(batch: DataFrame, collection: str, *, limit: int, pattern: str, dim: int,
@@ -66,7 +68,7 @@ def _run(src: DataFrame, checkpoint: str, collection: str, compact_every: int |
     return q
 
 
-# Files of an epoch of a stream of small files: the driver holds the names of one epoch's files at a time.
+# Files of an epoch of a stream of small files.
 FILES_PER_EPOCH = 100_000
 SMALL_FILE_BYTES = 64 * 1024     # what opening a small file counts for when files are dealt to tasks
 
@@ -105,16 +107,54 @@ def ingest_word_files(files: DataFrame, collection: str, *, dim: int, rule=headi
     append_conformed(rows, collection, dim, batch_id=batch_id, rejected=broken, replace_files=replace_files)
 
 
+def land_names(spark: SparkSession, root: str, suffix: str, folder: str, most: int) -> None:
+    """The files below ``root`` that no name in ``folder`` stands for: their names (``NAMES``) go there, those of the oldest files
+    first, in a Parquet file for each ``most`` of them. The files are written one after the other, the order a file stream takes them in."""
+    path = F.concat_ws("/", "root", "relpath").alias("path")
+    landed = spark.read.schema(NAMES).parquet(folder).select(path)
+    # never a broadcast: that would be all names
+    new = list_files(spark, root, suffix).withColumn("path", path).join(landed.hint("merge"), "path", "left_anti").withColumn("one", F.lit(1))
+    staging = scratch_path(spark, "new-names")
+    epoch = F.floor(F.col("number") / most).alias("epoch")
+    global_offsets(new, ["modified", "path"], "one", "number").select("root", "relpath", "length", "modified", epoch).write.partitionBy("epoch").parquet(staging)
+    last = spark.read.schema(NAMES + ", epoch long").parquet(staging).agg(F.max("epoch")).first()[0]
+    for k in range(0 if last is None else last + 1):
+        spark.read.schema(NAMES).parquet(f"{staging}/epoch={k}").coalesce(1).write.mode("append").parquet(folder)
+
+
+def _named_files(names: DataFrame) -> DataFrame:
+    """``NAMES`` -> the files as ``BINARY_FILES``."""
+    return read_contents(names).select(F.concat_ws("/", "root", "relpath").alias("path"), F.timestamp_millis("modified").alias("modificationTime"),
+                                       "length", "content")
+
+
 def stream_word_files(spark: SparkSession, source: str, collection: str, checkpoint: str, *, dim: int, rule=heading_rule,
                       max_files_per_trigger: int | None = FILES_PER_EPOCH, replace_files: bool = True, compact_every: int | None = None):
     """Every ``*.docx`` that lands below ``source`` goes to the collection (``ingest_word_files``),
-    epoch by epoch, replay-safe like ``stream_ingest``; an epoch has at most ``max_files_per_trigger`` files."""
+    epoch by epoch, replay-safe like ``stream_ingest``; an epoch has at most ``max_files_per_trigger`` files.
+
+    Spark's file source holds the names of all files on the driver, whatever an epoch has. So tasks list the files, the names
+    of new ones land in the checkpoint's folder ``files``, and the stream reads those, an epoch's names at a time; its tasks
+    read the files. Spark's file source is left for what tasks cannot list (``task_folder``) and for checkpoints it began."""
     create_if_missing(spark, collection)
     base = stream_batch_base(checkpoint)
-    reader = (spark.readStream.format("binaryFile").schema(BINARY_FILES).option("pathGlobFilter", "*.docx")
-              .option("recursiveFileLookup", "true"))
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    folder = f"{checkpoint.rstrip('/')}/files"
+    root = task_folder(spark, source)
+    named = path_exists(spark, folder) or (root is not None and not path_exists(spark, f"{checkpoint.rstrip('/')}/offsets"))
+    if named and root is None:
+        raise ValueError(f"{source} is no folder that tasks can list, as it was for {checkpoint} before")
     with _small_files(spark):
-        return _run(reader.load(source), checkpoint, collection, compact_every, lambda df, epoch: ingest_word_files(
-            df, collection, dim=dim, rule=rule, batch_id=base + epoch, replace_files=replace_files))
+        if named:
+            path, fs = _fs(spark, folder)
+            fs.mkdirs(path)
+            land_names(spark, root, ".docx", folder, max_files_per_trigger or FILES_PER_EPOCH)
+            reader = spark.readStream.schema(NAMES)
+            src = (reader.option("maxFilesPerTrigger", 1) if max_files_per_trigger else reader).parquet(folder)
+        else:
+            reader = (spark.readStream.format("binaryFile").schema(BINARY_FILES).option("pathGlobFilter", "*.docx")
+                      .option("recursiveFileLookup", "true"))
+            if max_files_per_trigger:
+                reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+            src = reader.load(source)
+        return _run(src, checkpoint, collection, compact_every, lambda df, epoch: ingest_word_files(
+            _named_files(df) if named else df, collection, dim=dim, rule=rule, batch_id=base + epoch, replace_files=replace_files))
