@@ -189,7 +189,7 @@ def list_files(spark: SparkSession, root: str, suffix: str = "") -> DataFrame:
     while n:
         below = n >= 4 * cores
         levels.append(f"{staging}/{len(levels)}")
-        folders.repartition(min(n, 8 * cores)).mapInArrow(_listing(root, suffix, below), _LISTED).write.parquet(levels[-1])
+        folders.repartition(min(n, 4 * cores)).mapInArrow(_listing(root, suffix, below), _LISTED).write.parquet(levels[-1])
         folders = spark.read.schema(_LISTED).parquet(levels[-1]).where("folder").select("relpath")
         n = 0 if below else folders.count()
     return spark.read.schema(_LISTED).parquet(*levels).where("not folder").drop("folder")

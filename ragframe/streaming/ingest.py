@@ -5,6 +5,7 @@ overwrites them instead of duplicating rows."""
 
 from __future__ import annotations
 
+import math
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -112,14 +113,17 @@ def land_names(spark: SparkSession, root: str, suffix: str, folder: str, most: i
     first, in a Parquet file for each ``most`` of them. The files are written one after the other, the order a file stream takes them in."""
     path = F.concat_ws("/", "root", "relpath").alias("path")
     landed = spark.read.schema(NAMES).parquet(folder).select(path)
-    # never a broadcast: that would be all names
-    new = list_files(spark, root, suffix).withColumn("path", path).join(landed.hint("merge"), "path", "left_anti").withColumn("one", F.lit(1))
     staging = scratch_path(spark, "new-names")
-    epoch = F.floor(F.col("number") / most).alias("epoch")
-    global_offsets(new, ["modified", "path"], "one", "number").select("root", "relpath", "length", "modified", epoch).write.partitionBy("epoch").parquet(staging)
-    last = spark.read.schema(NAMES + ", epoch long").parquet(staging).agg(F.max("epoch")).first()[0]
-    for k in range(0 if last is None else last + 1):
-        spark.read.schema(NAMES).parquet(f"{staging}/epoch={k}").coalesce(1).write.mode("append").parquet(folder)
+    # never a broadcast: that would be all names
+    list_files(spark, root, suffix).withColumn("path", path).join(landed.hint("merge"), "path", "left_anti").write.parquet(f"{staging}/new")
+    new = spark.read.schema("path string, " + NAMES).parquet(f"{staging}/new")
+    n = new.count()
+    if n > most:
+        numbered = global_offsets(new.withColumn("one", F.lit(1)), ["modified", "path"], "one", "number")
+        numbered.withColumn("epoch", F.floor(F.col("number") / most)).drop("one", "number").write.partitionBy("epoch").parquet(f"{staging}/numbered")
+    for k in range(math.ceil(n / most)):
+        part = spark.read.schema(NAMES).parquet(f"{staging}/numbered/epoch={k}") if n > most else new.drop("path")
+        part.coalesce(1).write.mode("append").parquet(folder)
 
 
 def _named_files(names: DataFrame) -> DataFrame:
